@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .decontaminate import report
+from .mixing import plan_mix
 from .near_dedup import near_duplicates
+from .quality_rules import BASE, V2, apply_policy, ledger, passes
 from .token_counts import token_counts
 from .token_files import token_files
 
@@ -27,10 +29,19 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = apply_policy(ledger(read_table(spark, sf_dir, "documents")), V2)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_triples", "n_double_marks", "fail_bits", (~passes(BASE)).alias("base_failed"), "kept")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan_mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), most_tokens=4096)
 
@@ -39,10 +50,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
+        "op7_quality_rules": op7_quality_rules,
         "op8_token_files": op8_token_files,
+        "op9_source_mix": op9_source_mix,
         "op10_token_counts": op10_token_counts,
     }
 
 
+OP7_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+w AS (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM t),
+win AS (SELECT rid, i, list_slice(words, i, i + 4) AS k FROM w, LATERAL (SELECT unnest(range(1, len(words) - 3)) AS i)),
+rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM win) WHERE n > 1),
+cov AS (SELECT rid, sum(least(5, i - coalesce(p, i - 5)))::BIGINT AS n FROM (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS p FROM rep) GROUP BY rid),
+lines AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+m AS (
+  SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(length(array_to_string(words, '')), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+    coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(l)::BIGINT AS n_lines,
+    len(regexp_extract_all(text, '[A-ZÀ-ÖØ-Þ]{3}'))::BIGINT AS n_capital_triples, len(regexp_extract_all(text, '!!'))::BIGINT AS n_double_marks
+  FROM t JOIN w USING (rid) JOIN lines USING (rid) LEFT JOIN cov USING (rid)),
+b AS (
+  SELECT *, ((n_words < 10)::INT + (100 * n_repeat_words > 20 * n_words)::INT * 2 + (10 * n_symbols > 3 * n_words)::INT * 4 + (100 * n_dup_lines > 30 * n_lines)::INT * 8
+    + (word_chars < 2 * n_words)::INT * 16 + (word_chars > 15 * n_words)::INT * 32 + (300 * n_capital_triples > 20 * word_chars)::INT * 64 + (10 * n_double_marks > n_words)::INT * 128)::BIGINT AS fail_bits FROM m)
+SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
+"""
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, source_size * 2 AS stop, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
+v AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM w),
+r AS (SELECT *, stop::DOUBLE / weight AS ratio FROM v),
+l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE * 150 / 100 - (sum(stop) OVER o - stop)::DOUBLE) / (sum(weight) OVER () - sum(weight) OVER o + weight)::DOUBLE AS level FROM r WINDOW o AS (ORDER BY ratio, place)),
+f AS (SELECT arg_min(level, (ratio, place)) AS level FROM l WHERE stop::DOUBLE > weight * level),
+t AS (SELECT source, source_size, least(stop::DOUBLE, coalesce(weight * (SELECT level FROM f), stop::DOUBLE)) AS target FROM l),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+p AS (SELECT d.*, e.source_size, e.target, e.epochs, floor(e.target)::BIGINT - e.epochs * e.source_size AS rest,
+  sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS before FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that it can express."""
+    return {"op7_quality_rules": OP7_SQL, "op9_source_mix": OP9_SQL}
