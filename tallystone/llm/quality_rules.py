@@ -22,7 +22,7 @@ RULES: list[tuple[str, str]] = [
     ("few_words", "n_words < 10"),
     ("repeated_windows", "100 * n_repeat_words > 20 * n_words"),
     ("many_symbols", "10 * n_symbols > 3 * n_words"),
-    ("repeated_lines", "100 * n_dup_lines > 30 * n_lines"),
+    ("repeated_lines", "n_dup_lines >= 3 and 100 * n_dup_lines > 30 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
     ("long_words", "word_chars > 15 * n_words"),
     ("capitals", "300 * n_capital_triples > 20 * word_chars"),

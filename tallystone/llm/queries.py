@@ -71,7 +71,7 @@ m AS (
     len(regexp_extract_all(text, '[A-ZÀ-ÖØ-Þ]{3}'))::BIGINT AS n_capital_triples, len(regexp_extract_all(text, '!!'))::BIGINT AS n_double_marks
   FROM t JOIN w USING (rid) JOIN lines USING (rid) LEFT JOIN cov USING (rid)),
 b AS (
-  SELECT *, ((n_words < 10)::INT + (100 * n_repeat_words > 20 * n_words)::INT * 2 + (10 * n_symbols > 3 * n_words)::INT * 4 + (100 * n_dup_lines > 30 * n_lines)::INT * 8
+  SELECT *, ((n_words < 10)::INT + (100 * n_repeat_words > 20 * n_words)::INT * 2 + (10 * n_symbols > 3 * n_words)::INT * 4 + (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines)::INT * 8
     + (word_chars < 2 * n_words)::INT * 16 + (word_chars > 15 * n_words)::INT * 32 + (300 * n_capital_triples > 20 * word_chars)::INT * 64 + (10 * n_double_marks > n_words)::INT * 128)::BIGINT AS fail_bits FROM m)
 SELECT *, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
 """
