@@ -16,8 +16,8 @@ chance of 8e-6, those of 0.85 with 2e-8.
 Every link is confirmed on the full sets. Sets that are equal are one class from
 the start, so groups of exact copies never meet in a bucket. In a bucket a
 member first meets one leader only; members of buckets which hold more than one
-component after that are compared by signature, block by block, and what
-passes is confirmed too. No step lists the pairs of a group.
+component after that are compared by signature and by a larger sketch, block by
+block, and what passes is confirmed too. No step lists the pairs of a group.
 """
 
 from __future__ import annotations
@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, blocks, buffers, lower_ascii, mix, runs_combined, shared_dir, span_hashes, stored, windows_of_rows, word_spans
 
 CHUNKS, CHUNK_SIZE, ERRORS = 11, 6, 1
-#: Signature distance up to which a pair is confirmed on full sets: at similarity 0.8 the mean is 13.2 of 66, and a distance over 36 has a chance below 1e-10.
+#: Signature distance up to which a pair of a bucket is looked at: at similarity 0.8 the mean is 13.2 of 66, and a distance over 36 has a chance below 1e-10.
 MOST_APART = 36
+#: Bins of the sketch that decides which pairs of a crowded bucket are confirmed on full sets, and how many standard
+#: deviations (of its estimate for a pair at the threshold) a pair may be below it.
+SKETCH_BINS, SKETCH_DEVIATIONS = 1024, 5.5
 #: Rows of a bucket that one task compares at once.
 SALT_ROWS = 2000
 
@@ -88,8 +91,24 @@ def signatures(value: np.ndarray, off: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def sketches(value: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The least shingle of each of SKETCH_BINS bins as 4 bits, 0 for an empty bin. value: ascending in each row."""
+    out = np.zeros((len(off) - 1, SKETCH_BINS), np.uint8)
+    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    where = row * SKETCH_BINS + (value >> np.uint64(64 - (SKETCH_BINS - 1).bit_length())).astype(np.int64)
+    if len(where):
+        new = np.ones(len(where), bool)
+        new[1:] = where[1:] != where[:-1]
+        out.reshape(-1)[where[new]] = (value[new] % np.uint64(15)).astype(np.uint8) + 1
+    return out[:, ::2] << 4 | out[:, 1::2]
+
+
+def unpacked(sketch: np.ndarray) -> np.ndarray:
+    return np.concatenate([sketch >> 4, sketch & 15], 1)
+
+
 def describe(docs: DataFrame, words: int, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, signature (binary, 16 bits a component)."""
+    """doc_id, n_shingles, digest of the set, signature (binary, 16 bits a component), sketch (binary)."""
 
     def run(batches):
         for batch in batches:
@@ -99,14 +118,16 @@ def describe(docs: DataFrame, words: int, n: int) -> DataFrame:
                 value, at = shingle_rows(data[off[a] : off[b]], off[a : b + 1] - off[a], words)
                 sig = signatures(value, at, n)
                 digests = [hashlib.blake2b(value[at[i] : at[i + 1]].tobytes(), digest_size=16).digest() for i in range(b - a)]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(at), pa.int64()), pa.array(digests, pa.binary()), pa.array([row.tobytes() for row in sig], pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(at), pa.int64()), pa.array(digests, pa.binary()), pa.array([row.tobytes() for row in sig], pa.binary()), pa.array([row.tobytes() for row in sketches(value, at)], pa.binary())], names=["doc_id", "n_shingles", "digest", "signature", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary, sketch binary")
 
 
 def chunk_keys(classes: DataFrame, chunks: int, size: int, errors: int) -> DataFrame:
-    """key, id for every chunk and every choice of allowed errors."""
+    """key, id for every chunk and every choice of allowed errors. The low 8 bits of a key are the number of the choice."""
     kept = list(combinations(range(size), size - errors))
+    if chunks * len(kept) > 256:
+        raise ValueError("at most 256 keys a document")
 
     def run(batches):
         for batch in batches:
@@ -117,7 +138,7 @@ def chunk_keys(classes: DataFrame, chunks: int, size: int, errors: int) -> DataF
                 h = np.zeros((len(ids), chunks), np.uint64) + np.uint64(j + 1) + np.arange(chunks, dtype=np.uint64) * np.uint64(1009)
                 for k in which:
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k] + np.uint64(1))
-                keys[:, :, j] = h
+                keys[:, :, j] = h << np.uint64(8) | np.arange(chunks, dtype=np.uint64) * np.uint64(len(kept)) + np.uint64(j)
             width = chunks * len(kept)
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, width))], names=["key", "id"])
 
@@ -191,32 +212,55 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
-def cross_pairs(mixed: DataFrame, most_apart: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a bucket and are close by signature and by set size.
+def cross_pairs(mixed: DataFrame, most_apart: int, percent: int, chunks: int, size: int, errors: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in a bucket and are close by set size, signature and sketch.
 
-    mixed: key, id, root, n_shingles, signature, minor (not of the bucket's
-    largest component), salts (number of blocks of the bucket). Every row lies in
-    one block of its bucket; each minor row also visits all blocks as a query. A
-    task so holds SALT_ROWS rows or so of a bucket, and its minor rows.
+    mixed: key, id, root, n_shingles, signature, sketch, minor (not of the
+    bucket's largest component), salts (number of blocks of the bucket). Every row
+    lies in one block of its bucket; each minor row also visits all blocks as a
+    query. A task so holds SALT_ROWS rows or so of a bucket, and its minor rows.
+    Of all buckets that two documents share, only the first one by number of the
+    choice gives the pair.
     """
+    kept = [list(c) for c in combinations(range(size), size - errors)]
     rows = mixed.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).withColumn("query", F.lit(False))
     visits = mixed.filter("minor").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("query", F.lit(True))
-    names = ["key", "salt", "id", "root", "n_shingles", "signature", "query"]
+    names = ["key", "salt", "id", "root", "n_shingles", "signature", "sketch", "query"]
     both = rows.select(names).union(visits.select(names))
+    least = percent / 100
 
     def run(table: pa.Table) -> pa.Table:
-        ids, root, size = (table.column(c).to_numpy() for c in ("id", "root", "n_shingles"))
+        ids, root, n = (table.column(c).to_numpy() for c in ("id", "root", "n_shingles"))
+        chunk, choice = divmod(int(table.column("key")[0].as_py()) & 255, len(kept))
         query = table.column("query").to_numpy()
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
+        sketch = unpacked(np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1))
         here, asks = np.flatnonzero(~query), np.flatnonzero(query)
+        sig_here, sketch_here, root_here, n_here = sig[here], sketch[here], root[here], n[here]
         left, right = [], []
         for q in asks:
-            near = (root[here] != root[q]) & (100 * np.minimum(size[here], size[q]) >= percent * np.maximum(size[here], size[q]))
-            at = here[near]
-            at = at[(sig[at] != sig[q]).sum(1) <= most_apart]
-            left.append(np.minimum(ids[at], ids[q]))
-            right.append(np.maximum(ids[at], ids[q]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+            at = np.flatnonzero((root_here != root[q]) & (100 * np.minimum(n_here, n[q]) >= percent * np.maximum(n_here, n[q])))
+            if not len(at):
+                continue
+            same = sig_here[at] == sig[q]
+            near = sig.shape[1] - np.count_nonzero(same, 1) <= most_apart
+            same = same.reshape(len(at), chunks, size)
+            near &= (np.count_nonzero(same, 2) >= size - errors).argmax(1) == chunk
+            for j in range(choice):
+                near &= ~same[:, chunk, kept[j]].all(1)
+            at = at[near]
+            if not len(at):
+                continue
+            x, y = sketch_here[at], sketch[q]
+            full = (x | y) != 0
+            bins = np.count_nonzero(full, 1)
+            # the least of each bin is a sample, without replacement, of a union of this size
+            union = np.maximum((n_here[at] + n[q]) / (1 + least), bins)
+            slack = SKETCH_DEVIATIONS * np.sqrt(least * (1 - least) / bins * (1 - bins / union)) + 0.01
+            at = at[np.count_nonzero((x == y) & full, 1) >= (least - slack) * bins]
+            left.append(np.minimum(ids[here[at]], ids[q]))
+            right.append(np.maximum(ids[here[at]], ids[q]))
+        a, b = (np.concatenate(x) if left else np.zeros(0, np.int64) for x in (left, right))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return both.groupBy("key", "salt").applyInArrow(run, "a long, b long").distinct()
@@ -258,8 +302,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = mixed.select("key", "major", F.ceil(F.col("n") / SALT_ROWS).cast("long").alias("salts"))
-    mixed = rooted.join(mixed, "key").join(sizes, "id").withColumn("minor", F.col("root") != F.col("major"))
-    more = stored(cross_pairs(mixed, MOST_APART, percent))
+    sketched = described.select(F.col("doc_id").alias("id"), "digest", "sketch").join(classes, ["id", "digest"]).select("id", "n_shingles", "signature", "sketch")
+    mixed = rooted.join(mixed, "key").join(sketched, "id").withColumn("minor", F.col("root") != F.col("major"))
+    more = stored(cross_pairs(mixed, MOST_APART, percent, chunks, chunk_size, errors))
     second_edges = confirmed(more, texts, words, percent)
     final = components(first_edges.union(second_edges))
 
