@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read_table
+from .common import crc_mod, read_table
 from .decontaminate import report
 from .mixing import plan_mix
 from .near_dedup import near_duplicates
 from .quality_rules import BASE, V2, apply_policy, ledger, passes
 from .token_counts import token_counts
 from .token_files import token_files
+from .toxicity import toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +22,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) == 2, threshold=0.3)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), size=10)
 
@@ -48,6 +53,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_quality_rules": op7_quality_rules,
