@@ -10,6 +10,7 @@ from .common import crc_mod, read_table
 from .decontaminate import report
 from .mixing import plan_mix
 from .near_dedup import near_duplicates
+from .quality_model import quality
 from .quality_rules import BASE, V2, apply_policy, ledger, passes
 from .token_counts import token_counts
 from .token_files import token_files
@@ -26,6 +27,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) == 2, threshold=0.3)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0, threshold=0.3)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), size=10)
 
@@ -54,6 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_quality_rules": op7_quality_rules,
