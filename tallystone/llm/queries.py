@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .archives import archived_pages
 from .common import crc_mod, read_table
 from .decontaminate import report
+from .line_dedup import remove_repeated_chunks
 from .mixing import plan_mix
 from .near_dedup import near_duplicates
 from .quality_model import quality
@@ -27,6 +29,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) == 2, threshold=0.3)
 
 
+def op2_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(read_table(spark, sf_dir, "pages"), least_bytes=0).drop("url")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_chunks(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks")
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0, threshold=0.3)
 
@@ -59,6 +69,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_arc_to_warc": op2_arc_to_warc,
+        "op3_line_dedup": op3_line_dedup,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
