@@ -313,3 +313,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     linked = described.join(reached, "digest", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return linked.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """docs with one row for each doc_id (null ids stay): only ids that come more than once are grouped."""
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    again = stored(again)
+    return docs.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
