@@ -1,0 +1,15 @@
+"""Registered queries of the library."""
+
+from __future__ import annotations
+
+from tallystone.registry import ORACLES, QUERIES
+
+from . import series  # noqa: F401
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
