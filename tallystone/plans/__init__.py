@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallystone.registry import ORACLES, QUERIES
 
-from . import series  # noqa: F401
+from . import offers, series, stats  # noqa: F401
 
 
 def queries() -> dict:
