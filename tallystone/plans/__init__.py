@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallystone.registry import ORACLES, QUERIES
 
-from . import offers, scalars, series, stats  # noqa: F401
+from . import offers, scalars, series, stats, usage  # noqa: F401
 
 
 def queries() -> dict:
