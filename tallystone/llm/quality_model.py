@@ -25,7 +25,8 @@ EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 CELL, CHUNK, HOP = 32, 4, 3
 #: Documents a class in the training sample, and the longest text in it.
 PER_CLASS, MOST_BYTES = 1200, 1 << 14
-EPOCHS, BATCH = 12, 32
+#: Passes over the sample, or as many as make up the least number of steps.
+EPOCHS, BATCH, LEAST_STEPS = 12, 32, 600
 
 
 def new_model(seed: int = 7) -> dict[str, np.ndarray]:
@@ -166,6 +167,7 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, batch: int = BATC
     each = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean())).astype(np.float32)
     r = np.random.default_rng(seed)
     m, v, t = {k: np.zeros_like(x) for k, x in model.items()}, {k: np.zeros_like(x) for k, x in model.items()}, 0
+    epochs = max(epochs, -(-LEAST_STEPS // -(-len(rows) // batch)))
     steps = epochs * -(-len(rows) // batch)
     for _ in range(epochs):
         order = r.permutation(len(rows))
