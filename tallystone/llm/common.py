@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Jobs run inside hand Python this many rows at once at most, so that long texts stay small batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -171,3 +184,41 @@ def windows_of_rows(first: np.ndarray, k: int) -> np.ndarray:
     row_end = np.repeat(first[1:], np.diff(first))
     at = np.arange(total)
     return at[at + k <= row_end]
+
+
+#: Bits of a key filter: 4 MB, one false answer in 50 up to some four million keys.
+FILTER_BITS = 25
+_FILTER_HASHES = 4
+
+
+def _filter_positions(keys: np.ndarray, bits: int) -> np.ndarray:
+    k = keys.astype(np.int64).view(np.uint64)
+    return np.stack([mix(k * np.uint64(2 * j + 1) + np.uint64(j)) >> np.uint64(64 - bits) for j in range(_FILTER_HASHES)])
+
+
+def key_filter(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of a long column, of fixed size whatever the number of keys.
+
+    It only spares a shuffle: what passes it meets the keys themselves in a join.
+    The words of the filter are combined in Spark, so at most 2^bits / 64 rows
+    come to the driver.
+    """
+
+    def run(batches):
+        for batch in batches:
+            at = np.unique(_filter_positions(batch.column(0).to_numpy(), bits).reshape(-1))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            mask = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(mask.view(np.int64))], names=["word", "mask"])
+
+    got = keys.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros((1 << bits) >> 6, np.uint64)
+    out[got["word"].to_numpy()] = got["mask"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_have(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are not in the filter."""
+    bits = (len(filter_) << 6).bit_length() - 1
+    at = _filter_positions(keys, bits)
+    return ((filter_[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool).all(0)

@@ -1,69 +1,105 @@
 """Removal of repeated passages of lines by content-defined chunks.
 
-A rolling hash over the hashes of a line and the one before it ends a chunk
-where it is divisible by ``divisor``, so lines put in or taken out move only the
-boundaries next to them. A long line is a chunk of its own. Chunks of two lines
-or more, or of ``long_words`` words, that occur again anywhere in the corpus are
-removed everywhere but in their first place, after their bytes were compared.
+Lines that occur once anywhere cannot be part of a repeated passage, so they only
+delimit runs of lines that occur more often. Inside a run, a rolling hash over
+the hashes of a line and the one before it ends a chunk where it is divisible by
+``divisor``; the rule looks at neighbouring lines only, so lines put in or taken
+out move only the boundaries next to them, and a chunk has two lines or more. A
+long line is a chunk of its own. Chunks of two lines or more, or of
+``long_words`` words, that occur again anywhere in the corpus are removed
+everywhere but in their first place, after their bytes were compared. A short
+single line, such as a heading or a licence, stays.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, blocks, buffers, runs_combined, span_hashes, stored, word_spans
+from .common import NOT_SPACE, blocks, buffers, key_filter, may_have, runs_combined, span_hashes, stored, word_spans
 
 DIVISOR, LONG_WORDS = 3, 50
 
 
-def line_chunks(data: np.ndarray, off: np.ndarray, divisor: int, long_words: int):
-    """Rows' chunks: row, first line (within its row), lines, lines with words, words, first and end byte; and lines of each row."""
+def line_spans(data: np.ndarray, off: np.ndarray):
+    """Row, start, end and hash of each line, and lines before each row."""
     n = len(off) - 1
     breaks = np.flatnonzero(data == 0x0A)
     # a line starts at a row's start and after each line end; a row of k line ends has k + 1 lines
     start = np.sort(np.concatenate([off[:-1], breaks + 1]), kind="stable")
     lines = np.diff(np.searchsorted(breaks, off)) + 1
     first = np.concatenate([[0], np.cumsum(lines)])
-    row = np.repeat(np.arange(n), lines)
-    # rows without bytes start where their neighbours do; order by row
     end = np.empty(len(start), np.int64)
     end[:-1] = start[1:] - 1
-    last = first[1:] - 1
-    end[last] = off[1:]
+    end[first[1:] - 1] = off[1:]
     h = span_hashes(data, start, end) if len(data) else np.zeros(len(start), np.uint64)
+    return np.repeat(np.arange(n), lines), start, end, h, first
+
+
+def line_chunks(data: np.ndarray, off: np.ndarray, divisor: int, long_words: int, again):
+    """Chunks of rows: row, first line (within its row), lines, lines with words, words, first and end byte.
+
+    again: function from line hashes to booleans, false only for lines that occur once.
+    """
+    row, start, end, h, first = line_spans(data, off)
     word_start, _, _ = word_spans(data, off, NOT_SPACE)
     words = np.searchsorted(word_start, end) - np.searchsorted(word_start, start)
-    rolling = h.copy()
-    if len(h) > 1:
-        pair = runs_combined(h, 2)
-        inner = row[1:] == row[:-1]
-        rolling[1:][inner] = pair[inner]
-    ends = rolling % np.uint64(divisor) == 0
-    long = words >= long_words
-    ends |= long
-    ends[:-1] |= long[1:]
-    ends[last] = True
-    chunk_last = np.flatnonzero(ends)
+    m = len(h)
+    flag, long = again(h.view(np.int64)), words >= long_words
+    opens = np.ones(m, bool)  # first line of a run
+    opens[1:] = (row[1:] != row[:-1]) | (flag[1:] != flag[:-1]) | long[1:] | long[:-1]
+    closes = np.ones(m, bool)
+    closes[:-1] = opens[1:]
+    candidate = np.zeros(m, bool)
+    if m > 1:
+        candidate[1:] = (runs_combined(h, 2) % np.uint64(divisor) == 0) & ~opens[1:]
+    inner = candidate.copy()
+    inner[1:] &= ~candidate[:-1]  # of two candidates in a row the first counts
+    inner[:-1] &= ~closes[1:]  # two lines or more stay to the run's end
+    chunk_last = np.flatnonzero(inner | closes)
     chunk_first = np.concatenate([[0], chunk_last[:-1] + 1]) if len(chunk_last) else np.zeros(0, np.int64)
+    keep = flag[chunk_first]
+    chunk_first, chunk_last = chunk_first[keep], chunk_last[keep]
     with_words = np.concatenate([[0], np.cumsum(words > 0)])
     total = np.concatenate([[0], np.cumsum(words)])
-    return row[chunk_first], chunk_first - first[row[chunk_first]], chunk_last - chunk_first + 1, with_words[chunk_last + 1] - with_words[chunk_first], total[chunk_last + 1] - total[chunk_first], start[chunk_first], end[chunk_last], lines
+    return row[chunk_first], chunk_first - first[row[chunk_first]], chunk_last - chunk_first + 1, with_words[chunk_last + 1] - with_words[chunk_first], total[chunk_last + 1] - total[chunk_first], start[chunk_first], end[chunk_last]
+
+
+def line_hashes(docs: DataFrame) -> DataFrame:
+    """hash of every line. docs: doc_id, row, text."""
+
+    def run(batches):
+        for batch in batches:
+            data, off = buffers(batch.column(2))
+            for a, b in blocks(off):
+                _, start, end, h, _ = line_spans(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["hash"])
+
+    return docs.mapInArrow(run, "hash long")
 
 
-def chunk_rows(docs: DataFrame, divisor: int, long_words: int, with_bytes: bool) -> DataFrame:
-    """doc_id, row, first_line, n_lines, hash and, with_bytes, bytes of each chunk that may be removed. docs: doc_id, row, text."""
+def chunk_rows(docs: DataFrame, divisor: int, long_words: int, again, wanted=None) -> DataFrame:
+    """doc_id, row, first_line, n_lines, hash of each chunk that may be removed. docs: doc_id, row, text.
+
+    again: a broadcast filter of the hashes of lines that occur more than once.
+    wanted: a broadcast filter of hashes; then only chunks that pass it, with their bytes.
+    """
+    with_bytes = wanted is not None
 
     def run(batches):
         for batch in batches:
             data, off = buffers(batch.column(2))
             for a, b in blocks(off):
                 part = data[off[a] : off[b]]
-                row, first, lines, full, words, start, end, _ = line_chunks(part, off[a : b + 1] - off[a], divisor, long_words)
+                row, first, lines, full, words, start, end = line_chunks(part, off[a : b + 1] - off[a], divisor, long_words, lambda h: may_have(again.value, h))
                 keep = np.flatnonzero((full >= 2) | (words >= long_words))
                 h = span_hashes(part, start[keep], end[keep]).view(np.int64) if len(keep) else np.zeros(0, np.int64)
+                if with_bytes and len(keep):
+                    some = may_have(wanted.value, h)
+                    keep, h = keep[some], h[some]
                 at = pa.array(row[keep] + a)
                 columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(first[keep], pa.int64()), pa.array(lines[keep], pa.int64()), pa.array(h)]
                 if with_bytes:
@@ -84,16 +120,29 @@ def remove_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words:
     """
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_row": F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))})
     slim = keyed.select(F.col("_id").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    places = chunk_rows(slim, divisor, long_words, with_bytes=False)
-    repeated = places.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    found = stored(chunk_rows(slim, divisor, long_words, with_bytes=True).join(stored(repeated), "hash", "left_semi"))
+    share = docs.sparkSession.sparkContext.broadcast
+    more_than_once = lambda hashes: stored(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
+    # the filter alone marks the lines: a line that it lets through by mistake is marked wherever it stands
+    again = share(key_filter(more_than_once(line_hashes(slim))))
+    repeated = more_than_once(chunk_rows(slim, divisor, long_words, again))
+    # the filters keep the texts of other chunks and other documents out of the shuffles; the joins decide
+    found = stored(chunk_rows(slim, divisor, long_words, again, share(key_filter(repeated))).join(repeated, "hash", "left_semi"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "first_line")
     # grouping by the bytes compares them
     first = stored(found.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "bytes", "first"))
     removed = found.join(first, ["hash", "bytes"]).filter(~((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("row") == F.col("first.row")) & (F.col("first_line") == F.col("first.first_line"))))
     # at most the chunks of one document
-    cuts = stored(removed.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("first_line", "n_lines"))).alias("_cuts"))).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
-    out = keyed.join(cuts.withColumnRenamed("_id", "_id2").withColumnRenamed("_row", "_row2"), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_row") == F.col("_row2")), "left")
+    cuts = stored(removed.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("first_line", "n_lines"))).alias("_cuts")))
+    touched = share(key_filter(cuts.select("row")))
+
+    @F.pandas_udf("boolean")
+    def may_change(row: pd.Series) -> pd.Series:
+        return pd.Series(may_have(touched.value, row.to_numpy()))
+
+    flagged = keyed.withColumn("_may", may_change("_row"))
+    cuts = cuts.withColumnsRenamed({"doc_id": "_id2", "row": "_row2"})
+    met = flagged.filter("_may").join(cuts, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_row") == F.col("_row2")), "left")
+    out = met.unionByName(flagged.filter("not _may"), allowMissingColumns=True)
     lines = F.split(F.col("text").cast("string"), "\n")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cuts", lambda c: c["first_line"] + c["n_lines"]))
     begins = F.concat(F.transform("_cuts", lambda c: c["first_line"]), F.array(F.size(lines).cast("long")))

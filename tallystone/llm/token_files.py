@@ -17,6 +17,7 @@ what select returns.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import zlib
@@ -27,11 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import batch_rows, shared_dir, stored
 from .elias_fano import Offsets, encode
 
 BLOCK_IDS = 1 << 19
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
+#: Marks that a word is looked up without. None of them starts a contraction.
+_MARKS = ".,;:!?$%&#*|()"
 FOOTER_BYTES = 28
 _HEAD = struct.Struct("<4s8IQ")
 
@@ -52,32 +55,117 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # equal pieces never reach it twice
         with open(path) as f:
             spec = json.load(f)
         kind = spec.get("pre_tokenizer") or {}
         self.cut = spec.get("normalizer") is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
+        self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
+        vocabulary = self.tokenizer.get_vocab()
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a character of a byte-level token is a byte
+            self.bytes_of[i] = len(token.encode()) if token in special else len(token)
+        # the printable stand-in for each byte in a byte-level vocabulary
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.stand_in = {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
+        self.space = self.stand_in[0x20]
+        self.marks: dict[str, bytes] = {}
+        self.line_end = self.whole(["\n"])[0]
         self._clear()
 
     def _clear(self) -> None:
-        self.seen, self.ids = _Numbered(), []
+        self.seen, self.ids, self.used = _Numbered(), [], np.zeros(0, np.int64)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that start and end a cut: they are encoded as one text, and told apart by the bytes of their tokens.
+
+        A piece without a leading space goes after a line end.
+        """
+        texts = [p if p[0] == " " else "\n" + p for p in pieces]
+        out: list[bytes] = []
+        for a in range(0, len(texts), 2000):
+            part = texts[a : a + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            token_ends = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum([len(p.encode()) for p in part])
+            last = np.searchsorted(token_ends, ends) + 1
+            if not np.array_equal(token_ends[last - 1], ends):
+                raise ValueError("a token reaches across a cut")
+            first = np.concatenate([[0], last[:-1]]) + np.array([p[0] == "\n" for p in part])
+            raw, w = ids.tobytes(), self.width
+            out.extend(raw[x * w : y * w] for x, y in zip(first.tolist(), last.tolist()))
+        return out
+
+    def word(self, piece: str) -> bytes:
+        """Ids of letters with or without a leading space: one pre-token, so the library's model alone decides."""
+        shown = piece.replace(" ", self.space) if piece.isascii() else piece.encode().decode("latin-1").translate(self.stand_in)
+        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def learn(self, had: int) -> None:
+        """Ids of the pieces seen since there were ``had`` of them; None for one with white space at a cut.
+
+        Letters followed by punctuation are two pre-tokens, so a word is encoded
+        once for all the marks that follow it.
+        """
+        seen, ids = self.seen, self.ids
+        ask, plain, stems = [], [], []
+
+        def sort(i: int, p: str) -> None:
+            if (p[1:] if p[:1] == " " else p).isalpha():
+                ids[i] = self.word(p)
+            elif p == "\n":
+                ids[i] = self.line_end
+            elif p.strip() and not p[-1].isspace() and not p[p[0] == " "].isspace():
+                stem = p.rstrip(_MARKS)
+                if len(stem) < len(p) and stem[-1:].isalpha():
+                    stems.append((i, seen[stem], p[len(stem) :]))
+                else:
+                    ask.append(i)
+                    plain.append(p)
+
+        while had < len(seen.new):  # looking up the stems may add some
+            new = seen.new[had:]
+            ids.extend([None] * len(new))
+            for i, p in enumerate(new, had):
+                sort(i, p)
+            had += len(new)
+        for i, x in zip(ask, self.joined(plain)):
+            ids[i] = x
+        for i, stem, marks in stems:
+            if marks not in self.marks:
+                self.marks[marks] = self.whole([marks])[0]
+            ids[i] = None if ids[stem] is None else ids[stem] + self.marks[marks]
+
+    def forget(self) -> None:
+        """Keeps the pieces that were used again, half a dictionary at most."""
+        used = np.argsort(-self.used, kind="stable")[: CACHE_ENTRIES // 2]
+        used = used[self.used[used] > 1].tolist()
+        pieces, ids = self.seen.new, self.ids
+        self._clear()
+        for i in used:
+            self.seen[pieces[i]]
+            self.ids.append(ids[i])
+        self.used = np.zeros(len(self.ids), np.int64)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cut:
             return self.whole(texts)
         if len(self.ids) > CACHE_ENTRIES:
-            self._clear()
+            self.forget()
         seen, had = self.seen, len(self.ids)
         rows = [None if "\0" in t else list(map(seen.__getitem__, t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0"))) for t in texts]
-        new = seen.new[had:]
-        self.ids.extend(self.whole(new))
-        for i, piece in enumerate(new, had):
-            if piece != "\n" and (not piece.strip() or piece[-1].isspace() or piece[piece[0] == " "].isspace()):
-                self.ids[i] = None  # white space at a cut
+        self.learn(had)
+        index = np.fromiter(itertools.chain.from_iterable(r for r in rows if r), np.int64)
+        used = np.bincount(index, minlength=len(self.ids))
+        used[: len(self.used)] += self.used
+        self.used = used
         out, odd = [], []
         for i, row in enumerate(rows):
             try:
@@ -163,7 +251,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
     # the hash spreads rows that repeat a doc_id with other texts
     order = ["doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
+    with batch_rows(docs.sparkSession, 1000):
+        rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
