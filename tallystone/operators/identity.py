@@ -13,6 +13,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tallystone.functions.text import digest, fold, normalize_gtin, quantity, screen_inches, tokens
 
@@ -39,7 +40,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching blocks of two texts as difflib counts them: not an edit distance, so no built-in function has it."""
     from difflib import SequenceMatcher

@@ -140,7 +140,7 @@ def html_links(spark, sf_dir):
 
 
 @query("""WITH u AS (SELECT page_id, url, regexp_replace(regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)?', 1), '', '') AS path FROM pages)
-SELECT page_id, 'category' AS kind, regexp_replace(path, '^/|/$', '') AS value, CASE WHEN regexp_matches(lower(url), 'oferta|offer|deal|sale|categor|collection') THEN 14400 ELSE 172800 END AS seconds FROM u""")
+SELECT page_id, 'category' AS kind, regexp_replace(path, '^/|/$', '', 'g') AS value, CASE WHEN regexp_matches(lower(url), 'oferta|offer|deal|sale|categor|collection') THEN 14400 ELSE 172800 END AS seconds FROM u""")
 def url_targets(spark, sf_dir):
     t = L.target(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", t["kind"].alias("kind"), t["value"].alias("value"), L.visit_seconds(F.col("url")).alias("seconds"))

@@ -76,9 +76,9 @@ def merged_search_logs(spark, sf_dir):
     return U.merged_logs(h.filter("visitor % 2 = 1"), h.filter("visitor % 2 = 0 and ts >= '2024-01-10'")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {OFF} SELECT store, product_id, price, price_normal FROM off WHERE price > 0 AND lower(category) LIKE '%steel%' AND price BETWEEN 1000 AND 60000 AND price < price_normal ORDER BY (price_normal - price) / price_normal DESC, store, product_id LIMIT 24 OFFSET 24")
+@query(f"WITH {OFF} SELECT store, product_id, price, price_normal FROM off WHERE price > 0 AND lower(category) LIKE '%promo%' AND price BETWEEN 1000 AND 60000 AND price < price_normal ORDER BY (price_normal - price) / price_normal DESC, store, product_id LIMIT 24 OFFSET 24")
 def browse_page(spark, sf_dir):
-    o = offers(spark, sf_dir).filter(fold(F.col("category")).contains("steel"))
+    o = offers(spark, sf_dir).filter(fold(F.col("category")).contains("promo"))
     return C.browse(o, low=1000, high=60000, discounted=True, sort="discount", page=2, size=24).select(*KEY, "price", "price_normal")
 
 
@@ -98,12 +98,12 @@ def latest_per_group(spark, sf_dir):
     return C.latest(hits(spark, sf_dir), ["event_type", "visitor"], [F.col("ts").desc(), F.col("event_id").desc()]).select("event_type", "visitor", "event_id")
 
 
-@query(f"WITH {OFF} SELECT store, category, product_id, row_number() OVER (PARTITION BY store, category ORDER BY price, product_id) AS place FROM off QUALIFY place <= 3")
+@query(f"WITH {OFF} SELECT store, category, product_id, row_number() OVER (PARTITION BY store, category ORDER BY price, product_id)::INT AS place FROM off QUALIFY place <= 3")
 def store_quota(spark, sf_dir):
     return C.quota(offers(spark, sf_dir), ["store", "category"], [F.col("price"), F.col("product_id")], 3).select("store", "category", "product_id", "place")
 
 
-@query("""SELECT p_partkey AS id, p_brand AS origin, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS turn, min(p_partkey) OVER (PARTITION BY p_brand) AS first_seen FROM part""")
+@query("""SELECT p_partkey AS id, p_brand AS origin, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey)::INT AS turn, min(p_partkey) OVER (PARTITION BY p_brand) AS first_seen FROM part""")
 def interleaved_origins(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("origin"), F.col("p_partkey").alias("position"))
     return C.interleaved(p, "origin", [F.col("position")]).select("id", "origin", "turn", "first_seen")

@@ -37,9 +37,9 @@ def json_listing(payloads: DataFrame, platform: str) -> DataFrame:
         v = F.get(p["variants"], F.lit(0))
         columns = dict(product_id=p["id"], sku_id=v["sku"], name=p["title"], brand=p["vendor"], category=p["product_type"], price=money(v["price"]), price_normal=money(v["compare_at_price"]), stock=F.when(v["available"] == F.lit(False), 0), url=p["handle"])
     elif platform == "woocommerce":
-        unit = F.pow(F.lit(10), F.coalesce(p["prices.currency_minor_unit"], F.lit(0)))
+        unit = F.pow(F.lit(10), F.coalesce(p["prices"]["currency_minor_unit"], F.lit(0)))
         amount = lambda c: F.floor(c.try_cast("double") / unit)
-        columns = dict(product_id=p["id"], sku_id=p["sku"], name=p["name"], price=amount(p["prices.price"]), price_normal=amount(p["prices.regular_price"]), stock=F.when(p["is_in_stock"] == F.lit(False), 0), url=p["permalink"])
+        columns = dict(product_id=p["id"], sku_id=p["sku"], name=p["name"], price=amount(p["prices"]["price"]), price_normal=amount(p["prices"]["regular_price"]), stock=F.when(p["is_in_stock"] == F.lit(False), 0), url=p["permalink"])
     else:
         price = prices_by_type(p["prices"])
         columns = dict(product_id=p["productId"], name=p["displayName"], brand=p["brand"], price=price["current"], price_normal=price["list"], price_card=price["card"], url=p["url"])
