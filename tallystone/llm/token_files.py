@@ -32,7 +32,8 @@ from .common import batch_rows, shared_dir, stored
 from .elias_fano import Offsets, encode
 
 BLOCK_IDS = 1 << 19
-CACHE_ENTRIES = 300_000
+#: Pieces whose ids a task remembers; they take some 250 bytes each.
+CACHE_ENTRIES = 400_000
 #: Marks that a word is looked up without. None of them starts a contraction.
 _MARKS = ".,;:!?$%&#*|()"
 FOOTER_BYTES = 28
@@ -74,6 +75,8 @@ class Encoder:
         self.space = self.stand_in[0x20]
         self.marks: dict[str, bytes] = {}
         self.line_end = self.whole(["\n"])[0]
+        self.model = self.tokenizer.model.tokenize
+        self.packs: dict[int, struct.Struct] = {}
         self._clear()
 
     def _clear(self) -> None:
@@ -105,8 +108,9 @@ class Encoder:
     def word(self, piece: str) -> bytes:
         """Ids of letters with or without a leading space: one pre-token, so the library's model alone decides."""
         shown = piece.replace(" ", self.space) if piece.isascii() else piece.encode().decode("latin-1").translate(self.stand_in)
-        ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        ids = [t.id for t in self.model(shown)]
+        pack = self.packs.get(len(ids)) or self.packs.setdefault(len(ids), struct.Struct(f"<{len(ids)}{self.code}"))
+        return pack.pack(*ids)
 
     def learn(self, had: int) -> None:
         """Ids of the pieces seen since there were ``had`` of them; None for one with white space at a cut.
@@ -117,24 +121,21 @@ class Encoder:
         seen, ids = self.seen, self.ids
         ask, plain, stems = [], [], []
 
-        def sort(i: int, p: str) -> None:
-            if (p[1:] if p[:1] == " " else p).isalpha():
-                ids[i] = self.word(p)
-            elif p == "\n":
-                ids[i] = self.line_end
-            elif p.strip() and not p[-1].isspace() and not p[p[0] == " "].isspace():
-                stem = p.rstrip(_MARKS)
-                if len(stem) < len(p) and stem[-1:].isalpha():
-                    stems.append((i, seen[stem], p[len(stem) :]))
-                else:
-                    ask.append(i)
-                    plain.append(p)
-
         while had < len(seen.new):  # looking up the stems may add some
             new = seen.new[had:]
             ids.extend([None] * len(new))
             for i, p in enumerate(new, had):
-                sort(i, p)
+                if (p[1:] if p[:1] == " " else p).isalpha():
+                    ids[i] = self.word(p)
+                elif p == "\n":
+                    ids[i] = self.line_end
+                elif p.strip() and not p[-1].isspace() and not p[p[0] == " "].isspace():
+                    stem = p.rstrip(_MARKS)
+                    if len(stem) < len(p) and stem[-1:].isalpha():
+                        stems.append((i, seen[stem], p[len(stem) :]))
+                    else:
+                        ask.append(i)
+                        plain.append(p)
             had += len(new)
         for i, x in zip(ask, self.joined(plain)):
             ids[i] = x
@@ -269,7 +270,9 @@ def read_token_files(spark, path: str) -> DataFrame:
             for content, base in zip(batch.column(0), batch.column(1).to_pylist()):
                 for keys, offsets, ids, before in read_blocks(content.as_py()):
                     ends = offsets.select(np.arange(len(keys) + 1))
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+                    wide = memoryview(ids.astype("<u4").view(np.uint8))
+                    at = (4 * ends).tolist()
+                    crc = [zlib.crc32(wide[a:b]) for a, b in zip(at, at[1:])]
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ends[:-1] + base + before, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     based = files.select("content", number(-FOOTER_BYTES - 1 + 4).alias("file")).join(bases, "file").select("content", "base")
