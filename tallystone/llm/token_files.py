@@ -17,6 +17,7 @@ what select returns.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import struct
@@ -158,6 +159,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cut:
             return self.whole(texts)
+        gc.disable()  # the many small lists and words below are in no cycles, so looking for some is for nothing
+        try:
+            return self._by_piece(texts)
+        finally:
+            gc.enable()
+
+    def _by_piece(self, texts: list[str]) -> list[bytes]:
         if len(self.ids) > CACHE_ENTRIES:
             self.forget()
         seen, had = self.seen, len(self.ids)
