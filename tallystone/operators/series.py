@@ -181,6 +181,11 @@ def bucket_medians(points: DataFrame, key: list[str], seconds: int) -> DataFrame
 def slope_projection(points: DataFrame, key: list[str], order: list[str], horizon: int, floor: int = 1) -> DataFrame:
     """key, step, price: last price plus the least-squares slope per observation, no less than floor."""
     rows = points.withColumn("_i", F.row_number().over(ordered(key, order)))
-    fit = rows.groupBy(*key).agg(F.regr_slope("price", F.col("_i").cast("double")).alias("_s"), F.max_by("price", "_i").alias("_p"), F.count("*").alias("_n")).filter("_n >= 2")
+    whole = lambda c: c.cast("decimal(18,0)")
+    x, y = whole(F.col("_i")), whole(F.col("price"))
+    sums = rows.groupBy(*key).agg(F.max_by("price", "_i").alias("_p"), whole(F.count("*")).alias("_n"), F.sum(x).alias("_x"), F.sum(y).alias("_y"), F.sum(x * y).alias("_xy"), F.sum(x * x).alias("_xx")).filter("_n >= 2")
+    fit = sums.select(*key, "_p", (F.col("_n") * F.col("_xy") - F.col("_x") * F.col("_y")).alias("_rise"), (F.col("_n") * F.col("_xx") - F.col("_x") * F.col("_x")).alias("_run"))
     steps = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    return steps.select(*key, "step", F.round(F.greatest(F.lit(floor).cast("double"), F.col("_p") + F.col("_s") * F.col("step")), 2).alias("price"))
+    # in whole numbers, so that a half cent rounds up whatever the order of the sums
+    cents = F.expr("cast((200 * (_p * _run + _rise * step) + _run) div (2 * _run) as long)")
+    return steps.select(*key, "step", (F.greatest(F.lit(100 * floor).cast("long"), cents).cast("double") / 100).alias("price"))

@@ -138,7 +138,7 @@ def bucket_relative_median(spark, sf_dir):
     return S.bucket_medians(points(spark, sf_dir), KEY, 30 * 86400)
 
 
-@query(f"""WITH {SER}, i AS (SELECT *, row_number() OVER w AS i FROM ser {WIN}), f AS (SELECT store, product_id, regr_slope(price, i) AS s, arg_max(price, i) AS p FROM i GROUP BY ALL HAVING count(*) >= 2)
-SELECT store, product_id, step::INT AS step, round(greatest(1.0::DOUBLE, p + s * step), 2) AS price FROM f, unnest(generate_series(1, 3)) t(step)""")
+@query(f"""WITH {SER}, i AS (SELECT *, row_number() OVER w AS i FROM ser {WIN}), f AS (SELECT store, product_id, arg_max(price, i)::HUGEINT AS p, count(*) * sum(i * price)::HUGEINT - sum(i)::HUGEINT * sum(price)::HUGEINT AS rise, count(*) * sum(i * i)::HUGEINT - sum(i)::HUGEINT * sum(i)::HUGEINT AS run FROM i GROUP BY ALL HAVING count(*) >= 2)
+SELECT store, product_id, step::INT AS step, greatest(100, (200 * (p * run + rise * step) + run) // (2 * run))::DOUBLE / 100 AS price FROM f, unnest(generate_series(1, 3)) t(step)""")
 def event_slope_projection(spark, sf_dir):
     return S.slope_projection(points(spark, sf_dir), KEY, ORDER, 3)
