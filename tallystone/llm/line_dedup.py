@@ -16,7 +16,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, blocks, buffers, key_filter, may_have, runs_combined, span_hashes, stored, word_spans
@@ -24,25 +25,29 @@ from .common import NOT_SPACE, blocks, buffers, key_filter, may_have, runs_combi
 DIVISOR, LONG_WORDS = 3, 50
 
 
+def lines_before(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Lines before each row, and the total; a row of k line ends has k + 1 lines."""
+    return np.concatenate([[0], np.cumsum(np.diff(np.searchsorted(np.flatnonzero(data == 0x0A), off)) + 1)])
+
+
 def line_spans(data: np.ndarray, off: np.ndarray):
     """Row, start, end and hash of each line, and lines before each row."""
     n = len(off) - 1
     breaks = np.flatnonzero(data == 0x0A)
-    # a line starts at a row's start and after each line end; a row of k line ends has k + 1 lines
+    # a line starts at a row's start and after each line end
     start = np.sort(np.concatenate([off[:-1], breaks + 1]), kind="stable")
-    lines = np.diff(np.searchsorted(breaks, off)) + 1
-    first = np.concatenate([[0], np.cumsum(lines)])
+    first = lines_before(data, off)
     end = np.empty(len(start), np.int64)
     end[:-1] = start[1:] - 1
     end[first[1:] - 1] = off[1:]
     h = span_hashes(data, start, end) if len(data) else np.zeros(len(start), np.uint64)
-    return np.repeat(np.arange(n), lines), start, end, h, first
+    return np.repeat(np.arange(n), np.diff(first)), start, end, h, first
 
 
 def line_chunks(data: np.ndarray, off: np.ndarray, divisor: int, long_words: int, again):
     """Chunks of rows: row, first line (within its row), lines, lines with words, words, first and end byte.
 
-    again: function from line hashes to booleans, false only for lines that occur once.
+    again: function from the hashes of all lines to booleans, true for lines that occur more than once.
     """
     row, start, end, h, first = line_spans(data, off)
     word_start, _, _ = word_spans(data, off, NOT_SPACE)
@@ -81,10 +86,38 @@ def line_hashes(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "hash long")
 
 
-def chunk_rows(docs: DataFrame, divisor: int, long_words: int, again, wanted=None) -> DataFrame:
-    """doc_id, row, first_line, n_lines, hash of each chunk that may be removed. docs: doc_id, row, text.
+def passing_lines(docs: DataFrame, filter_) -> DataFrame:
+    """doc_id, row, line, hash of the lines that pass a broadcast filter of hashes. docs: doc_id, row, text."""
+
+    def run(batches):
+        for batch in batches:
+            data, off = buffers(batch.column(2))
+            for a, b in blocks(off):
+                row, _, _, h, first = line_spans(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                some = np.flatnonzero(may_have(filter_.value, h))
+                at = pa.array(row[some] + a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((some - first[row[some]]).astype(np.int32)), pa.array(h[some].view(np.int64))], names=["doc_id", "row", "line", "hash"])
+
+    return docs.mapInArrow(run, "doc_id long, row long, line int, hash long")
+
+
+def same_place(a: str, b: str) -> Column:
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.row") == F.col(f"{b}.row"))
+
+
+def marked_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, row, text, lines of rows with lines that occur more than once; lines: their numbers within the row."""
+    repeated = stored(line_hashes(docs).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
+    # the filter keeps most other lines out of the shuffle; the join decides
+    passing = passing_lines(docs, docs.sparkSession.sparkContext.broadcast(key_filter(repeated)))
+    # at most the lines of one document
+    marks = passing.join(repeated, "hash", "left_semi").groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))
+    return stored(docs.alias("d").join(marks.alias("m"), same_place("d", "m")).select("d.doc_id", "d.row", "d.text", "m.lines"))
+
+
+def chunk_rows(docs: DataFrame, divisor: int, long_words: int, wanted=None) -> DataFrame:
+    """doc_id, row, first_line, n_lines, hash of each chunk that may be removed. docs: as marked_lines gives them.
 
-    again: a broadcast filter of the hashes of lines that occur more than once.
     wanted: a broadcast filter of hashes; then only chunks that pass it, with their bytes.
     """
     with_bytes = wanted is not None
@@ -93,8 +126,11 @@ def chunk_rows(docs: DataFrame, divisor: int, long_words: int, again, wanted=Non
         for batch in batches:
             data, off = buffers(batch.column(2))
             for a, b in blocks(off):
-                part = data[off[a] : off[b]]
-                row, first, lines, full, words, start, end = line_chunks(part, off[a : b + 1] - off[a], divisor, long_words, lambda h: may_have(again.value, h))
+                part, at = data[off[a] : off[b]], off[a : b + 1] - off[a]
+                before, marks = lines_before(part, at), batch.column(3).slice(a, b - a)
+                again = np.zeros(before[-1], bool)
+                again[before[pc.list_parent_indices(marks).to_numpy()] + pc.list_flatten(marks).to_numpy()] = True
+                row, first, lines, full, words, start, end = line_chunks(part, at, divisor, long_words, lambda h: again)
                 keep = np.flatnonzero((full >= 2) | (words >= long_words))
                 h = span_hashes(part, start[keep], end[keep]).view(np.int64) if len(keep) else np.zeros(0, np.int64)
                 if with_bytes and len(keep):
@@ -122,11 +158,10 @@ def remove_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words:
     slim = keyed.select(F.col("_id").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text")).filter("text is not null")
     share = docs.sparkSession.sparkContext.broadcast
     more_than_once = lambda hashes: stored(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
-    # the filter alone marks the lines: a line that it lets through by mistake is marked wherever it stands
-    again = share(key_filter(more_than_once(line_hashes(slim))))
-    repeated = more_than_once(chunk_rows(slim, divisor, long_words, again))
+    marked = marked_lines(slim)
+    repeated = more_than_once(chunk_rows(marked, divisor, long_words))
     # the filters keep the texts of other chunks and other documents out of the shuffles; the joins decide
-    found = stored(chunk_rows(slim, divisor, long_words, again, share(key_filter(repeated))).join(repeated, "hash", "left_semi"))
+    found = stored(chunk_rows(marked, divisor, long_words, share(key_filter(repeated))).join(repeated, "hash", "left_semi"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "first_line")
     # grouping by the bytes compares them
     first = stored(found.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "bytes", "first"))

@@ -224,6 +224,16 @@ def test_repeated_chunks_leave_all_but_their_first_place(spark, docs):
     assert line_dedup.remove_repeated_chunks(d.limit(0)).count() == 0
 
 
+def test_a_full_line_filter_changes_no_result(spark, monkeypatch):
+    # a unique line that the filter lets through by mistake stands before a passage of short lines
+    passage = "\n".join(invented(900 + i, 12) for i in range(3))
+    d = spark.createDataFrame([(i, invented(i, 30) + "\n" + passage + "\n" + invented(50 + i, 9), "en", "s", 0) for i in range(8)], SCHEMA)
+    monkeypatch.setattr(line_dedup, "key_filter", lambda keys: np.full(1 << 6, ~np.uint64(0)))
+    got = {r.doc_id: r for r in line_dedup.remove_repeated_chunks(d).collect()}
+    assert got[0].n_removed_lines == 0
+    assert all(got[i].text == invented(i, 30) + "\n" + invented(50 + i, 9) for i in range(1, 8))
+
+
 def test_chunk_boundaries_resist_shifts():
     lines = [invented(i, 5) for i in range(200)]
 
