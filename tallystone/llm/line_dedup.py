@@ -9,6 +9,12 @@ long line is a chunk of its own. Chunks of two lines or more, or of
 ``long_words`` words, that occur again anywhere in the corpus are removed
 everywhere but in their first place, after their bytes were compared. A short
 single line, such as a heading or a licence, stays.
+
+In a copied document, or next to a blank line, every line occurs more often and a
+run says nothing of the passages inside it. Each pair of adjacent lines therefore
+counts the rows that hold it; a passage is also cut out where such a count falls,
+without wordless lines at its ends, and is a chunk besides those of the runs. A
+passage that occurs again only in copies of its own document does not stand out.
 """
 
 from __future__ import annotations
@@ -44,14 +50,45 @@ def line_spans(data: np.ndarray, off: np.ndarray):
     return np.repeat(np.arange(n), np.diff(first)), start, end, h, first
 
 
+def worded_lines(data: np.ndarray, off: np.ndarray):
+    """As line_spans, and the words of each line."""
+    row, start, end, h, first = line_spans(data, off)
+    word_start, _, _ = word_spans(data, off, NOT_SPACE)
+    return row, start, end, h, first, np.searchsorted(word_start, end) - np.searchsorted(word_start, start)
+
+
+def described(lines, chunk_first: np.ndarray, chunk_last: np.ndarray):
+    row, start, end, _, first, words = lines
+    with_words = np.concatenate([[0], np.cumsum(words > 0)])
+    total = np.concatenate([[0], np.cumsum(words)])
+    return row[chunk_first], chunk_first - first[row[chunk_first]], chunk_last - chunk_first + 1, with_words[chunk_last + 1] - with_words[chunk_first], total[chunk_last + 1] - total[chunk_first], start[chunk_first], end[chunk_last]
+
+
+def line_passages(lines, together: np.ndarray):
+    """Passages of two lines with words or more, described as line_chunks does.
+
+    together: for each line, the rows that hold it and the next one of its row as neighbours; below 2 means no others.
+    """
+    left, right = np.concatenate([[0], together[:-1]]), np.concatenate([together[1:], [0]])
+    joined = (together >= 2) & (together >= left) & (together >= right)
+    opens = np.flatnonzero(~np.concatenate([[False], joined[:-1]]))
+    closes = np.concatenate([opens[1:], [len(together)]])
+    worded = np.flatnonzero(lines[5] > 0)
+    low, high = np.searchsorted(worded, opens), np.searchsorted(worded, closes) - 1
+    some = high > low
+    return described(lines, worded[low[some]], worded[high[some]])
+
+
 def line_chunks(data: np.ndarray, off: np.ndarray, divisor: int, long_words: int, again):
     """Chunks of rows: row, first line (within its row), lines, lines with words, words, first and end byte.
 
     again: function from the hashes of all lines to booleans, true for lines that occur more than once.
     """
-    row, start, end, h, first = line_spans(data, off)
-    word_start, _, _ = word_spans(data, off, NOT_SPACE)
-    words = np.searchsorted(word_start, end) - np.searchsorted(word_start, start)
+    return run_chunks(worded_lines(data, off), divisor, long_words, again)
+
+
+def run_chunks(lines, divisor: int, long_words: int, again):
+    row, _, _, h, _, words = lines
     m = len(h)
     flag, long = again(h.view(np.int64)), words >= long_words
     opens = np.ones(m, bool)  # first line of a run
@@ -67,10 +104,7 @@ def line_chunks(data: np.ndarray, off: np.ndarray, divisor: int, long_words: int
     chunk_last = np.flatnonzero(inner | closes)
     chunk_first = np.concatenate([[0], chunk_last[:-1] + 1]) if len(chunk_last) else np.zeros(0, np.int64)
     keep = flag[chunk_first]
-    chunk_first, chunk_last = chunk_first[keep], chunk_last[keep]
-    with_words = np.concatenate([[0], np.cumsum(words > 0)])
-    total = np.concatenate([[0], np.cumsum(words)])
-    return row[chunk_first], chunk_first - first[row[chunk_first]], chunk_last - chunk_first + 1, with_words[chunk_last + 1] - with_words[chunk_first], total[chunk_last + 1] - total[chunk_first], start[chunk_first], end[chunk_last]
+    return described(lines, chunk_first[keep], chunk_last[keep])
 
 
 def line_hashes(docs: DataFrame) -> DataFrame:
@@ -87,18 +121,29 @@ def line_hashes(docs: DataFrame) -> DataFrame:
 
 
 def passing_lines(docs: DataFrame, filter_) -> DataFrame:
-    """doc_id, row, line, hash of the lines that pass a broadcast filter of hashes. docs: doc_id, row, text."""
+    """doc_id, row, line, hash, pair, new of the lines that pass a broadcast filter of hashes. docs: doc_id, row, text.
+
+    pair: the hash is that of the line and the next one, which passes too; new: the row has not had the hash yet.
+    """
 
     def run(batches):
         for batch in batches:
             data, off = buffers(batch.column(2))
             for a, b in blocks(off):
                 row, _, _, h, first = line_spans(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                some = np.flatnonzero(may_have(filter_.value, h))
+                passes = may_have(filter_.value, h)
+                one, two = np.flatnonzero(passes), np.flatnonzero(passes[:-1] & passes[1:] & (row[:-1] == row[1:]))
+                some, pair = np.concatenate([one, two]), np.repeat([False, True], [len(one), len(two)])
+                keys = np.concatenate([h[one], runs_combined(h, 2)[two]])
+                order = np.lexsort((keys, row[some], pair))
+                new = np.ones(len(some), bool)
+                if len(some) > 1:
+                    x, y = order[:-1], order[1:]
+                    new[y] = (keys[x] != keys[y]) | (row[some[x]] != row[some[y]]) | (pair[x] != pair[y])
                 at = pa.array(row[some] + a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((some - first[row[some]]).astype(np.int32)), pa.array(h[some].view(np.int64))], names=["doc_id", "row", "line", "hash"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array((some - first[row[some]]).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(pair), pa.array(new)], names=["doc_id", "row", "line", "hash", "pair", "new"])
 
-    return docs.mapInArrow(run, "doc_id long, row long, line int, hash long")
+    return docs.mapInArrow(run, "doc_id long, row long, line int, hash long, pair boolean, new boolean")
 
 
 def same_place(a: str, b: str) -> Column:
@@ -106,13 +151,18 @@ def same_place(a: str, b: str) -> Column:
 
 
 def marked_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, row, text, lines of rows with lines that occur more than once; lines: their numbers within the row."""
+    """doc_id, row, text, lines, pairs of rows with lines that occur more than once.
+
+    lines: their numbers within the row; pairs: line, n for lines that n rows, two or more, hold next to the following one.
+    """
     repeated = stored(line_hashes(docs).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
     # the filter keeps most other lines out of the shuffle; the join decides
-    passing = passing_lines(docs, docs.sparkSession.sparkContext.broadcast(key_filter(repeated)))
+    passing = stored(passing_lines(docs, docs.sparkSession.sparkContext.broadcast(key_filter(repeated))))
+    pairs = passing.filter("pair and new").groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash", F.lit(True).alias("pair"), "n")
+    known = stored(repeated.select("hash", F.lit(False).alias("pair"), F.lit(0).cast("long").alias("n")).union(pairs))
     # at most the lines of one document
-    marks = passing.join(repeated, "hash", "left_semi").groupBy("doc_id", "row").agg(F.collect_set("line").alias("lines"))
-    return stored(docs.alias("d").join(marks.alias("m"), same_place("d", "m")).select("d.doc_id", "d.row", "d.text", "m.lines"))
+    marks = passing.join(known, ["hash", "pair"]).groupBy("doc_id", "row").agg(F.collect_set(F.when(~F.col("pair"), F.col("line"))).alias("lines"), F.collect_set(F.when(F.col("pair"), F.struct("line", "n"))).alias("pairs"))
+    return stored(docs.alias("d").join(marks.alias("m"), same_place("d", "m")).select("d.doc_id", "d.row", "d.text", "m.lines", "m.pairs"))
 
 
 def chunk_rows(docs: DataFrame, divisor: int, long_words: int, wanted=None) -> DataFrame:
@@ -130,7 +180,13 @@ def chunk_rows(docs: DataFrame, divisor: int, long_words: int, wanted=None) -> D
                 before, marks = lines_before(part, at), batch.column(3).slice(a, b - a)
                 again = np.zeros(before[-1], bool)
                 again[before[pc.list_parent_indices(marks).to_numpy()] + pc.list_flatten(marks).to_numpy()] = True
-                row, first, lines, full, words, start, end = line_chunks(part, at, divisor, long_words, lambda h: again)
+                pairs, together = batch.column(4).slice(a, b - a), np.zeros(before[-1], np.int64)
+                near = pc.list_flatten(pairs)
+                together[before[pc.list_parent_indices(pairs).to_numpy()] + near.field("line").to_numpy()] = near.field("n").to_numpy()
+                all_lines = worded_lines(part, at)
+                found = [np.concatenate(x) for x in zip(run_chunks(all_lines, divisor, long_words, lambda h: again), line_passages(all_lines, together))]
+                once = np.unique(np.stack([*found[:3]]), axis=1, return_index=True)[1] if len(found[0]) else np.zeros(0, np.int64)
+                row, first, lines, full, words, start, end = (x[once] for x in found)
                 keep = np.flatnonzero((full >= 2) | (words >= long_words))
                 h = span_hashes(part, start[keep], end[keep]).view(np.int64) if len(keep) else np.zeros(0, np.int64)
                 if with_bytes and len(keep):
@@ -146,6 +202,26 @@ def chunk_rows(docs: DataFrame, divisor: int, long_words: int, wanted=None) -> D
     return docs.mapInArrow(run, "doc_id long, row long, first_line long, n_lines long, hash long" + ", bytes binary" * with_bytes)
 
 
+def merged(cuts: DataFrame) -> DataFrame:
+    """cuts (doc_id, row, _cuts) with overlapping ones as one; _cuts: first_line, n_lines, in order."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for cut in batch.column(2).to_pylist():
+                spans = []
+                for c in cut:
+                    first, end = c["first_line"], c["first_line"] + c["n_lines"]
+                    if spans and first < spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], end)
+                    else:
+                        spans.append([first, end])
+                out.append([{"first_line": x, "n_lines": y - x} for x, y in spans])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("first_line", pa.int64()), ("n_lines", pa.int64())])))], names=["doc_id", "row", "_cuts"])
+
+    return cuts.mapInArrow(run, "doc_id long, row long, _cuts array<struct<first_line: long, n_lines: long>>")
+
+
 def remove_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
     """docs with text without repeated chunks, and n_lines, n_removed_lines, n_removed_chunks (long).
 
@@ -167,7 +243,7 @@ def remove_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words:
     first = stored(found.groupBy("hash", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hash", "bytes", "first"))
     removed = found.join(first, ["hash", "bytes"]).filter(~((F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("row") == F.col("first.row")) & (F.col("first_line") == F.col("first.first_line"))))
     # at most the chunks of one document
-    cuts = stored(removed.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("first_line", "n_lines"))).alias("_cuts")))
+    cuts = stored(merged(removed.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("first_line", "n_lines"))).alias("_cuts"))))
     touched = share(key_filter(cuts.select("row")))
 
     @F.pandas_udf("boolean")

@@ -234,6 +234,20 @@ def test_a_full_line_filter_changes_no_result(spark, monkeypatch):
     assert all(got[i].text == invented(i, 30) + "\n" + invented(50 + i, 9) for i in range(1, 8))
 
 
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_short_passages_go_from_copied_documents_and_after_blank_lines(spark, n):
+    passage = [invented(900 + i, 12) for i in range(n)]
+    body = lambda k: [invented(100 * k + j, 8) for j in range(6)]
+    planted = lambda k: body(k)[:3] + passage + body(k)[3:]
+    lines = {0: planted(1), 1: planted(2), 2: planted(2), 3: body(3)[:3] + [""] + passage + ["", *body(3)[3:]], 4: planted(4), 5: ["x", "", "y"]}
+    d = spark.createDataFrame([(i, "\n".join(x), "en", "s", 0) for i, x in lines.items()], SCHEMA)
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.remove_repeated_chunks(d).collect()}
+    assert got[0] == lines[0] and got[5] == lines[5]
+    # the passage stands in document 0 and the copied body in document 1
+    assert got[1] == body(2) and got[4] == body(4) and [x for x in got[3] if x] == body(3)
+    assert not set(got[2]) & set(lines[2])
+
+
 def test_chunk_boundaries_resist_shifts():
     lines = [invented(i, 5) for i in range(200)]
 
