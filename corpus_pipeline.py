@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, similarity 0.8): the one with the smallest doc_id."""
     gone = near_dedup.near_duplicates(docs, words=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return near_dedup.one_row_each(docs.join(gone, "doc_id", "left_anti").select(docs.columns))
+    return near_dedup.without_linked_repeats(docs.join(gone, "doc_id", "left_anti").select(docs.columns), words=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

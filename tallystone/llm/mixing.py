@@ -46,16 +46,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], percent: int, mos
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2, seed: str = "mix-1", ranges: int = RANGES) -> DataFrame:
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int = 150, most: int = 2, seed: str = "mix-1", ranges: int = RANGES, carry: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs (whole repeats), extra (words of one more epoch), taken.
 
     size: words of the text (null: 0). Null sources are one source, the last.
     Null doc_ids share a key; equal keys are taken in order of size. Rows that
     repeat a doc_id are documents of their own. An empty table gives none.
+    carry: also _doc, a struct of all columns of docs.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")
-    sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), key.alias("key")).withColumn("part", part))
+    carried = ["_doc"] if carry else []
+    whole_row = [F.struct(*docs.columns).alias("_doc")] if carry else []
+    sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), key.alias("key"), *whole_row).withColumn("part", part))
     sums = stored(sized.groupBy("source", "part").agg(F.sum("size").alias("part_size")))
     targets = source_targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, percent, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -64,13 +67,13 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int
     parts = sums.withColumn("before", before)
     plan = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.source", "p.part", "part_size", "before", "source_size", "target", "epochs", "rest")
     plan = stored(plan)
-    rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.part") == F.col("p.part"))).select("doc_id", "d.source", "size", "key", "d.part", "part_size", "before", "source_size", "target", "epochs", "rest")
+    rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.part") == F.col("p.part"))).select("doc_id", "d.source", "size", "key", "d.part", "part_size", "before", "source_size", "target", "epochs", "rest", *carried)
     cut = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("part_size") > F.col("rest"))
     simple = rows.filter(~cut).withColumn("extra", F.when(F.col("before") + F.col("part_size") <= F.col("rest"), F.col("size")).otherwise(F.lit(0).cast("long")))
     order = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0).cast("long"))
     sorted_ = rows.filter(cut).withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - so_far)))
-    names = ["doc_id", "source", "size", "source_size", "target", "epochs", "extra"]
+    names = ["doc_id", "source", "size", "source_size", "target", "epochs", "extra", *carried]
     return simple.select(names).unionByName(sorted_.select(names)).withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
 
 
@@ -78,15 +81,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of the mix, with the columns of docs: a document comes once for each epoch that takes it.
 
     The document at which a source's budget ends comes with its first words only,
-    joined by single spaces; one without words comes with whole epochs only. docs
-    must have each doc_id once.
+    joined by single spaces; one without words comes with whole epochs only.
+    The plan carries the rows, so null and repeated doc_ids come as the plan counts them.
     """
-    plan = plan_mix(docs, **options).select("doc_id", "epochs", "extra", F.col("size").alias("_size"))
-    rows = docs.join(plan, "doc_id")
-    part = F.when((F.col("extra") > 0) & (F.col("extra") < F.col("_size")), F.array_join(F.slice(F.filter(F.split("text", SPACES), lambda w: w != ""), F.lit(1), F.col("extra").cast("int")), " ")).otherwise(F.col("text"))
-    whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("epochs")), lambda i: F.lit(True))
-    copies = F.concat(F.when(F.col("epochs") > 0, whole).otherwise(F.array().cast("array<boolean>")), F.when(F.col("extra") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
+    rows = plan_mix(docs, carry=True, **options).select("_doc.*", F.col("epochs").alias("_epochs"), F.col("extra").alias("_extra"), F.col("size").alias("_size"))
+    part = F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")), F.array_join(F.slice(F.filter(F.split("text", SPACES), lambda w: w != ""), F.lit(1), F.col("_extra").cast("int")), " ")).otherwise(F.col("text"))
+    whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_epochs")), lambda i: F.lit(True))
+    copies = F.concat(F.when(F.col("_epochs") > 0, whole).otherwise(F.array().cast("array<boolean>")), F.when(F.col("_extra") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
     out = rows.withColumn("_whole", F.explode(copies)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_whole") | (F.col("extra") == F.col("_size")), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("_whole") | (F.col("_extra") == F.col("_size")), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)

@@ -315,6 +315,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     return linked.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def without_linked_repeats(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """docs without rows that share their doc_id with an equal or linked row; rows with other texts and null ids stay."""
+    again = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"))
+    if again.isEmpty():
+        return docs
+    rows = stored(docs.join(again, "doc_id", "left_semi").select(docs.columns).distinct().select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc")))
+    groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    first = rows.join(groups, "_row").groupBy("_doc.doc_id", "component_id").agg(F.min("_row").alias("_row")).select("_row")
+    return docs.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(rows.join(first, "_row", "left_semi").select("_doc.*"))
+
+
 def one_row_each(docs: DataFrame) -> DataFrame:
     """docs with one row for each doc_id (null ids stay): only ids that come more than once are grouped."""
     again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")

@@ -521,6 +521,24 @@ def test_mix_of_odd_tables(odd, docs):
     assert mixing.plan_mix(docs.filter("doc_id = 17")).first().taken == 0
 
 
+def test_mixed_documents_of_the_odd_table_have_the_words_of_the_plan(odd):
+    out = mixing.mixed_documents(odd)
+    assert out.columns == odd.columns
+    got, want = collections.Counter(), collections.Counter()
+    for r in out.collect():
+        got[r.doc_id] += len(words(r.text))
+    for r in mixing.plan_mix(odd).collect():
+        want[r.doc_id] += r.taken
+    assert +got == +want and got[None]
+
+
+def test_only_equal_or_linked_rows_of_a_doc_id_go(odd):
+    texts_ = collections.Counter((r.doc_id, r.text) for r in near_dedup.without_linked_repeats(odd).collect())
+    assert texts_ == collections.Counter({(r.doc_id, r.text): 1 for r in odd.collect()})
+    near = odd.filter("doc_id = 3 and text like 'another%'").unionByName(odd.filter("doc_id < 3").withColumn("doc_id", F.lit(3).cast("long")))
+    assert near_dedup.without_linked_repeats(near, words=4).count() == 2
+
+
 # --- 10: token counts -------------------------------------------------------
 
 
