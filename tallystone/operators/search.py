@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,20 +80,25 @@ def resolve(queries: DataFrame, aliases: DataFrame, grams: Column) -> DataFrame:
     return found.groupBy("query_id").agg(F.min_by(F.struct("alias", "product"), F.struct("rank", "product")).alias("m")).select("query_id", "m.alias", "m.product")
 
 
-def hashed_vector(text: Column, size: int = 64, low: int = 2, high: int = 4) -> Column:
-    """Signed hashed character n-grams of a text as a unit vector, from built-in functions."""
-    def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def hashed_vector(text: Column, size: int = 384, low: int = 2, high: int = 4) -> Column:
+    """Signed hashed character n-grams of a folded text and of each of its words, with ^ and $ as edges, as a unit vector."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        @lru_cache(1 << 16)
+        def place(gram: str) -> tuple[int, float]:
+            digest = hashlib.sha256(gram.encode()).digest()
+            return int.from_bytes(digest[:4], "little") % size, 1.0 if digest[4] % 2 == 0 else -1.0
 
-    grams = F.concat(*(runs(n) for n in range(low, high + 1)))
-    hashes = F.transform(grams, lambda g: F.crc32(g.cast("binary")))
-    zero = F.array_repeat(F.lit(0.0).cast("double"), size)
+        def vector(t: str) -> np.ndarray:
+            v = np.zeros(size)
+            for piece in (f"^{x}$" for x in (t, *t.split())):
+                for n in range(low, high + 1):
+                    for i in range(len(piece) - n + 1):
+                        at, sign = place(piece[i : i + n])
+                        v[at] += sign
+            return v / (np.sqrt(v @ v) or 1.0)
 
-    def add(acc: Column, h: Column) -> Column:
-        at, sign = F.pmod(h, F.lit(size)), F.when(F.pmod(F.floor(h / size), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-        return F.transform(acc, lambda v, i: F.when(i == at, v + sign).otherwise(v))
+        return texts.map(vector)
 
-    v = F.aggregate(hashes, zero, add)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    return vectors(F.coalesce(text, F.lit("")))

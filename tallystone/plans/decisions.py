@@ -213,4 +213,4 @@ def resolve_aliases(spark, sf_dir):
 @query()
 def hashed_vectors(spark, sf_dir):
     """Rows only: a unit vector of hashed n-grams for each part name."""
-    return table(spark, sf_dir, "part").select("p_partkey", V.hashed_vector(fold(F.col("p_name")), 16).alias("vector"))
+    return table(spark, sf_dir, "part").select("p_partkey", V.hashed_vector(fold(F.col("p_name"))).alias("vector"))

@@ -1,6 +1,7 @@
 """The library's queries against their SQL, and small cases of its operators."""
 
 import glob
+import hashlib
 import os
 import subprocess
 import sys
@@ -13,6 +14,7 @@ from tallystone import plans
 from tallystone.functions import money as M
 from tallystone.functions import text as T
 from tallystone.operators import identity as I
+from tallystone.operators import search as V
 from tallystone.operators import series as S
 from tallystone.sources import listings as L
 
@@ -64,6 +66,27 @@ def test_damaged_payloads_give_no_row(spark):
     assert [(r.product_id, r.price) for r in L.json_listing(rows, "woocommerce").collect()] == [("7", 1990)]
 
 
+def test_hashed_vectors_are_those_of_a_plain_version(spark, sf_dir):
+    def plain_vector(folded):
+        out = [0.0] * 384
+        for raw in [folded, *folded.split()]:
+            padded = "^" + raw + "$"
+            for gram in (padded[i : i + n] for n in (2, 3, 4) for i in range(len(padded) - n + 1)):
+                d = hashlib.sha256(gram.encode()).digest()
+                out[int.from_bytes(d[:4], "little") % 384] += 1.0 if d[4] % 2 == 0 else -1.0
+        norm = sum(x * x for x in out) ** 0.5 or 1.0
+        return [x / norm for x in out]
+
+    odd = spark.createDataFrame([(i, t) for i, t in enumerate(["", None, "a", "ñu 中文 😀"])], "i long, t string")
+    for r in odd.select("t", V.hashed_vector(F.col("t")).alias("v")).collect():
+        assert r.v == pytest.approx(plain_vector(r.t or ""))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", T.fold(F.col("p_name")).alias("t"))
+    got = plans.queries()["hashed_vectors"](spark, sf_dir).join(parts, "p_partkey").collect()
+    assert len(got) == parts.count()
+    for r in got:
+        assert r.vector == pytest.approx(plain_vector(r.t))
+
+
 def test_groups_of_a_path_and_a_lone_node(spark):
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 9)], "id long")
     edges = spark.createDataFrame([(4, 3), (2, 3), (1, 2)], "a long, b long")
