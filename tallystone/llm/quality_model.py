@@ -23,8 +23,10 @@ from .labels import training_sample
 EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 #: Windows in a cell, cells in a chunk, cells from one chunk to the next: chunks of 256 bytes, 192 apart.
 CELL, CHUNK, HOP = 32, 4, 3
-#: Documents a class in the training sample, and the longest text in it.
-PER_CLASS, MOST_BYTES = 1200, 1 << 14
+#: Documents a class in the training sample, of any length.
+PER_CLASS = 1200
+#: Chunks whose windows the backward pass looks at together.
+BACK_CHUNKS = 2048
 #: Passes over the sample, or as many as make up the least number of steps.
 EPOCHS, BATCH, LEAST_STEPS = 12, 32, 600
 
@@ -146,12 +148,15 @@ def gradients(model: dict, data: np.ndarray, off: np.ndarray, label: np.ndarray,
     dh = (dz[:, None] * model["chunk"]) * (h > 0)
     g["hidden"], g["hidden_bias"] = pool.T @ dh, dh.sum(0)
     dpool = dh @ model["hidden"].T
-    position = window[:, :, None] * STRIDE + np.arange(WIDTH)  # chunks x FILTERS x WIDTH
-    seen = raw[position]
-    g["conv"] = np.einsum("cf,cfk->kf", dpool, model["embed"][seen].reshape(*window.shape, WIDTH * EMBED), optimize=True)
-    back = (dpool[:, :, None] * model["conv"].T[None]).reshape(-1, EMBED)
-    flat = seen.reshape(-1)
-    g["embed"] = np.stack([np.bincount(flat, back[:, k], 256) for k in range(EMBED)], 1).astype(np.float32)
+    g["conv"], embed = np.zeros_like(model["conv"]), np.zeros((256, EMBED))
+    for a in range(0, len(window), BACK_CHUNKS):  # so that a long text takes no more memory than a short one
+        at, d = window[a : a + BACK_CHUNKS], dpool[a : a + BACK_CHUNKS]
+        seen = raw[at[:, :, None] * STRIDE + np.arange(WIDTH)]  # chunks x FILTERS x WIDTH
+        g["conv"] += np.einsum("cf,cfk->kf", d, model["embed"][seen].reshape(*at.shape, WIDTH * EMBED), optimize=True)
+        back = (d[:, :, None] * model["conv"].T[None]).reshape(-1, EMBED)
+        flat = seen.reshape(-1)
+        embed += np.stack([np.bincount(flat, back[:, k], 256) for k in range(EMBED)], 1)
+    g["embed"] = embed.astype(np.float32)
     return g
 
 
@@ -184,8 +189,8 @@ def train(rows: list[tuple[bytes, int]], epochs: int = EPOCHS, batch: int = BATC
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS) -> dict[str, np.ndarray]:
-    """A model from a sample of labelled documents: per_class of each class, texts of MOST_BYTES at most."""
-    sample = training_sample(docs, labels, "quality", usable, per_class, MOST_BYTES).orderBy("doc_id")
+    """A model from a sample of labelled documents: per_class of each class, whole texts of any length."""
+    sample = training_sample(docs, labels, "quality", usable, per_class).orderBy("doc_id")
     return train([(r["text"].encode(), int(r["label"])) for r in sample.select("text", "label").collect()])
 
 
@@ -211,8 +216,12 @@ def score(docs: DataFrame, model: dict, text: str = "text", name: str = "score")
 def quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document. held_out: condition on doc_id; labels of such rows are never used.
 
-    Null and empty texts are scored as a cell of zero bytes. An empty table of
-    documents gives an empty result; without labels every score is 0.
+    Null and empty texts are scored as a cell of zero bytes. Rows that repeat a
+    doc_id, also with another text, and rows with a null one are scored each by
+    its own text; equal texts have equal scores. A text of any length is one row
+    of an Arrow batch and is scored in one piece, its filters cell by cell. An
+    empty table of documents gives an empty result; without labels every score
+    is 0. Other columns are not read.
     """
     model = fit(docs, labels, ~held_out, per_class)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out.alias("held_out"))

@@ -20,8 +20,8 @@ from .labels import training_sample
 
 ORDERS = (3, 4, 5)
 BITS = 20
-#: Documents a class in the training sample, and the longest text in it.
-PER_CLASS, MOST_BYTES = 2500, 1 << 16
+#: Documents a class in the training sample, of any length.
+PER_CLASS = 2500
 #: Least documents with a feature, least absolute log-count ratio.
 LEAST_DOCS, LEAST_RATIO = 4, 1.0
 _LOWER = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 and not 0xD800 <= i < 0xE000 else i for i in range(0x10000)], np.uint32)
@@ -158,10 +158,14 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text",
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document. held_out: condition on doc_id; labels of such rows are never used.
 
-    Null and empty texts are scored as texts without features. An empty table of
-    documents gives an empty result; without labels every score is 0.
+    Null and empty texts are scored as texts without features. Rows that repeat a
+    doc_id, also with another text, and rows with a null one are scored each by
+    its own text; equal texts have equal scores. A text of any length is one row
+    of an Arrow batch and is scored in one piece, at some 60 bytes a character. An
+    empty table of documents gives an empty result; without labels every score
+    is 0. Other columns are not read.
     """
-    sample = training_sample(docs, labels, "toxic", ~held_out, per_class, MOST_BYTES)
+    sample = training_sample(docs, labels, "toxic", ~held_out, per_class)
     weights, bias = fit(sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
     return score(rows, weights, bias).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
