@@ -23,13 +23,15 @@ BLOCK_BYTES = 2 << 20
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which every executor can reach.
 
-    Only where that setting is empty (a local session, as in tests) a temporary
-    folder is made and set as the checkpoint folder.
+    Only where that setting is empty in a local session, as in tests, a temporary
+    folder is made and set as the checkpoint folder; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()
         if current is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             current = "file://" + tempfile.mkdtemp(prefix="shared-")
             spark.sparkContext.setCheckpointDir(current)
         root = current
@@ -62,6 +64,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(taken: list[str], wanted: str) -> str:
+    """wanted, with underscores before it until no column is called so."""
+    while wanted.lower() in {c.lower() for c in taken}:
+        wanted = "_" + wanted
+    return wanted
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(n)).cast("int")
