@@ -1,15 +1,17 @@
 """Token counts of a sentencepiece BPE model by rank-synchronous merging of numpy arrays.
 
-Texts are cut into pre-tokens where no piece of the vocabulary can reach across.
-Distinct pre-tokens of a batch lie one after the other in flat arrays; each step
-merges, in every pre-token at once, the leftmost pair of its lowest rank, until
-no pair is left. What survives are the tokens. Counts of pre-tokens seen before
-are kept in a dictionary of bounded size.
+Texts are cut into pre-tokens before spaces, and pre-tokens again between any two
+characters that stand side by side in no piece of the vocabulary, as no merge
+can reach across. The sequences of distinct pre-tokens of a batch lie one after
+the other in flat arrays; each step merges, in every sequence at once, the pairs
+of its lowest rank, until no pair is left. What survives are the tokens. Where a
+merged piece could join its neighbour at no higher rank than its own, the step
+of that sequence ends there, as the library would look at that neighbour next.
+Counts of pre-tokens seen before are kept in a dictionary of bounded size.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 
 import numpy as np
@@ -21,8 +23,8 @@ SPACE = "▁"
 _NONE = np.int32(np.iinfo(np.int32).max)
 #: Pre-tokens the dictionary holds before it is emptied.
 CACHE_ENTRIES = 500_000
-#: Pre-tokens longer than this many characters are merged with a heap, as each step of the arrays costs their length.
-LONG = 400
+#: Bits of the table of characters side by side; a wrong answer only leaves a cut out.
+_SIDE_BITS = 22
 _PROBES = ["", " ", "  two  spaces ", "plain words, and more.", "ﬁ ① Ａ é Å", "a\nb\n\nc\td", "naïve straße 中文 \U0001f600\U0001f600", "<s> </s> <unk> <0x0A> ▁x"]
 
 
@@ -60,8 +62,18 @@ class Merger:
                 if a is not None and b is not None:
                     keys.append(a << 32 | b)
                     values.append((rank[s], symbol[p]))
-        self.pairs = dict(zip(keys, values))
-        self._table(np.array(keys, np.int64), np.array(values, np.int32).reshape(-1, 2))
+        keys, values = np.array(keys, np.int64), np.array(values, np.int32).reshape(-1, 2)
+        self._table(keys, values)
+        # a piece whose pairs all have higher ranks than its own may be merged in many places at once
+        own = np.full(len(symbol), -1, np.int32)
+        own[[symbol[p] for p in pieces]] = [rank[s] for s in scores]
+        best = np.full(len(symbol), _NONE, np.int32)
+        for side in (keys >> 32, keys & 0xFFFFFFFF):
+            np.minimum.at(best, side, values[:, 0])
+        self.alone = best <= own
+        self.side = np.zeros(1 << _SIDE_BITS, bool)
+        beside = np.array([(ord(a), ord(b)) for p in pieces for a, b in zip(p, p[1:])], np.uint32).reshape(-1, 2)
+        self.side[self._side(beside[:, 0], beside[:, 1])] = True
         for text in _PROBES:
             if self.count([text])[0] != len(model.encode(text)):
                 raise ValueError(f"this model normalises or splits texts in a way that is not supported: {text!r}")
@@ -81,6 +93,9 @@ class Merger:
             left = np.setdiff1d(left, put)
             slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
 
+    def _side(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return ((a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SIDE_BITS)).astype(np.int64)
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
@@ -102,82 +117,84 @@ class Merger:
         """Tokens of each pre-token (with its spaces already marked)."""
         counts = np.zeros(len(tokens), np.int64)
         lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        for i in np.flatnonzero(lengths > LONG):
-            counts[i] = self.merge_long(tokens[i])
-        word = np.flatnonzero((lengths > 0) & (lengths <= LONG))
-        if not len(word):
+        code = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32)
+        if not len(code):
             return counts
-        code = np.frombuffer("".join(tokens[i] for i in word).encode("utf-32-le"), np.uint32)
-        length = lengths[word]
+        begins = np.zeros(len(code), bool)
+        begins[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+        begins[1:] |= ~self.side[self._side(code[:-1], code[1:])]
+        # sequences that merge by themselves, and the pre-token of each
+        start = np.flatnonzero(begins)
+        word = np.repeat(np.arange(len(tokens)), lengths)[start]
+        length = np.diff(np.append(start, len(code)))
         sym = self.of_char[code]
-        unknown = sym < 0
-        if unknown.any():  # their UTF-8 bytes are tokens, and nothing merges with them
-            size = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4))) * unknown
-            counts[word] += np.add.reduceat(size, np.concatenate([[0], np.cumsum(length)[:-1]]))
+        unknown = np.flatnonzero(sym < 0)
+        if len(unknown):  # their UTF-8 bytes are tokens, and nothing merges with them
+            c = code[unknown]
+            size = np.where(c < 0x80, 1, np.where(c < 0x800, 2, np.where(c < 0x10000, 3, 4)))
+            np.add.at(counts, np.repeat(word, length)[unknown], size)
         rank = np.full(len(sym), _NONE, np.int32)
-        ends = np.cumsum(length) - 1
-        inner = np.ones(len(sym), bool)
-        inner[ends] = False
-        at = np.flatnonzero(inner)
+        at = np.flatnonzero(~begins) - 1
         rank[at] = self.find(sym[at], sym[at + 1])[:, 0]
         while len(word):
-            start = np.concatenate([[0], np.cumsum(length)[:-1]])
+            start = np.cumsum(length) - length
             best = np.minimum.reduceat(rank, start)
             done = best == _NONE
             if done.any():
                 ended = np.repeat(done, length)
                 left = sym[ended]
                 cost = np.where(left >= 0, self.cost[left], 0)
-                counts[word[done]] += np.add.reduceat(cost, np.concatenate([[0], np.cumsum(length[done])[:-1]]))
+                ends = np.cumsum(length[done])
+                np.add.at(counts, word[done], np.add.reduceat(cost, ends - length[done]))
                 sym, rank = sym[~ended], rank[~ended]
                 word, length, best = word[~done], length[~done], best[~done]
                 if not len(word):
                     break
+                start = np.cumsum(length) - length
             owner = np.repeat(np.arange(len(word)), length)
-            found = np.flatnonzero(rank == best[owner])
-            first = np.ones(len(found), bool)
-            first[1:] = owner[found[1:]] != owner[found[:-1]]
-            at = found[first]  # one position for each pre-token
-            sym[at] = self.find(sym[at], sym[at + 1])[:, 1]
+            at = np.flatnonzero(rank == best[owner])
+            to = self.find(sym[at], sym[at + 1])[:, 1]
+            # of places that overlap, every second one of a run
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = at[1:] != at[:-1] + 1
+            run = np.flatnonzero(fresh)
+            odd = (np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) & 1
+            at, to = at[odd == 0], to[odd == 0]
+            ask = np.flatnonzero(self.alone[to])
+            if len(ask):
+                at, to = self._in_order(sym, best, owner, start, length, at, to, ask)
+            sym[at] = to
             keep = np.ones(len(sym), bool)
             keep[at + 1] = False
-            last = np.zeros(len(sym), bool)
-            last[np.cumsum(length) - 1] = True
-            sym, rank, at = sym[keep], rank[keep], at - np.arange(len(at))
-            length = length - 1
-            start = np.concatenate([[0], np.cumsum(length)[:-1]])
-            end = start + length
-            before = at[at > start]
-            after = at[at + 1 < end]
-            rank[at] = _NONE
-            rank[after] = self.find(sym[after], sym[after + 1])[:, 0]
-            rank[before - 1] = self.find(sym[before - 1], sym[before])[:, 0]
+            length = length - np.bincount(owner[at], minlength=len(word))
+            sym, rank, owner, at = sym[keep], rank[keep], owner[keep], at - np.arange(len(at))
+            last = np.append(owner[1:] != owner[:-1], True)
+            changed = np.zeros(len(sym), bool)
+            changed[at] = True
+            changed[at[at > 0] - 1] = True
+            changed = np.flatnonzero(changed)
+            rank[changed] = _NONE
+            changed = changed[~last[changed]]
+            rank[changed] = self.find(sym[changed], sym[changed + 1])[:, 0]
         return counts
 
-    def merge_long(self, token: str) -> int:
-        """The same merges of one long pre-token, from a heap of pairs."""
-        sym = self.of_char[np.frombuffer(token.encode("utf-32-le"), np.uint32)].tolist()
-        unknown = sum(len(c.encode()) for c, s in zip(token, sym) if s < 0)
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pairs, heap = self.pairs, []
-        for i in range(n - 1):
-            if (v := pairs.get(sym[i] << 32 | sym[i + 1])) and sym[i] >= 0 and sym[i + 1] >= 0:
-                heap.append((v[0], i, v[1], sym[i], sym[i + 1]))
-        heapq.heapify(heap)
-        while heap:
-            _, i, merged, a, b = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != a or j >= n or sym[j] != b:
-                continue
-            sym[i], sym[j] = merged, -2
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and sym[x] >= 0 and sym[y] >= 0 and (v := pairs.get(sym[x] << 32 | sym[y])):
-                    heapq.heappush(heap, (v[0], x, v[1], sym[x], sym[y]))
-        return unknown + sum(int(self.cost[s]) for s in sym if s >= 0)
+    def _in_order(self, sym, best, owner, start, length, at, to, ask):
+        """The places of each sequence up to the first whose merged piece has a pair of a rank no higher than the step's."""
+        p, mine = at[ask], owner[at[ask]]
+        beside = np.zeros(len(at), bool)
+        beside[1:] = at[1:] == at[:-1] + 2
+        left = np.where(beside[ask], to[np.maximum(ask - 1, 0)], sym[np.maximum(p - 1, 0)])
+        has_left, has_right = p > start[mine], p + 2 < start[mine] + length[mine]
+        before = np.where(has_left, self.find(left, to[ask])[:, 0], _NONE)
+        after = np.where(has_right, self.find(to[ask], sym[np.minimum(p + 2, len(sym) - 1)])[:, 0], _NONE)
+        stop = np.zeros(len(at), np.int64)
+        stop[ask] = np.minimum(before, after) <= best[mine]
+        seen = np.cumsum(stop) - stop
+        first = np.ones(len(at), bool)
+        first[1:] = owner[at[1:]] != owner[at[:-1]]
+        begin = np.flatnonzero(first)
+        keep = seen == np.repeat(seen[begin], np.diff(np.append(begin, len(at))))
+        return at[keep], to[keep]
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each whole text."""
