@@ -13,6 +13,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -81,8 +82,14 @@ def write_arc(pages: DataFrame, path: str, date: str = "20260101000000", ip: str
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
+class Damaged(ValueError):
+    """An archive that does not hold what its header lines declare."""
+
+
 def http_parts(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
-    """Head (with its blank line), header fields by lower-case name, payload."""
+    """Head (with its blank line), header fields by lower-case name, payload. A block that is no HTTP message is all payload."""
+    if not block.startswith(b"HTTP/"):
+        return b"", {}, block
     head, blank, payload = block.partition(b"\r\n\r\n")
     fields = {}
     for line in head.split(b"\r\n")[1:]:
@@ -100,31 +107,49 @@ def arc_records(content: bytes):
             if not line:
                 continue
             values = line.decode("utf-8", "replace").split(" ")
+            if not values[-1].isdecimal():
+                raise Damaged("a header line of an ARC record ends with no length")
             body = f.read(int(values[-1]))
             if len(body) != int(values[-1]):
-                raise ValueError("an ARC record is shorter than it declares")
+                raise Damaged("an ARC record is shorter than it declares")
             if version is None:
                 if not values[0].startswith("filedesc://"):
-                    raise ValueError("an ARC file starts with its description")
-                version = int(body.split(b" ", 1)[0])
-                if version not in ARC_FIELDS:
-                    raise ValueError(f"ARC version {version} is not known")
+                    raise Damaged("an ARC file starts with its description")
+                number = body.split(b" ", 1)[0]
+                if not number.isdigit() or int(number) not in ARC_FIELDS:
+                    raise Damaged(f"ARC version {number!r} is not known")
+                version = int(number)
                 continue
             names = ARC_FIELDS[version]
             if len(values) != len(names):
-                raise ValueError(f"a header line of ARC version {version} has {len(names)} fields")
+                raise Damaged(f"a header line of ARC version {version} has {len(names)} fields")
             yield version, dict(zip(names, values)), body
 
 
-def read_arc(spark, path: str, payloads: bool = True) -> DataFrame:
-    """Records of ARC files (ARC_SCHEMA); payloads: with the bytes of head and payload, else null there."""
+def read_arc(spark, path: str, payloads: bool = True, damaged: str = "raise") -> DataFrame:
+    """Records of ARC files (ARC_SCHEMA); payloads: with the bytes of head and payload, else null there.
+
+    damaged: "raise" fails at the first record that is not as declared; "leave"
+    takes a file's records up to there and goes on with the next file. A record
+    that is no HTTP message is a payload without a head. A file is read in one
+    piece, so it must not exceed 2 GB.
+    """
+    if damaged not in ("raise", "leave"):
+        raise ValueError("damaged: raise or leave")
+
+    def whole(content: bytes):
+        try:
+            yield from arc_records(content)
+        except (Damaged, EOFError, zlib.error, gzip.BadGzipFile):
+            if damaged == "raise":
+                raise
 
     def run(batches):
         schema = pa.schema([("archive_version", pa.int32()), ("url", pa.string()), ("ip", pa.string()), ("archive_date", pa.string()), ("record_key", pa.string()), ("http_head", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for version, values, body in arc_records(content.as_py()):
+                for version, values, body in whole(content.as_py()):
                     head, fields, payload = http_parts(body)
                     rows.append((version, values["URL"], values["IP-address"], values["Archive-date"], fields.get(KEY_HEADER.lower()), head if payloads else None, payload if payloads else None, len(payload), sha1_base32(payload)))
                     held += len(body)
@@ -167,7 +192,8 @@ def write_warc(records: DataFrame, path: str, software: str = "archive converter
                 for r in batch.slice(a, 128).to_pylist():
                     block = r["http_head"] if r["first_key"] is not None else r["http_head"] + r["payload"]
                     fields = [("WARC-Type", "response" if r["first_key"] is None else "revisit"), ("WARC-Record-ID", record_id(r["record_key"], r["url"], r["archive_date"], r["payload_digest"])), ("WARC-Date", warc_date(r["archive_date"])), ("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["ip"])]
-                    fields += [("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"), ("Content-Type", "application/http; msgtype=response")]
+                    kind = "application/http; msgtype=response" if r["http_head"] else "application/octet-stream"
+                    fields += [("WARC-Payload-Digest", f"sha1:{r['payload_digest']}"), ("X-Payload-Length", str(r["payload_bytes"])), ("WARC-Block-Digest", f"sha1:{sha1_base32(block)}"), ("Content-Type", kind)]
                     if r["first_key"] is not None:
                         fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(r["first_key"], "", "", r["payload_digest"])), ("X-Refers-To-Key", r["first_key"])]
                     out.append(warc_record(fields, block))
@@ -183,14 +209,14 @@ def warc_records(content: bytes):
             if line in (b"\r\n", b"\n"):
                 continue
             if not line.startswith(b"WARC/"):
-                raise ValueError("a WARC record starts with its version")
+                raise Damaged("a WARC record starts with its version")
             fields = {}
             while (line := f.readline().rstrip(b"\r\n")) != b"":
                 name, _, value = line.partition(b":")
                 fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
             block = f.read(int(fields["content-length"]))
             if len(block) != int(fields["content-length"]):
-                raise ValueError("a WARC record is shorter than it declares")
+                raise Damaged("a WARC record is shorter than it declares")
             yield fields, block
 
 
@@ -209,38 +235,45 @@ def read_warc(spark, path: str) -> DataFrame:
                     _, http, payload = http_parts(block)
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
                     if fields["warc-block-digest"] != f"sha1:{sha1_base32(block)}" or fields["warc-type"] == "response" and sha1_base32(payload) != digest:
-                        raise ValueError("a WARC record does not have the digest that it declares")
-                    rows.append((fields["warc-type"], fields["warc-record-id"], fields["warc-date"], fields["warc-target-uri"], http.get(KEY_HEADER.lower()), fields.get("warc-refers-to"), fields.get("x-refers-to-key"), int(http["content-length"]), digest))
+                        raise Damaged("a WARC record does not have the digest that it declares")
+                    size = len(payload) if fields["warc-type"] == "response" else int(fields["x-payload-length"])
+                    rows.append((fields["warc-type"], fields["warc-record-id"], fields["warc-date"], fields["warc-target-uri"], http.get(KEY_HEADER.lower()), fields.get("warc-refers-to"), fields.get("x-refers-to-key"), size, digest))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, WARC_SCHEMA)
 
 
-def convert(spark, arc_path: str, warc_path: str, least_bytes: int = 0) -> None:
+def convert(spark, arc_path: str, warc_path: str, least_bytes: int = 0, damaged: str = "raise") -> None:
     """ARC files to WARC files: of equal payloads of at least least_bytes, the record with the smallest key is a response and the others revisit it.
 
-    Keys compare as integers. Records without a key revisit one with a key, if there
-    is one, and else are responses; records that share the smallest key are all
-    responses. Only digests and keys are grouped; the payloads meet the list of
-    repeated digests once.
+    Keys compare as integers; one that is no integer counts as none. Records without
+    a key revisit one with a key, if there is one, and else are responses; records
+    that share the smallest key are all responses. Only digests and keys are
+    grouped; the payloads meet the list of repeated digests once. damaged: as for
+    read_arc.
     """
-    slim = read_arc(spark, arc_path, payloads=False).select("payload_digest", "payload_bytes", F.col("record_key").cast("long").alias("key"))
+    key = F.col("record_key").try_cast("long")
+    slim = read_arc(spark, arc_path, payloads=False, damaged=damaged).select("payload_digest", "payload_bytes", key.alias("key"))
     repeated = slim.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
     repeated = stored(repeated.select("payload_digest", "first"))
-    full = read_arc(spark, arc_path).join(repeated, "payload_digest", "left")
-    first = F.when(~F.col("first").eqNullSafe(F.col("record_key").cast("long")), F.col("first").cast("string"))
+    full = read_arc(spark, arc_path, damaged=damaged).join(repeated, "payload_digest", "left")
+    first = F.when(~F.col("first").eqNullSafe(key), F.col("first").cast("string"))
     write_warc(full.withColumn("first_key", F.when(F.col("payload_bytes") >= least_bytes, first)).drop("first"), warc_path)
 
 
 def archived_pages(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) -> DataFrame:
     """pages through ARC and WARC files, as read back: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
-    An empty table makes archives without records and an empty result.
+    Null html is an empty payload, null url "-". Rows that repeat a page_id are
+    records of their own, and if it is the smallest of their payload all of them
+    are responses. Payloads of any length below 2 GB stand whole in one record. An
+    empty table makes archives without records and an empty result. Other columns
+    are not read.
     """
     spark = pages.sparkSession
     folder = folder or shared_dir(spark)
     write_arc(pages, folder + "/arc")
     convert(spark, folder + "/arc", folder + "/warc", least_bytes)
     back = read_warc(spark, folder + "/warc")
-    return back.select(F.col("record_key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").cast("long").alias("refers_to"), "url")
+    return back.select(F.col("record_key").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").cast("long").alias("refers_to"), "url")
