@@ -1,9 +1,11 @@
 """Benchmark decontamination: windows of test words in a broadcast hash set, scanned over training words.
 
 The benchmark is cut into blocks of bounded size; each block's windows are
-broadcast and every document passes all blocks one after the other in the same
-task, so a benchmark of any size needs no shuffle of the documents. A hash hit
-counts only after its words were compared.
+broadcast and every document passes a few blocks one after the other in the same
+task. With more blocks than that the documents are written between passes and
+the broadcasts given back, so memory has a bound whatever the size of the
+benchmark, and documents are never shuffled. A hash hit counts only after its
+words were compared.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, blocks, buffers, lower_ascii, runs_combined, span_hashes, windows_of_rows, word_spans
+from .common import ALNUM, blocks, buffers, free_name, lower_ascii, runs_combined, span_hashes, stored, windows_of_rows, word_spans
 
 #: Bytes of benchmark text whose windows are broadcast at once (they take about ten times as much).
 BROADCAST_TEXT_BYTES = 4 << 20
+#: Blocks whose windows a task holds at the same time, some 40 MB each.
+BLOCKS_AT_ONCE = 4
 _FILTER_BITS = 22
 
 
@@ -87,23 +91,33 @@ def _merged(spans: list[tuple[int, int, int, int]]) -> list[list[int]]:
 _SPANS = "array<struct<first_word:long,end_word:long,first_byte:long,end_byte:long>>"
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text") -> DataFrame:
-    """docs with n_words, hit_spans (merged spans of hit words, in words and in bytes of the text) and hit_items.
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "text", names: tuple[str, str, str] = ("n_words", "hit_spans", "hit_items")) -> DataFrame:
+    """docs with n_words, hit_spans (merged spans of hit words, in words and in bytes of the text) and hit_items, under these names.
 
     benchmark: item_id, text. A window is ``size`` consecutive words of an item, or
     all words of a shorter item. Null text has no words; a null item_id makes hits
-    without a name. Columns of docs that are called n_words, hit_spans or hit_items
-    are replaced.
+    without a name. Columns of docs that are called as the new ones are replaced.
+    Repeated rows and null doc_ids are scanned row by row; a text of any length is
+    one row of an Arrow batch and is scanned whole. Empty tables of documents or of
+    items give no hits.
     """
+    n_words, hit_spans, hit_items = names
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / BROADCAST_TEXT_BYTES))
-    out = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.lit(None).cast(_SPANS), "hit_items": F.lit(None).cast("array<string>")})
+    out = docs.withColumns({n_words: F.lit(0).cast("long"), hit_spans: F.lit(None).cast(_SPANS), hit_items: F.lit(None).cast("array<string>")})
     schema, names = out.schema, out.columns
+    held = []
     for k in range(n):
+        if len(held) == BLOCKS_AT_ONCE:
+            out = stored(out)
+            for windows in held:
+                windows.destroy()
+            held = []
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()  # of bounded size
         windows = spark.sparkContext.broadcast(Windows([(r[0], r[1]) for r in block], size))
+        held.append(windows)
 
         def run(batches, windows=windows):
             table, kinds = windows.value, None
@@ -120,9 +134,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "tex
                         spans.setdefault(row, []).append((p - w, q - w, int(start[p]) - base, int(end[q - 1]) - base))
                         items.setdefault(row, set()).update(which)
                     columns = list(part.columns)
-                    columns[names.index("n_words")] = pa.array(np.diff(first), pa.int64())
+                    columns[names.index(n_words)] = pa.array(np.diff(first), pa.int64())
                     if spans:
-                        had, had_items = part.column(names.index("hit_spans")), part.column(names.index("hit_items"))
+                        had, had_items = part.column(names.index(hit_spans)), part.column(names.index(hit_items))
                         rows, row_items = [], []
                         for i in range(b - a):
                             if i in spans:
@@ -132,8 +146,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str = "tex
                             else:
                                 rows.append(had[i].as_py())
                                 row_items.append(had_items[i].as_py())
-                        columns[names.index("hit_spans")] = pa.array(rows, kinds.field("hit_spans").type)
-                        columns[names.index("hit_items")] = pa.array(row_items, pa.list_(pa.string()))
+                        columns[names.index(hit_spans)] = pa.array(rows, kinds.field(hit_spans).type)
+                        columns[names.index(hit_items)] = pa.array(row_items, pa.list_(pa.string()))
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
         out = out.mapInArrow(run, schema)
@@ -152,16 +166,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, remove:
     """docs, with their own columns, without what is in the benchmark.
 
     remove: "documents" leaves out every document with a hit; "spans" cuts the
-    hit spans out of the texts (each from its first to its last hit word).
+    hit spans out of the texts (each from its first to its last hit word). Rows
+    with null or empty text have no hit and stay. docs may have columns of any
+    name and keeps their values.
     """
-    found = scan(docs, benchmark, size)
-    if remove == "documents":
-        return found.filter("hit_spans is null").select(docs.columns)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove: documents or spans")
+    names = tuple(free_name(docs.columns, c) for c in ("_n_words", "_hit_spans", "_hit_items"))
+    spans = names[1]
+    found = scan(docs, benchmark, size, names=names)
+    if remove == "documents":
+        return found.filter(F.col(spans).isNull()).select(docs.columns)
     # bytes outside the spans; a span starts and ends at a word, so characters stay whole
     data = F.col("text").cast("string").cast("binary")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("hit_spans", lambda s: s.end_byte))
-    begins = F.concat(F.transform("hit_spans", lambda s: s.first_byte), F.array(F.octet_length("text").cast("long")))
+    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s.end_byte))
+    begins = F.concat(F.transform(spans, lambda s: s.first_byte), F.array(F.octet_length("text").cast("long")))
     parts = F.transform(F.arrays_zip(ends.alias("a"), begins.alias("b")), lambda p: data.substr((p["a"] + 1).cast("int"), (p["b"] - p["a"]).cast("int")).cast("string"))
-    return found.withColumn("text", F.when(F.col("hit_spans").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))).select(docs.columns)
+    return found.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.array_join(parts, ""))).select(docs.columns)
