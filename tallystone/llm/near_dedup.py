@@ -15,19 +15,25 @@ chance of 8e-6, those of 0.85 with 2e-8.
 
 Every link is confirmed on the full sets. Sets that are equal are one class from
 the start, so groups of exact copies never meet in a bucket. In a bucket a
-member first meets one leader only; members of buckets which hold more than one
-component after that are compared by signature and by a larger sketch, block by
-block, and what passes is confirmed too. No step lists the pairs of a group.
+member first meets one leader only; of buckets which hold more than one
+component after that, the rows outside the largest component are compared with
+the others by set size, by signature and by a larger sketch, block against
+block, and what passes is confirmed too. A task holds two blocks of SALT_ROWS
+rows or so, whatever the size of a bucket. The number of comparisons, though not
+of rows that leave a task, is that of the pairs of different components whose
+set sizes are close enough: where very many documents share more than half of
+their shingles, but less than the threshold, it grows with their square.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, blocks, buffers, lower_ascii, mix, runs_combined, shared_dir, span_hashes, stored, windows_of_rows, word_spans
@@ -161,7 +167,7 @@ def signature_distance(pairs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets have 100 * intersection >= percent * union. texts: id, text, one row an id at least."""
+    """Those pairs (a, b) whose sets have 100 * intersection >= percent * union. texts: id, text; one row for each text of an id."""
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = stored(texts.join(involved, "id", "left_semi"))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
@@ -216,17 +222,38 @@ def cross_pairs(mixed: DataFrame, most_apart: int, percent: int, chunks: int, si
     """Pairs (a, b) of different components that meet in a bucket and are close by set size, signature and sketch.
 
     mixed: key, id, root, n_shingles, signature, sketch, minor (not of the
-    bucket's largest component), salts (number of blocks of the bucket). Every row
-    lies in one block of its bucket; each minor row also visits all blocks as a
-    query. A task so holds SALT_ROWS rows or so of a bucket, and its minor rows.
-    Of all buckets that two documents share, only the first one by number of the
-    choice gives the pair.
+    bucket's largest component), n (rows of the bucket). A bucket of more than
+    SALT_ROWS rows is dealt into bands of set sizes, so that close sizes lie in
+    one band or in two that follow each other, and a band into blocks. Every block
+    of rows meets every block of minor rows (as queries) of its own band and of
+    those beside it, so a task holds two blocks of SALT_ROWS rows or so. Of all
+    buckets that two documents share, only the first one by number of the choice
+    gives the pair.
     """
     kept = [list(c) for c in combinations(range(size), size - errors)]
-    rows = mixed.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).withColumn("query", F.lit(False))
-    visits = mixed.filter("minor").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).withColumn("query", F.lit(True))
-    names = ["key", "salt", "id", "root", "n_shingles", "signature", "sketch", "query"]
-    both = rows.select(names).union(visits.select(names))
+    band = F.when(F.col("n") > SALT_ROWS, F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(math.log(100 / percent) + 1e-6))).otherwise(F.lit(0)).cast("long")
+    mixed = mixed.withColumn("band", band)
+    # blocks of each band: one row a key, and few bands
+    blocks_of = lambda c: F.ceil(F.count(c) / SALT_ROWS).cast("long")
+    bands = mixed.groupBy("key", "band").agg(blocks_of(F.lit(1)).alias("rows"), blocks_of(F.when(F.col("minor"), 1)).alias("asks"))
+    bands = bands.groupBy("key").agg(F.collect_list(F.struct("band", "rows", "asks")).alias("bands"))
+    dealt = mixed.join(bands, "key")
+    near = F.filter("bands", lambda b: F.abs(b["band"] - F.col("band")) <= 1)
+
+    def every(c: str) -> Column:
+        """Blocks of rows or of queries in the bands that a row may meet."""
+        of_band = lambda b: F.transform(F.sequence(F.lit(0).cast("long"), b[c] - 1), lambda k: F.struct(b["band"].alias("band"), k.alias("salt")))
+        return F.flatten(F.transform(F.filter(near, lambda b: b[c] > 0), of_band))
+
+    def own(c: str) -> Column:
+        n = F.filter("bands", lambda b: b["band"] == F.col("band"))[0][c]
+        return F.struct(F.col("band").alias("band"), F.pmod(F.xxhash64("id"), F.greatest(n, F.lit(1).cast("long"))).alias("salt"))
+
+    role = lambda block, asked_by, query: F.struct(block.alias("block"), asked_by.alias("asked_by"), F.lit(query).alias("query"))
+    as_row = F.transform(every("asks"), lambda a: role(own("rows"), a, False))
+    as_query = F.transform(every("rows"), lambda b: role(b, own("asks"), True))
+    roles = F.explode(F.when(F.col("minor"), F.concat(as_row, as_query)).otherwise(as_row)).alias("role")
+    both = dealt.select("key", roles, "id", "root", "n_shingles", "signature", "sketch").select("key", "role.*", "id", "root", "n_shingles", "signature", "sketch")
     least = percent / 100
 
     def run(table: pa.Table) -> pa.Table:
@@ -263,7 +290,7 @@ def cross_pairs(mixed: DataFrame, most_apart: int, percent: int, chunks: int, si
         a, b = (np.concatenate(x) if left else np.zeros(0, np.int64) for x in (left, right))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return both.groupBy("key", "salt").applyInArrow(run, "a long, b long").distinct()
+    return both.groupBy("key", "block", "asked_by").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int = CHUNKS, chunk_size: int = CHUNK_SIZE, errors: int = ERRORS) -> DataFrame:
@@ -275,12 +302,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
 
     Null or wordless text: an empty set, linked with nothing. Null doc_id: the
     row comes back with component_id null and kept true, linked with nothing.
-    Rows that repeat a doc_id are one document of the relation: each comes back
-    with the same component. An empty table gives an empty table.
+    Rows that repeat a doc_id are one document with several texts, so its texts
+    are linked with one another, and each row that has words comes back with the
+    same component. Equal sets are one class, whatever their texts. Texts may be of
+    any length: a row of an Arrow batch is one text, and is handled whole. An empty
+    table gives an empty table. Other columns are not read.
     """
     shared_dir(docs.sparkSession)
     described = stored(describe(docs, words, chunks * chunk_size))
     filled = described.filter("n_shingles > 0 and doc_id is not null")
+    again = stored(filled.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("digest") != F.max("digest")).alias("several")).filter("n > 1").select("doc_id", "several"))
     # one class for each distinct set; the digest stands for it
     classes = stored(filled.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
     keys = chunk_keys(classes, chunks, chunk_size, errors)
@@ -294,6 +325,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     stars = stars.join(sizes, "id").join(other, "leader").filter(100 * F.least("n_shingles", "other_n") >= percent * F.greatest("n_shingles", "other_n")).select("id", "leader", "signature", "other_signature")
     nearest = signature_distance(stars).filter(F.col("apart") <= MOST_APART).groupBy("id").agg(F.min_by("leader", F.struct("apart", "leader")).alias("leader"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    repeats = not again.isEmpty()
+    if repeats:  # of equal rows one will do
+        ids = again.select(F.col("doc_id").alias("id"))
+        texts = texts.join(ids, "id", "left_anti").union(texts.join(ids, "id", "left_semi").distinct())
     first_edges = stored(confirmed(stored(nearest.select(F.col("leader").alias("a"), F.col("id").alias("b"))), texts, words, percent))
     roots = stored(components(first_edges))
 
@@ -301,14 +336,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     rooted = stored(members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
     parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = mixed.select("key", "major", F.ceil(F.col("n") / SALT_ROWS).cast("long").alias("salts"))
+    mixed = mixed.select("key", "major", "n")
     sketched = described.select(F.col("doc_id").alias("id"), "digest", "sketch").join(classes, ["id", "digest"]).select("id", "n_shingles", "signature", "sketch")
     mixed = rooted.join(mixed, "key").join(sketched, "id").withColumn("minor", F.col("root") != F.col("major"))
     more = stored(cross_pairs(mixed, MOST_APART, percent, chunks, chunk_size, errors))
-    second_edges = confirmed(more, texts, words, percent)
-    final = components(first_edges.union(second_edges))
+    edges = first_edges.union(confirmed(more, texts, words, percent))
+    if repeats:  # a doc_id with several different texts joins their classes
+        several = filled.join(again.filter("several"), "doc_id", "left_semi").select("digest", F.col("doc_id").alias("a"))
+        edges = edges.union(several.join(classes.select("digest", F.col("id").alias("b")), "digest").select("a", "b"))
+    final = components(edges)
 
-    # a doc_id with several different texts belongs to several classes: the doc_id joins them
     reached = stored(classes.join(final, "id", "left").select("digest", F.coalesce("root", "id").alias("component")))
     linked = described.join(reached, "digest", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
@@ -324,10 +361,3 @@ def without_linked_repeats(docs: DataFrame, words: int = 5, percent: int = 80) -
     groups = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
     first = rows.join(groups, "_row").groupBy("_doc.doc_id", "component_id").agg(F.min("_row").alias("_row")).select("_row")
     return docs.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(rows.join(first, "_row", "left_semi").select("_doc.*"))
-
-
-def one_row_each(docs: DataFrame) -> DataFrame:
-    """docs with one row for each doc_id (null ids stay): only ids that come more than once are grouped."""
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    again = stored(again)
-    return docs.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
