@@ -2,9 +2,10 @@
 
 Documents get hash-random keys. The key space of each source is cut into equal
 ranges (a hash is uniform, so the ranges are known without sampling); sums of
-the ranges give distributed prefix sums, and only the one range of a source in
-which its budget ends is sorted row by row. A source whose budget exceeds it is
-repeated whole, then cut in its next epoch.
+the ranges give distributed prefix sums. The one range of a source in which its
+budget ends is cut into ranges again, and only the one of those in which the
+budget ends, a millionth of the source, is sorted row by row. A source whose
+budget exceeds it is repeated whole, then cut in its next epoch.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Ranges of the key space of a source.
+#: Ranges of the key space of a source, and of the range in which its budget ends.
 RANGES = 1024
+INNER_BITS = 10
+#: Bits of a key that place it in a range.
+KEY_BITS = 52
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,14 +55,19 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int
 
     size: words of the text (null: 0). Null sources are one source, the last.
     Null doc_ids share a key; equal keys are taken in order of size. Rows that
-    repeat a doc_id are documents of their own. An empty table gives none.
+    repeat a doc_id are documents of their own. An empty table gives none. docs
+    may have other columns of any name; they are not read.
     carry: also _doc, a struct of all columns of docs.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(1 << 32)).cast("int")
+    if ranges >= 1 << 63 - KEY_BITS:
+        raise ValueError("too many ranges")
+    place = F.conv(F.substring("key", 1, KEY_BITS // 4), 16, 10).cast("long") * ranges
+    part = F.shiftright(place, KEY_BITS).cast("int")
+    inner = F.shiftright(place.bitwiseAND(F.lit((1 << KEY_BITS) - 1)), KEY_BITS - INNER_BITS).cast("int")
     carried = ["_doc"] if carry else []
     whole_row = [F.struct(*docs.columns).alias("_doc")] if carry else []
-    sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), key.alias("key"), *whole_row).withColumn("part", part))
+    sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), key.alias("key"), *whole_row).withColumns({"part": part, "inner": inner}))
     sums = stored(sized.groupBy("source", "part").agg(F.sum("size").alias("part_size")))
     targets = source_targets(sums.groupBy("source").agg(F.sum("part_size").alias("source_size")), weights, percent, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -67,14 +76,25 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int
     parts = sums.withColumn("before", before)
     plan = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.source", "p.part", "part_size", "before", "source_size", "target", "epochs", "rest")
     plan = stored(plan)
-    rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.part") == F.col("p.part"))).select("doc_id", "d.source", "size", "key", "d.part", "part_size", "before", "source_size", "target", "epochs", "rest", *carried)
+    rows = sized.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.part") == F.col("p.part"))).select("doc_id", "d.source", "size", "key", "d.part", "inner", "part_size", "before", "source_size", "target", "epochs", "rest", *carried)
     cut = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("part_size") > F.col("rest"))
-    simple = rows.filter(~cut).withColumn("extra", F.when(F.col("before") + F.col("part_size") <= F.col("rest"), F.col("size")).otherwise(F.lit(0).cast("long")))
-    order = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    whole_or_none = F.when(F.col("before") + F.col("part_size") <= F.col("rest"), F.col("size")).otherwise(F.lit(0).cast("long"))
+    simple = rows.filter(~cut).withColumn("extra", whole_or_none)
+    # the range in which a budget ends, by its own ranges
+    ends = plan.filter(cut).select("source", "part", "before", "rest")
+    within = sized.select("source", "part", "inner", "size").alias("d").join(ends.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.part") == F.col("p.part")))
+    sums = within.groupBy("d.source", "inner", "before").agg(F.sum("size").alias("inner_size"))
+    so_far = F.sum("inner_size").over(Window.partitionBy("source").orderBy("inner")) - F.col("inner_size")
+    sums = stored(sums.select("source", "inner", "inner_size", (F.col("before") + so_far).alias("inner_before")))
+    names = [c for c in rows.columns if c not in ("before", "part_size", "source")]
+    last = rows.filter(cut).alias("d").join(sums.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.inner") == F.col("p.inner")))
+    last = last.select("d.source", *(f"d.{c}" for c in names), F.col("inner_before").alias("before"), F.col("inner_size").alias("part_size"))
+    order = Window.partitionBy("source", "part", "inner").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0).cast("long"))
-    sorted_ = rows.filter(cut).withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - so_far)))
+    sorted_ = last.filter(cut).withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - so_far)))
     names = ["doc_id", "source", "size", "source_size", "target", "epochs", "extra", *carried]
-    return simple.select(names).unionByName(sorted_.select(names)).withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
+    out = simple.select(names).unionByName(last.filter(~cut).withColumn("extra", whole_or_none).select(names)).unionByName(sorted_.select(names))
+    return out.withColumn("taken", F.col("epochs") * F.col("size") + F.col("extra"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -82,13 +102,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     The document at which a source's budget ends comes with its first words only,
     joined by single spaces; one without words comes with whole epochs only.
-    The plan carries the rows, so null and repeated doc_ids come as the plan counts them.
+    The plan carries the rows in a struct, so null and repeated doc_ids come as the
+    plan counts them, and docs may have columns of any name. An empty table gives
+    an empty mix.
     """
-    rows = plan_mix(docs, carry=True, **options).select("_doc.*", F.col("epochs").alias("_epochs"), F.col("extra").alias("_extra"), F.col("size").alias("_size"))
-    part = F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")), F.array_join(F.slice(F.filter(F.split("text", SPACES), lambda w: w != ""), F.lit(1), F.col("_extra").cast("int")), " ")).otherwise(F.col("text"))
-    whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("_epochs")), lambda i: F.lit(True))
-    copies = F.concat(F.when(F.col("_epochs") > 0, whole).otherwise(F.array().cast("array<boolean>")), F.when(F.col("_extra") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))
-    out = rows.withColumn("_whole", F.explode(copies)).withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(part))
+    rows = plan_mix(docs, carry=True, **options).select("_doc", "epochs", "extra", "size")
+    text = F.col("_doc")["text"]
+    first = F.array_join(F.slice(F.filter(F.split(text, SPACES), lambda w: w != ""), F.lit(1), F.col("extra").cast("int")), " ")
+    none = F.array().cast("array<boolean>")
+    whole = F.transform(F.sequence(F.lit(1).cast("long"), F.col("epochs")), lambda i: F.lit(True))
+    copies = F.concat(F.when(F.col("epochs") > 0, whole).otherwise(none), F.when(F.col("extra") > 0, F.array(F.lit(False))).otherwise(none))
+    out = rows.withColumn("whole", F.explode(copies))
+    cut = ~F.col("whole") & (F.col("extra") < F.col("size"))
+    out = out.withColumn("text", F.when(cut, first).otherwise(text))
+    pick = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_whole") | (F.col("_extra") == F.col("_size")), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        pick["n_chars"] = F.when(cut, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc")["n_chars"])
+    return out.select(*(pick.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
