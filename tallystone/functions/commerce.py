@@ -5,46 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .money import digits
-from .text import fold
+from .text import first_listed, fold, phrases
 
-# Ordered patterns of a used condition, over folded text.
-CONDITIONS = [
-    (r"\b(reacondicionad[oa]s?|refurbished|renewed|renew|grado\s*[ab]\b|detalles?\s+esteticos?|saldo\s+de\s+tienda|producto\s+saldo)\b", "refurbished"),
-    (r"\b(open\s*box|caja\s+abierta|devolucion(es)?\s+de\s+cliente|embalaje\s+abierto|empaque\s+(danado|abierto))\b", "open_box"),
-    (r"\b(exhibicion(es)?|producto\s+de\s+muestra|equipo\s+demo|vitrina)\b", "display"),
-    (r"\b(usad[oa]s?|segunda\s+mano|pre[\s-]?owned)\b", "used"),
-]
-_AMOUNT = r"(\$\s*)?([0-9]{1,3}([.\s][0-9]{3})+|[0-9]{3,8})"
+# Phrases that tell a used condition, the most telling condition first; a star ends a word that may go on.
+CONDITIONS = {
+    "refurbished": ["reacondicionad*", "refurbished", "renewed", "renew", "grado a", "grado b", "detalle estetico", "detalles esteticos", "saldo de tienda", "producto saldo"],
+    "open_box": ["open box", "openbox", "caja abierta", "devolucion de cliente", "devoluciones de cliente", "embalaje abierto", "empaque danado", "empaque abierto"],
+    "display": ["exhibicion", "exhibiciones", "producto de muestra", "equipo demo", "vitrina"],
+    "used": ["usado", "usada", "usados", "usadas", "segunda mano", "pre owned", "preowned"],
+}
+# What a catalog calls a condition.
+STATED = {"new": ["new", "nuevo"], "used": ["used", "usado"], "refurbished": ["refurbished", "reacondicionado"]}
 
 
 def condition(catalog: Column, text: Column) -> Column:
     """Evidence of use in the text wins over the catalog; new only where it is written."""
-    f, out = fold(text), None
-    for pattern, name in CONDITIONS:
-        out = F.when(f.rlike(pattern), name) if out is None else out.when(f.rlike(pattern), name)
-    stated = F.when(fold(catalog).isin("new", "nuevo"), "new").when(fold(catalog).isin("used", "usado"), "used").when(fold(catalog).isin("refurbished", "reacondicionado"), "refurbished")
-    return F.coalesce(out, stated, F.when(f.rlike(r"\bnuev[oa]s?\b"), "new"), F.lit("unknown"))
+    words = phrases(text)
+    return F.coalesce(first_listed(words, CONDITIONS), first_listed(phrases(catalog), STATED), first_listed(words, {"new": ["nuevo", "nueva", "nuevos", "nuevas"]}), F.lit("unknown"))
 
 
 def condition_group(c: Column) -> Column:
     return F.when(c.isin("new", "unknown"), "new_or_unknown").otherwise(c)
 
 
+def amounts(text: Column) -> Column:
+    """Folded text whose sums of money are one word each, a hash sign and digits: thousands lose their dots."""
+    joined = F.regexp_replace(fold(text), r"(?<=[0-9])[. ](?=[0-9]{3}(?![0-9]))", "")
+    return F.regexp_replace(joined, r"[$]?\s*(?<![0-9,.])([0-9]{3,9})(?!,?[0-9])", " #$1 ")
+
+
+def _after(marked: Column, lead: str) -> Column:
+    """The sum that a lead-in ends with."""
+    return F.nullif(F.regexp_extract(marked, lead + r"\s*#([0-9]+)", 1), F.lit("")).try_cast("long")
+
+
 def shipping(text: Column) -> Column:
     """Struct cost, free_over, pickup from prose: a cost, a threshold of free shipping, or free without one (0)."""
-    f = fold(text)
-    over = digits(F.regexp_extract(f, rf"(despacho|envio)\s+gratis[^0-9]{{0,45}}(sobre|desde)\s*{_AMOUNT}", 4))
-    cost = digits(F.regexp_extract(f, rf"(despacho|envio|delivery)\s*(desde|por|a)?\s*{_AMOUNT}", 4))
-    free = f.rlike(r"(despacho|envio)\s+gratis") & over.isNull()
-    return F.struct(F.when(free, F.lit(0).cast("long")).otherwise(cost).alias("cost"), over.alias("free_over"), f.rlike(r"retiro\s+(gratis\s+)?en\s+(tienda|local)|click\s*(&|y)\s*collect").alias("pickup"))
+    m, words = amounts(text), phrases(text)
+    free = first_listed(words, {"free": ["despacho gratis", "envio gratis"]}).isNotNull()
+    over = _after(m, r"(?:despacho|envio) gratis[^#]{0,45}(?:sobre|desde)")
+    cost = _after(m, r"(?:despacho|envio|delivery)(?: desde| por| a)?")
+    pickup = first_listed(words, {"pickup": ["retiro en tienda", "retiro en local", "retiro gratis en tienda", "retiro gratis en local", "click y collect", "click collect"]}).isNotNull()
+    return F.struct(F.when(free & over.isNull(), F.lit(0).cast("long")).otherwise(cost).alias("cost"), over.alias("free_over"), pickup.alias("pickup"))
 
 
 def financing(text: Column) -> Column:
-    """Struct apr, instalments, total from prose."""
+    """Struct apr, instalments, total from prose: the rate after CAE, the number before cuotas, the sum after a word for the total."""
     f = fold(text)
-    apr = F.replace(F.nullif(F.regexp_extract(f, r"\bcae\s*:?\s*([0-9]{1,3}([.,][0-9]+)?)\s*%", 1), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
-    return F.struct(apr.alias("apr"), F.nullif(F.regexp_extract(f, r"\b([0-9]{1,3})\s*cuotas?\b", 1), F.lit("")).try_cast("int").alias("instalments"), digits(F.regexp_extract(f, rf"(costo|valor|monto|precio)\s+total(\s+del\s+credito)?[^0-9]{{0,30}}{_AMOUNT}", 4)).alias("total"))
+    rate = F.regexp_extract(F.replace(f, F.lit(","), F.lit(".")), r"\bcae[: ]*([0-9.]+) ?%", 1)
+    several = F.regexp_extract(phrases(text), " ([0-9]{1,3}) cuotas? ", 1)
+    total = _after(amounts(text), r"(?:costo|valor|monto|precio) total[^#]{0,45}")
+    return F.struct(F.nullif(rate, F.lit("")).try_cast("double").alias("apr"), F.nullif(several, F.lit("")).try_cast("int").alias("instalments"), total.alias("total"))
 
 
 def stock_state(stock: Column, availability: Column) -> Column:

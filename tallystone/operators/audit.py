@@ -59,12 +59,13 @@ def basket(items: DataFrame, stores: DataFrame, matches: DataFrame) -> DataFrame
     """items (item, quantity) by stores (store): the best usable match, or the reason there is none.
 
     matches: item, store, price, usable, confidence. A store with any match has
-    no_match for the rest, one without has no_catalog. Stores are a dimension.
+    no_match for the rest, one without has no_catalog. The grid has a row for each
+    item and store by its meaning; stores are a dimension.
     """
     best = F.min_by(F.struct("price", "confidence"), F.struct(~F.col("usable"), -F.col("confidence"), F.col("price")))
     one = matches.groupBy("item", "store").agg(F.max("usable").alias("usable"), best.alias("b"))
     known = matches.select("store").distinct().withColumn("_known", F.lit(True))
-    grid = items.join(F.broadcast(stores)).join(one, ["item", "store"], "left").join(known, "store", "left")
+    grid = items.crossJoin(stores).join(one, ["item", "store"], "left").join(known, "store", "left")
     state = F.when(F.col("usable"), "usable").when(F.col("b").isNotNull(), "unusable").when(F.col("_known"), "no_match").otherwise("no_catalog")
     return grid.select("item", "store", "quantity", state.alias("state"), F.when(F.col("usable"), F.col("b.price")).alias("price"))
 

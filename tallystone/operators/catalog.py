@@ -119,21 +119,34 @@ def leaves(tree: DataFrame) -> DataFrame:
 def price_band(prices: DataFrame, by: list[str], want: str | None = None, span: float = 2.5, compact: float = 8.0, least: int = 3) -> DataFrame:
     """by, low, high, typical: the densest cloud of prices of a query, or the cheapest (low) or dearest (high) dense enough one.
 
-    Each price is a centre; a centre's members are found on the sorted array of
-    one query's prices. Nothing for few or compact prices.
+    Each distinct price is a centre, and its cloud the prices within span of it.
+    Prices are counted first; the bounds of all clouds are sorted among the prices
+    of their query, and running sums at the bounds give what lies between. Nothing
+    for few or compact prices.
     """
-    sets = prices.filter("price > 0").groupBy(*by).agg(F.array_sort(F.collect_list("price")).alias("_p")).filter(F.size("_p") >= least)
-    first, last, n = F.get("_p", F.lit(0)), F.get("_p", F.size("_p") - 1), F.size("_p")
+    hist = prices.filter("price > 0").groupBy(*by, "price").agg(F.count("*").alias("_c"))
+    at = F.col("price").cast("double")
+    # at one place the lower bound comes before the prices and the upper one after them
+    marks = F.array(
+        F.struct((at / span).alias("pos"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("s")),
+        F.struct(at.alias("pos"), F.lit(1).alias("kind"), F.col("_c").alias("c"), (F.col("_c") * F.col("price")).alias("s")),
+        F.struct((at * span).alias("pos"), F.lit(2).alias("kind"), F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("s")),
+    )
+    line = hist.select(*by, F.col("price").alias("_price"), F.explode(marks).alias("m")).select(*by, "_price", "m.*")
+    so_far = Window.partitionBy(*by).orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = line.withColumns({"_count": F.sum("c").over(so_far), "_sum": F.sum("s").over(so_far)})
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    x = line.groupBy(*by, F.col("_price").alias("_centre")).agg((of(2, "_count") - of(0, "_count")).alias("_m"), (of(2, "_sum") - of(0, "_sum")).alias("_total"), of(1, "_count").alias("_upto"))
+    whole = Window.partitionBy(*by)
+    x = x.withColumns({"_lo": F.min("_centre").over(whole), "_hi": F.max("_centre").over(whole), "_n": F.max("_upto").over(whole)})
+    x = x.withColumn("_med", F.min(F.when(F.col("_upto") > F.floor(F.col("_n") / 2), F.col("_centre"))).over(whole)).filter(F.col("_n") >= least)
     if want is None:
-        sets = sets.filter(last / first > compact)
-    x = sets.select(*by, "_p", first.alias("_lo"), last.alias("_hi"), n.alias("_n"), F.get("_p", F.floor(n / 2).cast("int")).alias("_med"), F.explode("_p").alias("_c"))
-    inside = F.filter("_p", lambda p: (p >= F.col("_c") / span) & (p <= F.col("_c") * span))
-    x = x.withColumn("_m", F.size(inside)).withColumn("typical", F.bround(F.aggregate(inside, F.lit(0).cast("long"), lambda a, b: a + b) / F.size(inside)).cast("long"))
-    needed = F.greatest(F.lit(least), F.floor((F.col("_n") + 2) / 4).cast("int"))
-    x = x.withColumn("_v", F.col("_m") >= needed)
-    x = x.withColumn("_any", F.max("_v").over(Window.partitionBy(*by))).filter(F.col("_v") | ~F.col("_any"))
+        x = x.filter(F.col("_hi") / F.col("_lo") > compact)
+    x = x.withColumn("typical", F.bround(F.col("_total") / F.col("_m")).cast("long"))
+    x = x.withColumn("_v", F.col("_m") >= F.greatest(F.lit(least), F.floor((F.col("_n") + 2) / 4)))
+    x = x.withColumn("_any", F.max("_v").over(whole)).filter(F.col("_v") | ~F.col("_any"))
     order = {"low": [F.col("typical"), -F.col("_m")], "high": [-F.col("typical"), -F.col("_m")]}.get(want, [-F.col("_m"), F.abs(F.col("typical") - F.col("_med"))])
-    one = latest(x, by, [*order, F.col("_c")]).filter(F.col("_m") >= least)
+    one = latest(x, by, [*order, F.col("_centre")]).filter(F.col("_m") >= least)
     out = one.withColumns({"low": F.greatest(F.lit(1).cast("long"), F.floor(F.col("typical") / span)), "high": F.floor(F.col("typical") * span)})
     if want is None:
         out = out.filter(~((F.col("_lo") >= F.col("low")) & (F.col("_hi") <= F.col("high"))))

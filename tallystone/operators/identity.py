@@ -7,14 +7,12 @@ are the connected components of the accepted pairs.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tallystone.sources.storage import stored
 from tallystone.functions.text import digest, fold, normalize_gtin, quantity, screen_inches, tokens
 
 #: Least confidence of a pair, of a text match, and shared words it needs.
@@ -64,26 +62,15 @@ def candidate_pairs(items: DataFrame, block: list[str], shared: int = SHARED_WOR
     return each.join(other, [*block, "_w"]).filter(F.col("id") < F.col("_b")).groupBy(F.col("id").alias("a"), F.col("_b").alias("b")).agg(F.count("*").alias("shared")).filter(F.col("shared") >= shared)
 
 
-def _folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="groups-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    path = _folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, root: the smallest id that each node reaches over edges (a, b). Every round hooks roots to smaller neighbours and halves the paths."""
-    both = _stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = _stored(nodes.select("id", F.col("id").alias("root")))
+    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    label = stored(nodes.select("id", F.col("id").alias("root")))
     while True:
         seen = both.join(label, both["b"] == label["id"]).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("_m"))
-        hooked = _stored(label.join(seen, "id", "left").select("id", F.col("root").alias("_old"), F.least("root", F.coalesce("_m", "root")).alias("root")))
+        hooked = stored(label.join(seen, "id", "left").select("id", F.col("root").alias("_old"), F.least("root", F.coalesce("_m", "root")).alias("root")))
         jump = hooked.select(F.col("id").alias("root"), F.col("root").alias("_top"))
-        new = _stored(hooked.join(jump, "root").select("id", F.least("_top", "root").alias("root"), (F.least("_top", "root") != F.col("_old")).alias("_moved")))
+        new = stored(hooked.join(jump, "root").select("id", F.least("_top", "root").alias("root"), (F.least("_top", "root") != F.col("_old")).alias("_moved")))
         label = new.select("id", "root")
         if not new.filter("_moved").limit(1).count():
             return label
@@ -94,9 +81,9 @@ def cluster(products: DataFrame, block: list[str], accept: float = ACCEPT) -> Da
 
     Listings with one compare_code are one class; classes meet in their block.
     """
-    known = _stored(identity(products))
+    known = stored(identity(products))
     classes = known.groupBy("compare_code", *block).agg(F.min("id").alias("id"))
-    first = _stored(known.join(classes.select("id"), "id", "left_semi"))
+    first = stored(known.join(classes.select("id"), "id", "left_semi"))
     pairs = candidate_pairs(first, block)
     x = pairs.join(first.alias("l"), F.col("a") == F.col("l.id")).join(first.alias("r"), F.col("b") == F.col("r.id"))
     good = x.withColumn("confidence", confidence()).filter(F.col("confidence") >= accept).select("a", "b")

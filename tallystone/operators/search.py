@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that one task compares with its rows at once.
-QUERY_BLOCK = 1024
+#: Query vectors, and vectors, that one task compares at once.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 65536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -26,40 +26,33 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, place: the k nearest vectors of each query by cosine, ties by id.
 
-    queries (query_id, embedding) are a stated set. They are dealt in blocks, every
-    block meets every partition of vectors once, and each task passes on its own
-    best k of a query only; a window ranks those.
+    queries (query_id, embedding) are a stated set. Queries and vectors are dealt
+    into blocks by hashes of their ids; every block of queries meets every block of
+    vectors in one task, which passes on its own best k of a query only, and a
+    window ranks those. Only two counts come to the driver.
     """
-    q = queries.select("query_id", "embedding").withColumn("_block", F.floor(F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)) / F.lit(1 << 20)).cast("int"))
-    rows = q.collect()  # a stated set of queries
-    blocks = [rows[i : i + QUERY_BLOCK] for i in range(0, len(rows), QUERY_BLOCK)]
-    out = None
-    for block in blocks:
-        ids = np.array([r["query_id"] for r in block], np.int64)
-        matrix = np.array([r["embedding"] for r in block], np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-        def run(batches, shared=shared):
-            ids, matrix = shared.value
-            best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
-            for batch in batches:
-                v = np.array(batch.column(1).to_pylist(), np.float64)
-                if not len(v):
-                    continue
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                best = np.concatenate([best, matrix @ v.T], 1)
-                best_id = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), len(v)))], 1)
-                order = np.lexsort((best_id, -np.round(best, 9)))[:, :k]
-                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(best_id.reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", "vec_id", "score"])
-
-        part = vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
-    out = out.withColumn("score", F.round("score", 6))
+    blocks = lambda df, size: max(1, -(-df.count() // size))
+    n_queries, n_vectors = blocks(queries, QUERY_BLOCK), blocks(vectors, VECTOR_BLOCK)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("known"), deal("vec_id", n_vectors).alias("vb"), every(n_queries).alias("qb"))
+    q = queries.select(F.col("query_id").cast("long"), F.col("embedding").alias("asked"), every(n_vectors).alias("vb"), deal("query_id", n_queries).alias("qb"))
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        m = np.array(column.to_pylist(), np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids, asked = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
+        order = np.argsort(ids)
+        ids, score = ids[order], unit(right["asked"]) @ unit(left["known"])[order].T
+        best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+        n = best.shape[1]
+        return pa.table({"query_id": np.repeat(asked, n), "vec_id": ids[best].reshape(-1), "score": np.take_along_axis(score, best, 1).reshape(-1)})
+
+    out = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(run, "query_id long, vec_id long, score double").withColumn("score", F.round("score", 6))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return out.withColumn("place", place).filter(F.col("place") <= k)
 

@@ -87,18 +87,26 @@ def fake_discount(current: Column, previous: Column, base: Column, margin: float
 def classified_drops(points: DataFrame, key: list[str], order: list[str], days: int = BASELINE_DAYS, recent: int = RECENT_DAYS) -> DataFrame:
     """Drop events with inflated: judged by the history up to each drop alone.
 
-    A product's prices are gathered once by key (the history of one product in one
-    store) and each drop looks at its own prefix.
+    The history of one product in one store is gathered once, in order; each drop
+    looks at the part of that array before it.
     """
-    w = ordered(key, order)
-    history = F.collect_list(F.struct("ts", "price")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = points.withColumn("previous_price", F.lag("price").over(w)).withColumn("_h", history).filter("previous_price > price and price > 0")
-    from_, to = F.col("ts") - F.expr(f"INTERVAL {days} DAYS"), F.col("ts") - F.expr(f"INTERVAL {recent} DAYS")
-    inside = F.transform(F.filter("_h", lambda p: (p["ts"] >= from_) & (p["ts"] < to)), lambda p: p["price"])
-    older = F.when(F.size(inside) >= 2, inside).otherwise(F.transform(F.slice("_h", 1, F.size("_h") - 1), lambda p: p["price"]))
-    rows = rows.withColumn("_s", F.array_sort(older)).withColumn("_base", round_even(middle(F.col("_s"))))
+    rest = [c for c in points.columns if c not in key and c not in order]
+    history = points.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("_h"))
+    price = lambda i: F.get("_h", i)["price"]
+
+    def judged(p: Column, i: Column) -> Column:
+        from_, to = p["ts"] - F.expr(f"INTERVAL {days} DAYS"), p["ts"] - F.expr(f"INTERVAL {recent} DAYS")
+        before = F.slice("_h", F.lit(1), i)
+        inside = F.filter(before, lambda q: (q["ts"] >= from_) & (q["ts"] < to))
+        older = F.transform(F.when(F.size(inside) >= 2, inside).otherwise(before), lambda q: q["price"])
+        return F.struct(p.alias("p"), price(i - 1).alias("previous_price"), F.array_sort(older).alias("s"))
+
+    fell = lambda p, i: (price(i - 1) > p["price"]) & (p["price"] > 0)
+    numbered = F.filter(F.transform("_h", lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: F.coalesce(fell(x["p"], x["i"]), F.lit(False)))
+    rows = history.select(*key, F.explode(F.transform(numbered, lambda x: judged(x["p"], x["i"]))).alias("_d")).select(*key, "_d.p.*", "_d.previous_price", "_d.s")
+    rows = rows.withColumn("_base", round_even(middle(F.col("s"))))
     out = rows.withColumn("percent", F.round((F.col("previous_price") - F.col("price")) * 100 / F.col("previous_price"), 1))
-    return out.withColumn("inflated", fake_discount(F.col("price"), F.col("previous_price"), F.col("_base"))).drop("_h", "_s", "_base")
+    return out.withColumn("inflated", fake_discount(F.col("price"), F.col("previous_price"), F.col("_base"))).drop("s", "_base")
 
 
 def middle(sorted_: Column) -> Column:

@@ -151,13 +151,13 @@ def offer_checks(spark, sf_dir):
     return A.field_checks(line, ["stock", "price"])
 
 
-_BASKET = f"""{OFF}, st AS (SELECT 's' || n_nationkey AS store FROM nation WHERE n_nationkey < 7), it AS (SELECT p_partkey AS item, p_size::BIGINT AS quantity FROM part WHERE p_partkey % 97 = 0),
+_BASKET = f"""{OFF}, st AS (SELECT 's' || n_nationkey AS store FROM nation WHERE n_nationkey < 7), it AS (SELECT p_partkey AS item, p_size::BIGINT AS quantity FROM part),
 m AS (SELECT product_id AS item, store, price, stock > 0 AS usable FROM off), k AS (SELECT DISTINCT store FROM m),
 g AS (SELECT it.item, st.store, it.quantity, CASE WHEN m.usable THEN 'usable' WHEN m.item IS NOT NULL THEN 'unusable' WHEN k.store IS NOT NULL THEN 'no_match' ELSE 'no_catalog' END AS state, CASE WHEN m.usable THEN m.price END AS price FROM it CROSS JOIN st LEFT JOIN m ON m.item = it.item AND m.store = st.store LEFT JOIN k ON k.store = st.store)"""
 
 
 def _grid(spark, sf_dir):
-    items = table(spark, sf_dir, "part").filter("p_partkey % 97 = 0").select(F.col("p_partkey").alias("item"), F.col("p_size").cast("long").alias("quantity"))
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), F.col("p_size").cast("long").alias("quantity"))
     stores = table(spark, sf_dir, "nation").filter("n_nationkey < 7").select(F.concat(F.lit("s"), F.col("n_nationkey").cast("string")).alias("store"))
     matches = offers(spark, sf_dir).select(F.col("product_id").alias("item"), "store", "price", (F.col("stock") > 0).alias("usable"), F.lit(1.0).alias("confidence"))
     return A.basket(items, stores, matches)

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tallystone.operators import catalog as C
 from tallystone.operators import identity as I
 from tallystone.registry import query
+from tallystone.sources.storage import shared_folder
 from tallystone.sources import listings as L
 from tallystone.sources import sinks as K
 from tallystone.streaming import flows
@@ -18,9 +16,8 @@ from .views import DAY, KEY, OBS, OFF, ORD, ORDER, observations, offers, table
 
 
 def _work(spark) -> str:
-    """A fresh folder below spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="flows-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A fresh folder for streams."""
+    return shared_folder(spark)
 
 
 _D = "timezone('America/Santiago', timezone('UTC', ts))"
@@ -100,15 +97,24 @@ def search_results(spark, sf_dir):
     return K.search_results(groups).select("search_id", "store", "product_id", "position")
 
 
-@query(f"""WITH {OFF}, p AS (SELECT *, 'c' || product_id AS code FROM off)
-SELECT 'catalog_products' AS tbl, count(DISTINCT code) AS n, md5(string_agg(DISTINCT 'prod:' || sha256(code), ',' ORDER BY 'prod:' || sha256(code))) AS ids FROM p UNION ALL SELECT 'offers', count(*), md5(string_agg('offer:' || sha256(store || '|' || product_id), ',' ORDER BY 'offer:' || sha256(store || '|' || product_id))) FROM p
-UNION ALL SELECT 'sellers', count(DISTINCT store), md5(string_agg(DISTINCT 'seller:' || sha256(store), ',' ORDER BY 'seller:' || sha256(store))) FROM p""")
+@query(f"""WITH {OFF}, p AS (SELECT *, 'prod:' || sha256('c' || product_id) AS pid, 'offer:' || sha256(store || '|' || product_id) AS oid, 'seller:' || sha256(store) AS sid FROM off)
+SELECT 'catalog_products' AS tbl, pid AS id, min(name) AS a, min(brand) AS b, NULL::BIGINT AS price FROM p GROUP BY pid UNION ALL SELECT 'offers', oid, pid, sid, price FROM p UNION ALL SELECT DISTINCT 'sellers', sid, store, NULL, NULL FROM p
+UNION ALL SELECT 'price_observations', 'obs:' || sha256(store || '|' || product_id || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S')), oid, NULL, price FROM p UNION ALL SELECT 'shipping_quotes', oid, NULL, NULL, shipping_cost FROM p WHERE shipping_cost IS NOT NULL""")
 def normalized_records(spark, sf_dir):
+    """Rows of the normalized tables of all offers, each with two of its columns and its sum."""
     p = offers(spark, sf_dir).withColumn("compare_code", F.concat(F.lit("c"), F.col("product_id").cast("string")))
     tables = K.normalized(p)
+    none, number = F.lit(None).cast("string"), F.lit(None).cast("long")
+    parts = {
+        "catalog_products": ("canonical_id", F.col("name"), F.col("brand"), number),
+        "offers": ("offer_id", F.col("canonical_id"), F.col("seller_id"), F.col("price")),
+        "sellers": ("seller_id", F.col("store"), none, number),
+        "price_observations": ("observation_id", F.col("offer_id"), none, F.col("price")),
+        "shipping_quotes": ("offer_id", none, none, F.col("shipping_cost")),
+    }
     out = None
-    for name, key in (("catalog_products", "canonical_id"), ("offers", "offer_id"), ("sellers", "seller_id")):
-        one = tables[name].agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(key)), ",").cast("binary")).alias("ids")).select(F.lit(name).alias("tbl"), "n", "ids")
+    for name, (key, a, b, price) in parts.items():
+        one = tables[name].select(F.lit(name).alias("tbl"), F.col(key).alias("id"), a.alias("a"), b.alias("b"), price.alias("price"))
         out = one if out is None else out.unionByName(one)
     return out
 

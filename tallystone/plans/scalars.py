@@ -13,19 +13,21 @@ _FOLD = f"trim(regexp_replace(translate(lower(coalesce({{}}, '')), '{text.ACCENT
 _FOLDS = f"trim(regexp_replace(regexp_replace(translate(lower(coalesce({{}}, '')), '{text.ACCENTED}', '{text.PLAIN}'), '[+/-]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
-def _cases(c: str, rules, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({c}, '{p}') THEN '{v}'" for p, v in rules) + f" ELSE '{default}' END"
+def _paths(c: str) -> str:
+    """The path groups as a CASE over a cleaned path."""
+    rules = [(name, " OR ".join([f"{c} IN ({', '.join(repr(p) for p in whole)})", *(f"starts_with({c}, '{p}')" for p in begins)])) for name, (whole, begins) in text.PATH_GROUPS.items()]
+    return "CASE " + " ".join(f"WHEN {rule} THEN '{name}'" for name, rule in rules) + " ELSE 'otro' END"
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
-@query(f"""SELECT doc_id, md5({_FOLD.format('text')}) AS folded, substr(regexp_replace(regexp_replace({_FOLD.format('text[:60]')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug,
+@query(f"""SELECT doc_id, md5({_FOLD.format('text')}) AS folded, substr(regexp_replace(regexp_replace({_FOLD.format('text')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug,
   sha256(array_to_string(regexp_extract_all({_FOLD.format('text')}, '[a-z0-9]+'), ' '))[:24] AS query_digest FROM documents""")
 def fold_and_digest(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     t = F.col("text")
-    return d.select("doc_id", F.md5(text.fold(t).cast("binary")).alias("folded"), F.substring(text.slug(F.substring(t, 1, 60)), 1, 40).alias("slug"), text.digest(text.canonical_query(t)).alias("query_digest"))
+    return d.select("doc_id", F.md5(text.fold(t).cast("binary")).alias("folded"), F.substring(text.slug(t), 1, 40).alias("slug"), text.digest(text.canonical_query(t)).alias("query_digest"))
 
 
 @query(f"""WITH f AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace({_FOLDS.format('text')}, '([0-9]{{1,4}})\\s*(pulgadas?|pulg\\.?|"|'''')', '\\1pulgadas', 'g'), '([0-9]{{1,4}})\\s*(litros?|lts?\\.?)\\b', '\\1litros', 'g'), '[a-z0-9]+') AS w FROM documents),
@@ -50,7 +52,7 @@ def strip_html_pages(spark, sf_dir):
 _PATH = "regexp_replace(regexp_replace('/' || regexp_extract(url, '^[a-z]+://[^/]*/(.*)$', 1), '[?#].*$', ''), '/+$', '')"
 
 
-@query(f"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, {_cases(f"CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END", text.PATH_GROUPS, 'otro')} AS path_group, 'page:' || sha256(page_id || '|' || coalesce(url, '')) AS id FROM pages""")
+@query(f"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, {_paths(f"(CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END)")} AS path_group, 'page:' || sha256(page_id || '|' || coalesce(url, '')) AS id FROM pages""")
 def page_urls(spark, sf_dir):
     u = F.col("url")
     path = F.concat(F.lit("/"), F.regexp_extract(u, "^[a-z]+://[^/]*/(.*)$", 1))
@@ -105,20 +107,38 @@ def relevance_scores(spark, sf_dir):
     return scored.groupBy("query").agg(F.count(F.when(F.col("r.accepted"), 1)).alias("accepted"), F.round(F.sum("r.score"), 3).alias("scores"))
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN regexp_matches(f, 'reacondicionad|usad[oa]') THEN 'x' ELSE NULL END IS NOT NULL AS used_words, {_cases('f', [(p.replace('\\b', '\\b'), v) for p, v in text.CATEGORY_ICONS], 'other')} AS icon FROM (SELECT conv_id, turn, {_FOLDS.format('text')} AS f FROM conversations)""")
+#: Icons of this corpus' topics.
+ICONS = {"code": ["function*", "code", "python", "sql"], "data": ["data*", "table*", "list"], "food": ["comida", "receta*", "food"], "numbers": ["number*", "suma", "total*"], "words": ["text*", "word*", "write", "explain"]}
+_WORDS = f"' ' || array_to_string(regexp_extract_all({_FOLD.format('text')}, '[a-z0-9]+'), ' ') || ' '"
+_ICONS = " ".join("WHEN regexp_matches(w, ' (" + "|".join(p.replace("*", "[a-z0-9]*") for p in listed) + f") ') THEN '{name}'" for name, listed in ICONS.items())
+
+
+@query(f"SELECT conv_id, turn, CASE {_ICONS} ELSE 'other' END AS icon, regexp_matches(w, ' (usado|usada|usados|usadas|segunda mano|pre owned|preowned) ') AS used_words FROM (SELECT conv_id, turn, {_WORDS} AS w FROM conversations)")
 def conversation_labels(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.fold(t, separators=True).rlike("reacondicionad|usad[oa]").alias("used_words"), text.category_icon(t).alias("icon"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.category_icon(t, ICONS).alias("icon"), text.has_phrase(text.phrases(t), commerce.CONDITIONS["used"]).alias("used_words"))
 
 
-@query("""WITH s AS (SELECT event_id, user_id, CASE user_id % 6 WHEN 0 THEN 'TV 55" usado' WHEN 1 THEN 'Leche 1,5 litros nueva' WHEN 2 THEN 'Despacho gratis sobre $19.990, 12 cuotas CAE: 33,5% costo total $ 250.000' WHEN 3 THEN 'Notebook caja abierta 500 gr' WHEN 4 THEN 'Monitor 27 retiro en tienda envio por 3.990' ELSE 'Galletas 140 g' END AS t FROM events)
-SELECT event_id, ['used', 'new', 'unknown', 'open_box', 'unknown', 'unknown'][user_id % 6 + 1] AS condition, [NULL, 1500.0, NULL, 500.0, NULL, 140.0][user_id % 6 + 1]::DOUBLE AS amount, [55, NULL, NULL, NULL, 27, NULL][user_id % 6 + 1]::INT AS inches,
-  [NULL, NULL, 19990, NULL, NULL, NULL][user_id % 6 + 1]::BIGINT AS free_over, [NULL, NULL, NULL, NULL, 3990, NULL][user_id % 6 + 1]::BIGINT AS cost, user_id % 6 = 4 AS pickup, CASE WHEN user_id % 6 = 2 THEN 33.5::DOUBLE END AS apr, CASE WHEN user_id % 6 = 2 THEN 12 END::INT AS instalments, CASE WHEN user_id % 6 = 2 THEN 250000 END::BIGINT AS total FROM s""")
+@query("""WITH s AS (SELECT event_id, event_id % 6 AS k, event_id AS n FROM events)
+SELECT event_id, CASE k WHEN 0 THEN 'used' WHEN 1 THEN 'new' WHEN 3 THEN 'open_box' ELSE 'unknown' END AS condition, CASE k WHEN 1 THEN (1.5 + n % 9) * 1000 WHEN 3 THEN 100 + n % 900 WHEN 5 THEN 50 + n % 450 END::DOUBLE AS amount,
+  CASE k WHEN 0 THEN 20 + n % 90 WHEN 4 THEN 15 + n % 60 END::INT AS inches, CASE WHEN k = 2 THEN (10 + n % 80) * 1000 + 990 END AS free_over, CASE WHEN k = 4 THEN (1 + n % 9) * 1000 + 990 END AS cost, k = 4 AS pickup,
+  CASE WHEN k = 2 THEN 10.5 + n % 50 END::DOUBLE AS apr, CASE WHEN k = 2 THEN 3 + n % 40 END::INT AS instalments, CASE WHEN k = 2 THEN (100 + n % 800) * 1000 END AS total FROM s""")
 def listing_prose(spark, sf_dir):
-    texts = ['TV 55" usado', "Leche 1,5 litros nueva", "Despacho gratis sobre $19.990, 12 cuotas CAE: 33,5% costo total $ 250.000", "Notebook caja abierta 500 gr", "Monitor 27 retiro en tienda envio por 3.990", "Galletas 140 g"]
-    t = F.element_at(F.array(*(F.lit(x) for x in texts)), (F.col("user_id") % 6 + 1).cast("int"))
+    """Listing texts made from each event's number, and what is read from them."""
+    n = F.col("event_id")
+    say = lambda pattern, *values: F.format_string(pattern, *(v.cast("long") for v in values))
+    texts = [
+        say('TV %d" usado', 20 + n % 90),
+        say("Leche %d,5 litros nueva", 1 + n % 9),
+        say("Despacho gratis sobre $%d.990, %d cuotas CAE: %d,5%% costo total $ %d.000", 10 + n % 80, 3 + n % 40, 10 + n % 50, 100 + n % 800),
+        say("Notebook caja abierta %d gr", 100 + n % 900),
+        say("Monitor %d retiro en tienda envio por %d.990", 15 + n % 60, 1 + n % 9),
+        say("Galletas %d g", 50 + n % 450),
+    ]
+    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*texts), (n % 6 + 1).cast("int")).alias("t"))
+    t = F.col("t")
     q, ship, fin = text.quantity(t), commerce.shipping(t), commerce.financing(t)
-    return table(spark, sf_dir, "events").select(
+    return rows.select(
         "event_id", commerce.condition(F.lit(None).cast("string"), t).alias("condition"), F.when(q["unit"] != "un", q["amount"]).alias("amount"), text.screen_inches(text.fold(t)).alias("inches"),
         ship["free_over"].alias("free_over"), ship["cost"].alias("cost"), ship["pickup"].alias("pickup"), fin["apr"].alias("apr"), fin["instalments"].alias("instalments"), fin["total"].alias("total"),
     )

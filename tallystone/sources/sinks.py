@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallystone.functions.text import stable_id
 from tallystone.operators.series import local_day
 
+from .storage import stored
+
 
 def first_of_key(batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in a batch: a batch is idempotent."""
@@ -72,8 +74,8 @@ def export_json(rows: DataFrame, path: str) -> None:
 
 
 def renumbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with n, 1 and up in this order: sorted by range, numbered by partition offsets, so no task sees all rows."""
-    x = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    """rows with n, 1 and up in this order: sorted by range and written once, numbered by partition offsets, so no task sees all rows."""
+    x = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     w = Window.partitionBy("_p").orderBy("_i")
     x = x.withColumn("_k", F.row_number().over(w))
     sizes = x.groupBy("_p").agg(F.count("*").alias("_c"))
