@@ -74,11 +74,11 @@ def transfer_curve(points: DataFrame, event: list[str], order: list[str], horizo
     return full.groupBy("day").agg(F.count("*").alias("events"), *(F.round(F.percentile("ratio", F.lit(p)), 4).alias(f"p{int(p * 100)}") for p in percentiles)).filter(F.col("events") >= least_events)
 
 
-def summary(points: Column, current: Column, observations: Column) -> Column:
+def summary(points: Column, current: Column, observations: Column, high: int = 90, medium: int = 30) -> Column:
     """Struct mean, trend (2 percent), confidence by the number of observations, of an array of projected prices."""
     mean = F.aggregate(points, F.lit(0.0).cast("double"), lambda a, x: a + x) / F.size(points)
     trend = F.when(mean <= current * (1 - TREND), "down").when(mean >= current * (1 + TREND), "up").otherwise("stable")
-    return F.struct(F.round(mean, 2).alias("mean"), trend.alias("trend"), F.when(observations >= 90, "high").when(observations >= 30, "medium").otherwise("low").alias("confidence"))
+    return F.struct(F.round(mean, 2).alias("mean"), trend.alias("trend"), F.when(observations >= high, "high").when(observations >= medium, "medium").otherwise("low").alias("confidence"))
 
 
 def supported_drop(points: Column, upper: Column, current: Column, least: float = 0.6) -> Column:
@@ -90,3 +90,53 @@ def supported_drop(points: Column, upper: Column, current: Column, least: float
 
 def unseen(snapshots: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
     return snapshots.join(old.select(*key).distinct(), key, "left_anti")
+
+
+def upper_quantile(quantiles: Column, least: float = 0.8, days: int = 7) -> Column:
+    """The valid values of the highest quantile from ``least`` on, of a map of names to arrays; null for none."""
+    usable = F.filter(F.map_entries(quantiles), lambda e: e["key"].try_cast("double") >= least)
+    highest = F.array_max(F.transform(usable, lambda e: F.struct(e["key"].try_cast("double").alias("q"), F.filter(F.slice(e["value"], 1, days), lambda v: v > 0).alias("v"))))
+    return highest["v"]
+
+
+def price_signal(points: Column, quantiles: Column, current: Column) -> Column:
+    """Struct status (exceptional below all quantiles, above_expected over them, within_expected) and difference_percent from the mean."""
+    mean = F.aggregate(points, F.lit(0.0).cast("double"), lambda a, x: a + x) / F.size(points)
+    values = F.flatten(F.map_values(quantiles))
+    status = F.when(current < F.array_min(values), "exceptional").when(current > F.array_max(values), "above_expected").otherwise("within_expected")
+    return F.struct(status.alias("status"), F.round((current - mean) * 100 / mean, 1).alias("difference_percent"))
+
+
+def eta_days(points: Column, trend: Column, low: Column, high: Column, base: Column, horizon: int) -> Column:
+    """The first day, from 1, whose projected price is in the range or beyond the trend; the last one for none."""
+    hit = lambda p: p.between(low, high) | ((trend == "down") & (p <= base * (1 - TREND))) | ((trend == "up") & (p >= base * (1 + TREND)))
+    days = F.filter(F.transform(points, lambda p, i: F.when(F.coalesce(hit(p), F.lit(False)), i + 1)), lambda d: d.isNotNull())
+    return F.coalesce(F.array_min(days), F.greatest(F.lit(1), F.least(F.lit(horizon), F.size(points))))
+
+
+def repeated(points: Column, last: Column, horizon: int) -> Column:
+    """The plain forecast: the last value for each day."""
+    return F.array_repeat(last, horizon)
+
+
+def prepared(products: DataFrame, points: DataFrame, key: list[str], least_days: int = 30, least_span: int = 30) -> DataFrame:
+    """products with gate: the first condition for a forecast that they miss (identity, stock, days, span), or ready."""
+    h = points.filter("price > 0").withColumn("_day", S.local_day("ts")).groupBy(*key).agg(F.countDistinct("_day").alias("_days"), (F.datediff(F.max("_day"), F.min("_day")) + 1).alias("_span"))
+    gate = F.when(F.col("compare_code").isNull(), "identity").when(F.coalesce(F.col("stock") <= 0, F.lit(False)), "stock").when(F.coalesce("_days", F.lit(0)) < least_days, "days").when(F.col("_span") < least_span, "span").otherwise("ready")
+    return products.join(h, key, "left").withColumn("gate", gate).drop("_days", "_span")
+
+
+def by_priority(sources: list[DataFrame], key: list[str], limit: int) -> DataFrame:
+    """key, priority: the keys of sources in order, each once under the first source that has it, up to a limit."""
+    out = None
+    for i, df in enumerate(sources, 1):
+        one = df.select(*key, F.lit(i).alias("priority"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(*key).agg(F.min("priority").alias("priority")).orderBy("priority", *key).limit(limit)
+
+
+def attached(cards: DataFrame, forecasts: DataFrame, key: list[str], models: list[str], order: list[Column]) -> DataFrame:
+    """cards with the columns of their best forecast: by preference of model, then in this order; null for none."""
+    preference = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(m) for m in models)), F.col("model")), F.lit(0)), F.lit(len(models) + 1))
+    one = forecasts.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(preference, *order))).filter("_n = 1").drop("_n")
+    return cards.join(one, key, "left")

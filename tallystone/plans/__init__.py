@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallystone.registry import ORACLES, QUERIES
 
-from . import decisions, flows, offers, scalars, series, stats, store, usage  # noqa: F401
+from . import decisions, events, flows, keys, offers, scalars, series, stats, store, usage  # noqa: F401
 
 
 def queries() -> dict:
