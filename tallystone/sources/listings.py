@@ -102,7 +102,7 @@ def read_import(spark: SparkSession, path: str, aliases: dict[str, list[str]], r
     return out.filter(F.col(required).isNotNull())
 
 
-def read_seed(spark: SparkSession, path: str) -> DataFrame:
-    """id, name, alias, group of a JSON seed of generic products, one row an alias and group."""
-    x = spark.read.schema("id string, name string, aliases array<string>, groups array<string>").json(path, multiLine=True)
+def read_seed(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """id, name, alias, group of a JSON seed of generic products (an array, or one product a line), one row an alias and group."""
+    x = spark.read.schema("id string, name string, aliases array<string>, groups array<string>").json(path, multiLine=not lines)
     return x.select("id", "name", F.explode_outer("aliases").alias("alias"), "groups").select("id", "name", "alias", F.explode_outer("groups").alias("group"))
