@@ -119,6 +119,39 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 
+OP2_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(8), lambda g: list_reduce(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (5 * g + 1)::INT, 5))::BIGINT >> s) & 31) + 1)::INT, 1)), lambda a, b: a || b)), '') AS digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(t)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = rf"""
+WITH b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS pos, w FROM b WHERE len(w) > 0),
+v AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, pos, pos + k - 1), ' ') AS win FROM i),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT rid, k, w, unnest(range(1, greatest(1, len(w) - k + 2))) AS pos FROM d, (SELECT DISTINCT k FROM v)),
+h AS (SELECT rid, pos, p.k, item FROM (SELECT rid, k, pos, array_to_string(list_slice(w, pos, pos + k - 1), ' ') AS win FROM p) p JOIN v ON p.k = v.k AND p.win = v.win),
+n AS (SELECT rid, count(DISTINCT q)::BIGINT AS n_hit FROM (SELECT rid, unnest(range(pos, pos + k)) AS q FROM h) GROUP BY 1),
+m AS (SELECT rid, count(DISTINCT item)::BIGINT AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (rid) LEFT JOIN m USING (rid)
+"""
+
+OP6_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+c AS (SELECT md5(array_to_string(s, chr(10))) AS cls, min(doc_id) AS id, any_value(s) AS s, any_value(len(s)) AS n FROM s WHERE len(s) > 0 GROUP BY 1),
+x AS (SELECT id, n, hash(unnest(s)) AS g FROM c),
+e AS (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+t AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT id, id AS root FROM c UNION SELECT t.b, r.root FROM r JOIN t ON t.a = r.id),
+k AS (SELECT id, min(root) AS root FROM r GROUP BY 1)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(k.root, s.doc_id) AS component_id, s.doc_id = coalesce(k.root, s.doc_id) AS kept FROM s LEFT JOIN c ON len(s.s) > 0 AND md5(array_to_string(s.s, chr(10))) = cls LEFT JOIN k USING (id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express."""
-    return {"op7_quality_rules": OP7_SQL, "op9_source_mix": OP9_SQL}
+    return {"op2_arc_to_warc": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_source_mix": OP9_SQL}

@@ -56,7 +56,7 @@ def texts(docs):
 @pytest.fixture(scope="module")
 def odd(spark, docs):
     """Null ids, repeated rows, a repeated id with another text, and columns with clashing names."""
-    very_long = invented(8, 200000) + "\n" + "z" * 1000000
+    very_long = invented(8, 60000) + "\n" + "z" * 600000
     more = spark.createDataFrame([(900, very_long, "en", "s2", 5), (None, invented(1, 120), None, None, None), (None, None, None, None, None), (3, "another text for an id that is there already", "en", "s1", 3)], SCHEMA)
     extra = {c: F.lit("mine") for c in ("score", "key", "row", "salt", "hash", "n_words", "size", "bucket", "id", "part", "hit_items", "hit_spans", "label", "extra", "epochs", "_size", "_score", "_doc", "_whole", "block", "root", "digest", "inner", "text_a", "n_tokens")}
     return docs.unionByName(more).unionByName(docs.filter("doc_id < 3")).withColumns(extra)
