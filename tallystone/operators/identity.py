@@ -1,36 +1,86 @@
 """Which listings are one product: identity columns, codes, blocks, pair confidence and groups.
 
 Listings that agree in everything that is compared are one class from the start.
-Pairs are made inside a block of classes only, on a shared word, and the groups
-are the connected components of the accepted pairs.
+Pairs are made inside a block of classes only, on shared words that are not too
+common there, and the groups are the connected components of the accepted pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tallystone.functions.commerce import condition_group
+from tallystone.functions.keys import main_storage, manufacturer_codes, power_tokens
+from tallystone.functions.text import digest, fold, normalize_gtin, screen_inches, tokens
 from tallystone.sources.storage import stored
-from tallystone.functions.text import digest, fold, normalize_gtin, quantity, screen_inches, tokens
 
 #: Least confidence of a pair, of a text match, and shared words it needs.
 ACCEPT, TEXT, SHARED_WORDS = 0.84, 0.72, 2
+_SIZE = r"([0-9]+(?:[.,][0-9]+)?) ?(ml|cc|lts?|litros?|l|kg|grs?|gramos?|mg|g)\b"
+_PIECES = r"(?:unidades|unidad|und|un|uds?|comprimidos|capsulas|tabletas|sobres|rollos|piezas)"
+
+
+def _measure(amount: Column, unit: Column) -> Column:
+    """An amount in ml, g or mg with its unit, as one word."""
+    n = F.replace(amount, F.lit(","), F.lit(".")).try_cast("double") * F.when(unit.rlike("^(l|lts?|litros?|kg)$"), 1000).otherwise(1)
+    name = F.when(unit.rlike("^(ml|cc|l|lts?|litros?)$"), "ml").when(unit == "mg", "mg").otherwise("g")
+    number = F.when(n == F.floor(n), F.floor(n).cast("string")).otherwise(F.round(n, 2).cast("string"))
+    return F.concat(number, name)
+
+
+def pack_tokens(text: Column) -> Column:
+    """What a package holds, as sorted words: 6x100ml, 12un, 1500g; one unit where no count is told.
+
+    Each kind of expression is read from what the kinds before it left.
+    """
+    rest, found = fold(text), []
+    count = lambda n: F.concat(n.cast("int").cast("string"), F.lit("un"))
+    kinds: list[tuple[str, Callable[[Column], Column]]] = [
+        (rf"\b([0-9]{{1,3}}) ?x ?{_SIZE}", lambda m: F.concat(F.regexp_extract(m, r"^([0-9]+)", 1).cast("int").cast("string"), F.lit("x"), _measure(F.regexp_extract(m, rf"x ?{_SIZE}", 1), F.regexp_extract(m, rf"x ?{_SIZE}", 2)))),
+        (rf"\b[0-9]{{1,4}} ?{_PIECES}\b", lambda m: count(F.regexp_extract(m, "^([0-9]+)", 1))),
+        (r"\bpack (?:de |x ?)?[0-9]{1,3}\b", lambda m: count(F.regexp_extract(m, "([0-9]+)$", 1))),
+        (r"\b[0-9]{1,3} ?packs?\b", lambda m: count(F.regexp_extract(m, "^([0-9]+)", 1))),
+        (r"\bx ?[0-9]{1,3}\b", lambda m: count(F.regexp_extract(m, "([0-9]+)$", 1))),
+        (rf"\b{_SIZE}", lambda m: _measure(F.regexp_extract(m, _SIZE, 1), F.regexp_extract(m, _SIZE, 2))),
+    ]
+    for pattern, word in kinds:
+        found.append(F.transform(F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1)), word))
+        rest = F.regexp_replace(rest, pattern, " # ")
+    all_ = F.array_distinct(reduce(lambda a, b: F.concat(a, b), found))
+    counted = F.exists(all_, lambda w: w.rlike("^[0-9]+(un|x)"))
+    return F.array_sort(F.when(counted, all_).otherwise(F.array_append(all_, F.lit("1un"))))
 
 
 def identity(products: DataFrame) -> DataFrame:
-    """products (name, brand, gtin) with words, models, storage, inches, pack, gtin14, fingerprint and compare_code."""
-    name = fold(F.concat_ws(" ", "name"))
-    words = tokens(F.col("name"))
-    models = F.array_sort(F.array_distinct(F.filter(words, lambda w: w.rlike("[a-z]") & w.rlike("[0-9]") & ~w.rlike("^[0-9]+(gb|tb|mb|hz|w|ml|kg|cm|mm|pulgadas|litros)$"))))
-    storage = F.array_max(F.transform(F.filter(words, lambda w: w.rlike("^[0-9]+(gb|tb)$")), lambda w: F.regexp_extract(w, "^([0-9]+)", 1).cast("int") * F.when(w.endswith("tb"), 1024).otherwise(1)))
-    out = products.withColumns({"words": F.array_sort(F.array_distinct(words)), "models": models, "storage": storage, "inches": screen_inches(name), "pack": quantity(F.col("name")), "gtin14": normalize_gtin(F.col("gtin").cast("string"))})
-    parts = [fold(F.col("brand")), F.array_join("models", "-"), F.col("storage").cast("string"), F.col("inches").cast("string"), F.col("pack.amount").cast("string"), F.col("pack.unit")]
-    fingerprint = F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts))
-    out = out.withColumn("fingerprint", fingerprint)
-    by_words = F.concat(F.lit("name:"), digest(F.concat_ws(" ", fold(F.col("brand")), F.array_join("words", " "))))
-    code = F.when(F.col("gtin14").isNotNull(), F.concat(F.lit("ean:"), "gtin14")).when(F.size("models") > 0, F.concat(F.lit("id:"), digest(F.col("fingerprint")))).otherwise(by_words)
+    """products (id, name, brand, gtin; specs, condition and entity_override if they are there) with the parts of their identity, fingerprint and compare_code."""
+    have = set(products.columns)
+    specs = F.coalesce("specs", F.create_map().cast("map<string,string>")) if "specs" in have else F.create_map().cast("map<string,string>")
+    out = products.withColumns({"specs": specs, "condition": F.coalesce("condition", F.lit("unknown")) if "condition" in have else F.lit("unknown"), "entity_override": F.nullif(F.trim("entity_override"), F.lit("")) if "entity_override" in have else F.lit(None).cast("string")})
+    text = F.concat_ws(" ", "brand", "name", F.concat_ws(" ", F.map_values("specs")))
+    words = tokens(text)
+    codes = manufacturer_codes(F.col("specs"))
+    measure = "^[0-9]+(gb|tb|mb|hz|mah|w|ml|cc|lts?|l|kg|grs?|g|mg|cm|mm|un|pulgadas|litros)$"
+    models = F.array_union(F.filter(words, lambda w: (F.length(w) >= 3) & w.rlike("[a-z]") & w.rlike("[0-9]") & ~w.rlike(measure) & ~w.rlike("^x[0-9]+$")), codes)
+    ram = F.transform(F.regexp_extract_all(fold(text), F.lit(r"\b([0-9]{1,3}) ?gb(?: de)? ram\b")), lambda n: F.concat(n, F.lit("gb")))
+    out = out.withColumns({
+        "brand_key": fold(F.col("brand")), "models": F.array_sort(F.array_distinct(models)), "codes": codes, "storage": main_storage(words), "ram": F.array_sort(F.array_distinct(ram)), "inches": screen_inches(fold(text)), "pack": pack_tokens(text), "power": power_tokens(text),
+        "used": condition_group(F.col("condition")), "bundle": fold(text).rlike(r"\b(bundle|combo|incluye|\+ ?regalo)\b"), "gtin14": normalize_gtin(F.col("gtin").cast("string")),
+    })
+    plain = F.filter(F.array_distinct(words), lambda w: w.rlike("[a-z]") & (F.length(w) >= 3) & ~F.array_contains("models", w) & (w != F.col("brand_key")) & ~w.rlike(measure))
+    out = out.withColumn("leftovers", plain).withColumn("words", F.array_sort(F.array_union("leftovers", "models")))
+    part = lambda c, prefix="": F.transform(F.filter(F.array(c.cast("string")), lambda x: x.isNotNull() & (x != "")), lambda x: F.concat(F.lit(prefix), x))
+    some = F.when((F.size("models") == 0) & F.col("storage").isNull() & (F.size("power") == 0), F.slice("leftovers", 1, 5)).when((F.size("models") == 0) & (F.size("power") == 0), F.slice("leftovers", 1, 3)).otherwise(F.array().cast("array<string>"))
+    core = F.concat(part(F.col("brand_key")), F.col("models"), part(F.col("storage"), "gb:"), F.transform("ram", lambda x: F.concat(F.lit("ram:"), x)), part(F.col("inches"), "in:"), F.col("pack"), F.col("power"), part(F.when(F.col("used") != "new_or_unknown", F.col("used")), "condition:"), part(F.when(F.col("bundle"), "bundle")), some)
+    out = out.withColumn("fingerprint", F.array_join(core, "|"))
+    qualifiers = F.concat(part(F.when(F.col("bundle"), "bundle")), part(F.when(F.col("used") != "new_or_unknown", F.col("used"))), F.when(F.col("pack") != F.array(F.lit("1un")), F.col("pack")).otherwise(F.array().cast("array<string>")))
+    by_code = F.concat_ws(":", F.lit("ean"), "gtin14", qualifiers)
+    code = F.coalesce("entity_override", F.when(F.col("gtin14").isNotNull(), by_code), F.when(F.col("fingerprint") != "", F.concat(F.lit("id:"), digest(F.col("fingerprint")))), F.concat(F.lit("name:"), digest(fold(F.col("name")))))
     return out.withColumn("compare_code", code)
 
 
@@ -46,25 +96,77 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-def confidence(left: str = "l", right: str = "r") -> Column:
-    """1 for one bar code, 0.95 for one fingerprint with a model, 0 for a conflict of size, storage or pack, else 0.6 word overlap + 0.4 sequence of the names."""
+def edit_ratio(a: Column, b: Column) -> Column:
+    """1 for equal texts, 0 where every character has to change."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def contained(a: Column, b: Column, least: int = 5) -> Column:
+    """Some model of one side is, or holds, one of the other, of a length that tells."""
+    like = lambda x, y: (F.contains(x, y) | F.contains(y, x)) & (F.least(F.length(x), F.length(y)) >= least)
+    return F.exists(a, lambda x: F.exists(b, lambda y: like(x, y)))
+
+
+def confidence(left: str = "l", right: str = "r", ratio: Callable[[Column, Column], Column] = sequence_ratio) -> Column:
+    """How sure it is that two listings are one product.
+
+    A hand-made key decides alone. Then a difference of condition, pack, bundle, or
+    of brand, power, storage, memory or size where both tell, is 0. Then: 1 for one
+    bar code, 0.99 for one manufacturer's code, 0.95 for one fingerprint, 0.93 for a
+    long and a short form of a model, 0.91 for one model with the brand in the name
+    only; else 0.78 to 0.91 by 0.6 word overlap and 0.4 sequence of the names.
+    """
     l, r = (lambda c: F.col(f"{left}.{c}")), (lambda c: F.col(f"{right}.{c}"))  # noqa: E741
-    differ = lambda c: F.coalesce(l(c) != r(c), F.lit(False))
-    conflict = differ("storage") | differ("inches") | ~l("pack").eqNullSafe(r("pack")) | differ("gtin14")
-    text = 0.6 * jaccard(l("words"), r("words")) + 0.4 * sequence_ratio(F.array_join(l("words"), " "), F.array_join(r("words"), " "))
-    return F.when(l("gtin14") == r("gtin14"), 1.0).when(conflict, 0.0).when((F.size(l("models")) > 0) & (l("fingerprint") == r("fingerprint")), 0.95).otherwise(F.round(text, 6))
+    both = lambda c, ok: ok(l(c)) & ok(r(c))
+    some, told = (lambda x: F.size(x) > 0), (lambda x: x.isNotNull() & (x != ""))
+    differ = lambda c, ok: both(c, ok) & (l(c) != r(c))
+    known = lambda x: x.isNotNull()
+    strict = (l("used") != r("used")) | (l("pack") != r("pack")) | (l("bundle") != r("bundle"))
+    conflict = strict | differ("power", some) | differ("brand_key", told) | differ("storage", known) | differ("ram", some) | differ("inches", known)
+    alike = (l("brand_key") == r("brand_key")) & (l("brand_key") != "") & l("inches").eqNullSafe(r("inches")) & l("storage").eqNullSafe(r("storage")) & (l("power") == r("power")) & ~differ("ram", some)
+    family = alike & contained(l("models"), r("models"))
+    no_model = both("models", some) & ~F.arrays_overlap(l("models"), r("models")) & ~contained(l("models"), r("models"))
+    one_brand = (l("brand_key") == "") != (r("brand_key") == "")
+    named = lambda a, b: F.array_contains(F.split(fold(b("name")), " "), a("brand_key"))
+    in_name = both("models", some) & one_brand & F.when(l("brand_key") != "", named(l, r)).otherwise(named(r, l))
+    shared = F.size(F.array_intersect(l("words"), r("words")))
+    text = F.round(0.6 * jaccard(l("words"), r("words")) + 0.4 * ratio(F.array_join(l("words"), " "), F.array_join(r("words"), " ")), 9)
+    by_text = F.when((l("brand_key") == "") | (r("brand_key") == "") | (shared < SHARED_WORDS) | (text < TEXT), 0.0).otherwise(F.round(0.78 + F.least(F.lit(0.13), (text - TEXT) * 0.47), 3))
+    own = F.coalesce(l("entity_override") == r("entity_override"), F.lit(False))
+    return (
+        F.when(l("entity_override").isNotNull() | r("entity_override").isNotNull(), F.when(own, 1.0).otherwise(0.0))
+        .when(F.coalesce(conflict, F.lit(False)), 0.0)
+        .when(both("gtin14", known), F.when(l("gtin14") == r("gtin14"), 1.0).otherwise(0.0))
+        .when(both("codes", some), F.when(F.arrays_overlap(l("codes"), r("codes")), 0.99).otherwise(0.0))
+        .when((l("fingerprint") != "") & (l("fingerprint") == r("fingerprint")), 0.95)
+        .when(F.coalesce(family, F.lit(False)), 0.93)
+        .when(no_model, 0.0)
+        .when(F.coalesce(in_name, F.lit(False)), 0.91)
+        .otherwise(by_text)
+    )
 
 
 def candidate_pairs(items: DataFrame, block: list[str], shared: int = SHARED_WORDS) -> DataFrame:
-    """a, b (a < b) of the same block with at least ``shared`` words in common, words counted once a pair by an equi-join on block and word."""
+    """a, b (a < b) of the same block that have a word in common besides their ``shared - 1`` most common ones.
+
+    Sets that share that many words share one that is not among the most common
+    words of either, so no such pair is missed, and the most common words join
+    nothing. Blocks may be null; those listings are a block of their own.
+    """
     each = items.select("id", *block, F.explode("words").alias("_w"))
-    other = each.select(F.col("id").alias("_b"), *block, "_w")
-    return each.join(other, [*block, "_w"]).filter(F.col("id") < F.col("_b")).groupBy(F.col("id").alias("a"), F.col("_b").alias("b")).agg(F.count("*").alias("shared")).filter(F.col("shared") >= shared)
+    safe = [F.coalesce(F.col(b).cast("string"), F.lit("\0none")).alias(b) for b in block]
+    each = each.select("id", *safe, "_w")
+    known = each.groupBy(*block, "_w").agg(F.count("*").alias("_n"))
+    ranked = each.join(known, [*block, "_w"]).withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.col("_n").desc(), "_w")))
+    key = ranked.filter(F.col("_r") >= shared).select("id", *block, "_w")
+    other = key.select(F.col("id").alias("_b"), *block, "_w")
+    return key.join(other, [*block, "_w"]).filter(F.col("id") < F.col("_b")).select(F.col("id").alias("a"), F.col("_b").alias("b")).distinct()
 
 
 def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, root: the smallest id that each node reaches over edges (a, b). Every round hooks roots to smaller neighbours and halves the paths."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    edges = stored(edges.select("a", "b"))
+    both = stored(edges.union(edges.select("b", "a")).distinct())
     label = stored(nodes.select("id", F.col("id").alias("root")))
     while True:
         seen = both.join(label, both["b"] == label["id"]).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("_m"))
@@ -76,17 +178,20 @@ def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
-def cluster(products: DataFrame, block: list[str], accept: float = ACCEPT) -> DataFrame:
-    """products (id, name, brand, gtin) with root, the smallest id of its group.
+def cluster(products: DataFrame, block: list[str], accept: float = ACCEPT, ratio: Callable[[Column, Column], Column] = sequence_ratio) -> DataFrame:
+    """products (id, name, brand, gtin) with compare_code and root, the smallest id of its group.
 
-    Listings with one compare_code are one class; classes meet in their block.
+    Listings with one compare_code in one block are one class; classes that share
+    two words meet in their block, null being one.
     """
     known = stored(identity(products))
-    classes = known.groupBy("compare_code", *block).agg(F.min("id").alias("id"))
-    first = stored(known.join(classes.select("id"), "id", "left_semi"))
+    of_block = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in block]
+    classes = known.groupBy("compare_code", *block).agg(F.min("id").alias("class_id"))
+    first = stored(known.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi"))
     pairs = candidate_pairs(first, block)
     x = pairs.join(first.alias("l"), F.col("a") == F.col("l.id")).join(first.alias("r"), F.col("b") == F.col("r.id"))
-    good = x.withColumn("confidence", confidence()).filter(F.col("confidence") >= accept).select("a", "b")
+    x = x.filter(F.size(F.array_intersect("l.words", "r.words")) >= SHARED_WORDS)
+    good = x.withColumn("confidence", confidence(ratio=ratio)).filter(F.col("confidence") >= accept).select("a", "b")
     root = groups(first, good)
-    of_class = classes.join(root, "id").select("compare_code", *block, "root")
-    return known.join(of_class, ["compare_code", *block]).select("id", "compare_code", "root")
+    of_class = classes.join(root, F.col("class_id") == F.col("id")).select(F.col("compare_code").alias("_code"), *(F.col(b).alias(f"_{b}") for b in block), "root")
+    return known.join(of_class, reduce(lambda a, b: a & b, [F.col("compare_code") == F.col("_code"), *of_block])).select("id", "compare_code", "root")

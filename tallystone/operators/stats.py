@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.sources.storage import stored
+
 from . import series as S
 
 
@@ -128,8 +130,9 @@ def span_shift(daily: DataFrame, key: list[str], inside: Column, outside: Column
 
 
 def price_patterns(daily: DataFrame, key: list[str], min_rows: int = 28, day_least: int = 4, month_least: int = 7, month_rows: int = 300, tech: Column | None = None, season: Column | None = None) -> DataFrame:
-    """key, pattern, part, difference, samples: seasonal patterns that pass their sample sizes. daily may carry columns for tech and season."""
+    """key, pattern, part, difference, samples: seasonal patterns that pass their sample sizes. daily may carry columns for tech and season; it is made once and stored."""
     enough = daily.withColumn("_rows", F.count("*").over(Window.partitionBy(*key))).filter(F.col("_rows") >= min_rows).drop("_rows")
+    enough = stored(enough)
     d, m = F.dayofmonth("day"), F.month("day")
     event = ((m == 5) & (d >= 20)) | (m == 6) | ((m == 9) & (d >= 25)) | ((m == 10) & (d <= 10))
     found = [

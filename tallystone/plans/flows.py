@@ -28,15 +28,7 @@ def stream_daily_counts(spark, sf_dir):
     s = flows.files(spark, sf_dir, "events.parquet").select("ts", "event_type")
     w = _work(spark)
     out = flows.daily_counters(s, ["event_type"], "60 days")
-    # complete mode writes every day's count, however young; a memory-free sink of one version
-    last = {}
-
-    def each(batch, version):
-        batch.write.mode("overwrite").parquet(f"{w}/out/v={version}")
-        last["v"] = version
-
-    out.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", f"{w}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{w}/out/v={last['v']}")
+    return flows.run_updates(out, f"{w}/out", f"{w}/state", ["day", "event_type"], "n")
 
 
 @query("SELECT count(DISTINCT event_id) AS n, min(ts)::TIMESTAMP AS first, max(ts)::TIMESTAMP AS last FROM events")
@@ -152,11 +144,45 @@ def url_targets(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t["kind"].alias("kind"), t["value"].alias("value"), L.visit_seconds(F.col("url")).alias("seconds"))
 
 
+def parts_as_listings(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_brand").alias("brand"), F.lit(None).cast("string").alias("gtin"), "p_type")
+
+
 @query()
 def product_groups(spark, sf_dir):
-    """Rows only: the sequence ratio has no SQL form; tests compare the groups with plain Python."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("name"), F.col("p_brand").alias("brand"), F.lit(None).cast("string").alias("gtin"), "p_type")
-    return I.cluster(part, ["brand", "p_type"])
+    """Rows only: the sequence ratio has no SQL form; tests compare the groups with those of all pairs."""
+    return I.cluster(parts_as_listings(spark, sf_dir), ["brand", "p_type"])
+
+
+@query("""SELECT p_partkey AS id, array_to_string(list_sort(CASE p_partkey % 6 WHEN 0 THEN [p_size || 'x1500ml'] WHEN 1 THEN [p_size || 'un'] WHEN 2 THEN ['12un', p_size || 'g'] WHEN 3 THEN ['1un', p_size || '000ml'] WHEN 4 THEN ['400mg', p_size || 'un'] ELSE ['1un'] END), ',') AS pack FROM part""")
+def pack_words(spark, sf_dir):
+    k, n = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    text = F.when(k == 0, F.concat(n, F.lit(" x 1,5 Lts agua"))).when(k == 1, F.concat(F.lit("Pack de "), n, F.lit(" rojo"))).when(k == 2, F.concat(F.lit("Galletas "), n, F.lit("gr 12 unidades"))).when(k == 3, F.concat(n, F.lit(" litros"))).when(k == 4, F.concat(F.lit("Ibuprofeno 400 mg "), n, F.lit(" comprimidos"))).otherwise("Silla 5")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(I.pack_tokens(text), ",").alias("pack"))
+
+
+_SIDE = "CASE WHEN e % 41 = {x} THEN 'm' END AS o, CASE WHEN e % 13 = {x} THEN 'used' ELSE 'new_or_unknown' END AS used, CASE WHEN e % 7 = {x} THEN '' ELSE 'brand' || (e % 17 = {x})::INT END AS brand, CASE WHEN e % 5 = {x} THEN 128 WHEN e % 5 = 4 THEN NULL ELSE 256 END AS storage, CASE WHEN e % 3 = {x} THEN 'g' || (e % 2 * {x}) END AS gtin, CASE WHEN e % 4 = {x} THEN NULL WHEN e % 6 = {x} THEN 'abc12' ELSE 'xabc12z' END AS model"
+
+
+@query(f"""WITH a AS (SELECT event_id AS id, {_SIDE.format(x=0).replace('e %', 'event_id %')} FROM events), b AS (SELECT event_id AS id, {_SIDE.format(x=1).replace('e %', 'event_id %')} FROM events)
+SELECT id, CASE WHEN a.o IS NOT NULL OR b.o IS NOT NULL THEN CASE WHEN a.o = b.o THEN 1.0 ELSE 0.0 END WHEN a.used <> b.used OR (a.brand <> '' AND b.brand <> '' AND a.brand <> b.brand) OR coalesce(a.storage <> b.storage, false) THEN 0.0 WHEN a.gtin IS NOT NULL AND b.gtin IS NOT NULL THEN CASE WHEN a.gtin = b.gtin THEN 1.0 ELSE 0.0 END
+  WHEN a.brand = b.brand AND a.brand <> '' AND a.storage IS NOT DISTINCT FROM b.storage AND a.model IS NOT NULL AND b.model IS NOT NULL THEN 0.93 WHEN a.model IS NOT NULL AND b.model IS NOT NULL AND (a.brand = '') <> (b.brand = '') THEN 0.91 WHEN a.brand = '' OR b.brand = '' THEN 0.0 ELSE 0.91 END::DOUBLE AS confidence FROM a JOIN b USING (id)""")
+def pair_confidences(spark, sf_dir):
+    """Pairs of listings made from each event's number: a hand-made key, conflicts, bar codes, forms of a model, brands and words."""
+    e, empty = F.col("event_id"), F.array().cast("array<string>")
+
+    def side(x: int):
+        brand = F.when(e % 7 == x, "").otherwise(F.concat(F.lit("brand"), (e % 17 == x).cast("int").cast("string")))
+        model = F.when(e % 4 == x, F.lit(None)).when(e % 6 == x, "abc12").otherwise("xabc12z")
+        words = F.array(F.lit("one"), F.lit("two"), F.lit("three"))
+        return F.struct(
+            F.when(e % 41 == x, "m").alias("entity_override"), F.when(e % 13 == x, "used").otherwise("new_or_unknown").alias("used"), F.array(F.lit("1un")).alias("pack"), F.lit(False).alias("bundle"), empty.alias("power"), brand.alias("brand_key"),
+            F.when(e % 5 == x, 128).when(e % 5 == 4, F.lit(None)).otherwise(256).alias("storage"), empty.alias("ram"), F.lit(None).cast("int").alias("inches"), F.when(e % 3 == x, F.concat(F.lit("g"), (e % 2 * x).cast("string"))).alias("gtin14"), empty.alias("codes"),
+            F.lit("").alias("fingerprint"), F.array_compact(F.array(model)).alias("models"), words.alias("words"), F.lit("brand0 brand1 thing").alias("name"),
+        )
+
+    x = table(spark, sf_dir, "events").select("event_id", side(0).alias("l"), side(1).alias("r"))
+    return x.select(e.alias("id"), I.confidence(ratio=I.edit_ratio).alias("confidence"))
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS n FROM part")

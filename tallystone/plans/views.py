@@ -50,7 +50,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OBS = """obs AS (
+OBS = """obs AS MATERIALIZED (
   SELECT 's' || (s_nationkey % 5) AS store, 'f' || ((s_nationkey % 5) // 2) AS family, l_partkey AS product_id, o_orderdate AS ts,
     round(l_extendedprice * (1 - l_discount))::BIGINT AS price, round(l_extendedprice)::BIGINT AS price_normal,
     CASE WHEN l_returnflag = 'A' AND l_partkey % 7 = 0 THEN 'all_payment' END AS price_basis,

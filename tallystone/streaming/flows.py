@@ -20,7 +20,7 @@ def files(spark: SparkSession, folder: str, name: str, per_trigger: int = 8) ->
 
 
 def daily_counters(stream: DataFrame, by: list[str], lateness: str = "2 days", zone: str = ZONE) -> DataFrame:
-    """day, by, n and users (approximate), by local day; rows later than lateness are dropped."""
+    """day, by, n, by local day; rows later than lateness are dropped, and with them the state of days that old."""
     local = stream.withColumn("ts", F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone)).withWatermark("ts", lateness)
     return local.groupBy(F.window("ts", "1 day").alias("w"), *by).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), *by, "n")
 
@@ -48,8 +48,23 @@ def throttled(stream: DataFrame, key: str, days: int = 5) -> DataFrame:
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, ts timestamp, price long", "at long, price long", "append", GroupStateTimeout.NoTimeout)
 
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str, key: list[str], value: str) -> DataFrame:
+    """All that is there of an aggregated stream in update mode: each batch's changed rows as a version of their own, which a repeated batch writes again; returns the newest value of each key."""
+
+    def each(batch: DataFrame, version: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={version}")
+
+    stream.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(path)
+    return rows.groupBy(*key).agg(F.max_by(value, "v").alias(value))
+
+
 def write_snapshot(batch: DataFrame, path: str, key: list[str], order: list[str], version: int) -> None:
-    """One micro-batch into the snapshot below path: the latest row of each key, as a new version; a repeated batch writes the same version again."""
+    """One micro-batch into the snapshot below path: the latest row of each key, as a new version; a repeated batch writes the same version again.
+
+    A version holds the whole snapshot, so a batch costs its size: batches should be
+    large against it. Older versions may be removed once a later one is complete.
+    """
     spark = batch.sparkSession
     rows = batch
     if version:

@@ -93,6 +93,42 @@ def test_groups_of_a_path_and_a_lone_node(spark):
     assert {r.id: r.root for r in I.groups(nodes, edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
 
 
+def test_clusters_are_those_of_all_pairs(spark, sf_dir):
+    from tallystone.plans.flows import parts_as_listings
+
+    listed = parts_as_listings(spark, sf_dir).withColumn("brand", F.when(F.col("id") % 9 != 0, F.concat(F.lit("b"), (F.col("id") % 2).cast("string"))))
+    known = I.identity(listed).cache()
+    pairs = known.alias("l").join(known.alias("r"), F.col("l.p_type").eqNullSafe(F.col("r.p_type")) & (F.col("l.id") < F.col("r.id")))
+    pairs = pairs.withColumn("c", I.confidence()).withColumn("n", F.size(F.array_intersect("l.words", "r.words"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "c", "n", F.col("l.compare_code").alias("x"), F.col("r.compare_code").alias("y")).collect()
+    root = {r.id: r.id for r in known.select("id").collect()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in pairs:
+        if r.x == r.y or (r.n >= I.SHARED_WORDS and r.c >= I.ACCEPT):
+            a, b = sorted((find(r.a), find(r.b)))
+            root[b] = a
+    got = {r.id: r.root for r in I.cluster(listed, ["p_type"]).collect()}
+    want = {i: find(i) for i in root}
+    # members of a class stand for one another, so classes may join more than the pairs of their first members
+    assert set(got) == set(want) and all(want[got[i]] == want[i] for i in got)
+    assert len(set(got.values())) < len(got)
+
+
+def test_confidence_of_named_cases(spark):
+    rows = [
+        (1, "Televisor Samsung UN50U8000HGXZS 50 pulgadas", "Samsung"), (2, "Samsung U8000H smart tv 50 pulgadas", "Samsung"), (3, "Televisor Samsung UN55U8000HGXZS 55 pulgadas", "Samsung"),
+        (4, "Leche entera 6 x 1 litro", "Colun"), (5, "Leche entera 1 lt", "Colun"), (6, "Leche entera 1000 ml", "Colun"), (7, "Notebook Lenovo V15 256gb", None), (8, "Notebook V15 256gb", "Lenovo"),
+    ]
+    known = I.identity(spark.createDataFrame([(i, n, b, None) for i, n, b in rows], "id long, name string, brand string, gtin string"))
+    x = known.alias("l").join(known.alias("r"), F.col("l.id") < F.col("r.id")).withColumn("c", I.confidence()).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "c")
+    got = {(r.a, r.b): r.c for r in x.collect()}
+    assert got[1, 2] == 0.93 and got[1, 3] == 0 and got[4, 5] == 0 and got[5, 6] == 0.95 and got[7, 8] == 0.91
+
+
 def test_last_point_of_a_local_day(spark):
     rows = spark.createDataFrame([("a", "2026-01-02 01:00:00", 5), ("a", "2026-01-01 12:00:00", 7)], "k string, at string, price long").withColumn("ts", F.col("at").cast("timestamp"))
     got = S.last_per_day(rows, ["k"], ["ts"]).collect()
