@@ -54,8 +54,8 @@ itm AS (SELECT product_id AS n, price, previous_price, best_store, CASE WHEN pro
 
 @query(f"""WITH {SER}, {_BEST}, c AS (SELECT count(*) AS total, count(*) FILTER (WHERE price > 0) AS with_price, count(*) FILTER (WHERE delta < 0) AS down, count(*) FILTER (WHERE delta > 0) AS up, count(*) FILTER (WHERE delta IS NULL) AS unchanged FROM dlt),
 u AS (UNPIVOT (SELECT *, round_even(with_price * 100 / total, 0)::BIGINT AS coverage_percent FROM c) ON total, with_price, down, up, unchanged, coverage_percent INTO NAME key VALUE value)
-SELECT 'counts' AS section, 0 AS place, key, value FROM u UNION ALL SELECT 'drops', row_number() OVER (ORDER BY delta, n), n::VARCHAR, delta FROM (SELECT * FROM dlt WHERE delta < 0 ORDER BY delta, n LIMIT 10) UNION ALL SELECT 'rises', row_number() OVER (ORDER BY delta DESC, n), n::VARCHAR, delta FROM (SELECT * FROM dlt WHERE delta > 0 ORDER BY delta DESC, n LIMIT 10)
-UNION ALL SELECT 'stores', row_number() OVER (ORDER BY w DESC, best_store), best_store, w FROM (SELECT best_store, count(*) AS w FROM dlt WHERE price > 0 GROUP BY 1 ORDER BY w DESC, best_store LIMIT 8) UNION ALL SELECT 'advice', 0, advice, count(*) FROM dlt WHERE advice IS NOT NULL GROUP BY 3""")
+SELECT 'counts' AS section, 0 AS place, key, value FROM u UNION ALL SELECT 'drops', row_number() OVER (ORDER BY delta, n)::INT, n::VARCHAR, delta FROM (SELECT * FROM dlt WHERE delta < 0 ORDER BY delta, n LIMIT 10) UNION ALL SELECT 'rises', row_number() OVER (ORDER BY delta DESC, n)::INT, n::VARCHAR, delta FROM (SELECT * FROM dlt WHERE delta > 0 ORDER BY delta DESC, n LIMIT 10)
+UNION ALL SELECT 'stores', row_number() OVER (ORDER BY w DESC, best_store)::INT, best_store, w FROM (SELECT best_store, count(*) AS w FROM dlt WHERE price > 0 GROUP BY 1 ORDER BY w DESC, best_store LIMIT 8) UNION ALL SELECT 'advice', 0, advice, count(*) FROM dlt WHERE advice IS NOT NULL GROUP BY 3""")
 def event_dashboard(spark, sf_dir):
     p = points(spark, sf_dir)
     w = S.ordered(ITEM, IORDER)
@@ -64,7 +64,7 @@ def event_dashboard(spark, sf_dir):
     return E.dashboard(items)
 
 
-@query(f"WITH {SER} SELECT store, year(ts) AS y, count(DISTINCT {DAY})::INT AS distinct, greatest(1, least(200, 201 - count(DISTINCT {DAY})))::INT AS remaining FROM ser GROUP BY ALL")
+@query(f"WITH {SER} SELECT store, year(ts)::INT AS y, count(DISTINCT {DAY})::INT AS distinct, greatest(1, least(200, 201 - count(DISTINCT {DAY})))::INT AS remaining FROM ser GROUP BY ALL")
 def event_days_left(spark, sf_dir):
     return E.event_days(points(spark, sf_dir).withColumn("y", F.year("ts")), ["store", "y"], 200)
 
@@ -204,7 +204,7 @@ def forecast_unseen(spark, sf_dir):
     return P.unseen(c, c.filter("id % 4 = 0"), ["id", "c_mktsegment"]).select("id")
 
 
-@query(f"""WITH {OFF}, f AS (SELECT store, product_id, 'm' || (l_suppkey % 3) AS model, ts, l_orderkey, price * 1.1 AS e FROM obs WHERE product_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY store, product_id ORDER BY CASE model WHEN 'm0' THEN 1 WHEN 'm1' THEN 2 ELSE 3 END, ts DESC, l_orderkey DESC, e DESC) AS k FROM f)
+@query(f"""WITH {OFF}, f AS (SELECT store, product_id, 'm' || (l_suppkey % 3) AS model, ts, l_orderkey, (price * 1.1)::DOUBLE AS e FROM obs WHERE product_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY store, product_id ORDER BY CASE model WHEN 'm0' THEN 1 WHEN 'm1' THEN 2 ELSE 3 END, ts DESC, l_orderkey DESC, e DESC) AS k FROM f)
 SELECT off.store, off.product_id, model, round(e, 2) AS expected FROM off LEFT JOIN r ON r.store = off.store AND r.product_id = off.product_id AND k = 1""")
 def offers_with_forecasts(spark, sf_dir):
     """The forecast of each offer by preference of model, then the newest."""
