@@ -11,10 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallystone import plans
+from tallystone.functions import keys as Y
 from tallystone.functions import money as M
 from tallystone.functions import text as T
 from tallystone.operators import identity as I
+from tallystone.operators import catalog as C
 from tallystone.operators import search as V
+from tallystone.operators import selection as X
 from tallystone.operators import series as S
 from tallystone.sources import listings as L
 
@@ -134,3 +137,71 @@ def test_last_point_of_a_local_day(spark):
     got = S.last_per_day(rows, ["k"], ["ts"]).collect()
     # one in the morning UTC is still the evening before in Santiago
     assert [r.price for r in got] == [5]
+
+
+def offers_of(spark, rows):
+    """Offers (group, store, family, price, list price) that history says nothing against."""
+    schema = "product_id long, store string, family string, price long, price_normal long"
+    x = spark.createDataFrame(rows, schema)
+    more = {"name": F.lit("x"), "stock": F.lit(3).cast("long"), "price_card": F.lit(None).cast("long"), "price_all_payment": F.col("price"), "verified": F.lit(0.0), "points": F.lit(5).cast("long"), "was_full": F.lit(False), "list_savings": F.lit(None).cast("double"), "fake": F.lit(False), "pre_event": F.lit(False)}
+    return x.withColumns(more)
+
+
+def test_real_offers_of_named_cases(spark):
+    rows = [
+        (1, "a", "a", 6000, 10000), (1, "b", "b", 10000, 10000),  # one store sells well below the others
+        (2, "a", "a", 6000, 10000), (2, "b", "b", 6000, 10000),  # all equally cheap
+        (3, "a", "a", 6000, 10000), (3, "a2", "a", 10000, 10000),  # sister stores only
+        (4, "agg", "agg", 6000, 10000), (4, "b", "b", 10000, 10000),  # the cheap one is an aggregator
+        (5, "a", "a", 9500, 10000), (5, "b", "b", 9600, 9600),  # a discount in name only
+    ]
+    got = X.real_offers(offers_of(spark, rows), ["product_id"], aggregators=["agg"]).collect()
+    assert [(r.product_id, r.store, r.rival_store, r.gap, r.kinds) for r in got] == [(1, "a", "b", 4000, ["comparison"])]
+    sold_out = offers_of(spark, rows[:2]).withColumn("stock", F.when(F.col("store") == "a", 0).otherwise(3).cast("long"))
+    assert X.real_offers(sold_out, ["product_id"], aggregators=[]).count() == 0
+    inflated = offers_of(spark, rows[:2]).withColumn("list_savings", F.lit(5.0))
+    assert X.real_offers(inflated, ["product_id"], aggregators=[]).count() == 0
+    assert X.real_offers(offers_of(spark, rows).limit(0), ["product_id"], aggregators=[]).count() == 0
+
+
+def test_price_bands_are_those_of_all_centres(spark):
+    import random
+
+    r = random.Random(4)
+    sets = {g: [r.choice([r.randint(1, 60), r.randint(400, 900), r.randint(5000, 9000)]) for _ in range(r.randint(1, 40))] for g in range(60)}
+    rows = spark.createDataFrame([(g, p) for g, ps in sets.items() for p in ps], "g long, price long")
+    for want in (None, "low", "high"):
+        got = {x.g: (x.low, x.high, x.typical) for x in C.price_band(rows, ["g"], want).collect()}
+        for g, ps in sets.items():
+            ps, cloud = sorted(ps), []
+            for c in ps:
+                m = [p for p in ps if c / 2.5 <= p <= c * 2.5]
+                cloud.append((len(m), c, round(sum(m) / len(m))))
+            good = [x for x in cloud if x[0] >= max(3, (len(ps) + 2) // 4)] or cloud
+            order = {"low": lambda x: (x[2], -x[0], x[1]), "high": lambda x: (-x[2], -x[0], x[1])}.get(want, lambda x: (-x[0], abs(x[2] - ps[len(ps) // 2]), x[1]))
+            size, _, typical = min(good, key=order)
+            band = (max(1, int(typical / 2.5)), int(typical * 2.5), typical)
+            none = len(ps) < 3 or size < 3 or (want is None and (ps[-1] / ps[0] <= 8 or (ps[0] >= band[0] and ps[-1] <= band[1])))
+            assert got.get(g) == (None if none else band), (want, g, ps)
+
+
+def test_packs_cells_and_typos(spark):
+    texts = {"6 x 100 ml": "6x100ml", "Pack de 12 rollos": "12un", "x6": "6un", "1,5 kg arroz": "1500g,1un", "16 comprimidos 500 mg": "16un,500mg", "": "1un", "3 packs 2 lts": "2000ml,3un"}
+    x = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.array_join(I.pack_tokens(F.col("t")), ",").alias("p"))
+    assert {r.t: r.p for r in x.collect()} == texts
+    cells = {"500 g": (0.5, "kg"), "1,5 lt.": (1.5, "litro"), "12": (12.0, "unidad"), "2 bolsas": (None, None), "0": (None, None), "20000": (None, None), None: (None, None)}
+    x = spark.createDataFrame([(c,) for c in cells], "c string").select("c", Y.quantity_cell(F.col("c")).alias("q"))
+    assert {r.c: (r.q.amount, r.q.unit) for r in x.collect()} == cells
+    pairs = [("sal", "ssal", True), ("leche", "lecche", True), ("sal", "sol", False), ("a1", "aa1", False), ("la sal", "la", False), ("mesa roja", "messa rroja", False)]
+    x = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string").select(Y.typo_equivalent(F.split("a", " "), F.split("b", " ")).alias("t"))
+    assert [r.t for r in x.collect()] == [t for *_, t in pairs]
+
+
+def test_a_shared_folder_is_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from tallystone.sources.storage import shared_folder
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        shared_folder(away)
