@@ -104,7 +104,7 @@ def price_signal(points: Column, quantiles: Column, current: Column) -> Column:
     mean = F.aggregate(points, F.lit(0.0).cast("double"), lambda a, x: a + x) / F.size(points)
     values = F.flatten(F.map_values(quantiles))
     status = F.when(current < F.array_min(values), "exceptional").when(current > F.array_max(values), "above_expected").otherwise("within_expected")
-    return F.struct(status.alias("status"), F.round((current - mean) * 100 / mean, 1).alias("difference_percent"))
+    return F.struct(status.alias("status"), (F.round((current - mean) * 100 / mean, 1) + F.lit(0.0)).alias("difference_percent"))
 
 
 def eta_days(points: Column, trend: Column, low: Column, high: Column, base: Column, horizon: int) -> Column:

@@ -56,6 +56,17 @@ def filled_days(daily: DataFrame, key: list[str], today: Column) -> DataFrame:
     return calendar.join(daily, [*key, "day"], "left").withColumn("price", carry)
 
 
+def filled_summary(daily: DataFrame, key: list[str], today: Column) -> DataFrame:
+    """key, days, first_day, last_day, price_days (sum of prices) of filled_days, from how long each price lasts: no row a day is made."""
+    w = Window.partitionBy(*key).orderBy("day")
+    rows = daily.withColumns({"_first": F.min("day").over(Window.partitionBy(*key)), "_next": F.lead("day").over(w)})
+    late = F.col("_first") >= today
+    rows = rows.filter(F.when(late, F.col("_next").isNull()).otherwise(F.col("day") <= today))
+    end = F.least(F.coalesce("_next", F.date_add(today, 1)), F.date_add(today, 1))
+    span = F.when(late, F.lit(1)).otherwise(F.datediff(end, F.col("day")))
+    return rows.withColumns({"_span": span, "_end": F.when(late, F.col("day")).otherwise(today)}).groupBy(*key).agg(F.sum("_span").alias("days"), F.min("day").alias("first_day"), F.max("_end").alias("last_day"), F.sum(F.col("price") * F.col("_span")).alias("price_days"))
+
+
 def daily_observations(points: DataFrame, key: list[str], order: list[str], zone: str = ZONE) -> DataFrame:
     """key, day, price, price_normal, saving: the last valid offer of each local day and, apart from it, the last valid normal price."""
     days = points.filter("ts is not null").withColumn("day", local_day("ts", zone))

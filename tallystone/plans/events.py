@@ -162,7 +162,7 @@ def _projected(spark, sf_dir):
 
 @query(f"""WITH {SER}, {_FORE}, m AS (SELECT *, list_sum(points) / 3 AS mean, list_min(list_transform(points, lambda x: x * 0.95)) AS low, list_max(upper) AS high FROM fp)
 SELECT store, product_id, round(mean, 2) AS mean, CASE WHEN mean <= current * 0.98 THEN 'down' WHEN mean >= current * 1.02 THEN 'up' ELSE 'stable' END AS trend, CASE WHEN n >= 8 THEN 'high' WHEN n >= 6 THEN 'medium' ELSE 'low' END AS confidence, mean <= current * 0.98 AND len(list_filter(upper, lambda x: x < current)) / 3 >= 0.6 AS supported,
-  CASE WHEN current < low THEN 'exceptional' WHEN current > high THEN 'above_expected' ELSE 'within_expected' END AS status, round((current - mean) * 100 / mean, 1) AS difference_percent FROM m""")
+  CASE WHEN current < low THEN 'exceptional' WHEN current > high THEN 'above_expected' ELSE 'within_expected' END AS status, round((current - mean) * 100 / mean, 1) + 0.0::DOUBLE AS difference_percent FROM m""")
 def forecast_signals(spark, sf_dir):
     """The first three prices of a product as the forecast of its last one."""
     f = _projected(spark, sf_dir).withColumn("upper", P.upper_quantile(F.col("quantiles")))

@@ -38,8 +38,7 @@ f AS (SELECT c.store, c.product_id, c.day, last_value(d.price IGNORE NULLS) OVER
 SELECT store, product_id, count(*) AS days, min(day) AS first_day, max(day) AS last_day, sum(price)::BIGINT AS price_days, count(*) >= 2 AS drawable FROM f GROUP BY ALL""")
 def chart_history_fill(spark, sf_dir):
     daily = S.last_per_day(points(spark, sf_dir), KEY, ORDER)
-    filled = S.filled_days(daily, KEY, S.local_day(as_of()))
-    return filled.groupBy(*KEY).agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("price").alias("price_days")).withColumn("drawable", F.col("days") >= 2)
+    return S.filled_summary(daily, KEY, S.local_day(as_of())).withColumn("drawable", F.col("days") >= 2)
 
 
 @query(f"""WITH {OBS}, flagged AS (SELECT *, max(CASE WHEN price_basis = 'all_payment' THEN 1 ELSE 0 END) OVER (PARTITION BY store, product_id) AS only_all FROM obs),

@@ -205,3 +205,13 @@ def test_a_shared_folder_is_named_on_a_cluster(spark):
     away = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"))
     with pytest.raises(ValueError):
         shared_folder(away)
+
+
+def test_the_summary_of_filled_days_is_that_of_their_rows(spark):
+    import datetime
+
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
+    daily = spark.createDataFrame([(1, day(0), 5), (1, day(3), 7), (2, day(9), 4), (2, day(12), 6), (3, day(2), 8), (3, day(15), 9)], "k long, day date, price long")
+    today = F.lit(day(9))
+    rows = S.filled_days(daily, ["k"], today).groupBy("k").agg(F.count("*").alias("days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum("price").alias("price_days"))
+    assert sorted(map(tuple, S.filled_summary(daily, ["k"], today).collect())) == sorted(map(tuple, rows.collect()))
