@@ -12,6 +12,7 @@ from .alignment import alignment
 from .archives import archived_pages
 from .common import crc_mod, read_table
 from .decontaminate import report
+from .infilling import infilling_report
 from .line_dedup import remove_repeated_chunks
 from .mixing import plan_mix
 from .near_dedup import near_duplicates
@@ -73,6 +74,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling_report(read_table(spark, sf_dir, "documents"), seed=42)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_source_mix": op9_source_mix,
         "op10_token_counts": op10_token_counts,
         "op11_token_alignment": op11_token_alignment,
+        "op13_fill_in_middle": op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -158,6 +164,18 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(k.root, s.doc_id) AS c
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM d),
+v AS (SELECT *, len(w)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM u),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM v),
+c AS (SELECT *, coalesce(array_to_string(list_slice(w, 1, a), ''), '') AS pre, coalesce(array_to_string(list_slice(w, a + 1, b), ''), '') AS mid, coalesce(array_to_string(list_slice(w, b + 1, n), ''), '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express."""
-    return {"op2_arc_to_warc": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_source_mix": OP9_SQL}
+    return {"op2_arc_to_warc": OP2_SQL, "op5_benchmark_decontamination": OP5_SQL, "op6_minhash_near_dedup": OP6_SQL, "op7_quality_rules": OP7_SQL, "op9_source_mix": OP9_SQL, "op13_fill_in_middle": OP13_SQL}
