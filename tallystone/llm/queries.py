@@ -18,6 +18,7 @@ from .mixing import plan_mix
 from .near_dedup import near_duplicates
 from .quality_model import quality
 from .quality_rules import BASE, V2, apply_policy, ledger, passes
+from .secret_scan import secret_report
 from .token_counts import token_counts
 from .token_files import token_files
 from .toxicity import toxicity
@@ -74,6 +75,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(read_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infilling_report(read_table(spark, sf_dir, "documents"), seed=42)
 
@@ -91,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_source_mix": op9_source_mix,
         "op10_token_counts": op10_token_counts,
         "op11_token_alignment": op11_token_alignment,
+        "op12_secret_scan": op12_secret_scan,
         "op13_fill_in_middle": op13_fill_in_middle,
         "pipeline": corpus_pipeline.run,
     }
