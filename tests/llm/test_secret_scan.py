@@ -113,7 +113,7 @@ def test_report_on_odd_tables(spark, odd_docs):
 
 
 def test_dictionary_is_that_of_all_texts(odd_docs):
-    counts = collections.Counter(w for row in odd_docs.collect() for w in re.split(r"[^^\W\d_]+", (row.text or "").lower()) if 3 <= len(w) <= 16)
+    counts = collections.Counter(w for row in odd_docs.collect() for w in re.findall(r"[^\W\d_]+", (row.text or "").lower()) if 3 <= len(w) <= 16)
     want = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if w not in scan.COMMON][:10]
     ranks = scan.ranked_words(odd_docs, 10)
     assert [w for w in ranks if w not in scan.COMMON] == want and list(ranks.values()) == list(range(1, len(ranks) + 1))
