@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,28 +37,39 @@ def amounts(text: Column) -> Column:
     return F.regexp_replace(joined, r"[$]?\s*(?<![0-9,.])([0-9]{3,9})(?!,?[0-9])", " #$1 ")
 
 
-def _after(marked: Column, lead: str) -> Column:
-    """The sum that a lead-in ends with."""
-    return F.nullif(F.regexp_extract(marked, lead + r"\s*#([0-9]+)", 1), F.lit("")).try_cast("long")
+def _next_sum(words: Column, lead: list[list[str]], within: int, between: Callable[[Column], Column]) -> Column:
+    """The first sum among the ``within`` words after the words of ``lead`` (alternatives for each place), where the words before it satisfy ``between``."""
+    n = len(lead)
+    opens = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: reduce(lambda x, y: x & y, (F.coalesce(F.get(words, i + k).isin(any_of), F.lit(False)) for k, any_of in enumerate(lead))))
+    after = F.transform(opens, lambda i: F.slice(words, i + n + 1, F.lit(within)))
+    is_sum = lambda w: F.startswith(w, F.lit("#"))
+    place = lambda a: F.array_position(F.transform(a, is_sum), True).cast("int")
+    told = F.filter(after, lambda a: F.exists(a, is_sum) & between(F.slice(a, F.lit(1), F.greatest(place(a) - 1, F.lit(0)))))
+    return F.get(F.transform(told, lambda a: F.substring(F.get(a, place(a) - 1), 2, 12).try_cast("long")), F.lit(0))
 
 
 def shipping(text: Column) -> Column:
-    """Struct cost, free_over, pickup from prose: a cost, a threshold of free shipping, or free without one (0)."""
-    m, words = amounts(text), phrases(text)
-    free = first_listed(words, {"free": ["despacho gratis", "envio gratis"]}).isNotNull()
-    over = _after(m, r"(?:despacho|envio) gratis[^#]{0,45}(?:sobre|desde)")
-    cost = _after(m, r"(?:despacho|envio|delivery)(?: desde| por| a)?")
-    pickup = first_listed(words, {"pickup": ["retiro en tienda", "retiro en local", "retiro gratis en tienda", "retiro gratis en local", "click y collect", "click collect"]}).isNotNull()
+    """Struct cost, free_over, pickup from prose: a cost, a threshold of free shipping, or free without one (0).
+
+    A cost follows its word at once or after a preposition; a threshold follows within
+    eight words of which one says from where on.
+    """
+    words, said = F.regexp_extract_all(amounts(text), F.lit("(#?[a-z0-9]+)")), phrases(text)
+    free = first_listed(said, {"free": ["despacho gratis", "envio gratis"]}).isNotNull()
+    over = _next_sum(words, [["despacho", "envio"], ["gratis"]], 8, lambda before: F.exists(before, lambda w: w.isin("sobre", "desde")))
+    cost = _next_sum(words, [["despacho", "envio", "delivery"]], 2, lambda before: F.forall(before, lambda w: w.isin("desde", "por", "a")))
+    pickup = first_listed(said, {"pickup": ["retiro en tienda", "retiro en local", "retiro gratis en tienda", "retiro gratis en local", "click y collect", "click collect"]}).isNotNull()
     return F.struct(F.when(free & over.isNull(), F.lit(0).cast("long")).otherwise(cost).alias("cost"), over.alias("free_over"), pickup.alias("pickup"))
 
 
 def financing(text: Column) -> Column:
-    """Struct apr, instalments, total from prose: the rate after CAE, the number before cuotas, the sum after a word for the total."""
-    f = fold(text)
-    rate = F.regexp_extract(F.replace(f, F.lit(","), F.lit(".")), r"\bcae[: ]*([0-9.]+) ?%", 1)
+    """Struct apr, instalments, total from prose: the per cent that follow CAE, the number before cuotas, the sum within six words of a total."""
+    marks = F.regexp_extract_all(F.replace(fold(text), F.lit(","), F.lit(".")), F.lit("([a-z]+|[0-9]+[.]?[0-9]*|%)"))
+    rate = F.transform(F.filter(F.sequence(F.lit(0), F.size(marks)), lambda i: (F.get(marks, i) == "cae") & (F.get(marks, i + 2) == "%")), lambda i: F.get(marks, i + 1).try_cast("double"))
     several = F.regexp_extract(phrases(text), " ([0-9]{1,3}) cuotas? ", 1)
-    total = _after(amounts(text), r"(?:costo|valor|monto|precio) total[^#]{0,45}")
-    return F.struct(F.nullif(rate, F.lit("")).try_cast("double").alias("apr"), F.nullif(several, F.lit("")).try_cast("int").alias("instalments"), total.alias("total"))
+    words = F.regexp_extract_all(amounts(text), F.lit("(#?[a-z0-9]+)"))
+    total = _next_sum(words, [["costo", "valor", "monto", "precio"], ["total"]], 6, lambda before: F.lit(True))
+    return F.struct(F.get(rate, F.lit(0)).alias("apr"), F.nullif(several, F.lit("")).try_cast("int").alias("instalments"), total.alias("total"))
 
 
 def stock_state(stock: Column, availability: Column) -> Column:

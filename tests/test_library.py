@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallystone import plans
+from tallystone.functions import commerce as P
 from tallystone.functions import keys as Y
 from tallystone.functions import money as M
 from tallystone.functions import text as T
@@ -197,6 +198,18 @@ def test_packs_cells_and_typos(spark):
     assert [r.t for r in x.collect()] == [t for *_, t in pairs]
 
 
+def test_shipping_and_financing_of_named_cases(spark):
+    texts = {
+        "Despacho gratis por compras sobre $ 19.990": (None, 19990, False), "envío gratis, retiro en tienda": (0, None, True), "Despacho por $3.990 o retiro": (3990, None, False),
+        "delivery 2500": (2500, None, False), "despacho en 3 dias, valor 9.990": (None, None, False), "": (None, None, False), None: (None, None, False),
+    }
+    x = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.shipping(F.col("t")).alias("s"))
+    assert {r.t: tuple(r.s) for r in x.collect()} == texts
+    texts = {"12 cuotas, CAE: 34,5 %, costo total del crédito $ 450.000": (34.5, 12, 450000), "cae 20%": (20.0, None, None), "1 cuota de 9990": (None, 1, None), "precio total 15000 en 3 cuotas": (None, 3, 15000), None: (None, None, None)}
+    x = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.financing(F.col("t")).alias("s"))
+    assert {r.t: tuple(r.s) for r in x.collect()} == texts
+
+
 def test_a_shared_folder_is_named_on_a_cluster(spark):
     from types import SimpleNamespace
 
