@@ -1,8 +1,10 @@
 """Which listings are one product: identity columns, codes, blocks, pair confidence and groups.
 
-Listings that agree in everything that is compared are one class from the start.
-Pairs are made inside a block of classes only, on shared words that are not too
-common there, and the groups are the connected components of the accepted pairs.
+Listings that agree in every attribute that decides a pair are one class from the
+start. Candidate pairs come from equi-joins inside a block, one for each way in
+which a pair can be accepted: a shared code, grams of a model's name, or words
+that are rare in the block (a set-similarity join with prefix and length filters).
+The groups are the connected components of the accepted pairs.
 """
 
 from __future__ import annotations
@@ -16,12 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tallystone.functions.commerce import condition_group
-from tallystone.functions.keys import main_storage, manufacturer_codes, power_tokens
+from tallystone.functions.keys import main_storage, manufacturer_codes, power_tokens, vehicle_code
 from tallystone.functions.text import digest, fold, normalize_gtin, screen_inches, tokens
 from tallystone.sources.storage import stored
 
 #: Least confidence of a pair, of a text match, and shared words it needs.
 ACCEPT, TEXT, SHARED_WORDS = 0.84, 0.72, 2
+#: Stores and kinds of listing that are vehicles.
+VEHICLE_STORES, VEHICLE_KINDS = ["chileautos", "autocosmos"], ["car", "auto", "vehicle"]
+#: Letters that a model's name must share with another that holds it.
+GRAM = 5
 _SIZE = r"([0-9]+(?:[.,][0-9]+)?) ?(ml|cc|lts?|litros?|l|kg|grs?|gramos?|mg|g)\b"
 _PIECES = r"(?:unidades|unidad|und|un|uds?|comprimidos|capsulas|tabletas|sobres|rollos|piezas)"
 
@@ -34,12 +40,17 @@ def _measure(amount: Column, unit: Column) -> Column:
     return F.concat(number, name)
 
 
+def without_generations(folded: Column) -> Column:
+    """Generations of mobile networks are no measures."""
+    return F.regexp_replace(folded, r"\b[345]g\b", " ")
+
+
 def pack_tokens(text: Column) -> Column:
     """What a package holds, as sorted words: 6x100ml, 12un, 1500g; one unit where no count is told.
 
     Each kind of expression is read from what the kinds before it left.
     """
-    rest, found = fold(text), []
+    rest, found = without_generations(fold(text)), []
     count = lambda n: F.concat(n.cast("int").cast("string"), F.lit("un"))
     kinds: list[tuple[str, Callable[[Column], Column]]] = [
         (rf"\b([0-9]{{1,3}}) ?x ?{_SIZE}", lambda m: F.concat(F.regexp_extract(m, r"^([0-9]+)", 1).cast("int").cast("string"), F.lit("x"), _measure(F.regexp_extract(m, rf"x ?{_SIZE}", 1), F.regexp_extract(m, rf"x ?{_SIZE}", 2)))),
@@ -57,12 +68,23 @@ def pack_tokens(text: Column) -> Column:
     return F.array_sort(F.when(counted, all_).otherwise(F.array_append(all_, F.lit("1un"))))
 
 
+def _vehicle(products: DataFrame, have: set[str]) -> Column:
+    """Struct year, model, version, used, store, listing of vehicles; null for other listings."""
+    spec = lambda key: F.coalesce(F.col("specs")[key], F.lit(""))
+    store = F.lower(F.coalesce("store", F.lit(""))) if "store" in have else F.lit("")
+    listing = F.col("product_id" if "product_id" in have else "id").cast("string")
+    is_one = store.isin(VEHICLE_STORES) | fold(spec("vehicle_type")).isin(VEHICLE_KINDS)
+    year = F.substring(F.regexp_replace(spec("year"), "[^0-9]", ""), 1, 4)
+    model = F.coalesce(F.nullif(fold(spec("model")), F.lit("")), fold(F.col("name")))
+    return F.when(is_one, F.struct(year.alias("year"), model.alias("model"), fold(spec("version")).alias("version"), (F.col("used") == "used").alias("used"), store.alias("store"), listing.alias("listing")))
+
+
 def identity(products: DataFrame) -> DataFrame:
-    """products (id, name, brand, gtin; specs, condition and entity_override if they are there) with the parts of their identity, fingerprint and compare_code."""
+    """products (id, name, brand, gtin; specs, condition, entity_override, store and product_id if they are there) with the parts of their identity, fingerprint and compare_code."""
     have = set(products.columns)
     specs = F.coalesce("specs", F.create_map().cast("map<string,string>")) if "specs" in have else F.create_map().cast("map<string,string>")
     out = products.withColumns({"specs": specs, "condition": F.coalesce("condition", F.lit("unknown")) if "condition" in have else F.lit("unknown"), "entity_override": F.nullif(F.trim("entity_override"), F.lit("")) if "entity_override" in have else F.lit(None).cast("string")})
-    text = F.concat_ws(" ", "brand", "name", F.concat_ws(" ", F.map_values("specs")))
+    text = without_generations(F.lower(F.concat_ws(" ", "brand", "name", F.concat_ws(" ", F.map_values("specs")))))
     words = tokens(text)
     codes = manufacturer_codes(F.col("specs"))
     measure = "^[0-9]+(gb|tb|mb|hz|mah|w|ml|cc|lts?|l|kg|grs?|g|mg|cm|mm|un|pulgadas|litros)$"
@@ -80,7 +102,9 @@ def identity(products: DataFrame) -> DataFrame:
     out = out.withColumn("fingerprint", F.array_join(core, "|"))
     qualifiers = F.concat(part(F.when(F.col("bundle"), "bundle")), part(F.when(F.col("used") != "new_or_unknown", F.col("used"))), F.when(F.col("pack") != F.array(F.lit("1un")), F.col("pack")).otherwise(F.array().cast("array<string>")))
     by_code = F.concat_ws(":", F.lit("ean"), "gtin14", qualifiers)
-    code = F.coalesce("entity_override", F.when(F.col("gtin14").isNotNull(), by_code), F.when(F.col("fingerprint") != "", F.concat(F.lit("id:"), digest(F.col("fingerprint")))), F.concat(F.lit("name:"), digest(fold(F.col("name")))))
+    out = out.withColumn("vehicle", _vehicle(out, have))
+    v = F.col("vehicle")
+    code = F.coalesce("entity_override", F.when(v.isNotNull(), vehicle_code(F.col("brand"), v["model"], v["year"], v["version"], v["used"], v["store"], v["listing"])), F.when(F.col("gtin14").isNotNull(), by_code), F.when(F.col("fingerprint") != "", F.concat(F.lit("id:"), digest(F.col("fingerprint")))), F.concat(F.lit("name:"), digest(fold(F.col("name")))))
     return out.withColumn("compare_code", code)
 
 
@@ -90,10 +114,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching blocks of two texts as difflib counts them: not an edit distance, so no built-in function has it."""
+    """Matching blocks of two texts as difflib counts them: not an edit distance, so no built-in function has it. 0 where one is null."""
     from difflib import SequenceMatcher
 
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+    return pd.Series([SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b)])
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
@@ -110,7 +134,9 @@ def contained(a: Column, b: Column, least: int = 5) -> Column:
 def confidence(left: str = "l", right: str = "r", ratio: Callable[[Column, Column], Column] = sequence_ratio) -> Column:
     """How sure it is that two listings are one product.
 
-    A hand-made key decides alone. Then a difference of condition, pack, bundle, or
+    A hand-made key decides alone. A vehicle meets vehicles only: a used one, or one
+    of unknown version, is itself alone; others differ by year, model and version.
+    Then a difference of condition, pack, bundle, or
     of brand, power, storage, memory or size where both tell, is 0. Then: 1 for one
     bar code, 0.99 for one manufacturer's code, 0.95 for one fingerprint, 0.93 for a
     long and a short form of a model, 0.91 for one model with the brand in the name
@@ -130,11 +156,21 @@ def confidence(left: str = "l", right: str = "r", ratio: Callable[[Column, Colum
     named = lambda a, b: F.array_contains(F.split(fold(b("name")), " "), a("brand_key"))
     in_name = both("models", some) & one_brand & F.when(l("brand_key") != "", named(l, r)).otherwise(named(r, l))
     shared = F.size(F.array_intersect(l("words"), r("words")))
-    text = F.round(0.6 * jaccard(l("words"), r("words")) + 0.4 * ratio(F.array_join(l("words"), " "), F.array_join(r("words"), " ")), 9)
-    by_text = F.when((l("brand_key") == "") | (r("brand_key") == "") | (shared < SHARED_WORDS) | (text < TEXT), 0.0).otherwise(F.round(0.78 + F.least(F.lit(0.13), (text - TEXT) * 0.47), 3))
+    overlap, x, y = 0.6 * jaccard(l("words"), r("words")), F.array_join(l("words"), " "), F.array_join(r("words"), " ")
+    # no ratio exceeds that of the lengths, so the matcher runs only where it can decide
+    most = 2 * F.least(F.length(x), F.length(y)) / F.greatest(F.length(x) + F.length(y), F.lit(1))
+    usable = both("brand_key", told) & (shared >= SHARED_WORDS) & (F.round(overlap + 0.4 * most, 9) >= TEXT) & ~F.coalesce(conflict, F.lit(False))
+    text = F.round(overlap + 0.4 * ratio(F.when(usable, x), F.when(usable, y)), 9)
+    by_text = F.when(~usable | (text < TEXT), 0.0).otherwise(F.round(0.78 + F.least(F.lit(0.13), (text - TEXT) * 0.47), 3))
+    v, w = l("vehicle"), r("vehicle")
+    listed = (v["store"] == w["store"]) & (v["listing"] == w["listing"])
+    other = lambda c: (v[c] != "") & (w[c] != "") & (v[c] != w[c])
+    alone = v["used"] | w["used"] | (v["version"] == "") | (w["version"] == "")
+    vehicles = F.when(v.isNull() != w.isNull(), 0.0).when(v["used"] | w["used"], F.when(listed, 1.0).otherwise(0.0)).when(other("year") | other("model"), 0.0).when(alone, F.when(listed, 1.0).otherwise(0.0)).when(v["version"] != w["version"], 0.0)
     own = F.coalesce(l("entity_override") == r("entity_override"), F.lit(False))
     return (
         F.when(l("entity_override").isNotNull() | r("entity_override").isNotNull(), F.when(own, 1.0).otherwise(0.0))
+        .when(vehicles.isNotNull(), vehicles)
         .when(F.coalesce(conflict, F.lit(False)), 0.0)
         .when(both("gtin14", known), F.when(l("gtin14") == r("gtin14"), 1.0).otherwise(0.0))
         .when(both("codes", some), F.when(F.arrays_overlap(l("codes"), r("codes")), 0.99).otherwise(0.0))
@@ -146,21 +182,69 @@ def confidence(left: str = "l", right: str = "r", ratio: Callable[[Column, Colum
     )
 
 
-def candidate_pairs(items: DataFrame, block: list[str], shared: int = SHARED_WORDS) -> DataFrame:
-    """a, b (a < b) of the same block that have a word in common besides their ``shared - 1`` most common ones.
+def similar_sets(sets: DataFrame, by: list[str], least: float) -> DataFrame:
+    """a, b (a < b) of the same ``by`` columns that may have a Jaccard similarity of ``least`` or more. sets: id, words, by.
+
+    A set's words are ordered by how few sets have them. Sets that are so similar
+    share one of the first ``n - ceil(least * n) + 1`` words of either, and their sizes
+    differ by that factor at most; no such pair is missed. Words that most sets have
+    join nothing.
+    """
+    each = sets.select("id", *by, F.size("words").alias("_n"), F.explode("words").alias("_w"))
+    known = each.groupBy(*by, "_w").agg(F.count("*").alias("_df"))
+    ranked = each.join(known, [*by, "_w"]).withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("_df", "_w")))
+    # a hair less than the bound, as products of doubles are rounded
+    prefix = ranked.filter(F.col("_r") <= F.col("_n") - F.ceil(least * F.col("_n") - 1e-9) + 1).select("id", *by, "_n", "_w")
+    other = prefix.select(F.col("id").alias("_b"), *by, F.col("_n").alias("_m"), "_w")
+    fits = (F.col("id") < F.col("_b")) & (F.least("_n", "_m") >= least * F.greatest("_n", "_m") - 1e-9)
+    return prefix.join(other, [*by, "_w"]).filter(fits).select(F.col("id").alias("a"), F.col("_b").alias("b")).distinct()
+
+
+def _grams(models: Column, size: int = GRAM) -> Column:
+    return F.array_distinct(F.flatten(F.transform(F.filter(models, lambda m: F.length(m) >= size), lambda m: F.transform(F.sequence(F.lit(1), F.length(m) - size + 1), lambda i: F.substr(m, i, F.lit(size))))))
+
+
+def _first_grams(models: Column, size: int = GRAM) -> Column:
+    return F.array_distinct(F.transform(F.filter(models, lambda m: F.length(m) >= size), lambda m: F.substr(m, F.lit(1), F.lit(size))))
+
 
-    Sets that share that many words share one that is not among the most common
-    words of either, so no such pair is missed, and the most common words join
-    nothing. Blocks may be null; those listings are a block of their own.
+def candidate_pairs(classes: DataFrame, wordings: DataFrame, block: list[str], accept: float = ACCEPT) -> DataFrame:
+    """a, b: pairs of listings of a block that some rule of ``confidence`` may accept.
+
+    classes: one listing of each class; wordings: one of each class and set of words.
+    Of the listings that share a code and every attribute that could contradict it,
+    only the first is paired with those of other attributes, as all of them fare
+    alike; the others are paired with that first one.
     """
-    each = items.select("id", *block, F.explode("words").alias("_w"))
-    safe = [F.coalesce(F.col(b).cast("string"), F.lit("\0none")).alias(b) for b in block]
-    each = each.select("id", *safe, "_w")
-    known = each.groupBy(*block, "_w").agg(F.count("*").alias("_n"))
-    ranked = each.join(known, [*block, "_w"]).withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(F.col("_n").desc(), "_w")))
-    key = ranked.filter(F.col("_r") >= shared).select("id", *block, "_w")
-    other = key.select(F.col("id").alias("_b"), *block, "_w")
-    return key.join(other, [*block, "_w"]).filter(F.col("id") < F.col("_b")).select(F.col("id").alias("a"), F.col("_b").alias("b")).distinct()
+    conflict = ["entity_override", "vehicle", "used", "pack", "bundle", "power", "brand_key", "storage", "ram", "inches"]
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0none")).alias(c)
+    safe = [text(c) for c in block]
+    out = []
+    for key, also in ((F.array("gtin14"), []), (F.col("codes"), ["gtin14"]), (F.array("fingerprint"), ["gtin14", "codes"])):
+        keyed = classes.select("id", *safe, F.xxhash64(*(F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in [*conflict, *also])).alias("_s"), F.explode(F.array_compact(key)).alias("_k"))
+        of_key = [*block, "_k"]
+        first = keyed.groupBy(*of_key, "_s").agg(F.min("id").alias("_first"))
+        out.append(keyed.join(first, [*of_key, "_s"]).filter("id != _first").select(F.col("_first").alias("a"), F.col("id").alias("b")))
+        out.append(first.select(*of_key, F.col("_first").alias("a")).join(first.select(*of_key, F.col("_first").alias("b")), of_key).filter("a < b").select("a", "b"))
+    # one model's name holds the other's: the first letters of the shorter stand somewhere in the longer
+    alike = [*safe, "brand_key", *(text(c) for c in ("inches", "storage")), F.to_json(F.struct("power")).alias("power")]
+    names = [*block, "brand_key", "inches", "storage", "power", "_g"]
+    branded = classes.filter("brand_key != ''")
+    holds = branded.select(F.col("id").alias("a"), *alike, F.explode(_grams(F.col("models"))).alias("_g"))
+    held = branded.select(F.col("id").alias("b"), *alike, F.explode(_first_grams(F.col("models"))).alias("_g"))
+    out.append(holds.join(held, names).filter("a != b").select("a", "b"))
+    # a brand told by one side, and in the name of the other, with a model in common
+    spoken = wordings.filter("brand_key = ''").select("id", *safe, "models", F.explode(F.array_distinct(F.split(fold(F.col("name")), " "))).alias("brand_key"))
+    for one, two in ((_grams, _first_grams), (_first_grams, _grams), (lambda m: m, lambda m: m)):
+        told = branded.select(F.col("id").alias("a"), *safe, "brand_key", F.explode(one(F.col("models"))).alias("_g"))
+        quiet = spoken.select(F.col("id").alias("b"), *block, "brand_key", F.explode(two(F.col("models"))).alias("_g"))
+        out.append(told.join(quiet, [*block, "brand_key", "_g"]).select("a", "b"))
+    # names: what the text has to reach leaves this much for the overlap of the words
+    least = max(0.0, (TEXT + max(0.0, accept - 0.78 - 0.0005) / 0.47 - 0.4) / 0.6)
+    sets = wordings.filter("brand_key != ''").select("id", "words", *safe, "brand_key", "used", F.to_json(F.struct("pack")).alias("pack"), "bundle")
+    out.append(similar_sets(sets, [*block, "brand_key", "used", "pack", "bundle"], least))
+    both = reduce(DataFrame.unionByName, out)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -178,20 +262,29 @@ def groups(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
+#: All that decides a pair besides the words of the names.
+CORE = ["entity_override", "vehicle", "used", "pack", "bundle", "power", "brand_key", "storage", "ram", "inches", "gtin14", "codes", "models", "fingerprint"]
+
+
 def cluster(products: DataFrame, block: list[str], accept: float = ACCEPT, ratio: Callable[[Column, Column], Column] = sequence_ratio) -> DataFrame:
     """products (id, name, brand, gtin) with compare_code and root, the smallest id of its group.
 
-    Listings with one compare_code in one block are one class; classes that share
-    two words meet in their block, null being one.
+    Inside a block (null is one) listings are linked that have one compare_code, agree
+    in all of CORE, or have a confidence of ``accept`` or more; a group is what links
+    reach. Listings that agree in CORE are one class, so copies cost one row each.
     """
-    known = stored(identity(products))
-    of_block = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in block]
-    classes = known.groupBy("compare_code", *block).agg(F.min("id").alias("class_id"))
-    first = stored(known.join(classes.select(F.col("class_id").alias("id")), "id", "left_semi"))
-    pairs = candidate_pairs(first, block)
-    x = pairs.join(first.alias("l"), F.col("a") == F.col("l.id")).join(first.alias("r"), F.col("b") == F.col("r.id"))
-    x = x.filter(F.size(F.array_intersect("l.words", "r.words")) >= SHARED_WORDS)
-    good = x.withColumn("confidence", confidence(ratio=ratio)).filter(F.col("confidence") >= accept).select("a", "b")
-    root = groups(first, good)
-    of_class = classes.join(root, F.col("class_id") == F.col("id")).select(F.col("compare_code").alias("_code"), *(F.col(b).alias(f"_{b}") for b in block), "root")
-    return known.join(of_class, reduce(lambda a, b: a & b, [F.col("compare_code") == F.col("_code"), *of_block])).select("id", "compare_code", "root")
+    core = F.sha2(F.concat_ws("\0", *(F.coalesce(F.to_json(F.struct(c)), F.lit("")) for c in CORE)), 256)
+    safe = F.concat_ws("\0", *(F.coalesce(F.concat(F.lit("="), F.col(b).cast("string")), F.lit("")) for b in block)) if block else F.lit("")
+    known = identity(products).withColumns({"_core": core, "_block": safe})
+    of_class = known.groupBy("_block", "_core").agg(F.min("id").alias("class_id"))
+    known = stored(known.join(of_class, ["_block", "_core"]))
+    wording = known.groupBy("_block", "_core", "words", fold(F.col("name")).alias("_name")).agg(F.min("id").alias("id")).select("id")
+    classes, wordings = known.filter("id = class_id"), known.join(wording, "id", "left_semi")
+    pairs = stored(candidate_pairs(classes, wordings, ["_block"], accept))
+    good = pairs.join(known.alias("l"), F.col("a") == F.col("l.id")).join(known.alias("r"), F.col("b") == F.col("r.id")).withColumn("confidence", confidence(ratio=ratio)).filter(F.col("confidence") >= accept)
+    coded = known.select("_block", "compare_code", "class_id").distinct()
+    first = coded.groupBy("_block", "compare_code").agg(F.min("class_id").alias("_first"))
+    same = coded.join(first, ["_block", "compare_code"]).filter("class_id != _first").select(F.col("_first").alias("a"), F.col("class_id").alias("b"))
+    edges = good.select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).filter("a != b").union(same)
+    root = groups(classes, edges).select(F.col("id").alias("class_id"), "root")
+    return known.join(root, "class_id").select("id", "compare_code", "root")

@@ -178,11 +178,11 @@ def pair_confidences(spark, sf_dir):
         return F.struct(
             F.when(e % 41 == x, "m").alias("entity_override"), F.when(e % 13 == x, "used").otherwise("new_or_unknown").alias("used"), F.array(F.lit("1un")).alias("pack"), F.lit(False).alias("bundle"), empty.alias("power"), brand.alias("brand_key"),
             F.when(e % 5 == x, 128).when(e % 5 == 4, F.lit(None)).otherwise(256).alias("storage"), empty.alias("ram"), F.lit(None).cast("int").alias("inches"), F.when(e % 3 == x, F.concat(F.lit("g"), (e % 2 * x).cast("string"))).alias("gtin14"), empty.alias("codes"),
-            F.lit("").alias("fingerprint"), F.array_compact(F.array(model)).alias("models"), words.alias("words"), F.lit("brand0 brand1 thing").alias("name"),
+            F.lit("").alias("fingerprint"), F.array_compact(F.array(model)).alias("models"), F.lit(None).cast("struct<year:string,model:string,version:string,used:boolean,store:string,listing:string>").alias("vehicle"), words.alias("words"), F.lit("brand0 brand1 thing").alias("name"),
         )
 
     x = table(spark, sf_dir, "events").select("event_id", side(0).alias("l"), side(1).alias("r"))
-    return x.select(e.alias("id"), I.confidence(ratio=I.edit_ratio).alias("confidence"))
+    return x.select(e.alias("id"), I.confidence().alias("confidence"))
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS n FROM part")

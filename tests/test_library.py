@@ -97,29 +97,97 @@ def test_groups_of_a_path_and_a_lone_node(spark):
     assert {r.id: r.root for r in I.groups(nodes, edges).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
 
 
-def test_clusters_are_those_of_all_pairs(spark, sf_dir):
-    from tallystone.plans.flows import parts_as_listings
-
-    listed = parts_as_listings(spark, sf_dir).withColumn("brand", F.when(F.col("id") % 9 != 0, F.concat(F.lit("b"), (F.col("id") % 2).cast("string"))))
-    known = I.identity(listed).cache()
-    pairs = known.alias("l").join(known.alias("r"), F.col("l.p_type").eqNullSafe(F.col("r.p_type")) & (F.col("l.id") < F.col("r.id")))
-    pairs = pairs.withColumn("c", I.confidence()).withColumn("n", F.size(F.array_intersect("l.words", "r.words"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "c", "n", F.col("l.compare_code").alias("x"), F.col("r.compare_code").alias("y")).collect()
-    root = {r.id: r.id for r in known.select("id").collect()}
+def components(ids, links):
+    root = {i: i for i in ids}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for r in pairs:
-        if r.x == r.y or (r.n >= I.SHARED_WORDS and r.c >= I.ACCEPT):
-            a, b = sorted((find(r.a), find(r.b)))
-            root[b] = a
-    got = {r.id: r.root for r in I.cluster(listed, ["p_type"]).collect()}
-    want = {i: find(i) for i in root}
-    # members of a class stand for one another, so classes may join more than the pairs of their first members
-    assert set(got) == set(want) and all(want[got[i]] == want[i] for i in got)
-    assert len(set(got.values())) < len(got)
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in root}
+
+
+def clusters_and_all_pairs(listed, block):
+    """The operator's groups, and those of every pair's confidence."""
+    known = I.identity(listed).cache()
+    same = F.col("l.id") < F.col("r.id")
+    for b in block:
+        same &= F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}"))
+    pairs = known.alias("l").join(known.alias("r"), same).withColumn("c", I.confidence())
+    links = pairs.filter((F.col("c") >= I.ACCEPT) | (F.col("l.compare_code") == F.col("r.compare_code"))).select("l.id", "r.id").collect()
+    want = components([r.id for r in known.select("id").collect()], links)
+    return {r.id: r.root for r in I.cluster(listed, block).collect()}, want
+
+
+def test_clusters_are_those_of_all_pairs(spark, sf_dir):
+    from tallystone.plans.flows import parts_as_listings
+
+    listed = parts_as_listings(spark, sf_dir).withColumn("brand", F.when(F.col("id") % 9 != 0, F.concat(F.lit("b"), (F.col("id") % 2).cast("string"))))
+    got, want = clusters_and_all_pairs(listed, ["p_type"])
+    assert got == want and len(set(got.values())) < len(got)
+
+
+@pytest.mark.parametrize("seed, block", [(1, []), (2, ["kind"])])
+def test_clusters_of_listings_with_codes_models_and_brands_in_names(spark, seed, block):
+    import random
+
+    r = random.Random(seed)
+    models = ["un50u8000", "u8000", "un50u8000hgxzs", "a54", "v15", "sm-a546", "kx100200", "100200kx"]
+    words = "smart televisor galaxy notebook celular negro azul grande nuevo oferta cocina madera".split()
+    rows = []
+    for i in range(150):
+        brand = r.choice(["Samsung", "Lenovo", "", None])
+        name = " ".join([r.choice(["", "Samsung", "lenovo"]), *r.sample(words, r.randint(2, 5)), r.choice([*models, ""]), r.choice(["", "5G", "128gb", "256 gb", "pack 6", "50 pulgadas"])])
+        gtin = r.choice([None] * 8 + ["7802800000029", "4006381333931"])
+        specs = r.choice([None] * 6 + [{"mpn": "AB-1234"}, {"mpn": "CD-9999"}, {"vehicle_type": "car", "year": r.choice(["2020", "2021"]), "model": "rio", "version": r.choice(["", "lx"])}])
+        rows.append((i, name, brand, gtin, specs, r.choice(["new"] * 5 + ["used"]), r.choice([None] * 12 + ["mine"]), r.choice(["a", "b"]), r.choice(["x", None])))
+    rows += [(200 + i, *rows[i][1:]) for i in range(20)]
+    listed = spark.createDataFrame(rows, "id long, name string, brand string, gtin string, specs map<string,string>, condition string, entity_override string, store string, kind string")
+    got, want = clusters_and_all_pairs(listed, block)
+    assert got == want and 1 < len(set(got.values())) < len(got)
+
+
+def test_similar_sets_miss_no_pair(spark):
+    import random
+
+    r = random.Random(5)
+    sets = {i: sorted(r.sample("abcdefghijklmn", r.randint(1, 9))) for i in range(120)}
+    df = spark.createDataFrame([(i, i % 2, s) for i, s in sets.items()], "id long, g long, words array<string>")
+    for least in (0.3, 0.75, 1.0):
+        got = {(x.a, x.b) for x in I.similar_sets(df, ["g"], least).collect()}
+        close = {(a, b) for a in sets for b in sets if a < b and a % 2 == b % 2 and len(set(sets[a]) & set(sets[b])) >= least * len(set(sets[a]) | set(sets[b]))}
+        assert close <= got and (len(got) < 120 * 119 / 4 / 2 or least < 0.5)
+
+
+def test_sequence_ratio_is_that_of_difflib(spark, sf_dir):
+    from difflib import SequenceMatcher
+
+    names = [x.p_name for x in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").limit(40).collect()]
+    rows = spark.createDataFrame([(a, b) for a in names for b in [*names[:9], a + " x", ""]] + [(None, "a")], "a string, b string")
+    for x in rows.select("a", "b", I.sequence_ratio("a", "b").alias("r")).collect():
+        assert x.r == (0.0 if x.a is None else SequenceMatcher(None, x.a, x.b).ratio())
+
+
+def test_phones_of_a_generation_and_vehicles(spark):
+    rows = [
+        (1, "Celular Galaxy A54 5G 128GB", "Samsung", None, "new", "a"), (2, "Celular Galaxy A54 128GB", "Samsung", None, "new", "b"), (3, "Celular Galaxy A54 256GB 5G", "Samsung", None, "new", "b"),
+        (4, "Kia Rio 2020", "Kia", {"vehicle_type": "car", "year": "2020", "model": "Rio", "version": "LX"}, "used", "a"), (5, "Kia Rio 2020", "Kia", {"vehicle_type": "car", "year": "2020", "model": "Rio", "version": "LX"}, "used", "a"),
+        (6, "Kia Rio 2021", "Kia", {"vehicle_type": "car", "year": "2021", "model": "Rio", "version": "LX"}, "new", "a"), (7, "Kia Rio LX 2021", "Kia", {"vehicle_type": "auto", "year": "2021", "model": "rio", "version": "lx"}, "new", "b"),
+        (8, "Kia Rio 2021", "Kia", {"year": "2021", "model": "Rio"}, "new", "chileautos"), (9, "Kia Rio 2021", "Kia", None, "new", "b"),
+    ]
+    listed = spark.createDataFrame([(i, n, b, None, s, c, t) for i, n, b, s, c, t in rows], "id long, name string, brand string, gtin string, specs map<string,string>, condition string, store string")
+    known = I.identity(listed)
+    x = known.alias("l").join(known.alias("r"), F.col("l.id") < F.col("r.id")).withColumn("c", I.confidence()).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), "c")
+    got = {(r.a, r.b): r.c for r in x.collect()}
+    assert got[1, 2] == 0.95 and got[1, 3] == 0 and got[4, 5] == 0 and got[4, 6] == 0 and got[6, 8] == 0 and got[7, 9] == 0
+    codes = {r.id: r.compare_code for r in known.select("id", "compare_code").collect()}
+    assert codes[4] == "vehicle-used:a:4" and codes[6] == codes[7] == "vehicle-new:kia|rio|2021|lx" and codes[8] == "vehicle-new-unverified:chileautos:8"
+    root = {r.id: r.root for r in I.cluster(listed, []).collect()}
+    assert root[1] == root[2] == 1 and root[4] == 4 and root[5] == 5 and root[6] == root[7] == 6 and root[8] == 8
 
 
 def test_confidence_of_named_cases(spark):
