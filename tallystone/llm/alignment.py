@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -28,6 +29,8 @@ from .token_counts import SPACE
 #: The words of a byte-level vocabulary: fixed values of its file format.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PROBES = [" plain words, and more. don't", "  two  spaces ", " a\nb\n\n c\td\r\n", " naïve straße 中文 \U0001f600", " <|endoftext|> x<|endoftext|>", " 1234 a1b2 ###%%% x_y", " ﬁ①Ａ é\u00a0é", "  "]
+#: Words whose ids a task remembers before it starts anew.
+CACHE_WORDS = 300_000
 #: A run without space, or of space, of this many characters is left to the tokenizers library, whose time does not grow with its square.
 LONG_RUN = 500
 _LONG_SPACE = re.compile(rf"\s{{{LONG_RUN}}}")
@@ -68,12 +71,23 @@ class ByteLevel:
     def exact(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.exact(t) if self.fast is None or max(map(len, t.split()), default=0) >= LONG_RUN or _LONG_SPACE.search(t) else self.fast(t) for t in texts]
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        """Ids as int32; None where their bytes are not those of the text, which the ranks always give back."""
+        quick = [self.fast is not None and max(map(len, t.split()), default=0) < LONG_RUN and not _LONG_SPACE.search(t) for t in texts]
+        out = []
+        for text, fast in zip(texts, quick):
+            ids = self.fast(text) if fast else self.exact(text)
+            out.append(array("i", ids).tobytes() if fast or b"".join(map(self.bytes.__getitem__, ids)) == text.encode() else None)
+        return out
 
 
 class Pieces:
-    """Ids of texts in a sentencepiece vocabulary, as the library gives them."""
+    """Ids of texts in a sentencepiece vocabulary.
+
+    Texts whose words single spaces or line ends part are cut before each of them,
+    where no piece of the vocabulary reaches across; equal words are encoded once,
+    and their tokens compared with their bytes once. Other texts are encoded whole.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
@@ -82,10 +96,43 @@ class Pieces:
         pieces = [(model.id_to_piece(i), model.is_byte(i)) for i in range(model.get_piece_size())]
         self.bytes = [bytes([int(p[3:5], 16)]) if byte else p.replace(SPACE, " ").encode() for p, byte in pieces]
         self.lengths = np.array([len(x) for x in self.bytes], np.int64)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
-
+        self.cut = not any("\n" in p or a != SPACE and b == SPACE for p, byte in pieces if not byte for a, b in zip(p, p[1:] or p))
+        self.words: dict[str, bytes | None] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes | None]:
+        """Ids as int32; None where their bytes are not those of space + text."""
+        found = self.model.encode(texts, num_threads=1)
+        ends = np.cumsum([0, *map(len, found)]) * 4
+        ids = array("i", chain.from_iterable(found)).tobytes()
+        out: list[bytes | None] = [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        if b"".join(map(self.bytes.__getitem__, chain.from_iterable(found))) != (" " + " ".join(texts)).encode():
+            for i, (text, x) in enumerate(zip(texts, found)):
+                if b"".join(map(self.bytes.__getitem__, x)) != (" " + text).encode():
+                    out[i] = None
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes | None]:
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+        rows = []
+        for text in texts:
+            lines = text.replace("\n", " \n")
+            rows.append(lines.split(" ") if self.cut and text and "  " not in lines and lines[0] != " " and lines[-1] != " " and SPACE not in text else None)
+        new = [w for w in dict.fromkeys(chain.from_iterable(r for r in rows if r)) if w not in self.words]
+        for w, ids in zip(new, self.whole(new) if new else []):
+            # a line end follows no space, so the space that the library adds is dropped
+            self.words[w] = ids[4:] if ids and w[:1] == "\n" else ids
+        out = []
+        for text, row in zip(texts, rows):
+            try:
+                out.append(b"".join(map(self.words.__getitem__, row)) if row else self.whole([text])[0])
+            except TypeError:  # a word that is not given back
+                out.append(None)
+        return out
+
+
+#: Stands for id 0 where it goes on with a group, as there is no negative zero; no id is so large.
+_ZERO = -99999999
 
 _TOKENIZERS: dict[tuple[str, str], tuple[ByteLevel, Pieces]] = {}
 
@@ -107,17 +154,15 @@ def token_ends(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 part = batch.slice(first, last - first)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 sides = [one.encode([" " + t for t in texts]), two.encode(texts)]
-                for i, text in enumerate(texts):
-                    whole = b" " + text.encode()
-                    if not text or any(b"".join(map(t.bytes.__getitem__, side[i])) != whole for t, side in zip((one, two), sides)):
-                        sides[0][i] = sides[1][i] = []
+                kept = [bool(t) and a is not None and b is not None for t, a, b in zip(texts, *sides)]
                 columns = [part.column(0)]
                 for tokenizer, side in zip((one, two), sides):
-                    at = np.concatenate([[0], np.cumsum([len(x) for x in side])]).astype(np.int32)
-                    ids = np.fromiter(chain.from_iterable(side), np.int32, at[-1])
+                    side = [x if ok else b"" for x, ok in zip(side, kept)]
+                    at = np.cumsum([0, *map(len, side)]) // 4
+                    ids = np.frombuffer(b"".join(side), np.int32)
                     ends = np.concatenate([[0], np.cumsum(tokenizer.lengths[ids])])
                     ends = ends[1:] - np.repeat(ends[at[:-1]], np.diff(at))
-                    columns += [pa.ListArray.from_arrays(pa.array(at), pa.array(x.astype(np.int32))) for x in (ids, ends)]
+                    columns += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, ends)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "ends_a", "b", "ends_b"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -134,25 +179,24 @@ def aligned(tokens: DataFrame) -> DataFrame:
     """
     rows = tokens.withColumn("common", F.array_intersect("ends_a", "ends_b"))
     for side in ("a", "b"):
-        # common ends sort before the tokens that end there, so each is followed by its token's place
-        rows = rows.withColumn(
-            "marked",
-            F.expr(
-                f"sort_array(concat(transform(ends_{side}, (e, i) -> shiftleft(cast(e AS bigint), 32) + i + 1), transform(common, e -> shiftleft(cast(e AS bigint), 32))))"
-            ),
-        ).withColumn(f"last_{side}", F.expr("transform(filter(marked, (x, k) -> k > 0 AND (get(marked, k - 1) & 4294967295L) = 0), x -> cast(x & 4294967295L AS int))"))
-
-    def ids(side: str) -> str:
-        last, before = f"last_{side}", f"coalesce(get(last_{side}, k - 1), 0)"
-        return f"transform({last}, (x, k) -> if(x - {before} = 1, cast({side}[x - 1] AS string), array_join(transform(sequence({before}, x - 1), i -> cast({side}[i] AS string)), ',')))"
-
-    return rows.select(
+        # twice each end in order, one more where both tokens end: odd marks a group's last token
+        rows = rows.withColumn("single", F.array_except(f"ends_{side}", "common"))
+        rows = rows.withColumn(f"marks_{side}", F.expr("sort_array(concat(transform(common, e -> e * 2 + 1), transform(single, e -> e * 2)))"))
+
+    def grouped(side: str) -> str:
+        """Strings of the ids of each group: in one long string, an id that goes on with a group is negative, which its separator shows."""
+        signed = f"zip_with({side}, concat(array(1), marks_{side}), (i, x) -> if(x % 2 = 1, i, if(i = 0, {_ZERO}, -i)))"
+        return f"split(replace(replace(array_join(cast({signed} AS array<string>), ';'), ';{_ZERO}', ',0'), ';-', ','), ';')"
+
+    last = lambda side: f"filter(zip_with({side}, marks_{side}, (i, x) -> if(x % 2 = 1, i, -1)), i -> i >= 0)"
+    columns = {f"{kind}_{side}": F.expr(of(side)) for kind, of in (("groups", grouped), ("last", last)) for side in ("a", "b")}
+    return rows.select("doc_id", "a", "b", "common", *(c.alias(name) for name, c in columns.items())).select(
         "doc_id",
         F.size("a").cast("long").alias("n_a"),
         F.size("b").cast("long").alias("n_b"),
         F.size("common").cast("long").alias("n_groups"),
-        F.array_join(F.expr(f"zip_with({ids('a')}, {ids('b')}, (x, y) -> concat(x, '|', y))"), ";").alias("groups"),
-        F.expr("zip_with(last_a, last_b, (x, y) -> shiftleft(cast(a[x - 1] AS bigint), 32) + b[y - 1])").alias("links"),
+        F.when(F.size("a") > 0, F.array_join(F.expr("zip_with(groups_a, groups_b, (x, y) -> concat(x, '|', y))"), ";")).otherwise("").alias("groups"),
+        F.expr("zip_with(last_a, last_b, (x, y) -> shiftleft(cast(x AS bigint), 32) + y)").alias("links"),
     )
 
 

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 
+import numpy as np
 import pytest
 
 from tallystone.llm import alignment
@@ -78,10 +79,16 @@ def test_ids_are_those_of_the_library_whatever_the_path():
     one = alignment.ByteLevel(A)
     assert one.fast is not None
     texts = [" plain", "  a\n\n b ", "x" * 2000, "\n" * 900 + "b", "<|endoftext|>", "日本 語", "it's 12abc"]
-    assert one.encode(texts) == [one.exact(t) for t in texts]
+    ids = lambda tokenizer, texts: [np.frombuffer(x, np.int32).tolist() for x in tokenizer.encode(texts)]
+    assert ids(one, texts) == [one.exact(t) for t in texts]
     one.fast = None
-    assert one.encode(texts) == [one.exact(t) for t in texts]
-    assert b"".join(one.bytes[i] for i in one.encode(["naïve 中"])[0]) == "naïve 中".encode()
+    assert ids(one, texts) == [one.exact(t) for t in texts]
+    assert b"".join(one.bytes[i] for i in ids(one, ["naïve 中"])[0]) == "naïve 中".encode()
+    two = alignment.Pieces(B)
+    assert two.cut
+    texts = ["plain words", "a\nb\n\nc", "\n", "two  spaces", " lead", "naïve 中\n<0x0A> <s>", "! ! !!\n! b", "x" * 300]
+    assert ids(two, texts) == two.model.encode(texts) == ids(two, texts)
+    assert two.encode(["a▁b", "▁"]) == [None, None]
 
 
 def test_nothing_but_encoding_is_python(odd_docs):
