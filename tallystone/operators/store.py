@@ -24,16 +24,43 @@ def at_offset(rows: DataFrame, key: str, offset: int) -> DataFrame:
     return rows.select(key).orderBy(key).offset(offset).limit(1)
 
 
+def grams(text: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text; none if it is shorter."""
+    runs = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def standing_inside(queries: DataFrame, texts: DataFrame, sizes: tuple[int, int] = (2, 3)) -> DataFrame:
+    """query_id, product_id of texts (product_id, text) in which every word of a query (query_id, words) stands somewhere.
+
+    An inverted index of character grams: each query asks for the one of its words'
+    grams that the fewest texts have, and what has it is compared in full. Words have
+    the shorter length at least; those between the two lengths ask for a whole word.
+    """
+    few, many = sizes
+    none = F.array().cast("array<string>")
+    of_word = lambda w: F.when(F.length(w) >= many, grams(w, many)).when(F.length(w) >= few, F.array(F.substr(w, F.lit(1), F.lit(few)))).otherwise(none)
+    asked = queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform("words", of_word)))).alias("_g"))
+    index = texts.select("product_id", F.explode(F.concat(grams(F.col("text"), few), grams(F.col("text"), many))).alias("_g")).join(asked.select("_g").distinct(), "_g", "left_semi")
+    common = index.groupBy("_g").agg(F.count("*").alias("_n"))
+    rarest = asked.join(common, "_g", "left").groupBy("query_id").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g"))
+    found = rarest.join(index, "_g").select("query_id", "product_id")
+    both = found.join(queries, "query_id").join(texts, "product_id")
+    return both.filter(F.forall("words", lambda w: F.contains(F.col("text"), w))).select("query_id", "product_id")
+
+
 def find_by_query(queries: DataFrame, products: DataFrame, limit: int = 60, exact: int = 50) -> DataFrame:
-    """query_id, product_id, tier of products (product_id, name, last_query, updated) that a query (query_id, text) finds.
+    """query_id, product_id, tier of products (product_id, name, last_query, updated; brand and specs, a map, if they are there) that a query (query_id, text) finds.
 
     Tier 1: the product was last found by this text; 2: it shares words with it,
     the most first, ``limit`` of them; 3: its id is the text; 4, only where
-    nothing else was found: every word stands somewhere in the name. A product
-    keeps its first tier; the newest ``limit`` come out.
+    nothing else was found: every word stands somewhere in the name, brand or specs.
+    A product keeps its first tier; the newest ``limit`` come out.
     """
+    more = [c for c in ("brand", "specs") if c in products.columns]
+    all_ = F.concat_ws("\n", "name", *(F.concat_ws("\n", F.map_values(c)) if c == "specs" else F.col(c) for c in more))
     q = queries.select("query_id", fold(F.col("text")).alias("_q"), F.array_distinct(tokens(F.col("text"))).alias("_words"))
-    p = products.select("product_id", "updated", fold(F.col("last_query")).alias("_last"), fold(F.col("name")).alias("_name"), F.array_distinct(tokens(F.col("name"))).alias("_has"))
+    p = products.select("product_id", "updated", fold(F.col("last_query")).alias("_last"), fold(all_).alias("text"), F.array_distinct(tokens(F.col("name"))).alias("_has"))
     found = lambda df, tier: df.select("query_id", "product_id", "updated", F.lit(tier).alias("tier"))
     by_last = found(q.join(p, F.col("_q") == F.col("_last")), 1)
     word = q.select("query_id", F.explode("_words").alias("_w")).join(p.select("product_id", "updated", F.explode("_has").alias("_w")), "_w")
@@ -42,7 +69,8 @@ def find_by_query(queries: DataFrame, products: DataFrame, limit: int = 60, exac
     by_id = found(quota(q.join(p, F.col("_q") == F.col("product_id").cast("string")), ["query_id"], [F.col("product_id")], exact), 3)
     first = by_last.unionByName(by_text).unionByName(by_id)
     rest = q.join(first.select("query_id").distinct(), "query_id", "left_anti").filter(F.size("_words") > 0)
-    inside = found(rest.join(p, F.forall("_words", lambda w: F.contains(F.col("_name"), w))), 4)
+    inside = standing_inside(rest.select("query_id", F.col("_words").alias("words")), p.select("product_id", "text"))
+    inside = found(inside.join(p.select("product_id", "updated"), "product_id"), 4)
     one = first.unionByName(inside).groupBy("query_id", "product_id", "updated").agg(F.min("tier").alias("tier"))
     return quota(one, ["query_id"], [F.col("updated").desc(), F.col("product_id")], limit).select("query_id", "product_id", "tier")
 

@@ -139,13 +139,13 @@ def request_and_word_rules(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(k.alias("id"), counted.alias("counted"), F.array_join(left, ",").alias("left_words"), accepted.alias("accepted"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, label, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id BETWEEN 50 AND 400),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, label, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]) * list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q, embeddings),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s QUALIFY place <= 8), p AS (SELECT query_id, label, max(score) AS best FROM k GROUP BY ALL), t AS (SELECT *, max(best) OVER (PARTITION BY query_id) AS top FROM p), g AS (SELECT query_id, label % 5 AS grp FROM t WHERE best >= top * 0.78::DOUBLE)
 SELECT query_id, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS stores FROM g JOIN nation ON n_regionkey = grp GROUP BY 1""")
 def recovered_stores(spark, sf_dir):
-    """Queries: every vec_id divisible by 100, against the vectors of a span; the categories within 78 % of the best give groups, and those stores."""
+    """Queries: every vec_id divisible by 100, against all vectors; the categories within 78 % of the best give groups, and those stores."""
     v = table(spark, sf_dir, "embeddings")
-    near = V.top_k(v.filter("vec_id between 50 and 400"), v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 8)
+    near = V.top_k(v, v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 8)
     found = V.category_candidates(near, v.select("vec_id", "label"), -1.0, 0.78)
     groups = found.groupBy("query_id").agg(F.collect_set(F.col("label") % 5).alias("groups"))
     stores = table(spark, sf_dir, "nation").select(F.col("n_name").alias("store"), F.col("n_regionkey").alias("grp"), F.col("n_name").alias("position"))

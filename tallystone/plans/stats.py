@@ -87,14 +87,14 @@ def price_patterns(spark, sf_dir):
     return T.price_patterns(_wide(spark, sf_dir), KEY, season=F.col("product_id") % 2 == 0)
 
 
-@query(f"""WITH {OFF}, cur AS (SELECT store, product_id, price AS cp, price_normal AS cn FROM off WHERE price > 0 AND price_normal > price),
-l AS (SELECT o.store, o.product_id, ts, price_normal AS v, row_number() OVER (PARTITION BY o.store, o.product_id ORDER BY {ORD}) AS i, count(*) OVER (PARTITION BY o.store, o.product_id) + 1 AS n FROM obs o JOIN cur USING (store, product_id) WHERE price_normal > 0 AND ts >= {NOW} - INTERVAL 2000 DAY),
-r AS (SELECT * FROM l UNION ALL SELECT DISTINCT store, product_id, {NOW}, cn, n, n FROM l JOIN cur USING (store, product_id)),
+@query(f"""WITH {OFF}, cur AS MATERIALIZED (SELECT store, product_id, price AS cp, price_normal AS cn FROM off WHERE price > 0 AND price_normal > price),
+l AS MATERIALIZED (SELECT o.store, o.product_id, ts, price_normal AS v, row_number() OVER (PARTITION BY o.store, o.product_id ORDER BY {ORD}) AS i, count(*) OVER (PARTITION BY o.store, o.product_id) + 1 AS n FROM obs o JOIN cur USING (store, product_id) WHERE price_normal > 0 AND ts >= {NOW} - INTERVAL 2000 DAY),
+r AS MATERIALIZED (SELECT * FROM l UNION ALL SELECT DISTINCT store, product_id, {NOW}, cn, n, n FROM l JOIN cur USING (store, product_id)),
 q AS (SELECT *, max(CASE WHEN ts < {NOW} - INTERVAL 400 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY store, product_id) AS old FROM r),
-z AS (SELECT *, CASE WHEN old = 1 THEN ts < {NOW} - INTERVAL 400 DAY ELSE i <= greatest(1, n // 2) END AS older FROM q),
-lv AS (SELECT store, product_id, round_even(median(v) FILTER (WHERE older), 0)::BIGINT AS baseline_normal, max(v) FILTER (WHERE NOT older) AS inflated_normal FROM z GROUP BY ALL),
+z AS MATERIALIZED (SELECT *, CASE WHEN old = 1 THEN ts < {NOW} - INTERVAL 400 DAY ELSE i <= greatest(1, n // 2) END AS older FROM q),
+lv AS MATERIALIZED (SELECT store, product_id, round_even(median(v) FILTER (WHERE older), 0)::BIGINT AS baseline_normal, max(v) FILTER (WHERE NOT older) AS inflated_normal FROM z GROUP BY ALL),
 sb AS (SELECT *, row_number() OVER (PARTITION BY store, product_id ORDER BY {', '.join(c + ' DESC' for c in ORDER)}) AS b FROM obs WHERE price > 0 AND ts < {NOW} - INTERVAL 400 DAY),
-sd AS (SELECT store, product_id, round_even(median(price), 0)::BIGINT AS sold FROM sb WHERE b <= 30 GROUP BY ALL),
+sd AS MATERIALIZED (SELECT store, product_id, round_even(median(price), 0)::BIGINT AS sold FROM sb WHERE b <= 30 GROUP BY ALL),
 x AS (SELECT *, coalesce(sold, baseline_normal) AS prior_selling FROM lv JOIN cur USING (store, product_id) LEFT JOIN sd USING (store, product_id))
 SELECT store, product_id, baseline_normal, inflated_normal, prior_selling, round((inflated_normal - baseline_normal) * 100 / baseline_normal, 1) AS rise_percent, round((cn - cp) * 100 / cn, 1) AS commercial_discount FROM x
 WHERE baseline_normal > 0 AND inflated_normal >= baseline_normal * 1.15::DOUBLE AND cn >= baseline_normal * 1.15::DOUBLE AND (abs(cp - prior_selling) / greatest(prior_selling, 1) <= 0.05::DOUBLE OR abs(cp - baseline_normal) / greatest(baseline_normal, 1) <= 0.05::DOUBLE)""")

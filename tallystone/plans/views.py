@@ -59,7 +59,7 @@ OBS = """obs AS MATERIALIZED (
 ORD = "ts, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, price"
 #: The basis rule, without null and zero prices.
 SER = f"""{OBS}, flagged AS (SELECT *, max(CASE WHEN price_basis = 'all_payment' THEN 1 ELSE 0 END) OVER (PARTITION BY store, product_id) AS only_all FROM obs),
-ser AS (SELECT * FROM flagged WHERE price > 0 AND (only_all = 0 OR price_basis = 'all_payment'))"""
+ser AS MATERIALIZED (SELECT * FROM flagged WHERE price > 0 AND (only_all = 0 OR price_basis = 'all_payment'))"""
 DAY = "timezone('America/Santiago', timezone('UTC', ts))::DATE"
 NOW = f"TIMESTAMP '{AS_OF}'"
 WIN = f"WINDOW w AS (PARTITION BY store, product_id ORDER BY {ORD})"
@@ -80,7 +80,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OFF = f"""{OBS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY store, product_id ORDER BY ts DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, price DESC) AS n FROM obs),
-off AS (
+off AS MATERIALIZED (
   SELECT store, product_id, family, p_name AS name, p_brand AS brand, p_type AS category, p_size AS size, ts, price, price_normal,
     CASE WHEN product_id % 11 = 0 THEN 0 ELSE l_quantity::BIGINT END AS stock, (product_id % 4 * 500)::BIGINT AS shipping_cost,
     CASE WHEN l_suppkey % 9 = 0 THEN price END AS price_card, CASE WHEN l_suppkey % 9 <> 0 THEN price END AS price_all_payment

@@ -20,6 +20,7 @@ from tallystone.operators import catalog as C
 from tallystone.operators import search as V
 from tallystone.operators import selection as X
 from tallystone.operators import series as S
+from tallystone.operators import store as K
 from tallystone.sources import listings as L
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -266,6 +267,26 @@ def test_packs_cells_and_typos(spark):
     assert [r.t for r in x.collect()] == [t for *_, t in pairs]
 
 
+def test_words_that_stand_inside_are_found_without_comparing_all(spark):
+    import random
+
+    r = random.Random(8)
+    texts = {i: "".join(r.choice("abcd e") for _ in range(r.randint(0, 14))) for i in range(300)} | {900: None}
+    queries = {i: ["".join(r.choice("abcde") for _ in range(r.randint(2, 5))) for _ in range(r.randint(1, 3))] for i in range(80)}
+    t, q = spark.createDataFrame(list(texts.items()), "product_id long, text string"), spark.createDataFrame(list(queries.items()), "query_id long, words array<string>")
+    found = K.standing_inside(q, t)
+    want = {(i, j) for i, ws in queries.items() for j, x in texts.items() if x is not None and all(w in x for w in ws)}
+    assert {tuple(x) for x in found.collect()} == want and found.count() == len(want) > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_find_by_query_looks_into_brand_and_specs(spark):
+    p = spark.createDataFrame([(1, "silla", "", "Acme", {"color": "verde oliva"}, 1), (2, "mesa", "", "Otra", {}, 2)], "product_id long, name string, last_query string, brand string, specs map<string,string>, updated long")
+    q = spark.createDataFrame([(7, "cme oliv"), (8, "zzz"), (9, "mesa")], "query_id long, text string")
+    assert sorted(map(tuple, K.find_by_query(q, p).collect())) == [(7, 1, 4), (9, 2, 2)]
+
+
 def test_shipping_and_financing_of_named_cases(spark):
     texts = {
         "Despacho gratis por compras sobre $ 19.990": (None, 19990, False), "envío gratis, retiro en tienda": (0, None, True), "Despacho por $3.990 o retiro": (3990, None, False),
