@@ -46,7 +46,43 @@ SELECT user_id, ts::TIMESTAMP AS ts, price FROM s WHERE sent""")
 def stream_throttled(spark, sf_dir):
     s = flows.files(spark, sf_dir, "events.parquet").filter("value is not null").select("user_id", "ts", F.round(F.col("value") * 100).cast("long").alias("price"))
     w = _work(spark)
-    return flows.run_append(flows.throttled(s, "user_id", days=5), f"{w}/out", f"{w}/state")
+    return flows.run_append(flows.throttled(s, ["user_id"], days=5, lateness="60 days"), f"{w}/out", f"{w}/state")
+
+
+@query("""WITH RECURSIVE b AS (SELECT s_suppkey AS watcher, user_id, ts, round(value * 100)::BIGINT AS price FROM events JOIN supplier ON s_suppkey % 40 = user_id WHERE value IS NOT NULL AND (s_suppkey % 3 = 0 OR round(value * 100) <= s_suppkey * 100)),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY watcher, user_id ORDER BY ts, price) AS n FROM b),
+s AS (SELECT watcher, user_id, n, ts AS at, price AS p, true AS sent, ts, price FROM c WHERE n = 1
+  UNION ALL SELECT c.watcher, c.user_id, c.n, CASE WHEN c.ts >= s.at + INTERVAL 5 DAY OR c.price < s.p THEN c.ts ELSE s.at END, CASE WHEN c.ts >= s.at + INTERVAL 5 DAY OR c.price < s.p THEN c.price ELSE s.p END, c.ts >= s.at + INTERVAL 5 DAY OR c.price < s.p, c.ts, c.price FROM s JOIN c ON c.watcher = s.watcher AND c.user_id = s.user_id AND c.n = s.n + 1)
+SELECT watcher, user_id, ts::TIMESTAMP AS ts, price FROM s WHERE sent""")
+def stream_subscribed_sends(spark, sf_dir):
+    """Changes of each user's price, to the suppliers that watch the user, some up to a highest price; throttled for each of both."""
+    s = flows.files(spark, sf_dir, "events.parquet").filter("value is not null").select("user_id", "ts", F.round(F.col("value") * 100).cast("long").alias("price"))
+    watch = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("watcher"), (F.col("s_suppkey") % 40).alias("user_id"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_suppkey") * 100).alias("most"))
+    w = _work(spark)
+    return flows.run_append(flows.throttled(flows.subscribed(s, watch, ["user_id"], "most"), ["watcher", "user_id"], days=5, lateness="60 days"), f"{w}/out", f"{w}/state")
+
+
+def _event_prices(spark, sf_dir):
+    """Events as a stream of prices, and one row far behind them that closes what is open."""
+    w = _work(spark)
+    e = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", F.round(F.col("value") * 4).cast("long").alias("price"), (F.col("user_id") % 3).alias("store")).filter("price is not null")
+    end = e.agg((F.max("ts") + F.expr("interval 9 days")).alias("ts")).select(F.lit("end").alias("event_type"), "ts", F.lit(0).cast("long").alias("event_id"), F.lit(0).cast("long").alias("price"), F.lit(0).cast("long").alias("store")).filter("ts is not null")
+    e.unionByName(end).write.parquet(f"{w}/in")
+    return spark.readStream.schema(e.schema).parquet(f"{w}/in"), w
+
+
+@query("SELECT event_type, ts::DATE AS day, (hour(ts) // 8)::INT AS lap, arg_max(round(value * 4)::BIGINT, (ts, event_id)) AS price FROM events WHERE value IS NOT NULL GROUP BY ALL")
+def stream_laps(spark, sf_dir):
+    s, w = _event_prices(spark, sf_dir)
+    return flows.run_append(flows.closed_laps(s, ["event_type"], ["ts", "event_id"], F.floor(F.hour("ts") / 8)), f"{w}/out", f"{w}/state").filter("event_type != 'end'")
+
+
+@query("""WITH e AS (SELECT event_type, ts, event_id, round(value * 4)::BIGINT AS price, user_id % 3 AS store, timezone('America/Santiago', timezone('UTC', ts))::DATE AS day FROM events WHERE value IS NOT NULL),
+l AS (SELECT *, row_number() OVER w AS n, lag(price) OVER w AS p, lag(store) OVER w AS s FROM e WINDOW w AS (PARTITION BY event_type, day ORDER BY ts, event_id))
+SELECT event_type, day, ts::TIMESTAMP AS ts, event_id, price, store FROM l WHERE n = 1 OR price <> p OR store <> s""")
+def stream_kept_points(spark, sf_dir):
+    s, w = _event_prices(spark, sf_dir)
+    return flows.run_append(flows.kept_points(s, ["event_type"], ["ts", "event_id"], ["price", "store"]), f"{w}/out", f"{w}/state").filter("event_type != 'end'")
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
