@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers
+from .common import blocks, buffers, stored
 
 KINDS = ("assign", "access", "hex", "guess")
 #: Words of the corpus that the dictionary holds, by count: bounds what is broadcast (some 400 KB).
@@ -219,7 +219,15 @@ def ranked_words(docs: DataFrame, most: int = DICTIONARY_WORDS) -> dict[str, int
     """
     few, many = WORD_LENGTHS
     words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")).alias("word")).filter(F.length("word").between(few, many))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).select("word").collect()
+    counts = stored(words.groupBy("word").count())
+    # eighths of a power of two: some 500 classes of counts at most tell from where on there are enough words
+    size = F.floor(8 * F.log2("count")).cast("int")
+    least, n = 0, 0
+    for r in counts.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect():
+        least, n = r["size"], n + r["n"]
+        if n >= most:
+            break
+    top = counts.filter(size >= least).orderBy(F.desc("count"), "word").limit(most).select("word").collect()
     ranked = dict.fromkeys([*COMMON, *(r.word for r in top)])
     return {w: i for i, w in enumerate(ranked, 1)}
 
