@@ -23,6 +23,9 @@ UNITS = {
     "pack": (["pack", "packs"], "pack", 1.0),
     "metro": (["m", "mt", "mts", "metro", "metros"], "metro", 1.0),
 }
+#: Units that only the texts of a catalog use, and the order in which its measures are looked for.
+CATALOG_UNITS = {"mm": (["mm"], "metro", 0.001), "cm": (["cm"], "metro", 0.01), "lts": (["lts"], "litro", 1.0)}
+MEASURES = ["litro", "kg", "metro"]
 
 
 def lookup(c: Column, table: dict[str, str]) -> Column:
@@ -181,16 +184,31 @@ def unit_of(c: Column) -> Column:
 
 
 def quantity_cell(c: Column, most: float = 10_000) -> Column:
-    """Struct amount, unit of a cell such as 500 g or 1,5 lt, in kg, litro, unidad, pack or metro; null for what is none or out of (0, most]."""
+    """Struct amount, unit of a cell such as 500 g or 1,5 lt, in kg, litro, unidad, pack or metro; null for what is none or out of (0, most], and for a fraction without a unit."""
     number = F.replace(F.regexp_extract(c, r"^\s*([0-9]+(?:[.,][0-9]+)?)\s*[^\d\s]*\s*$", 1), F.lit(","), F.lit(".")).try_cast("double")
     word = F.regexp_extract(c, r"^\s*[0-9]+(?:[.,][0-9]+)?\s*([^\d\s]*)\s*$", 1)
     u = unit_of(word)
     unit = F.when(word == "", "unidad").otherwise(u["unit"])
     amount = F.round(number * F.when(word == "", F.lit(1.0)).otherwise(u["factor"]), 6)
-    good = unit.isNotNull() & (number > 0) & (number <= most)
+    good = unit.isNotNull() & (number > 0) & (number <= most) & ((word != "") | (number == F.floor(number)))
     return F.struct(F.when(good, amount).alias("amount"), F.when(good, unit).alias("unit"))
 
 
+def catalog_measure(name: Column, brand: Column, specs: Column) -> Column:
+    """Struct measure, amount of the first volume in name, brand or specs (a map), else the first mass, else the first length: litro, kg or metro; null without one."""
+    entries = F.transform(F.map_entries(specs), lambda e: F.concat_ws(" ", e["key"], e["value"]))
+    text = fold(F.concat_ws(" ", name, brand, F.concat_ws(" ", entries)))
+    found = []
+    for measure in MEASURES:
+        spelled = {s: factor for spellings, m, factor in [*UNITS.values(), *CATALOG_UNITS.values()] if m == measure for s in spellings}
+        pattern = rf"(?<![0-9.,])([0-9]+(?:[.,][0-9]+)?) ?({'|'.join(sorted(spelled, key=len, reverse=True))})\b"
+        number = F.replace(F.regexp_extract(text, pattern, 1), F.lit(","), F.lit(".")).try_cast("double")
+        factor = F.create_map(*(F.lit(x) for pair in spelled.items() for x in pair))[F.nullif(F.regexp_extract(text, pattern, 2), F.lit(""))]
+        amount = F.round(number * factor, 6)
+        found.append(F.when(amount > 0, F.struct(F.lit(measure).alias("measure"), amount.alias("amount"))))
+    return F.coalesce(*found)
+
+
 def money_cell(c: Column) -> Column:
     """Whole pesos of a cell such as 10990, $10.990 or CLP 10.990; null for anything else."""
     text = F.regexp_replace(F.trim(c.cast("string")), r"(?i)^(clp\s*|\$\s*)", "")

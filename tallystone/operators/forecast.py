@@ -140,3 +140,9 @@ def attached(cards: DataFrame, forecasts: DataFrame, key: list[str], models: lis
     preference = F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(m) for m in models)), F.col("model")), F.lit(0)), F.lit(len(models) + 1))
     one = forecasts.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(preference, *order))).filter("_n = 1").drop("_n")
     return cards.join(one, key, "left")
+
+
+def counts_for_quality(outcomes: DataFrame, excluded: list[str]) -> DataFrame:
+    """Outcomes (status, model, fallback, hit_reason) that judge a model: decided, of no excluded model, not by a fallback, and no hit by standing still."""
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return outcomes.filter(F.col("status").isin("hit", "miss") & ~F.lower(F.coalesce("model", F.lit(""))).isin(excluded) & ~flag(F.col("fallback")) & (F.coalesce("hit_reason", F.lit("")) != "stable"))

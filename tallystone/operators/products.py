@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.sources.sinks import renumbered
+
 from tallystone.functions import commerce
 from tallystone.functions.money import money, sane_discount
 from tallystone.functions.text import fold
@@ -95,10 +97,21 @@ def first_changes(history: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def peers_of(anchors: DataFrame, products: DataFrame, code: str, most: int = 24) -> DataFrame:
-    """anchor, product_id, store: each anchor and the cheapest others of its code."""
-    x = anchors.select(F.col("product_id").alias("anchor"), F.col("store").alias("_s"), F.col(code).alias("_c")).join(products, F.col("_c") == F.col(code))
-    own = (F.col("product_id") == F.col("anchor")) & (F.col("store") == F.col("_s"))
-    return quota(x.withColumn("_own", own), ["anchor", "_s"], [F.col("_own").desc(), F.col("price"), F.col("store"), F.col("product_id")], most + 1).select("anchor", F.col("_s").alias("anchor_store"), "product_id", "store")
+    """anchor, product_id, store: each anchor and the cheapest others of its code. Each code is ranked once; anchors meet its first ``most + 1`` only."""
+    order = [F.col("price"), F.col("store"), F.col("product_id")]
+    first = quota(products.filter(F.col(code).isNotNull()), [code], order, most + 1).select(F.col(code).alias("_c"), "product_id", "store", "price")
+    a = anchors.select(F.col("product_id").alias("anchor"), F.col("store").alias("_s"), F.col(code).alias("_c"), "price").filter("_c is not null")
+    others = a.drop("price").join(first, "_c").filter((F.col("product_id") != F.col("anchor")) | (F.col("store") != F.col("_s")))
+    others = quota(others, ["anchor", "_s"], order, most)
+    own = a.select("anchor", F.col("_s").alias("anchor_store"), F.col("anchor").alias("product_id"), F.col("_s").alias("store"))
+    return own.unionByName(others.select("anchor", F.col("_s").alias("anchor_store"), "product_id", "store"))
+
+
+def flattened(groups: DataFrame, offers: DataFrame, group: list[str]) -> DataFrame:
+    """offers with lowest_price, comparable and kind of their group, and place: comparable groups first, then by price (none or 0 last) and store."""
+    x = offers.join(groups.select(*group, "lowest_price", "comparable", "kind"), group)
+    order = [(~F.coalesce("comparable", F.lit(False))).cast("int").alias("_o1"), F.col("price").isNull().cast("int").alias("_o2"), F.coalesce(F.nullif("price", F.lit(0)), F.lit(10**12)).alias("_o3"), F.coalesce("store", F.lit("")).alias("_o4"), *(F.col(c) for c in group)]
+    return renumbered(x.select("*", *order[:4]), ["_o1", "_o2", "_o3", "_o4", *group]).drop("_o1", "_o2", "_o3", "_o4").withColumnRenamed("n", "place")
 
 
 def stores_ranking(drops: DataFrame, stores: DataFrame, now: Column) -> DataFrame:

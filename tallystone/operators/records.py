@@ -21,14 +21,6 @@ def aggregator_normal(current: Column, previous: Column, internet: Column) -> Co
     return F.when(previous > current, previous).when(internet > current, internet).otherwise(current)
 
 
-def html_products(pages: DataFrame, page: str = "page_id") -> DataFrame:
-    """page, place, product_id, name, price, total of product cards in HTML: li elements with data-id, a link and a price."""
-    cards = F.regexp_extract_all("html", F.lit(r'(?s)(<li[^>]*data-id="[^"]*".*?</li>)'))
-    x = pages.select(page, F.size(cards).alias("total"), F.posexplode(cards).alias("place", "_c"))
-    part = lambda pattern: F.regexp_extract("_c", pattern, 1)
-    return x.select(page, "total", "place", part(r'data-id="([^"]*)"').alias("product_id"), F.trim(part(r"<a[^>]*>([^<]*)</a>")).alias("name"), money(part(r'class="price">([^<]*)<')).alias("price"))
-
-
 def spec_map(names: Column, values: Column) -> Column:
     """A map of two arrays; the first value of a name that comes twice, no empty names."""
     pairs = F.filter(F.zip_with(names, values, lambda n, v: F.struct(F.trim(n).alias("key"), v.alias("value"))), lambda e: e["key"] != "")
@@ -183,3 +175,33 @@ def predicted_alerts(forecasts: DataFrame, follows: DataFrame, users: DataFrame,
     """user_id, key of supported drops that an approved user follows and was not told of at this level."""
     x = forecasts.filter("supported").join(follows, key).join(users.filter("approved").select("user_id"), "user_id", "left_semi")
     return x.join(sent.select("user_id", *key, "expected").distinct(), ["user_id", *key, "expected"], "left_anti")
+
+
+def groups_of_product(products: DataFrame, fields: list[str], known: list[str], resolved: DataFrame, stores: DataFrame) -> DataFrame:
+    """product_id, groups: the known store groups that a product's own fields name, in their order; else those its words resolve to; else its store's.
+
+    fields: columns of text, or of arrays of it. resolved: product_id, groups. stores:
+    store, grp. A product without any has an empty list.
+    """
+    kinds = dict(products.dtypes)
+    values = F.concat(*(F.coalesce(F.col(f), F.array().cast("array<string>")) if kinds[f].startswith("array") else F.array(F.col(f)) for f in fields))
+    folded = F.transform(values, lambda v: F.lower(F.trim(F.coalesce(v, F.lit("")))))
+    only = lambda c: F.array_distinct(F.filter(c, lambda g: g.isin(known)))
+    x = products.select("product_id", F.lower(F.trim("store")).alias("store"), only(folded).alias("_own"))
+    x = x.join(resolved.select("product_id", only(F.col("groups")).alias("_found")), "product_id", "left").join(stores.select("store", F.when(F.col("grp").isin(known), F.array("grp")).alias("_of_store")), "store", "left")
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return x.select("product_id", F.coalesce(some("_own"), some("_found"), "_of_store", F.array().cast("array<string>")).alias("groups"))
+
+
+def remaining(available: list[str], chosen: DataFrame) -> DataFrame:
+    """search_id, store, position: the stores that a search did not choose, in their order. chosen: search_id, store."""
+    taken = chosen.groupBy("search_id").agg(F.collect_set(F.lower(F.trim("store"))).alias("_taken"))
+    listed = F.array(*(F.struct(F.lit(s).alias("store"), F.lit(i).alias("position")) for i, s in enumerate(available)))
+    return taken.select("search_id", F.explode(F.filter(listed, lambda s: ~F.array_contains("_taken", s["store"]))).alias("s")).select("search_id", "s.*")
+
+
+def points_of_lists(points: DataFrame, order: list[str]) -> DataFrame:
+    """points (list_id, ts, ...) of named lists with their place in the list, those without a time first."""
+    x = points.withColumn("list_id", F.trim("list_id")).filter("list_id <> ''")
+    w = Window.partitionBy("list_id").orderBy(F.col("ts").asc_nulls_first(), *order)
+    return x.withColumn("place", F.row_number().over(w))

@@ -53,8 +53,12 @@ def of_category(products: DataFrame, category: str, also: dict[str, tuple[list[s
 
 def tiered_candidates(seeds: DataFrame, products: DataFrame, limit: int) -> DataFrame:
     """id, product_id, tier: products that share a word with a seed (1), else its category or brand (2), each once; the cheapest of the first tiers."""
-    by_word = seeds.select("id", F.explode("words").alias("_w")).join(products.select("product_id", "price", F.explode("words").alias("_w")), "_w").select("id", "product_id", "price", F.lit(1).alias("tier"))
-    wide = lambda c: seeds.select("id", c).join(products.select("product_id", "price", c), c).select("id", "product_id", "price", F.lit(2).alias("tier"))
+    # the cheapest of each word, category and brand are ranked once: a seed needs no more of a word than the limit and itself,
+    # and no more of a category than that and the products that a word gave already
+    cheapest = [F.col("price"), F.col("product_id")]
+    of_word = quota(products.select("product_id", "price", F.explode("words").alias("_w")), ["_w"], cheapest, limit + 1)
+    by_word = seeds.select("id", F.explode("words").alias("_w")).join(of_word, "_w").select("id", "product_id", "price", F.lit(1).alias("tier"))
+    wide = lambda c: seeds.select("id", c).join(quota(products.select("product_id", "price", c).filter(F.col(c).isNotNull()), [c], cheapest, 2 * limit + 1), c).select("id", "product_id", "price", F.lit(2).alias("tier"))
     x = by_word.union(wide("category")).union(wide("brand")).filter("id <> product_id").groupBy("id", "product_id", "price").agg(F.min("tier").alias("tier"))
     return quota(x, ["id"], [F.col("tier"), F.col("price"), F.col("product_id")], limit)
 
@@ -110,3 +114,10 @@ def refresh_due(points: DataFrame, last: DataFrame, key: list[str], now: Column,
     x = points.join(l, key, "left").filter(F.col("_at").isNull() | (F.col("ts") > F.col("_at")))
     a = x.groupBy(*key, "_at").agg(F.count("*").alias("since"))
     return a.select(*key, "since", (F.col("_at").isNull() | (F.col("since") >= changes) | (F.col("_at") < now - F.expr(f"INTERVAL {hours} HOURS"))).alias("due"))
+
+
+def notification_offers(offers: DataFrame, key: list[str], group: list[str]) -> DataFrame:
+    """key, rule, saving of every alert without thresholds, for accounts to apply their own; also any discount off the list price."""
+    families = alert_families(offers, key, group, 0, 0, 0, 0)
+    cut = (F.col("price") > 0) & (F.col("price_normal") > F.col("price"))
+    return families.unionByName(offers.filter(cut).select(*key, F.lit("common_discount").alias("rule"), (F.col("price_normal") - F.col("price")).cast("double").alias("saving")))

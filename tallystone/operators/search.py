@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.sources.storage import stored
+
 #: Query vectors, and vectors, that one task compares at once.
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 65536
 
@@ -23,6 +25,89 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def _unit(rows: list) -> np.ndarray:
+    m = np.array(rows, np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _best_of(k: int):
+    """The k nearest of a block's vectors (vec_id, known) for each of its queries (query_id, asked)."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids, asked = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
+        order = np.argsort(ids)
+        ids, score = ids[order], _unit(right["asked"].to_pylist()) @ _unit(left["known"].to_pylist())[order].T
+        best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+        n = best.shape[1]
+        return pa.table({"query_id": np.repeat(asked, n), "vec_id": ids[best].reshape(-1), "score": np.take_along_axis(score, best, 1).reshape(-1)})
+
+    return run
+
+
+def centroids(vectors: DataFrame, lists: int, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
+    """Spherical k-means centres of a bounded sample: the ``sample`` vectors whose ids have the lowest hashes."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()["embedding"].to_pylist()
+    if not rows:
+        return np.zeros((0, 0))
+    x = _unit(rows)
+    at = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
+    for _ in range(rounds):
+        nearest = np.argmax(x @ at.T, axis=1)
+        sums = np.zeros_like(at)
+        np.add.at(sums, nearest, x)
+        empty = np.bincount(nearest, minlength=len(at)) == 0
+        at = np.where(empty[:, None], at, _unit(sums))
+    return at
+
+
+def _nearest_lists(rows: DataFrame, vector: str, at: np.ndarray, n: int) -> DataFrame:
+    """rows once for each of the n centres nearest to its vector, with ``list``."""
+    names, place = rows.columns, rows.columns.index(vector)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            score = _unit(batch.column(place).to_pylist()) @ at.T
+            best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :n]
+            taken = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1])))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(best.reshape(-1).astype(np.int32))], names=[*names, "list"])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in rows.dtypes) + ", list int")
+
+
+class VectorIndex:
+    """Vectors (vec_id, embedding and other columns) in lists by their nearest centre; every row is in one list.
+
+    Centres are fitted on a bounded sample. Searches look into the lists nearest to a
+    query and rank what they hold exactly, so they may miss a neighbour in a farther
+    list but never misplace one; ``top_k`` is the exact way.
+    """
+
+    def __init__(self, vectors: DataFrame, lists: int = 64, sample: int = 20_000):
+        self.centres = centroids(vectors, lists, sample)
+        self.rows = stored(_nearest_lists(vectors.withColumn("vec_id", F.col("vec_id").cast("long")), "embedding", self.centres, 1)) if len(self.centres) else vectors.withColumn("list", F.lit(0))
+
+    def search(self, queries: DataFrame, k: int, probes: int = 16, within: Column | None = None) -> DataFrame:
+        """query_id, vec_id, score, place: the k nearest of the ``probes`` nearest lists; ``within``: a condition on the vectors' columns.
+
+        A list of many vectors is compared in blocks of bounded size, each with all
+        queries of that list.
+        """
+        if not len(self.centres):
+            return self.rows.select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("place")).limit(0)
+        rows = self.rows if within is None else self.rows.filter(within)
+        sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("blocks"))  # one row a list
+        v = rows.join(F.broadcast(sizes), "list").select("list", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int").alias("block"), "vec_id", F.col("embedding").alias("known"))
+        q = _nearest_lists(queries.select(F.col("query_id").cast("long"), F.col("embedding").alias("asked")), "asked", self.centres, probes)
+        q = q.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "asked")
+        out = v.groupBy("list", "block").cogroup(q.groupBy("list", "block")).applyInArrow(_best_of(k), "query_id long, vec_id long, score double").withColumn("score", F.round("score", 6))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        return out.withColumn("place", place).filter(F.col("place") <= k)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, place: the k nearest vectors of each query by cosine, ties by id.
 
@@ -38,21 +123,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("known"), deal("vec_id", n_vectors).alias("vb"), every(n_queries).alias("qb"))
     q = queries.select(F.col("query_id").cast("long"), F.col("embedding").alias("asked"), every(n_vectors).alias("vb"), deal("query_id", n_queries).alias("qb"))
 
-    def unit(column: pa.ChunkedArray) -> np.ndarray:
-        m = np.array(column.to_pylist(), np.float64)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, asked = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
-        order = np.argsort(ids)
-        ids, score = ids[order], unit(right["asked"]) @ unit(left["known"])[order].T
-        best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
-        n = best.shape[1]
-        return pa.table({"query_id": np.repeat(asked, n), "vec_id": ids[best].reshape(-1), "score": np.take_along_axis(score, best, 1).reshape(-1)})
-
-    out = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(run, "query_id long, vec_id long, score double").withColumn("score", F.round("score", 6))
+    out = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInArrow(_best_of(k), "query_id long, vec_id long, score double").withColumn("score", F.round("score", 6))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return out.withColumn("place", place).filter(F.col("place") <= k)
 

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallystone.sources.sinks import renumbered
+
 from . import offers as O
 from .catalog import latest, quota
 
@@ -82,11 +84,25 @@ def group_confidence(pairs: DataFrame, group: list[str]) -> DataFrame:
 
 
 def identity_pairs(offers: DataFrame, group: list[str], id: str, least: float, limit: int, seed: int = 21) -> DataFrame:
-    """A seeded sample of pairs of different stores inside groups with confidence ``least`` at least, from the ``3 * limit`` most confident."""
-    o = offers.select(*group, F.col(id).alias("b"), F.col("store").alias("_s"), F.col("confidence").alias("_c"))
-    x = offers.select(*group, F.col(id).alias("a"), "store", "confidence").join(o, group).filter((F.col("a") < F.col("b")) & (F.col("store") != F.col("_s")))
-    x = x.withColumn("score", F.least("confidence", "_c")).filter(F.col("score") >= least).select("a", "b", "score").distinct()
-    top = x.orderBy(F.col("score").desc(), "a", "b").limit(3 * limit)
+    """A seeded sample of pairs of different stores inside groups with confidence ``least`` at least, from the ``3 * limit`` most confident.
+
+    A pair is as confident as its weaker side, so a group's best rows make the pairs:
+    up to the first row of a second store and as many more as pairs are wanted, each
+    making one at least, ties kept. Of one store's rows with one confidence the first
+    by id suffice, as they make the earlier pairs.
+    """
+    n = 3 * limit
+    best = Window.partitionBy(*group).orderBy(F.col("confidence").desc(), "store", "id")
+    o = offers.select(*group, F.col(id).alias("id"), "store", "confidence").filter(F.col("confidence") >= least).distinct()
+    o = o.withColumn("_k", F.row_number().over(Window.partitionBy(*group, "store", "confidence").orderBy("id"))).filter(F.col("_k") <= n)
+    o = o.withColumns({"_r": F.row_number().over(best), "_s": F.first("store").over(best)})
+    second = o.groupBy(*group).agg(F.min(F.when(F.col("store") != F.col("_s"), F.col("_r"))).alias("_p")).filter("_p is not null")
+    floor = o.join(second, group).filter(F.col("_r") <= F.col("_p") + n).groupBy(*group).agg(F.min("confidence").alias("_floor"))
+    o = o.join(floor, group).filter(F.col("confidence") >= F.col("_floor")).select(*group, "id", "store", "confidence")
+    other = o.select(*group, F.col("id").alias("b"), F.col("store").alias("_s"), F.col("confidence").alias("_c"))
+    x = o.withColumnRenamed("id", "a").join(other, group).filter((F.col("a") < F.col("b")) & (F.col("store") != F.col("_s")))
+    x = x.select("a", "b", F.least("confidence", "_c").alias("score")).distinct()
+    top = x.orderBy(F.col("score").desc(), "a", "b").limit(n)
     return top.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("a").cast("string"), F.col("b").cast("string")).cast("binary"))).limit(limit)
 
 
@@ -113,6 +129,19 @@ def seeded_sample(rows: DataFrame, key: list[Column], n: int, seed: int = 21) ->
 # --- alerts and users ---------------------------------------------------------
 
 
+def fits_person(basis: Column, card: Column, only_extremes: Column, sizes: Column, prefs: Column) -> Column:
+    """Whether an offer is for a person's payment cards and sizes (struct payment_cards, preferred_sizes, arrays).
+
+    A price of a named card needs that card; where only the extreme sizes are left,
+    one of them must be preferred. Case and outer spaces do not count.
+    """
+    plain = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    listed = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), plain)
+    by_card = F.coalesce(basis == "card", F.lit(False)) & (plain(card) != "")
+    card_ok = ~by_card | F.array_contains(listed(prefs["payment_cards"]), plain(card))
+    return card_ok & (~F.coalesce(only_extremes, F.lit(False)) | F.arrays_overlap(listed(sizes), listed(prefs["preferred_sizes"])))
+
+
 def wants(kind: Column, stock: Column, own: Column, other: Column, category: Column, prefs: Column, channel: str | None = None) -> Column:
     """Whether preferences (struct kinds, email_categories, min_self, min_other, min_real) let an alert through.
 
@@ -223,8 +252,8 @@ def merged_changes(feeds: dict[str, DataFrame], query: Column) -> DataFrame:
 
 
 def numbered(changes: DataFrame) -> DataFrame:
-    """changes with n: 1 for the newest change. The list of a month's changes is ordered as a whole."""
-    return changes.withColumn("n", F.row_number().over(Window.orderBy(F.col("at").desc_nulls_last(), F.col("query").desc())))
+    """changes with n: 1 for the newest change, those without a time last."""
+    return renumbered(changes, [F.col("at").desc_nulls_last(), F.col("query").desc()])
 
 
 # --- quotes -------------------------------------------------------------------

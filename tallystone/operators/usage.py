@@ -68,3 +68,12 @@ def merged_logs(old: DataFrame, new: DataFrame) -> DataFrame:
     """The new log, and the old one's rows from before the new one began."""
     start = new.agg(F.min("ts").alias("_start"))  # one row
     return new.unionByName(old.join(F.broadcast(start)).filter(F.col("_start").isNull() | (F.col("ts") < F.col("_start"))).select(old.columns))
+
+
+def people_searches(searches: DataFrame, marks: list[str]) -> DataFrame:
+    """Searches that people made: not in the background, without any mark of a batch, and with a text."""
+    unmarked = [F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "false", "0") for c in ("background", *marks)]
+    out = searches.filter(F.trim(F.coalesce("query", F.lit(""))) != "")
+    for ok in unmarked:
+        out = out.filter(ok)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tallystone.registry import ORACLES, QUERIES
 
-from . import decisions, events, flows, keys, offers, products, records, reports, scalars, selection, series, stats, store, usage  # noqa: F401
+from . import decisions, details, events, flows, keys, offers, products, records, reports, scalars, selection, series, stats, store, usage  # noqa: F401
 
 
 def queries() -> dict:

@@ -9,6 +9,7 @@ from tallystone.operators import records as R
 from tallystone.operators import rules
 from tallystone.operators import audit as A
 from tallystone.registry import query
+from tallystone.sources import html as H
 from tallystone.sources import listings as L
 from tallystone.sources import sinks as K
 from tallystone.sources.storage import shared_folder
@@ -33,24 +34,38 @@ def shopify_listing(spark, sf_dir):
     return out.select("product_id", "sku_id", "name", "brand", "price", "price_normal", F.col("stock").cast("int").alias("stock"))
 
 
-@query(f"WITH {_P} SELECT brand AS store, CASE WHEN length(brand) % 2 = 0 THEN length(brand) ELSE 1 END::INT AS total_pages, k::VARCHAR AS id, n * 100 AS price, CASE WHEN n % 3 = 0 THEN n * 120 WHEN n % 3 = 1 THEN n * 110 ELSE n * 100 END AS normal FROM p")
+@query(f"WITH {_P} SELECT brand AS store, (k // 200)::BIGINT AS page, CASE WHEN length(brand) % 2 = 0 THEN length(brand) ELSE 1 END::INT AS total_pages, k::VARCHAR AS id, n * 100 AS price, CASE WHEN n % 3 = 0 THEN n * 120 WHEN n % 3 = 1 THEN n * 110 ELSE n * 100 END AS normal FROM p")
 def listing_pages(spark, sf_dir):
-    """Nested listing payloads, one a brand."""
+    """Nested listing payloads of a brand, a page for every two hundred numbers of parts."""
     n = F.col("n")
     item = F.struct(F.col("k").cast("string").alias("id"), (n * 100).alias("price"), F.when(n % 3 == 0, n * 120).otherwise(n).alias("previous"), F.when(n % 3 == 1, n * 110).otherwise(n).alias("internet"))
-    data = _parts(spark, sf_dir).groupBy("brand").agg(F.collect_list(item).alias("products"))
+    data = _parts(spark, sf_dir).groupBy("brand", F.floor(F.col("k") / 200).alias("page")).agg(F.collect_list(item).alias("products"))
     pages = F.when(F.length("brand") % 2 == 0, F.length("brand"))
     payload = F.to_json(F.struct(F.struct("products", F.struct(pages.alias("pages")).alias("paging")).alias("data")))
-    x = R.listing_pages(data.select(F.col("brand").alias("store"), payload.alias("payload")), "$.data.products", "$.data.paging.pages", "id:string,price:long,previous:long,internet:long")
-    return x.select("store", "total_pages", "id", "price", R.aggregator_normal(F.col("price"), F.col("previous"), F.col("internet")).alias("normal"))
+    x = R.listing_pages(data.select(F.concat_ws("|", "brand", F.col("page").cast("string")).alias("store"), payload.alias("payload")), "$.data.products", "$.data.paging.pages", "id:string,price:long,previous:long,internet:long")
+    return x.select(F.substring_index("store", "|", 1).alias("store"), F.substring_index("store", "|", -1).cast("long").alias("page"), "total_pages", "id", "price", R.aggregator_normal(F.col("price"), F.col("previous"), F.col("internet")).alias("normal"))
 
 
-@query(f"WITH {_P} SELECT brand, count(*) OVER (PARTITION BY brand)::INT AS total, k::VARCHAR AS product_id, name, n * 1000 + 990 AS price FROM p")
+@query(f"WITH {_P} SELECT brand, (k // 200)::BIGINT AS page, count(*) OVER (PARTITION BY brand, k // 200)::INT AS total, k::VARCHAR AS product_id, name || ' & <co>' AS name, '/p/' || k || '.html' AS url, CASE WHEN n % 3 = 0 THEN brand END AS maker, n * 1000 + 990 AS price, CASE WHEN n % 2 = 0 THEN n * 2000 END AS price_normal FROM p")
 def html_listing(spark, sf_dir):
-    """HTML pages of product cards, one a brand."""
-    card = F.concat(F.lit('<li class="item" data-id="'), F.col("k").cast("string"), F.lit('"><a href="/x">'), F.col("name"), F.lit('</a><span class="price">$'), F.col("n").cast("string"), F.lit(".990</span></li>\n"))
-    pages = _parts(spark, sf_dir).groupBy("brand").agg(F.array_join(F.collect_list(card), "").alias("html"))
-    return R.html_products(pages, "brand").select("brand", "total", "product_id", "name", "price")
+    """HTML pages of product cards of a brand, a page for every two hundred numbers of parts: nested tags, entities, old prices and missing fields."""
+    n, k = F.col("n").cast("string"), F.col("k").cast("string")
+    maker = F.when(F.col("n") % 3 == 0, F.concat(F.lit('<span class="brand-name">'), F.col("brand"), F.lit("</span>"))).otherwise("")
+    old = F.when(F.col("n") % 2 == 0, F.concat(F.lit('<div class="old-price"><span data-price-amount="'), (F.col("n") * 2000).cast("string"), F.lit('.0000"></span></div>'))).otherwise("")
+    card = F.concat(F.lit('<li class="item" data-id="'), k, F.lit('">'), maker, F.lit('<a class="x" href="/p/'), k, F.lit('.html"><b>'), F.col("name"), F.lit("</b> &amp; &lt;co&gt;</a><br>"), old, F.lit('<div><span class="price">$'), n, F.lit(".990</span></div></li>\n"))
+    pages = _parts(spark, sf_dir).groupBy("brand", F.floor(F.col("k") / 200).alias("page")).agg(F.concat(F.lit("<ul><li>none</li>"), F.array_join(F.collect_list(card), ""), F.lit("</ul>")).alias("html"))
+    return _cards(pages)
+
+
+def _cards(pages):
+    return H.page_cards(pages.withColumnRenamed("brand", "of_brand"), ["of_brand", "page"]).select(F.col("of_brand").alias("brand"), "page", "total", "product_id", "name", "url", F.col("brand").alias("maker"), "price", "price_normal")
+
+
+@query("""WITH t AS (SELECT page_id, regexp_extract_all(html, '<a\\s+href="[^"]*"[^>]*>[^<]*</a>') AS tags FROM pages), u AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS place FROM t)
+SELECT page_id, place::INT AS place, regexp_extract(tag, 'href="([^"]*)"', 1) AS href, regexp_extract(tag, '>([^<]*)</a>', 1) AS label FROM u""")
+def parsed_links(spark, sf_dir):
+    """Links of all raw pages, by a parser."""
+    return H.page_links(table(spark, sf_dir, "pages"), ["page_id"])
 
 
 @query(f"WITH {_P} SELECT k, n::VARCHAR AS weight, brand AS maker, 'x' || k AS color, 2 AS entries FROM p")

@@ -73,7 +73,7 @@ def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def renumbered(rows: DataFrame, order: list[str]) -> DataFrame:
+def renumbered(rows: DataFrame, order: list) -> DataFrame:
     """rows with n, 1 and up in this order: sorted by range and written once, numbered by partition offsets, so no task sees all rows."""
     x = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     w = Window.partitionBy("_p").orderBy("_i")

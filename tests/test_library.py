@@ -21,6 +21,7 @@ from tallystone.operators import search as V
 from tallystone.operators import selection as X
 from tallystone.operators import series as S
 from tallystone.operators import store as K
+from tallystone.sources import html as H
 from tallystone.sources import listings as L
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -259,7 +260,7 @@ def test_packs_cells_and_typos(spark):
     texts = {"6 x 100 ml": "6x100ml", "Pack de 12 rollos": "12un", "x6": "6un", "1,5 kg arroz": "1500g,1un", "16 comprimidos 500 mg": "16un,500mg", "": "1un", "3 packs 2 lts": "2000ml,3un"}
     x = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.array_join(I.pack_tokens(F.col("t")), ",").alias("p"))
     assert {r.t: r.p for r in x.collect()} == texts
-    cells = {"500 g": (0.5, "kg"), "1,5 lt.": (1.5, "litro"), "12": (12.0, "unidad"), "2 bolsas": (None, None), "0": (None, None), "20000": (None, None), None: (None, None)}
+    cells = {"500 g": (0.5, "kg"), "1,5 lt.": (1.5, "litro"), "12": (12.0, "unidad"), "0.5": (None, None), "1,5": (None, None), "2.0": (2.0, "unidad"), "0.5 kg": (0.5, "kg"), "2 bolsas": (None, None), "0": (None, None), "20000": (None, None), None: (None, None)}
     x = spark.createDataFrame([(c,) for c in cells], "c string").select("c", Y.quantity_cell(F.col("c")).alias("q"))
     assert {r.c: (r.q.amount, r.q.unit) for r in x.collect()} == cells
     pairs = [("sal", "ssal", True), ("leche", "lecche", True), ("sal", "sol", False), ("a1", "aa1", False), ("la sal", "la", False), ("mesa roja", "messa rroja", False)]
@@ -287,6 +288,58 @@ def test_find_by_query_looks_into_brand_and_specs(spark):
     assert sorted(map(tuple, K.find_by_query(q, p).collect())) == [(7, 1, 4), (9, 2, 2)]
 
 
+def test_the_vector_index_finds_most_neighbours_and_every_row_is_in_one_list(spark, sf_dir):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, [float(x) for x in centres[i % 12] + 0.5 * rng.normal(size=16)], i % 10) for i in range(1500)] + [(2000 + i, [1.0] * 16, 3) for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>, day int").cache()
+    asked = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = V.VectorIndex(v, lists=16, sample=400)
+    assert sorted(r.vec_id for r in index.rows.select("vec_id").collect()) == sorted(r[0] for r in rows)
+    for within, known in ((None, v), (F.col("day") < 5, v.filter("day < 5"))):
+        want = {(r.query_id, r.vec_id): r.score for r in V.top_k(known.drop("day"), asked, 5).collect()}
+        got = {(r.query_id, r.vec_id): r.score for r in index.search(asked, 5, probes=5, within=within).collect()}
+        assert len(want.keys() & got.keys()) >= 0.9 * len(want)
+        assert all(got[k] == pytest.approx(want[k]) for k in want.keys() & got.keys())
+    assert V.VectorIndex(v.limit(0)).search(asked, 5).collect() == []
+    exact = {(r.query_id, r.vec_id) for r in plans.queries()["similar_queries"](spark, sf_dir).collect()}
+    near = {(r.query_id, r.vec_id) for r in plans.queries()["similar_queries_indexed"](spark, sf_dir).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_cards_and_links_of_odd_pages(spark):
+    page = """<ul><li class=item data-product-id=7><div><img src="/i.png" alt="Alt name"><a href="/a.html"><span>Caf&eacute; &amp; <b>Té</b></span></a></div>
+    <div class="old-price"><span class="price">$ 2.990</span></div><span data-price-amount="1990.0000"></span></li>
+    <li data-id="8"><a href="/a.html">again the same address</a><span class="price">$1.000</span></li>
+    <li data-id="9"><a href="/c.html">No price</a></li>
+    <div data-id="10"><img alt="By its image" src="/j.png"><p class="brand-x">Acme</p><span class="price">12990</span>"""
+    df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "<li data-id='1'><<>&#x;</a></li>"), (5, "<script>var a='<a href=1>';</script><!-- <a href='/n'>n</a> --><a href='/x'>one<a href='/y'>two <i>deep</i></a>")], "k long, html string")
+    cards = H.page_cards(df, ["k"]).collect()
+    assert [(r.k, r.place, r.product_id, r.name, r.url, r.image, r.brand, r.price, r.price_normal, r.total) for r in cards] == [(1, 0, "7", "Café & Té", "/a.html", "/i.png", None, 1990, 2990, 2), (1, 1, "10", "By its image", None, "/j.png", "Acme", 12990, None, 2)]
+    links = sorted((r.k, r.place, r.href, r.label) for r in H.page_links(df, ["k"]).collect())
+    assert links == [(1, 0, "/a.html", "Café & Té"), (1, 1, "/a.html", "again the same address"), (1, 2, "/c.html", "No price"), (5, 0, "/x", "one"), (5, 1, "/y", "two deep")]
+
+
+def test_sampled_pairs_are_those_of_all_pairs(spark):
+    import random
+
+    r = random.Random(6)
+    for levels in (3, 1000):
+        rows = [(r.choice("ABC"), i, r.choice(["s1"] * 5 + ["s2", "s3"]), r.randint(0, levels) / levels) for i in range(150)]
+        o = spark.createDataFrame(rows, "g string, id long, store string, confidence double")
+        want = sorted(((min(a[3], b[3]), a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and min(a[3], b[3]) >= 0.3), key=lambda x: (-x[0], x[1], x[2]))[:15]
+        want = sorted(want, key=lambda x: hashlib.md5(f"21:{x[1]}:{x[2]}".encode()).hexdigest())[:5]
+        assert sorted((x.score, x.a, x.b) for x in X.identity_pairs(o, ["g"], "id", 0.3, 5).collect()) == sorted(want)
+
+
+def test_measures_of_named_cases(spark):
+    rows = {"Leche 1,5 Lt. 900 g": ("litro", 1.5), "Arroz 500 gr": ("kg", 0.5), "Cable 250 cm": ("metro", 2.5), "Tubo 12 mm": ("metro", 0.012), "TV 50 pulgadas": None, "": None, None: None, "0 kg pan 2 m": ("metro", 2.0)}
+    x = spark.createDataFrame([(t,) for t in rows], "t string").select("t", Y.catalog_measure(F.col("t"), F.lit("x"), F.create_map().cast("map<string,string>")).alias("m"))
+    assert {r.t: tuple(r.m) if r.m else None for r in x.collect()} == rows
+
+
 def test_shipping_and_financing_of_named_cases(spark):
     texts = {
         "Despacho gratis por compras sobre $ 19.990": (None, 19990, False), "envío gratis, retiro en tienda": (0, None, True), "Despacho por $3.990 o retiro": (3990, None, False),
