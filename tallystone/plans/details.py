@@ -37,7 +37,7 @@ def similar_queries_indexed(spark, sf_dir):
     """The same by the coarse index; a test measures its recall against the exact query. These vectors lie in no clusters, so many lists are looked into."""
     v = _embedded(spark, sf_dir)
     index = V.VectorIndex(v.select("vec_id", "embedding", "day"), lists=64)
-    return index.search(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, probes=44, within=F.col("day").between(10, 24))
+    return index.search(v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, probes=56, within=F.col("day").between(10, 24))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'litro' WHEN 1 THEN 'litro' WHEN 2 THEN 'kg' WHEN 5 THEN NULL ELSE 'metro' END AS measure, CASE p_partkey % 6 WHEN 0 THEN p_size * 0.25 WHEN 1 THEN p_size * 0.001 WHEN 2 THEN p_size * 0.5 WHEN 3 THEN p_size * 0.01 WHEN 4 THEN p_size * 1.5 END::DOUBLE AS amount,
