@@ -42,6 +42,66 @@ def grids(cells: DataFrame, by: list[str]) -> DataFrame:
     return x.select(*by, "row", F.transform(F.sequence(F.lit(0), F.col("_w")), lambda c: F.coalesce(F.col("_m")[c], F.lit(""))).alias("values"))
 
 
+_CELL = "array<struct<text:string,start_row_offset_idx:int,end_row_offset_idx:int,start_col_offset_idx:int,end_col_offset_idx:int,column_header:boolean>>"
+
+
+def document_tables(documents: DataFrame, by: list[str], schema_name: str, most: tuple[int, int] = (1000, 50)) -> DataFrame:
+    """by, table, page, row, headers, values: the rows below the headers of the tables in JSON documents (payload).
+
+    Cells tell the rows and columns that they span; where cells overlap the later one
+    stands. The headers of a column are the different texts of its header rows, joined.
+    Documents that are damaged or of another schema, tables without size or beyond
+    ``most``, and tables with a cell outside of them, have no rows; nor have empty rows.
+    Tables are numbered from 1 in their document, rows from 1 in their table.
+    """
+    v = F.try_parse_json("payload")
+    x = documents.select(*by, v.alias("_v")).filter(F.try_variant_get("_v", "$.schema_name", "string") == schema_name)
+    x = x.select(*by, F.posexplode(F.try_variant_get("_v", "$.tables", "array<variant>")).alias("table", "_t"))
+    of = lambda path, kind: F.try_variant_get("_t", path, kind)
+    x = x.select(*by, (F.col("table") + 1).alias("table"), of("$.prov[0].page_no", "int").alias("page"), of("$.data.num_rows", "int").alias("_rows"), of("$.data.num_cols", "int").alias("_cols"), of("$.data.table_cells", _CELL).alias("_cells"))
+    inside = lambda c: (c["start_row_offset_idx"] >= 0) & (c["start_row_offset_idx"] < c["end_row_offset_idx"]) & (c["end_row_offset_idx"] <= F.col("_rows")) & (c["start_col_offset_idx"] >= 0) & (c["start_col_offset_idx"] < c["end_col_offset_idx"]) & (c["end_col_offset_idx"] <= F.col("_cols"))
+    x = x.filter(F.col("_rows").between(1, most[0]) & F.col("_cols").between(1, most[1]) & F.forall("_cells", lambda c: F.coalesce(inside(c), F.lit(False))))
+    ends = F.transform(F.filter("_cells", lambda c: F.coalesce(c["column_header"], F.lit(False))), lambda c: c["end_row_offset_idx"] - 1)
+    x = x.withColumn("_end", F.coalesce(F.array_max(ends), F.lit(0)))
+    of_table = [*by, "table", "page", "_cols", "_end"]
+    cells = x.select(*of_table, F.posexplode("_cells").alias("_i", "c")).select(*of_table, "_i", F.coalesce("c.text", F.lit("")).alias("text"), "c.start_col_offset_idx", "c.end_col_offset_idx", F.explode(F.sequence(F.col("c.start_row_offset_idx"), F.col("c.end_row_offset_idx") - 1)).alias("_r"))
+    cells = cells.select(*of_table, "_i", "text", "_r", F.explode(F.sequence(F.col("start_col_offset_idx"), F.col("end_col_offset_idx") - 1)).alias("_c"))
+    placed = cells.groupBy(*of_table, "_r", "_c").agg(F.max_by("text", "_i").alias("text"))
+    wide = lambda m: F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: F.coalesce(m[c], F.lit("")))
+    head = placed.filter("_r <= _end and text <> ''").groupBy(*of_table, "_c").agg(F.array_sort(F.collect_list(F.struct("_r", "text"))).alias("_h"))
+    head = head.withColumn("_h", F.array_join(F.array_distinct(F.transform("_h", lambda h: h["text"])), " ")).groupBy(*of_table).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_h"))).alias("_m"))
+    none = F.create_map().cast("map<int,string>")
+    heads = x.select(*of_table).join(head.select(*by, "table", "_m"), [*by, "table"], "left").select(*by, "table", wide(F.coalesce("_m", none)).alias("headers"))
+    rows = placed.filter("_r > _end").groupBy(*of_table, "_r").agg(F.map_from_entries(F.collect_list(F.struct("_c", "text"))).alias("_m"), F.bool_or(F.trim("text") != "").alias("_any")).filter("_any")
+    return rows.select(*of_table, "_r", wide(F.col("_m")).alias("values")).join(heads, [*by, "table"]).select(*by, "table", "page", (F.col("_r") + 1).alias("row"), "headers", "values")
+
+
+#: Words of a stock state, and the keys of an object that may tell it, in their order.
+IN_STOCK, NO_STOCK = ["available", "in stock", "instock", "disponible"], ["unavailable", "out of stock", "outofstock", "agotado", "no disponible"]
+STATE_KEYS = ["message", "text", "label", "name", "description", "displayName", "statusText", "stockStatus", "status", "type", "availability", "value"]
+STATE_FLAGS = ["available", "isAvailable", "inStock", "isInStock"]
+
+
+def availability_text(v: Column, depth: int = 2, told: tuple[str, str] = ("En stock", "Sin stock")) -> Column:
+    """What a variant says of the stock: a flag, a text, the different texts of a list, or the first key of an object that tells; '' for none.
+
+    Objects and lists are followed ``depth`` levels down.
+    """
+    kind = F.schema_of_variant(v)
+    flag = lambda b: F.when(b, told[0]).otherwise(told[1])
+    text = F.trim(F.try_variant_get(v, "$", "string"))
+    code = F.translate(F.lower(text), "_-", "  ")
+    spoken = F.when(text == "[object Object]", "").when(code.isin(IN_STOCK), told[0]).when(code.isin(NO_STOCK), told[1]).otherwise(text)
+    out = F.when(kind == "BOOLEAN", flag(F.try_variant_get(v, "$", "boolean"))).when(kind == "STRING", spoken)
+    if depth:
+        each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: availability_text(e, depth - 1, told))
+        out = out.when(F.startswith(kind, F.lit("ARRAY")), F.array_join(F.array_distinct(F.filter(each, lambda t: t != "")), " · "))
+        keys = [F.nullif(availability_text(F.try_variant_get(v, f"$.{k}", "variant"), depth - 1, told), F.lit("")) for k in STATE_KEYS]
+        flags = [F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "BOOLEAN", flag(F.try_variant_get(v, f"$.{k}", "boolean"))) for k in STATE_FLAGS]
+        out = out.when(F.startswith(kind, F.lit("OBJECT")), F.coalesce(*keys, *flags, F.lit("")))
+    return F.coalesce(out, F.lit(""))
+
+
 def lines_of_tables(rows: DataFrame, by: list[str], headers: dict[str, list[str]], key) -> DataFrame:
     """by, row and the named columns of grids whose first row has their headers; rows without a name are left out. key: folds a header."""
     head = rows.filter("row = 0").select(*by, F.transform("values", lambda v: key(v)).alias("_h"))

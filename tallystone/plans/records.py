@@ -123,6 +123,36 @@ def quote_tables(spark, sf_dir):
     return R.lines_of_tables(rows, ["quote"], {"name": ["name", "producto", "descripcion"], "quantity": ["quantity", "cantidad", "cant"], "unit_price": ["unitprice", "preciounitario", "precio"]}, keys.column_key)
 
 
+@query("""WITH l AS (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1), t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM l)
+SELECT l_orderkey AS quote, 1 AS "table", (l_orderkey % 9)::INT AS page, (i + 2)::INT AS row, 'Item Nombre/Item Código/Precio Neto' AS headers, CASE WHEN l_linenumber = 2 THEN 'Subtotal/Subtotal/' || round(l_extendedprice)::BIGINT ELSE 'p' || l_partkey || '/' || l_suppkey || '/' || CASE WHEN l_linenumber = 3 THEN '' ELSE round(l_extendedprice)::BIGINT::VARCHAR END END AS "values" FROM t WHERE l_orderkey % 10 <> 0 AND l_orderkey % 11 <> 0""")
+def document_tables(spark, sf_dir):
+    """Orders as JSON documents with one table: a title over two columns, a second header row, subtotals over two columns, missing cells; some are damaged or of another kind."""
+    l = K.first_of_key(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])  # noqa: E741
+
+    def cell(text, r, c, height=1, width=1, header=False):
+        r = F.lit(r) if isinstance(r, int) else r
+        return F.struct(text.cast("string").alias("text"), r.alias("start_row_offset_idx"), (r + height).alias("end_row_offset_idx"), F.lit(c).alias("start_col_offset_idx"), F.lit(c + width).alias("end_col_offset_idx"), F.lit(header).alias("column_header"))
+
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", F.round("l_extendedprice").cast("long").alias("price"))))
+    head = F.array(cell(F.lit("Item"), 0, 0, 1, 2, True), cell(F.lit("Precio"), 0, 2, 2, 1, True), cell(F.lit("Nombre"), 1, 0, header=True), cell(F.lit("Código"), 1, 1, header=True), cell(F.lit("Precio"), 0, 2, 1, 1, True), cell(F.lit("Neto"), 1, 2, header=True))
+    row = lambda x, i: F.when(x["l_linenumber"] == 2, F.array(cell(F.lit("Subtotal"), i + 2, 0, 1, 2), cell(x["price"], i + 2, 2))).when(x["l_linenumber"] == 3, F.array(cell(F.concat(F.lit("p"), x["l_partkey"].cast("string")), i + 2, 0), cell(x["l_suppkey"], i + 2, 1))).otherwise(F.array(cell(F.concat(F.lit("p"), x["l_partkey"].cast("string")), i + 2, 0), cell(x["l_suppkey"], i + 2, 1), cell(x["price"], i + 2, 2)))
+    q = l.groupBy("l_orderkey").agg(lines.alias("x"))
+    data = F.struct((F.size("x") + 2).alias("num_rows"), F.lit(3).alias("num_cols"), F.concat(head, F.flatten(F.transform("x", row))).alias("table_cells"))
+    payload = F.to_json(F.struct(F.when(F.col("l_orderkey") % 11 == 0, "Other").otherwise("Doc").alias("schema_name"), F.array(F.struct(data.alias("data"), F.array(F.struct((F.col("l_orderkey") % 9).alias("page_no"))).alias("prov"))).alias("tables")))
+    docs = q.select(F.col("l_orderkey").alias("quote"), F.when(F.col("l_orderkey") % 10 == 0, F.concat(F.lit("{"), payload)).otherwise(payload).alias("payload"))
+    out = R.document_tables(docs, ["quote"], "Doc")
+    return out.select("quote", "table", "page", "row", F.array_join("headers", "/").alias("headers"), F.array_join("values", "/").alias("values"))
+
+
+@query("""SELECT p_partkey AS id, ['En stock', 'Sin stock', p_name, 'Sin stock · ' || p_brand, 'En stock', ''][p_partkey % 6 + 1] AS said FROM part""")
+def availability_texts(spark, sf_dir):
+    """Stock states as JSON of several shapes made from the parts."""
+    k = F.col("p_partkey") % 6
+    shape = F.when(k == 0, F.lit("true")).when(k == 1, F.to_json(F.struct(F.struct(F.lit("OUT_OF_STOCK").alias("status")).alias("availability")))).when(k == 2, F.to_json(F.struct(F.lit("").alias("message"), F.col("p_name").alias("label"))))
+    shape = shape.when(k == 3, F.concat(F.lit('["agotado", "[object Object]", "unavailable", '), F.to_json(F.struct(F.col("p_brand").alias("text"))), F.lit("]"))).when(k == 4, F.lit('{"inStock": true, "other": "x"}')).otherwise(F.lit('{"n": 3}'))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), R.availability_text(F.try_parse_json(shape)).alias("said"))
+
+
 @query("SELECT page_id, unnest([url, 'http://x/' || page_id]) AS loc FROM pages WHERE NOT regexp_matches(url, '[<\\s]')")
 def sitemap_locations(spark, sf_dir):
     xml = F.concat(F.lit("<urlset>\n<url><loc>"), F.col("url"), F.lit("</loc></url><url>\n<loc> http://x/"), F.col("page_id").cast("string"), F.lit(" </loc></url></urlset>"))

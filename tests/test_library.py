@@ -17,6 +17,7 @@ from tallystone.functions import money as M
 from tallystone.functions import text as T
 from tallystone.operators import identity as I
 from tallystone.operators import catalog as C
+from tallystone.operators import records as R
 from tallystone.operators import search as V
 from tallystone.operators import selection as X
 from tallystone.operators import series as S
@@ -334,6 +335,19 @@ def test_sampled_pairs_are_those_of_all_pairs(spark):
         assert sorted((x.score, x.a, x.b) for x in X.identity_pairs(o, ["g"], "id", 0.3, 5).collect()) == sorted(want)
 
 
+def test_tables_of_damaged_documents_have_no_rows(spark):
+    import json
+
+    cell = lambda text, r, c, h=1, w=1, **more: {"text": text, "start_row_offset_idx": r, "end_row_offset_idx": r + h, "start_col_offset_idx": c, "end_col_offset_idx": c + w, **more}
+    doc = lambda *tables, name="Doc": json.dumps({"schema_name": name, "tables": [{"data": {"num_rows": n, "num_cols": m, "table_cells": cells}} for n, m, cells in tables]})
+    good = (3, 2, [cell("A", 0, 0), cell("B", 0, 1), cell("x", 1, 0, 1, 2), cell("y", 1, 1), cell(" ", 2, 0)])
+    rows = [(1, doc(good)), (2, None), (3, "{"), (4, doc(good, name="x")), (5, doc((1, 1, [cell("z", 0, 1)]), good)), (6, doc((0, 2, []), (2000, 1, []))), (7, "[]"), (8, doc((2, 1, [cell("v", 1, 0)])))]
+    got = R.document_tables(spark.createDataFrame(rows, "k long, payload string"), ["k"], "Doc").collect()
+    assert sorted((r.k, r.table, r.page, r.row, r.headers, r["values"]) for r in got) == [(1, 1, None, 2, ["A", "B"], ["x", "y"]), (5, 2, None, 2, ["A", "B"], ["x", "y"]), (8, 1, None, 2, [""], ["v"])]
+    odd = spark.createDataFrame([(s,) for s in ['"[object Object]"', "3", "null", "[]", '[["a", "b"], "a"]', '{"status": {"text": "Disponible"}}', "{bad", None]], "s string")
+    assert [r.t for r in odd.select(R.availability_text(F.try_parse_json("s")).alias("t")).collect()] == ["", "", "", "", "a · b · a", "En stock", "", ""]
+
+
 def test_measures_of_named_cases(spark):
     rows = {"Leche 1,5 Lt. 900 g": ("litro", 1.5), "Arroz 500 gr": ("kg", 0.5), "Cable 250 cm": ("metro", 2.5), "Tubo 12 mm": ("metro", 0.012), "TV 50 pulgadas": None, "": None, None: None, "0 kg pan 2 m": ("metro", 2.0)}
     x = spark.createDataFrame([(t,) for t in rows], "t string").select("t", Y.catalog_measure(F.col("t"), F.lit("x"), F.create_map().cast("map<string,string>")).alias("m"))
