@@ -13,6 +13,7 @@ vocabularies of 50 000 and 32 000), whatever the size of the corpus.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from array import array
@@ -138,7 +139,7 @@ _TOKENIZERS: dict[tuple[str, str], tuple[ByteLevel, Pieces]] = {}
 
 
 def token_ends(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """doc_id, and of both tokenizers the ids and ends (byte offsets in space + text) of each text: a, ends_a, b, ends_b.
+    """doc_id, and of both tokenizers the ids and ends of each text: a, ends_a, b, ends_b. An end is twice the byte offset in space + text.
 
     The first tokenizer is given space + text, the second adds the space itself. Null
     and empty texts, and those whose tokens do not give back space + text byte for
@@ -148,6 +149,7 @@ def token_ends(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def run(batches):
         key = (path_a, path_b)
         one, two = _TOKENIZERS.get(key) or _TOKENIZERS.setdefault(key, (ByteLevel(path_a), Pieces(path_b)))
+        gc.disable()  # the many small lists of ids are in no cycles, so looking for some is for nothing
         for batch in batches:
             _, off = buffers(batch.column(1))
             for first, last in blocks(off):
@@ -161,7 +163,7 @@ def token_ends(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     at = np.cumsum([0, *map(len, side)]) // 4
                     ids = np.frombuffer(b"".join(side), np.int32)
                     ends = np.concatenate([[0], np.cumsum(tokenizer.lengths[ids])])
-                    ends = ends[1:] - np.repeat(ends[at[:-1]], np.diff(at))
+                    ends = 2 * (ends[1:] - np.repeat(ends[at[:-1]], np.diff(at)))
                     columns += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, ends)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "ends_a", "b", "ends_b"])
 
@@ -179,16 +181,16 @@ def aligned(tokens: DataFrame) -> DataFrame:
     """
     rows = tokens.withColumn("common", F.array_intersect("ends_a", "ends_b"))
     for side in ("a", "b"):
-        # twice each end in order, one more where both tokens end: odd marks a group's last token
+        # the ends in order, one more where both tokens end: odd marks a group's last token
         rows = rows.withColumn("single", F.array_except(f"ends_{side}", "common"))
-        rows = rows.withColumn(f"marks_{side}", F.expr("sort_array(concat(transform(common, e -> e * 2 + 1), transform(single, e -> e * 2)))"))
+        rows = rows.withColumn(f"marks_{side}", F.expr("sort_array(concat(transform(common, e -> e + 1), single))"))
 
     def grouped(side: str) -> str:
         """Strings of the ids of each group: in one long string, an id that goes on with a group is negative, which its separator shows."""
         signed = f"zip_with({side}, concat(array(1), marks_{side}), (i, x) -> if(x % 2 = 1, i, if(i = 0, {_ZERO}, -i)))"
         return f"split(replace(replace(array_join(cast({signed} AS array<string>), ';'), ';{_ZERO}', ',0'), ';-', ','), ';')"
 
-    last = lambda side: f"filter(zip_with({side}, marks_{side}, (i, x) -> if(x % 2 = 1, i, -1)), i -> i >= 0)"
+    last = lambda side: f"array_remove(zip_with({side}, marks_{side}, (i, x) -> if(x % 2 = 1, i, -1)), -1)"
     columns = {f"{kind}_{side}": F.expr(of(side)) for kind, of in (("groups", grouped), ("last", last)) for side in ("a", "b")}
     return rows.select("doc_id", "a", "b", "common", *(c.alias(name) for name, c in columns.items())).select(
         "doc_id",
