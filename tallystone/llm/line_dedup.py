@@ -228,7 +228,10 @@ def remove_repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words:
     The first place of a chunk, by doc_id (null last), then line, is kept; a
     document may also repeat itself. Rows alike in doc_id and text are one place
     and stay alike. Null text stays null and has no lines; a text whose lines are
-    all removed becomes empty. Columns of docs with the three names are replaced.
+    all removed becomes empty. Columns of docs with the three names are replaced;
+    others, of any name, stay. doc_ids are ordered as whole numbers (a doc_id of
+    another type must read as one). An empty table gives an empty result. A text of
+    any length that Spark holds in a row is taken whole.
     """
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_row": F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))})
     slim = keyed.select(F.col("_id").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text")).filter("text is not null")

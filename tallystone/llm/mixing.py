@@ -55,8 +55,9 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), percent: int
 
     size: words of the text (null: 0). Null sources are one source, the last.
     Null doc_ids share a key; equal keys are taken in order of size. Rows that
-    repeat a doc_id are documents of their own. An empty table gives none. docs
-    may have other columns of any name; they are not read.
+    repeat a doc_id are documents of their own. An empty table gives none. Only the
+    number of words of a text is used, so its length does not matter. docs may have
+    other columns of any name; they are not read.
     carry: also _doc, a struct of all columns of docs.
     """
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))

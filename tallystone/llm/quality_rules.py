@@ -102,7 +102,9 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with their measurements and fail_bits (long): bit i is set if rule i failed.
 
     An empty table gives an empty ledger; repeated rows and null doc_ids are
-    judged row by row.
+    judged row by row. Null and empty texts have no words and fail the first rule.
+    A text of any length that Spark holds in a row is measured whole, in arrays of
+    its words and lines.
     """
     bits = sum((F.when(F.expr(condition), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, condition) in enumerate(RULES)), F.lit(0))
     return measurements(docs, text).withColumn("fail_bits", bits.cast("long"))

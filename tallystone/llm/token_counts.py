@@ -246,7 +246,9 @@ def token_counts(docs: DataFrame, model_path: str, most_tokens: int = 4096) -> D
 
     Counts are those of the sentencepiece library without begin or end tokens.
     Null text counts as empty: no bytes, no tokens. Null and repeated doc_ids are
-    kept row by row; other columns are not read.
+    kept row by row; an empty table gives an empty result. Other columns are not
+    read, whatever their names. A text of any length that Spark holds in a row is
+    counted whole.
     """
 
     def run(batches):

@@ -292,7 +292,9 @@ def token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | N
 
     Null text is empty and has the end id alone. Null doc_ids come first; rows that
     repeat a doc_id are written each, next to one another. An empty table gives
-    an empty result. Other columns are not read.
+    an empty result. Other columns are not read, whatever their names. doc_ids are
+    whole numbers; one of another type must read as one. A long text is written
+    whole, in a block of its own if need be.
 
     Each shuffle partition becomes a file, which is read back in one piece, and
     Spark reads files of up to 2 GB so: spark.sql.shuffle.partitions must be high
