@@ -10,10 +10,14 @@ from tallystone.operators import products as R
 from tallystone.operators import records, reports, usage
 from tallystone.operators import search as V
 from tallystone.operators import selection as X
-from tallystone.registry import query
+from tallystone.operators import rules
+from tallystone.operators import stats as T
+from tallystone.registry import ORACLES, query
 
 from .decisions import _PREV, _with_stats
-from .views import KEY, OFF, offers, table
+from .series import points
+from .stats import buy_or_wait  # noqa: F401  (its SQL is a part of another)
+from .views import KEY, OFF, ORDER, as_of, offers, table
 
 _ASKED = "q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0)"
 
@@ -129,3 +133,22 @@ def personal_offers(spark, sf_dir):
     card = F.when(k % 4 == 0, "visa").when(k % 2 == 0, "Other").otherwise("")
     sizes = F.when(F.col("size") % 3 == 0, F.array(F.lit(" XL"), F.lit("XS"))).otherwise(F.array(F.lit("XS")))
     return offers(spark, sf_dir).select(*KEY, X.fits_person(basis, card, k % 5 == 0, sizes, prefs).alias("fits"))
+
+
+@query(f"""WITH b AS ({ORACLES['buy_or_wait']}), {OFF}, r AS (SELECT a.store, a.product_id, max(a.price - b.price) AS cheaper FROM off a JOIN off b ON a.product_id = b.product_id AND a.family <> b.family GROUP BY ALL)
+SELECT b.store, b.product_id, CASE WHEN advice = 'buy' AND cheaper > 0 THEN 'wait' ELSE advice END AS advice FROM b LEFT JOIN r ON r.store = b.store AND r.product_id = b.product_id""")
+def advice_with_rivals(spark, sf_dir):
+    """Advice to buy, unless a store of another family sells for less."""
+    advice = T.buy_or_wait(points(spark, sf_dir), KEY, ORDER, as_of())
+    o = offers(spark, sf_dir).select(*KEY, "family", "price")
+    low = o.groupBy("product_id", "family").agg(F.min("price").alias("_p"))
+    cheaper = o.join(low.withColumnRenamed("family", "_f"), "product_id").filter("family <> _f").groupBy(*KEY).agg(F.max(F.col("price") - F.col("_p")).alias("cheaper"))
+    return advice.join(cheaper, KEY, "left").select(*KEY, T.blocked_by_cheaper(F.col("advice"), F.col("cheaper")).alias("advice"))
+
+
+@query(f"""WITH {OFF}, l AS (SELECT *, CASE WHEN product_id % 4 <> 0 THEN ts - to_days((product_id % 9)::INT) END AS sent, price + product_id % 3 - 1 AS was FROM off) SELECT store, product_id FROM l WHERE sent IS NULL OR ts >= sent + INTERVAL 5 DAY OR price < was""")
+def due_sends(spark, sf_dir):
+    """Offers worth a message now: never sent, sent days ago, or cheaper than what was sent."""
+    k = F.col("product_id")
+    sent = F.when(k % 4 != 0, F.col("ts") - F.make_dt_interval(days=(k % 9).cast("int")))
+    return offers(spark, sf_dir).filter(rules.should_send(sent, F.col("price") + k % 3 - 1, F.col("price"), F.col("ts"))).select(*KEY)

@@ -32,15 +32,18 @@ def rewritten_queries(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(k.alias("id"), keys.rewritten_query(q, ALIASES).alias("query"), scope.alias("scope"))
 
 
-@query("""SELECT event_id AS id, event_id % 5 IN (0, 1) AS typo, event_id % 4 IN (0, 3) AS compatible FROM events""")
+@query("""WITH p AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS w, p_size AS n FROM part), x AS (SELECT *, id % 4 AS k, length(w[2]) AS l FROM p)
+SELECT id, CASE k WHEN 0 THEN true WHEN 1 THEN l >= 3 WHEN 2 THEN false ELSE len(w) = 2 AND w[1] = w[2] END AS typo, CASE k WHEN 0 THEN true WHEN 1 THEN n % 10 = 0 WHEN 2 THEN len(list_distinct(w)) > 0 ELSE n % 10 = 0 END AS compatible FROM x""")
 def query_pairs(spark, sf_dir):
-    """Pairs of queries made from each event's number."""
-    k, n = F.col("event_id"), F.col("event_id").cast("string")
-    words = lambda *x: F.array(*(w if not isinstance(w, str) else F.lit(w) for w in x))
-    right = F.when(k % 5 == 0, words("leche", "entera", n)).when(k % 5 == 1, words("lecche", "entera", n)).when(k % 5 == 2, words("lecche", "entterra", n)).when(k % 5 == 3, words("leche", "entera", F.concat(n, F.lit("0")))).otherwise(words("leche", "entera"))
-    other = F.when(k % 4 == 0, F.concat(F.lit("disco solido externo 500gb "), n)).when(k % 4 == 1, F.concat(F.lit("disco solido externo 250gb "), n)).when(k % 4 == 2, F.lit("otra cosa distinta")).otherwise("disco solido externo")
-    left = F.concat(F.lit("disco solido externo 500gb "), n)
-    return table(spark, sf_dir, "events").select(k.alias("id"), keys.typo_equivalent(words("leche", "entera", n), right).alias("typo"), keys.compatible_queries(left, other).alias("compatible"))
+    """Names of parts as queries beside themselves: as they are, with a doubled letter and another size, with two changes, and turned round."""
+    k, n = F.col("p_partkey") % 4, F.col("p_size")
+    w = F.split("p_name", " ")
+    last = F.get(w, F.lit(1))
+    doubled = F.array(F.get(w, F.lit(0)), F.concat(last, F.substring(last, -1, 1)))
+    right = F.when(k == 0, w).when(k == 1, doubled).when(k == 2, F.transform(w, lambda x: F.concat(x, F.lit("q"), F.lit("x")))).otherwise(F.reverse(w))
+    sized = lambda amount: F.concat("p_name", F.lit(" "), amount.cast("string"), F.lit("gb"))
+    other = F.when(k == 0, sized(n)).when(k == 1, sized(n - n % 10 + 0 * n)).when(k == 2, F.col("p_name")).otherwise(sized(n - n % 10))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), keys.typo_equivalent(w, right).alias("typo"), keys.compatible_queries(sized(n), other).alias("compatible"))
 
 
 @query("""WITH s AS (SELECT c_custkey AS id, ['sodimac', 'sodimac', 'falabella', 'tottus', 'paris', 'easy', 'shop' || c_custkey][c_custkey % 7 + 1] AS store FROM customer)

@@ -16,19 +16,23 @@ from tallystone.registry import query
 from .series import points
 from .views import KEY, NOW, OFF, ORD, ORDER, SER, as_of, observations, offers, table
 
-DEVICES, ACCESSORIES, FURNITURE, REMEDIES = ["tv", "televisor", "notebook", "celular"], ["funda", "cargador", "soporte", "cable*"], ["mesa", "rack"], ["paracetamol", "ibuprofeno"]
+DEVICES, ACCESSORIES, FURNITURE, REMEDIES = ["widget", "gizmo", "gear"], ["ring", "rod", "bolt*"], ["plate", "anvil"], ["cold"]
+_ASKED = "x AS (SELECT p.p_partkey AS id, lower(p.p_name) AS q, p.p_size AS n, lower(o.p_name) AS m, o.p_size AS k FROM part p JOIN part o ON o.p_partkey = p.p_partkey // 7 * 3 % (SELECT count(*) FROM part))"
 
 
-@query("""SELECT event_id AS id, k IN (0, 4) AS device, k = 1 AS accessory, CASE WHEN k = 0 THEN 55 END AS inches, k IN (2, 3) AS pharmacy, [CASE WHEN k IN (0, 4) THEN 'accessory' END, CASE WHEN k IN (0, 4) THEN 'furniture' END, CASE WHEN k IN (0, 4) THEN 'made_for' END, CASE WHEN k = 0 THEN 'inches' END, CASE WHEN k = 5 THEN 'fruit' END, NULL][event_id % 6 + 1] AS conflict FROM (SELECT event_id, event_id // 6 % 6 AS k FROM events)""")
+@query(f"""WITH {_ASKED}, i AS (SELECT *, regexp_matches(q, '\\b(ring|rod|bolt[a-z0-9]*)\\b') AS accessory, CASE WHEN id % 2 = 0 THEN n + 19 END AS inches, n % 4 = 0 OR regexp_matches(q, '\\bcold\\b') AS pharmacy FROM x), d AS (SELECT *, regexp_matches(q, '\\b(widget|gizmo|gear)\\b') AND NOT accessory AS device FROM i)
+SELECT id, device, accessory, inches::INT AS inches, pharmacy, CASE WHEN device AND regexp_matches(m, '^(ring|rod|bolt[a-z0-9]*)\\b') THEN 'accessory' WHEN device AND regexp_matches(m, '\\b(plate|anvil)\\b') THEN 'furniture' WHEN device AND k % 3 = 0 AND regexp_matches(m, '\\b(ring|rod|bolt[a-z0-9]*)\\b') THEN 'made_for' WHEN inches IS NOT NULL AND k % 5 = 0 AND inches <> k + 19 THEN 'inches' WHEN regexp_matches(q, '\\bhot\\b') AND regexp_matches(m, '\\b(old|new)\\b') THEN 'heat' END AS conflict FROM d""")
 def query_intents(spark, sf_dir):
-    """Queries and names made from each event's number."""
-    e = F.col("event_id")
-    k = F.floor(e / 6) % 6
-    q = F.element_at(F.array(*(F.lit(x) for x in ("Televisor 55 pulgadas", "Funda Celular", "Paracetamol", "algo 500 mg", "notebook", "manzana"))), (k + 1).cast("int"))
-    name = F.element_at(F.array(*(F.lit(x) for x in ("Soporte de pared", "Gran mesa de centro", "Base con cable para auto", "Smart TV 43 pulgadas", "Polera manzana", "Cosa"))), (e % 6 + 1).cast("int"))
+    """Names of parts as queries, some with a size or a dose, and the names of other parts as what they find."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("n"))
+    other = part.select(F.col("id").alias("other"), F.col("name").alias("m"), F.col("n").alias("k"))
+    x = part.withColumn("other", F.floor(F.col("id") / 7) * 3 % part.count()).join(other, "other")
+    say = lambda n, unit: F.concat(F.lit(" "), n.cast("string"), F.lit(unit))
+    q = F.concat("name", F.when(F.col("id") % 2 == 0, say(F.col("n") + 19, " pulgadas")).otherwise(""), F.when(F.col("n") % 4 == 0, say(F.col("n"), " mg")).otherwise(""))
+    name = F.concat("m", F.when(F.col("k") % 3 == 0, " para casa").otherwise(""), F.when(F.col("k") % 5 == 0, say(F.col("k") + 19, " pulgadas")).otherwise(""))
     m = N.intent(q, DEVICES, ACCESSORIES, REMEDIES)
-    c = N.conflict(m, name, ACCESSORIES, FURNITURE, {"fruit": ("manzana", ["polera"])}, q)
-    return table(spark, sf_dir, "events").select(e.alias("id"), *(m[f].alias(f) for f in ("device", "accessory", "inches", "pharmacy")), c.alias("conflict"))
+    c = N.conflict(m, name, ACCESSORIES, FURNITURE, {"heat": ("hot", ["old", "new"])}, q)
+    return x.select("id", *(m[f].alias(f) for f in ("device", "accessory", "inches", "pharmacy")), c.alias("conflict"))
 
 
 @query("""SELECT 's1' AS store, p_partkey::VARCHAR AS product_id, 'Cosa ' || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN ' usada' ELSE '' END AS name, (p_size * 1000)::BIGINT AS price, (p_size * 1250)::BIGINT AS price_normal, CASE WHEN p_partkey % 3 = 0 THEN (p_size * 1000)::BIGINT END AS price_card, CASE WHEN p_partkey % 3 = 0 THEN 'card' ELSE 'all_payment' END AS price_basis, CASE WHEN p_partkey % 2 = 0 THEN 20 ELSE 30 END::BIGINT AS discount,

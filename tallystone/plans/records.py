@@ -280,12 +280,16 @@ def deal_keys_and_readiness(spark, sf_dir):
     return table(spark, sf_dir, "events").select(k.alias("id"), deal.alias("deal"), F.array_join(groups, ",").alias("groups"), R.search_ready(k % 11, F.lit(10), k % 13, k % 8).alias("ready"))
 
 
-@query(f"""WITH {_P}, q AS (SELECT *, CASE WHEN k % 3 = 0 THEN 0.6 ELSE 0.0 END + CASE WHEN k % 2 = 0 THEN 0.4 ELSE 0.0 END - CASE WHEN k % 5 = 0 THEN 1.0 ELSE 0.0 END AS r FROM p) SELECT k, round(r::DOUBLE, 6) AS rank, round(greatest(0.72, least(0.79, 0.55 + 0.25 * ((n % 10) / 10::DOUBLE) + 0.1 * greatest(0.0, r)))::DOUBLE, 6) AS confidence FROM q""")
+@query(f"""WITH {_P}, w AS (SELECT *, string_split(lower(name), ' ') AS w, lower(brand) AS b FROM p), q AS (SELECT *, CASE WHEN k % 3 = 0 THEN 0.6 ELSE 0.0 END + CASE WHEN k % 2 = 0 THEN 0.4 ELSE 0.0 END - CASE WHEN k % 5 = 0 THEN 1.0 ELSE 0.0 END AS r FROM w)
+SELECT k, round(r::DOUBLE, 6) AS rank, round(greatest(0.72, least(0.79, 0.55 + 0.25 * ((n % 10) / 10::DOUBLE) + 0.1 * greatest(0.0, r)))::DOUBLE, 6) AS confidence FROM q""")
 def lax_matches(spark, sf_dir):
+    """Words of a part's name as a query, its first word leading or not; names that lack one of them, and brands that the query says or not."""
     k = F.col("k")
-    name = F.concat(F.when(k % 3 == 0, "bread white").otherwise("white bread"), F.when(k % 5 == 0, " without salt").otherwise(""))
-    words = F.array(F.lit("bread"), F.lit("salt"), F.when(k % 2 == 0, "acme").otherwise("other"))
-    rank = R.subset_rank(words, name, F.lit("acme"))
+    first, second = F.lower(F.get(F.split("name", " "), F.lit(0))), F.lower(F.get(F.split("name", " "), F.lit(1)))
+    maker = F.regexp_replace(F.lower("brand"), "#", "x")
+    name = F.concat(F.when(k % 3 == 0, F.concat_ws(" ", first, second)).otherwise(F.concat_ws(" ", F.lit("one"), first, second)), F.when(k % 5 == 0, " without salt").otherwise(""))
+    words = F.array(first, F.lit("salt"), F.when(k % 2 == 0, maker).otherwise("other"))
+    rank = R.subset_rank(words, name, maker)
     return _parts(spark, sf_dir).select("k", F.round(rank, 6).alias("rank"), F.round(R.subset_confidence(F.col("n") % 10 / 10, rank), 6).alias("confidence"))
 
 

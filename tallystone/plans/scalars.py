@@ -119,26 +119,27 @@ def conversation_labels(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.category_icon(t, ICONS).alias("icon"), text.has_phrase(text.phrases(t), commerce.CONDITIONS["used"]).alias("used_words"))
 
 
-@query("""WITH s AS (SELECT event_id, event_id % 6 AS k, event_id AS n FROM events)
-SELECT event_id, CASE k WHEN 0 THEN 'used' WHEN 1 THEN 'new' WHEN 3 THEN 'open_box' ELSE 'unknown' END AS condition, CASE k WHEN 1 THEN (1.5 + n % 9) * 1000 WHEN 3 THEN 100 + n % 900 WHEN 5 THEN 50 + n % 450 END::DOUBLE AS amount,
-  CASE k WHEN 0 THEN 20 + n % 90 WHEN 4 THEN 15 + n % 60 END::INT AS inches, CASE WHEN k = 2 THEN (10 + n % 80) * 1000 + 990 END AS free_over, CASE WHEN k = 4 THEN (1 + n % 9) * 1000 + 990 END AS cost, k = 4 AS pickup,
-  CASE WHEN k = 2 THEN 10.5 + n % 50 END::DOUBLE AS apr, CASE WHEN k = 2 THEN 3 + n % 40 END::INT AS instalments, CASE WHEN k = 2 THEN (100 + n % 800) * 1000 END AS total FROM s""")
+@query("""WITH s AS (SELECT p_partkey AS id, p_partkey % 6 AS k, p_size::BIGINT AS n, round(p_retailprice * 100)::BIGINT AS c, lower(p_name) AS name FROM part)
+SELECT id, CASE WHEN k = 0 THEN 'used' WHEN k = 3 THEN 'open_box' WHEN k = 1 THEN 'new' ELSE 'unknown' END AS condition, CASE k WHEN 1 THEN (n + 0.5) * 1000 WHEN 3 THEN 100 + n WHEN 5 THEN n END::DOUBLE AS amount,
+  CASE k WHEN 0 THEN 19 + n WHEN 4 THEN 19 + n END::INT AS inches, CASE WHEN k = 2 THEN (10 + n) * 1000 + 990 END AS free_over, CASE WHEN k = 4 THEN c END AS cost, k = 4 AS pickup,
+  CASE WHEN k = 2 THEN n + 0.5 END::DOUBLE AS apr, CASE WHEN k = 2 THEN 2 + n END::INT AS instalments, CASE WHEN k = 2 THEN c * 10 END AS total FROM s""")
 def listing_prose(spark, sf_dir):
-    """Listing texts made from each event's number, and what is read from them."""
-    n = F.col("event_id")
-    say = lambda pattern, *values: F.format_string(pattern, *(v.cast("long") for v in values))
+    """Listing texts around the names, sizes and prices of the parts, and what is read from them."""
+    n, c, name = F.col("p_size").cast("long"), F.round(F.col("p_retailprice") * 100).cast("long"), F.col("p_name")
+    pesos = lambda v: F.translate(F.format_number(v, 0), ",", ".")
+    say = lambda pattern, *values: F.format_string(pattern, name, *values)
     texts = [
-        say('TV %d" usado', 20 + n % 90),
-        say("Leche %d,5 litros nueva", 1 + n % 9),
-        say("Despacho gratis sobre $%d.990, %d cuotas CAE: %d,5%% costo total $ %d.000", 10 + n % 80, 3 + n % 40, 10 + n % 50, 100 + n % 800),
-        say("Notebook caja abierta %d gr", 100 + n % 900),
-        say("Monitor %d retiro en tienda envio por %d.990", 15 + n % 60, 1 + n % 9),
-        say("Galletas %d g", 50 + n % 450),
+        say('%s %d" usado', n + 19),
+        say("%s %d,5 litros nuevo", n),
+        say("%s, despacho gratis sobre $%d.990, %d cuotas CAE: %d,5%% costo total del pago $ %s", n + 10, n + 2, n, pesos(c * 10)),
+        say("%s caja abierta %d gr", n + 100),
+        say("%s %d pulgadas retiro en tienda envio por %s", n + 19, pesos(c)),
+        say("%s %d g", n),
     ]
-    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*texts), (n % 6 + 1).cast("int")).alias("t"))
-    t = F.col("t")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.array(*texts), (F.col("p_partkey") % 6 + 1).cast("int")).alias("t"))
+    t = F.regexp_replace("t", r"\b(new|old)\b", "plain")
     q, ship, fin = text.quantity(t), commerce.shipping(t), commerce.financing(t)
     return rows.select(
-        "event_id", commerce.condition(F.lit(None).cast("string"), t).alias("condition"), F.when(q["unit"] != "un", q["amount"]).alias("amount"), text.screen_inches(text.fold(t)).alias("inches"),
+        "id", commerce.condition(F.lit(None).cast("string"), t).alias("condition"), F.when(q["unit"] != "un", q["amount"]).alias("amount"), text.screen_inches(text.fold(t)).alias("inches"),
         ship["free_over"].alias("free_over"), ship["cost"].alias("cost"), ship["pickup"].alias("pickup"), fin["apr"].alias("apr"), fin["instalments"].alias("instalments"), fin["total"].alias("total"),
     )
