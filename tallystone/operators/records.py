@@ -96,9 +96,11 @@ def availability_text(v: Column, depth: int = 2, told: tuple[str, str] = ("En st
     if depth:
         each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: availability_text(e, depth - 1, told))
         out = out.when(F.startswith(kind, F.lit("ARRAY")), F.array_join(F.array_distinct(F.filter(each, lambda t: t != "")), " · "))
-        keys = [F.nullif(availability_text(F.try_variant_get(v, f"$.{k}", "variant"), depth - 1, told), F.lit("")) for k in STATE_KEYS]
-        flags = [F.when(F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant")) == "BOOLEAN", flag(F.try_variant_get(v, f"$.{k}", "boolean"))) for k in STATE_FLAGS]
-        out = out.when(F.startswith(kind, F.lit("OBJECT")), F.coalesce(*keys, *flags, F.lit("")))
+        held = F.array(*(F.try_variant_get(v, f"$.{k}", "variant") for k in STATE_KEYS))
+        first = F.get(F.filter(F.transform(held, lambda e: availability_text(e, depth - 1, told)), lambda t: t != ""), F.lit(0))
+        flags = F.array(*(F.try_variant_get(v, f"$.{k}", "variant") for k in STATE_FLAGS))
+        flagged = F.get(F.transform(F.filter(flags, lambda e: F.schema_of_variant(e) == "BOOLEAN"), lambda e: flag(F.try_variant_get(e, "$", "boolean"))), F.lit(0))
+        out = out.when(F.startswith(kind, F.lit("OBJECT")), F.coalesce(first, flagged, F.lit("")))
     return F.coalesce(out, F.lit(""))
 
 
