@@ -422,3 +422,21 @@ def test_queries_of_one_text_and_products_of_one_name_do_not_meet_one_by_one(spa
     want = {"mesa": [(i, 2) for i in mesas], "sala": [(i, 1) for i in newest(range(0, 2000, 2))], "illa erd": [(i, 4) for i in newest(range(1, 2000, 4))], "12": [(12, 3)], "nada": []}
     assert sorted(map(tuple, got)) == sorted((k, i, tier) for k in range(500) for i, tier in want[texts[k % 5]])
     assert moved < 20_000
+
+
+def test_related_products_keep_only_the_first_of_what_is_alike(spark):
+    import random
+
+    r = random.Random(4)
+    words = ["mesa", "silla", "roja", "verde", "alta"]
+    rows = [(i, " ".join(r.choices(words, k=r.randint(0, 3))), r.choice(["a", "b", None, ""]), r.choice(["x", "y", "", None]), r.choice([None, 10, 20, 30])) for i in range(1500)]
+    p = spark.createDataFrame(rows, "product_id long, name string, brand string, category string, price long")
+    seed = p.filter("product_id % 5 = 0").select(F.col("product_id").alias("id"), F.array_distinct(T.tokens(F.col("name"))).alias("words"), "brand", F.col("category").alias("grp"))
+    got, moved = shuffled_rows(spark, lambda: C.related(seed, p, 6).collect())
+    want = set()
+    for i, name, brand, kind, _ in rows[::5]:
+        score = lambda x: 3 * len(set(name.split()) & set(x[1].split())) + 4 * (brand is not None and brand == x[2]) + 5 * (kind is not None and kind == x[3])  # noqa: B023, E731
+        best = sorted(((-score(x), x[4] is None, x[4] or 0, x[0], x[4]) for x in rows if x[0] != i and score(x) > 0))[:6]
+        want |= {(i, x[3], -x[0], x[4], n) for n, x in enumerate(best, 1)}
+    assert {(x.id, x.product_id, x.score, x.price, x.place) for x in got} == want and len(got) == len(want)
+    assert moved < 100_000
