@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tallystone.sources.storage import stored
 
-#: Query vectors, and vectors, that one task compares at once.
-QUERY_BLOCK, VECTOR_BLOCK = 1024, 65536
+#: Query vectors and vectors of one task, and as many of its vectors as are compared at once.
+QUERY_BLOCK, VECTOR_BLOCK, SLICE = 1024, 16384, 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,18 +30,33 @@ def _unit(rows: list) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
+def _matrix(c: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of a column of lists, without an object for each number."""
+    rows = c.combine_chunks()
+    size = np.unique(rows.value_lengths().to_numpy(zero_copy_only=False))
+    if len(size) != 1 or rows.null_count:
+        raise ValueError("vectors must be of one length")
+    return _unit(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1))
+
+
 def _best_of(k: int):
-    """The k nearest of a block's vectors (vec_id, known) for each of its queries (query_id, asked)."""
+    """The k nearest of a block's vectors (vec_id, known) for each of its queries (query_id, asked).
+
+    The vectors come in slices in order of their ids, each ranked with the best before it.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids, asked = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
-        order = np.argsort(ids)
-        ids, score = ids[order], _unit(right["asked"].to_pylist()) @ _unit(left["known"].to_pylist())[order].T
-        best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
-        n = best.shape[1]
-        return pa.table({"query_id": np.repeat(asked, n), "vec_id": ids[best].reshape(-1), "score": np.take_along_axis(score, best, 1).reshape(-1)})
+        left, asked, q = left.sort_by("vec_id"), right["query_id"].to_numpy(), _matrix(right["asked"])
+        ids, score = np.zeros((len(asked), 0), np.int64), np.zeros((len(asked), 0))
+        for start in range(0, left.num_rows, SLICE):
+            some = left.slice(start, SLICE)
+            score = np.concatenate([score, q @ _matrix(some["known"]).T], axis=1)
+            ids = np.concatenate([ids, np.broadcast_to(some["vec_id"].to_numpy(), (len(asked), some.num_rows))], axis=1)
+            best = np.argsort(-np.round(score, 9), axis=1, kind="stable")[:, :k]
+            ids, score = np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
+        return pa.table({"query_id": np.repeat(asked, ids.shape[1]), "vec_id": ids.reshape(-1), "score": score.reshape(-1)})
 
     return run
 

@@ -440,3 +440,25 @@ def test_related_products_keep_only_the_first_of_what_is_alike(spark):
         want |= {(i, x[3], -x[0], x[4], n) for n, x in enumerate(best, 1)}
     assert {(x.id, x.product_id, x.score, x.price, x.place) for x in got} == want and len(got) == len(want)
     assert moved < 100_000
+
+
+def test_a_block_of_vectors_is_compared_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    known = rng.integers(-2, 3, size=(V.VECTOR_BLOCK, 4)).astype(np.float32) + 0.5  # many ties
+    ids, asked = rng.permutation(len(known)), known[: V.QUERY_BLOCK]
+    left = pa.table({"vec_id": ids, "known": pa.array(list(known), pa.list_(pa.float32()))})
+    right = pa.table({"query_id": np.arange(len(asked)), "asked": pa.array(list(asked), pa.list_(pa.float32()))})
+    tracemalloc.start()
+    got = V._best_of(7)(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    unit = known.astype(float) / np.linalg.norm(known.astype(float), axis=1, keepdims=True)
+    for i in range(0, len(asked), 100):
+        best = np.lexsort((ids, -np.round(unit @ unit[i], 9)))[:7]
+        assert got["vec_id"].to_pylist()[7 * i : 7 * i + 7] == ids[best].tolist()
