@@ -6,7 +6,6 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,8 +161,8 @@ def resolve(queries: DataFrame, aliases: DataFrame, grams: Column) -> DataFrame:
 def hashed_vector(text: Column, size: int = 384, low: int = 2, high: int = 4) -> Column:
     """Signed hashed character n-grams of a folded text and of each of its words, with ^ and $ as edges, as a unit vector."""
 
-    @F.pandas_udf("array<double>")
-    def vectors(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<double>")
+    def vectors(texts: pa.Array) -> pa.Array:
         @lru_cache(1 << 16)
         def place(gram: str) -> tuple[int, float]:
             digest = hashlib.sha256(gram.encode()).digest()
@@ -178,6 +177,10 @@ def hashed_vector(text: Column, size: int = 384, low: int = 2, high: int = 4) ->
                         v[at] += sign
             return v / (np.sqrt(v @ v) or 1.0)
 
-        return texts.map(vector)
+        # a text is hashed once a batch
+        once = texts.dictionary_encode()
+        of_text = np.array([vector(t) for t in once.dictionary.to_pylist()]).reshape(-1, size)
+        values = of_text[once.indices.to_numpy(zero_copy_only=False)]
+        return pa.ListArray.from_arrays(np.arange(0, values.size + 1, size, dtype=np.int32), values.reshape(-1))
 
     return vectors(F.coalesce(text, F.lit("")))

@@ -462,3 +462,16 @@ def test_a_block_of_vectors_is_compared_in_bounded_memory():
     for i in range(0, len(asked), 100):
         best = np.lexsort((ids, -np.round(unit @ unit[i], 9)))[:7]
         assert got["vec_id"].to_pylist()[7 * i : 7 * i + 7] == ids[best].tolist()
+
+
+def test_a_text_is_hashed_once_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts, hashed = ["mesa roja", "", "silla"] * 400, []
+    plain = V.hashlib.sha256
+    monkeypatch.setattr(V, "lru_cache", lambda n: lambda f: f)
+    monkeypatch.setattr(V.hashlib, "sha256", lambda b: hashed.append(b) or plain(b))
+    monkeypatch.setattr(V.F, "arrow_udf", lambda kind: lambda f: lambda c: f(pa.array(texts)))
+    monkeypatch.setattr(V.F, "pandas_udf", lambda kind: lambda f: lambda c: f(pa.array(texts).to_pandas()))
+    got = list(V.hashed_vector(F.lit("")))
+    assert len(got) == 1200 and len(hashed) < 100
