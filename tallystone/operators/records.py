@@ -55,25 +55,30 @@ def document_tables(documents: DataFrame, by: list[str], schema_name: str, most:
     Tables are numbered from 1 in their document, rows from 1 in their table.
     """
     v = F.try_parse_json("payload")
-    x = documents.select(*by, v.alias("_v")).filter(F.try_variant_get("_v", "$.schema_name", "string") == schema_name)
+    # conditions are columns that the last step reads: a filter would be made again from the payload, for each cell
+    x = documents.select(*by, v.alias("_v")).withColumn("_v", F.when(F.try_variant_get("_v", "$.schema_name", "string") == schema_name, F.col("_v")))
     x = x.select(*by, F.posexplode(F.try_variant_get("_v", "$.tables", "array<variant>")).alias("table", "_t"))
     of = lambda path, kind: F.try_variant_get("_t", path, kind)
     x = x.select(*by, (F.col("table") + 1).alias("table"), of("$.prov[0].page_no", "int").alias("page"), of("$.data.num_rows", "int").alias("_rows"), of("$.data.num_cols", "int").alias("_cols"), of("$.data.table_cells", _CELL).alias("_cells"))
     inside = lambda c: (c["start_row_offset_idx"] >= 0) & (c["start_row_offset_idx"] < c["end_row_offset_idx"]) & (c["end_row_offset_idx"] <= F.col("_rows")) & (c["start_col_offset_idx"] >= 0) & (c["start_col_offset_idx"] < c["end_col_offset_idx"]) & (c["end_col_offset_idx"] <= F.col("_cols"))
-    x = x.filter(F.col("_rows").between(1, most[0]) & F.col("_cols").between(1, most[1]) & F.forall("_cells", lambda c: F.coalesce(inside(c), F.lit(False))))
+    fits = F.col("_rows").between(1, most[0]) & F.col("_cols").between(1, most[1]) & F.forall("_cells", lambda c: F.coalesce(inside(c), F.lit(False)))
+    x = x.withColumn("_cells", F.when(fits, F.col("_cells")))
     ends = F.transform(F.filter("_cells", lambda c: F.coalesce(c["column_header"], F.lit(False))), lambda c: c["end_row_offset_idx"] - 1)
     x = x.withColumn("_end", F.coalesce(F.array_max(ends), F.lit(0)))
-    of_table = [*by, "table", "page", "_cols", "_end"]
-    cells = x.select(*of_table, F.posexplode("_cells").alias("_i", "c")).select(*of_table, "_i", F.coalesce("c.text", F.lit("")).alias("text"), "c.start_col_offset_idx", "c.end_col_offset_idx", F.explode(F.sequence(F.col("c.start_row_offset_idx"), F.col("c.end_row_offset_idx") - 1)).alias("_r"))
-    cells = cells.select(*of_table, "_i", "text", "_r", F.explode(F.sequence(F.col("start_col_offset_idx"), F.col("end_col_offset_idx") - 1)).alias("_c"))
-    placed = cells.groupBy(*of_table, "_r", "_c").agg(F.max_by("text", "_i").alias("text"))
-    wide = lambda m: F.transform(F.sequence(F.lit(0), F.col("_cols") - 1), lambda c: F.coalesce(m[c], F.lit("")))
-    head = placed.filter("_r <= _end and text <> ''").groupBy(*of_table, "_c").agg(F.array_sort(F.collect_list(F.struct("_r", "text"))).alias("_h"))
-    head = head.withColumn("_h", F.array_join(F.array_distinct(F.transform("_h", lambda h: h["text"])), " ")).groupBy(*of_table).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_h"))).alias("_m"))
-    none = F.create_map().cast("map<int,string>")
-    heads = x.select(*of_table).join(head.select(*by, "table", "_m"), [*by, "table"], "left").select(*by, "table", wide(F.coalesce("_m", none)).alias("headers"))
-    rows = placed.filter("_r > _end").groupBy(*of_table, "_r").agg(F.map_from_entries(F.collect_list(F.struct("_c", "text"))).alias("_m"), F.bool_or(F.trim("text") != "").alias("_any")).filter("_any")
-    return rows.select(*of_table, "_r", wide(F.col("_m")).alias("values")).join(heads, [*by, "table"]).select(*by, "table", "page", (F.col("_r") + 1).alias("row"), "headers", "values")
+    # a table is one row: its places, first empty, then as its cells fill them, sorted by place and cell; the last of a place stands
+    entry = lambda at, i, text: F.struct(at.alias("at"), i.alias("i"), text.alias("text"))
+    across = lambda c, i: lambda r: F.transform(F.sequence(c["start_col_offset_idx"], c["end_col_offset_idx"] - 1), lambda k: entry(r * F.col("_cols") + k, i, F.coalesce(c["text"], F.lit(""))))
+    filled = F.flatten(F.transform("_cells", lambda c, i: F.flatten(F.transform(F.sequence(c["start_row_offset_idx"], c["end_row_offset_idx"] - 1), across(c, i)))))
+    free = F.transform(F.sequence(F.lit(0), F.when(F.col("_cells").isNotNull(), F.col("_rows") * F.col("_cols") - 1)), lambda at: entry(at, F.lit(-1), F.lit("")))
+    x = x.withColumn("_sorted", F.sort_array(F.concat(free, filled)))
+    last = F.filter("_sorted", lambda e, i: ~F.coalesce(F.get("_sorted", i + 1)["at"] == e["at"], F.lit(False)))
+    x = x.withColumn("_grid", F.transform(last, lambda e: e["text"]))
+    told = lambda c: F.filter(F.transform(F.sequence(F.lit(0), F.col("_end")), lambda r: F.get("_grid", r * F.col("_cols") + c)), lambda t: t != "")
+    x = x.withColumn("headers", F.transform(F.sequence(F.lit(0), F.when(F.col("_grid").isNotNull(), F.col("_cols") - 1)), lambda c: F.array_join(F.array_distinct(told(c)), " ")))
+    below = F.when(F.col("_grid").isNotNull() & (F.col("_end") < F.col("_rows") - 1), F.col("_rows") - 1)
+    rows = F.transform(F.sequence(F.col("_end") + 1, below), lambda r: F.struct((r + 1).alias("row"), F.slice("_grid", r * F.col("_cols") + 1, F.col("_cols")).alias("values")))
+    x = x.select(*by, "table", "page", "headers", F.explode(rows).alias("_r")).select(*by, "table", "page", "_r.row", "headers", "_r.values")
+    return x.filter(F.exists("values", lambda t: F.trim(t) != ""))
 
 
 #: Words of a stock state, and the keys of an object that may tell it, in their order.

@@ -475,3 +475,15 @@ def test_a_text_is_hashed_once_a_batch(spark, monkeypatch):
     monkeypatch.setattr(V.F, "pandas_udf", lambda kind: lambda f: lambda c: f(pa.array(texts).to_pandas()))
     got = list(V.hashed_vector(F.lit("")))
     assert len(got) == 1200 and len(hashed) < 100
+
+
+def test_tables_of_documents_are_made_in_their_task(spark):
+    import json
+
+    cell = lambda t, r, c, h=1, w=1, header=False: {"text": t, "start_row_offset_idx": r, "end_row_offset_idx": r + h, "start_col_offset_idx": c, "end_col_offset_idx": c + w, "column_header": header}
+    doc = lambda cells, n: json.dumps({"schema_name": "Doc", "tables": [{"prov": [{"page_no": 3}], "data": {"num_rows": n, "num_cols": 3, "table_cells": cells}}]})
+    full = [cell("A", 0, 0, 1, 2, True), cell("B", 0, 2, header=True), cell("x", 1, 0, 2, 1), cell("y", 1, 0), cell(None, 1, 2), cell(" ", 3, 0)]
+    rows = [(1, doc(full, 4)), (2, doc(full[:2], 1)), (3, doc([], 2)), (4, doc(full, 3)), (5, None)]
+    got, moved = shuffled_rows(spark, lambda: R.document_tables(spark.createDataFrame(rows, "k long, payload string"), ["k"], "Doc").collect())
+    assert [tuple(r) for r in got] == [(1, 1, 3, 2, ["A", "A", "B"], ["y", "", ""]), (1, 1, 3, 3, ["A", "A", "B"], ["x", "", ""])]
+    assert moved == 0
