@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallystone.functions import commerce, money, text
 from tallystone.registry import query
 
-from .views import OFF, offers, table
+from .views import OFF, offers, spread, table
 
 _FOLD = f"trim(regexp_replace(translate(lower(coalesce({{}}, '')), '{text.ACCENTED}', '{text.PLAIN}'), '\\s+', ' ', 'g'))"
 _FOLDS = f"trim(regexp_replace(regexp_replace(translate(lower(coalesce({{}}, '')), '{text.ACCENTED}', '{text.PLAIN}'), '[+/-]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -102,7 +102,7 @@ SELECT q AS query, count(*) FILTER (WHERE ok) AS accepted, round(sum(round(won::
 def relevance_scores(spark, sf_dir):
     """A stated set of queries against all parts; each query is a few words, so it is a broadcast side of three rows."""
     queries = spark.createDataFrame([("large steel 15",), ("brass",), ("small anodized copper x9",)], "query string").select("query", text.tokens(F.col("query")).alias("t"))
-    part = table(spark, sf_dir, "part").select(text.fold(F.concat_ws(" ", "p_name", "p_brand", "p_type"), separators=True).alias("h"))
+    part = spread(table(spark, sf_dir, "part").select("p_name", "p_brand", "p_type")).select(text.fold(F.concat_ws(" ", "p_name", "p_brand", "p_type"), separators=True).alias("h"))
     scored = part.join(F.broadcast(queries)).select("query", text.relevance(F.col("t"), F.col("h"), _CATS).alias("r"))
     return scored.groupBy("query").agg(F.count(F.when(F.col("r.accepted"), 1)).alias("accepted"), F.round(F.sum("r.score"), 3).alias("scores"))
 
@@ -136,7 +136,7 @@ def listing_prose(spark, sf_dir):
         say("%s %d pulgadas retiro en tienda envio por %s", n + 19, pesos(c)),
         say("%s %d g", n),
     ]
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.array(*texts), (F.col("p_partkey") % 6 + 1).cast("int")).alias("t"))
+    rows = spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("id"), F.element_at(F.array(*texts), (F.col("p_partkey") % 6 + 1).cast("int")).alias("t"))
     t = F.regexp_replace("t", r"\b(new|old)\b", "plain")
     q, ship, fin = text.quantity(t), commerce.shipping(t), commerce.financing(t)
     return rows.select(

@@ -487,3 +487,9 @@ def test_tables_of_documents_are_made_in_their_task(spark):
     got, moved = shuffled_rows(spark, lambda: R.document_tables(spark.createDataFrame(rows, "k long, payload string"), ["k"], "Doc").collect())
     assert [tuple(r) for r in got] == [(1, 1, 3, 2, ["A", "A", "B"], ["y", "", ""]), (1, 1, 3, 3, ["A", "A", "B"], ["x", "", ""])]
     assert moved == 0
+
+
+@pytest.mark.parametrize("name", ["listing_prose", "product_rows", "relevance_scores", "hashed_vectors"])
+def test_costly_rows_of_a_small_file_are_dealt_to_all_tasks(spark, sf_dir, name):
+    plan = plans.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
