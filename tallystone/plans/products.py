@@ -14,7 +14,7 @@ from tallystone.operators import series as S
 from tallystone.registry import query
 
 from .series import points
-from .views import KEY, NOW, OFF, ORD, ORDER, SER, as_of, observations, offers, table
+from .views import KEY, NOW, OFF, ORD, ORDER, SER, as_of, observations, offers, spread, table
 
 DEVICES, ACCESSORIES, FURNITURE, REMEDIES = ["widget", "gizmo", "gear"], ["ring", "rod", "bolt*"], ["plate", "anvil"], ["cold"]
 _ASKED = "x AS (SELECT p.p_partkey AS id, lower(p.p_name) AS q, p.p_size AS n, lower(o.p_name) AS m, o.p_size AS k FROM part p JOIN part o ON o.p_partkey = p.p_partkey // 7 * 3 % (SELECT count(*) FROM part))"
@@ -40,7 +40,7 @@ def query_intents(spark, sf_dir):
 def product_rows(spark, sf_dir):
     k, n = F.col("p_partkey"), F.col("p_size").cast("long")
     text = lambda v: F.concat(F.lit("$"), F.translate(F.format_number(v, 0), ",", "."))
-    raw = table(spark, sf_dir, "part").select(
+    raw = spread(table(spark, sf_dir, "part")).select(
         F.lit(" S1 ").alias("store"), k.cast("string").alias("product_id"), F.concat(F.lit("Cosa "), k.cast("string"), F.when(k % 4 == 0, " usada").otherwise("")).alias("name"), F.concat(F.lit("envio por "), text(n * 100 + 990), F.lit(", 6 cuotas")).alias("description"), F.when(k % 5 == 0, "Nuevo").alias("condition"),
         F.when(k % 3 != 0, text(n * 1000)).alias("price"), text(n * 1250).alias("price_normal"), F.when(k % 3 == 0, text(n * 1000)).alias("price_card"), F.when(k % 2 == 0, 95).otherwise(-30).alias("discount"), F.when(k % 7 == 0, 0).otherwise(2).alias("stock"), F.lit("").alias("availability"),
     )
