@@ -188,10 +188,17 @@ def stale_runs(runs: DataFrame, cutoff: Column) -> DataFrame:
 
 
 def scoped(products: DataFrame, stores: DataFrame) -> DataFrame:
-    """store, id, query: catalog rows of each store's groups, each id and each folded query once, the first by place."""
-    x = stores.select("store", F.explode("groups").alias("grp")).join(products, "grp")
+    """store, id, query: catalog rows of each store's groups, each id and each folded query once, the first by place.
+
+    An id of one row is in no other group, so of these only the first of each group
+    and query meet the stores.
+    """
+    rows = products.withColumns({"_q": F.lower(F.trim("query")), "_rows": F.count("*").over(Window.partitionBy("id"))})
+    first = latest(rows.filter("_rows = 1"), ["grp", "_q"], [F.col("place"), F.col("id")])
+    kept = first.unionByName(rows.filter("_rows > 1")).drop("_rows")
+    x = stores.select("store", F.explode(F.array_distinct("groups")).alias("grp")).join(kept, "grp")
     one = latest(x, ["store", "id"], [F.col("place"), F.col("grp")])
-    return latest(one.withColumn("_q", F.lower(F.trim("query"))), ["store", "_q"], [F.col("place"), F.col("id")]).drop("_q")
+    return latest(one, ["store", "_q"], [F.col("place"), F.col("id")]).drop("_q")
 
 
 def refiltered(groups: DataFrame, words: list[str], stores: list[str] | None) -> DataFrame:

@@ -493,3 +493,22 @@ def test_tables_of_documents_are_made_in_their_task(spark):
 def test_costly_rows_of_a_small_file_are_dealt_to_all_tasks(spark, sf_dir, name):
     plan = plans.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_scopes_meet_stores_with_the_first_of_each_query_only(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(i % 1900, r.choice(["a", "B ", "b", None]), r.randint(0, 3), r.randint(0, 9) + (i >= 1900) * 10) for i in range(2000)]  # a hundred ids twice
+    products = spark.createDataFrame(rows, "id long, query string, grp int, place int")
+    stores = spark.createDataFrame([(i, [i % 4, (i + 1) % 4]) for i in range(40)], "store int, groups array<int>")
+    got, moved = shuffled_rows(spark, lambda: R.scoped(products, stores).collect())
+    want = {}
+    for s in range(40):
+        best = {}
+        for i, q, g, p in sorted((x for x in rows if x[2] in (s % 4, (s + 1) % 4)), key=lambda x: (x[3], x[2])):
+            best.setdefault(i, (p, i, q and q.strip().lower()))
+        for p, i, q in sorted(best.values(), key=lambda b: b[:2]):
+            want.setdefault((s, q), i)
+    assert sorted((x.store, x.id) for x in got) == sorted((s, i) for (s, _), i in want.items())
+    assert moved < 30_000
