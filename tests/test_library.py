@@ -512,3 +512,23 @@ def test_scopes_meet_stores_with_the_first_of_each_query_only(spark):
             want.setdefault((s, q), i)
     assert sorted((x.store, x.id) for x in got) == sorted((s, i) for (s, _), i in want.items())
     assert moved < 30_000
+
+
+def lines_read(spark, sf_dir, name, monkeypatch):
+    """How often a query, with the tables that it stores on its way, reads lineitem."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+    found, write = [], DataFrameWriter.parquet
+
+    def counted(self, *args, **named):
+        found.append(reads(self._df))
+        return write(self, *args, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    return reads(plans.queries()[name](spark, sf_dir)) + sum(found)
+
+
+@pytest.mark.parametrize("name", ["list_inflation"])
+def test_lines_are_read_and_shuffled_once(spark, sf_dir, name, monkeypatch):
+    assert lines_read(spark, sf_dir, name, monkeypatch) == 1
