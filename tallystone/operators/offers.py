@@ -9,6 +9,8 @@ pairs.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,13 +106,21 @@ def peers_at_list(offers: DataFrame, group: list[str], list_ratio: float = 0.9,
     return offers.join(peer, group).filter(hit).groupBy(*group, "store").agg(F.count("*").alias("peers"), F.min("_p").alias("least_peer"))
 
 
-def cross_store_anchor(offers: DataFrame, group: list[str], ratio: float = SAME_PRICE_RATIO) -> DataFrame:
-    """Per offer: minimum and median of the other stores' prices, gaps and whether it is like the market."""
-    peer = offers.filter("price > 0").select(*group, F.col("store").alias("_s"), F.col("price").alias("_p"))
-    a = offers.filter("price > 0").join(peer, group).filter("_s <> store").groupBy(*group, "store", "price").agg(F.min("_p").alias("peer_min"), S.round_even(F.median("_p")).alias("peer_median"))
+def anchored(offers: DataFrame, group: list[str], ratio: float = SAME_PRICE_RATIO) -> DataFrame:
+    """Priced offers that have peers in other stores, with the minimum and median of those, gaps and whether the offer is like the market; a group is gathered once."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group])
+    all_ = F.sort_array(F.collect_list(F.struct(F.col("price").alias("p"), F.col("store").alias("s"))).over(Window.partitionBy(*group)))
+    x = offers.filter(known & (F.col("price") > 0)).withColumn("_all", all_)
+    x = x.withColumn("_peers", F.transform(F.filter("_all", lambda q: q["s"] != F.col("store")), lambda q: q["p"])).filter(F.size("_peers") > 0)
+    x = x.withColumns({"peer_min": F.get("_peers", F.lit(0)), "peer_median": S.round_even(S.middle(F.col("_peers")))}).drop("_all", "_peers")
     over = F.col("peer_median") - F.col("price")
     similar = (F.col("price") >= F.col("peer_min") * (1 - ratio)) | (F.col("price") >= F.col("peer_median") * (1 - ratio))
-    return a.withColumns({"gap_vs_min": F.col("peer_min") - F.col("price"), "gap_vs_median": over, "real_savings_percent": F.when(over > 0, F.round(over * 100 / F.col("peer_median"), 1)).otherwise(F.lit(0.0).cast("double")), "similar_to_market": similar})
+    return x.withColumns({"gap_vs_min": F.col("peer_min") - F.col("price"), "gap_vs_median": over, "real_savings_percent": F.when(over > 0, F.round(over * 100 / F.col("peer_median"), 1)).otherwise(F.lit(0.0).cast("double")), "similar_to_market": similar})
+
+
+def cross_store_anchor(offers: DataFrame, group: list[str], ratio: float = SAME_PRICE_RATIO) -> DataFrame:
+    """Per group, store and price: minimum and median of the other stores' prices, gaps and whether it is like the market."""
+    return anchored(offers, group, ratio).select(*group, "store", "price", "peer_min", "peer_median", "gap_vs_min", "gap_vs_median", "real_savings_percent", "similar_to_market").distinct()
 
 
 def collapse(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

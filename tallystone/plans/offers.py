@@ -10,7 +10,7 @@ from tallystone.operators import stats as T
 from tallystone.registry import query
 
 from .series import points
-from .views import KEY, NOW, OFF, ORD, ORDER, SER, WIN, observations, offers
+from .views import KEY, NOW, OFF, ORD, ORDER, SER, WIN, marked_observations, observations, of_parts, offers
 
 G = ["product_id"]
 
@@ -80,15 +80,11 @@ vf AS (SELECT store, product_id, CASE WHEN count(*) >= 2 AND median(price) > any
 
 
 def _scored(spark, sf_dir):
-    o = offers(spark, sf_dir)
-    anchor = O.cross_store_anchor(o, G).select(*KEY, "peer_min", "real_savings_percent", "similar_to_market", "gap_vs_min")
-    p = points(spark, sf_dir)
-    verified = T.verified_discount(p, KEY, ORDER)
-    n = p.groupBy(*KEY).agg(F.count("*").alias("points"))
-    x = o.join(anchor, KEY).join(verified, KEY, "left").join(n, KEY, "left")
+    last = T.last_with_history(marked_observations(spark, sf_dir), KEY, ORDER, F.col("_kept"))
+    x = O.anchored(of_parts(spark, sf_dir, last, "verified_discount", "points"), G)
     best = F.col("price") <= F.col("peer_min")
-    score = O.offer_score(best, F.col("real_savings_percent"), F.lit(0.9).cast("double"), F.col("stock"), F.coalesce("points", F.lit(0)).cast("double"), F.lit(False), F.col("similar_to_market"))
-    verified_ = F.coalesce("verified_discount", F.lit(0.0).cast("double"))
+    score = O.offer_score(best, F.col("real_savings_percent"), F.lit(0.9).cast("double"), F.col("stock"), F.col("points").cast("double"), F.lit(False), F.col("similar_to_market"))
+    verified_ = F.col("verified_discount")
     kinds = F.array_compact(F.array(F.when(F.col("real_savings_percent") >= 10, F.lit("comparison")), F.when(verified_ >= 10, F.lit("history"))))
     gap_percent = F.round(F.greatest(F.lit(0).cast("long"), F.col("gap_vs_min")) * 100 / F.col("peer_min"), 1)
     x = x.withColumns({"score": F.round(score, 2), "kinds": kinds, "gap": F.greatest(F.lit(0).cast("long"), F.col("gap_vs_min")), "gap_percent": gap_percent, "verified": verified_})
