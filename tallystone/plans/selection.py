@@ -13,7 +13,7 @@ from .offers import _VERIFIED
 from .series import points
 from .stats import _DAILY
 from .store import _ALERTS, alerts
-from .views import KEY, NOW, OBS, OFF, ORD, ORDER, SER, as_of, observations, offers, table
+from .views import KEY, NOW, OBS, OFF, ORD, ORDER, SER, as_of, marked_observations, observations, of_parts, offers, table
 
 G = ["product_id"]
 _FLAG = "flagged AS (SELECT *, max(CASE WHEN price_basis = 'all_payment' THEN 1 ELSE 0 END) OVER (PARTITION BY store, product_id) AS only_all FROM obs), ser AS (SELECT * FROM flagged WHERE price > 0 AND (only_all = 0 OR price_basis = 'all_payment'))"
@@ -21,11 +21,9 @@ _FLAG = "flagged AS (SELECT *, max(CASE WHEN price_basis = 'all_payment' THEN 1
 
 def judged(spark, sf_dir):
     """Offers with what their history says: verified discount, points, a day at full price; and made-up signs of inflation."""
-    p = points(spark, sf_dir)
-    full = S.full_price_day(p, KEY, ORDER).select(*KEY, F.lit(True).alias("was_full"))
-    x = offers(spark, sf_dir).join(T.verified_discount(p, KEY, ORDER), KEY, "left").join(p.groupBy(*KEY).agg(F.count("*").alias("points")), KEY, "left").join(full, KEY, "left")
+    last = T.last_with_history(marked_observations(spark, sf_dir), KEY, ORDER, F.col("_kept")).withColumnRenamed("verified_discount", "verified")
     k = F.col("product_id")
-    return x.select(*offers(spark, sf_dir).columns, F.coalesce("verified_discount", F.lit(0.0)).alias("verified"), F.coalesce("points", F.lit(0)).alias("points"), "was_full", F.when(k % 17 == 0, F.lit(5.0)).alias("list_savings"), (k % 19 == 0).alias("fake"), (k % 23 == 0).alias("pre_event"))
+    return of_parts(spark, sf_dir, last, "verified", "points", "was_full").withColumns({"list_savings": F.when(k % 17 == 0, F.lit(5.0)), "fake": k % 19 == 0, "pre_event": k % 23 == 0})
 
 
 _JUDGED = f"""{OFF}, {_FLAG}, {_VERIFIED}, fe AS (SELECT *, last_value(price) OVER w2 AS lp, last_value(price_normal) OVER w2 AS ll, last_value(ts) OVER w2 AS lt FROM ser WINDOW w2 AS (PARTITION BY store, product_id ORDER BY {ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
