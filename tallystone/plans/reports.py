@@ -9,7 +9,7 @@ from tallystone.operators import reports as R
 from tallystone.operators import rules
 from tallystone.registry import query
 
-from .decisions import _BASKET, _PREV, _grid, _with_stats
+from .decisions import _BASKET, _PREV, _grid, _offers_with_stats
 from .series import points
 from .store import _ALERTS, _WORDS, alerts
 from .views import KEY, NOW, OFF, ORD, ORDER, SER, as_of, observations, offers, table
@@ -54,8 +54,7 @@ o AS (SELECT cur.store, cur.product_id, cur.price, family, shipping_cost FROM cu
 SELECT store, product_id, concat_ws('+', CASE WHEN pc >= 40 THEN 'price_drop_percent' END, CASE WHEN f >= 20000 THEN 'price_drop_amount' END) AS rule, f AS saving FROM d WHERE pc >= 40 OR f >= 20000 UNION ALL SELECT store, product_id, 'below_median', median - price FROM cur WHERE points >= 3 AND round((price - median) * 100 / median, 1) <= -40
 UNION ALL SELECT a.store, a.product_id, 'cross_store_gap', z.v - a.v FROM r a JOIN r z ON a.product_id = z.product_id AND a.n = 1 AND z.n = 2 WHERE (z.v - a.v) * 100 / z.v >= 40""")
 def alert_families(spark, sf_dir):
-    o = _with_stats(spark, sf_dir).join(offers(spark, sf_dir).select(*KEY, "family", "shipping_cost"), KEY)
-    return R.alert_families(o, KEY, ["product_id"], rules.RULES["drop_percent"], rules.RULES["drop_amount"], rules.RULES["below_median_percent"], rules.RULES["gap_percent"])
+    return R.alert_families(_offers_with_stats(spark, sf_dir), KEY, ["product_id"], rules.RULES["drop_percent"], rules.RULES["drop_amount"], rules.RULES["below_median_percent"], rules.RULES["gap_percent"])
 
 
 @query("""WITH c AS (SELECT unnest(generate_series(DATE '1999-01-01', DATE '1999-01-30', INTERVAL 1 DAY))::DATE AS day) SELECT c.day, count(o_orderkey) AS n FROM c LEFT JOIN orders ON o_orderdate::DATE = c.day AND o_orderstatus <> 'P' GROUP BY 1""")
