@@ -14,7 +14,7 @@ from tallystone.operators import rules
 from tallystone.operators import stats as T
 from tallystone.registry import ORACLES, query
 
-from .decisions import _PREV, _with_stats
+from .decisions import _PREV, _offers_with_stats
 from .series import points
 from .stats import buy_or_wait  # noqa: F401  (its SQL is a part of another)
 from .views import KEY, OFF, ORDER, as_of, offers, table
@@ -120,8 +120,7 @@ SELECT store, product_id, 'price_drop_percent+price_drop_amount' AS rule, (previ
 UNION ALL SELECT a.store, a.product_id, 'cross_store_gap', (z.v - a.v)::DOUBLE FROM r a JOIN r z ON a.product_id = z.product_id AND a.n = 1 AND z.n = 2 UNION ALL SELECT store, product_id, 'common_discount', (price_normal - price)::DOUBLE FROM o WHERE price_normal > price""")
 def notification_offers(spark, sf_dir):
     """Every alert without thresholds."""
-    o = _with_stats(spark, sf_dir).join(offers(spark, sf_dir).select(*KEY, "family", "shipping_cost", "price_normal"), KEY)
-    return reports.notification_offers(o, KEY, ["product_id"]).withColumn("saving", F.col("saving").cast("double"))
+    return reports.notification_offers(_offers_with_stats(spark, sf_dir), KEY, ["product_id"]).withColumn("saving", F.col("saving").cast("double"))
 
 
 @query(f"""WITH {OFF} SELECT store, product_id, NOT (product_id % 3 = 0 AND product_id % 4 <> 0 AND product_id % 2 = 0) AND NOT (product_id % 5 = 0 AND size % 3 <> 0) AS fits FROM off""")
