@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallystone.functions import keys as Y
@@ -15,9 +16,8 @@ from tallystone.operators import stats as T
 from tallystone.registry import ORACLES, query
 
 from .decisions import _PREV, _offers_with_stats
-from .series import points
 from .stats import buy_or_wait  # noqa: F401  (its SQL is a part of another)
-from .views import KEY, OFF, ORDER, as_of, offers, table
+from .views import KEY, OFF, ORDER, as_of, marked_observations, offers, table
 
 _ASKED = "q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0)"
 
@@ -138,11 +138,15 @@ def personal_offers(spark, sf_dir):
 SELECT b.store, b.product_id, CASE WHEN advice = 'buy' AND cheaper > 0 THEN 'wait' ELSE advice END AS advice FROM b LEFT JOIN r ON r.store = b.store AND r.product_id = b.product_id""")
 def advice_with_rivals(spark, sf_dir):
     """Advice to buy, unless a store of another family sells for less."""
-    advice = T.buy_or_wait(points(spark, sf_dir), KEY, ORDER, as_of())
-    o = offers(spark, sf_dir).select(*KEY, "family", "price")
-    low = o.groupBy("product_id", "family").agg(F.min("price").alias("_p"))
-    cheaper = o.join(low.withColumnRenamed("family", "_f"), "product_id").filter("family <> _f").groupBy(*KEY).agg(F.max(F.col("price") - F.col("_p")).alias("cheaper"))
-    return advice.join(cheaper, KEY, "left").select(*KEY, T.blocked_by_cheaper(F.col("advice"), F.col("cheaper")).alias("advice"))
+    last = T.timing(marked_observations(spark, sf_dir), KEY, ORDER, as_of(), F.col("_kept")).select(*KEY, "family", "price", "n", "advice")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.lit(True).alias("_offer"))
+    # a family's lowest offer, and of each product the lowest family and the lowest of the others
+    x = last.join(part, "product_id", "left").withColumn("_low", F.min(F.when(F.col("_offer"), F.col("price"))).over(Window.partitionBy("product_id", "family")))
+    g = Window.partitionBy("product_id")
+    x = x.withColumn("_one", F.min(F.when(F.col("_low").isNotNull(), F.struct("_low", "family"))).over(g))
+    x = x.withColumn("_two", F.min(F.when(F.col("family") != F.col("_one.family"), F.col("_low"))).over(g))
+    rival = F.when(F.col("family") != F.col("_one.family"), F.col("_one._low")).otherwise(F.col("_two"))
+    return x.filter("n > 0").select(*KEY, T.blocked_by_cheaper(F.col("advice"), F.when(F.col("_offer"), F.col("price") - rival)).alias("advice"))
 
 
 @query(f"""WITH {OFF}, l AS (SELECT *, CASE WHEN product_id % 4 <> 0 THEN ts - to_days((product_id % 9)::INT) END AS sent, price + product_id % 3 - 1 AS was FROM off) SELECT store, product_id FROM l WHERE sent IS NULL OR ts >= sent + INTERVAL 5 DAY OR price < was""")
