@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tallystone.operators import store as K
 from tallystone.registry import query
+from tallystone.sources.storage import stored
 
 from .series import points
-from .views import KEY, NOW, OBS, OFF, ORD, ORDER, SER, as_of, observations, offers, table
+from .views import KEY, NOW, OBS, OFF, ORD, ORDER, SER, as_of, last_observations, observations, offers, table
 
 _DESC = ", ".join(c + " DESC" for c in ORDER)
 
@@ -249,9 +250,9 @@ def backfilled_categories(spark, sf_dir):
 @query(f"""WITH {OBS}, l AS (SELECT * FROM obs QUALIFY row_number() OVER (PARTITION BY store, product_id ORDER BY {_DESC}) = 1)
 SELECT CASE WHEN NOT (price > 0 AND price_normal > price) THEN 'invalid' WHEN product_id % 7 = 0 THEN 'missing' WHEN product_id % 5 = 0 THEN 'existing' ELSE 'inserted' END AS outcome, count(*) AS n FROM l GROUP BY 1""")
 def candidates_of_day(spark, sf_dir):
-    o = observations(spark, sf_dir)
+    last = stored(last_observations(spark, sf_dir).select(*KEY, *ORDER, "price_normal"))
     day = F.to_date(as_of())
     signature = F.concat_ws(":", F.col("price").cast("string"), F.col("price_normal").cast("string"))
-    now = offers(spark, sf_dir)
+    now = last.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id")), "product_id", "left_semi")
     queued = now.filter("product_id % 5 = 0").select(*KEY, day.alias("day"), signature.alias("signature"))
-    return K.candidates_of_day(o, now.filter("product_id % 7 <> 0"), queued, day, KEY, ORDER).groupBy("outcome").agg(F.count("*").alias("n"))
+    return K.candidates_of_day(last, now.filter("product_id % 7 <> 0"), queued, day, KEY, ORDER).groupBy("outcome").agg(F.count("*").alias("n"))
