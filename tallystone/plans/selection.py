@@ -8,6 +8,7 @@ from tallystone.operators import selection as X
 from tallystone.operators import series as S
 from tallystone.operators import stats as T
 from tallystone.registry import query
+from tallystone.sources.storage import stored
 
 from .offers import _VERIFIED
 from .series import points
@@ -171,12 +172,13 @@ g AS (SELECT p_brand AS catalog_id, max(score)::INT AS score, arg_min(tier, (-sc
 SELECT g.*, patterns, last_seen + to_hours(interval_hours) AS next_due_at FROM g JOIN pl ON catalog_id = p_brand""")
 def catalog_priorities(spark, sf_dir):
     daily = S.last_per_day(points(spark, sf_dir), KEY, ORDER)
-    profile = T.price_profile(daily, KEY, S.local_day(as_of())).join(daily.groupBy(*KEY).agg(F.max("day").cast("timestamp").alias("last_seen")), KEY)
+    profile = T.profile_with_day(daily, KEY, S.local_day(as_of())).withColumn("last_seen", F.col("last_day").cast("timestamp"))
     k = F.col("product_id")
     rows = X.assessed(profile.withColumns({"likely_drop": k % 29 == 0, "confirmed": k % 6 == 0}))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("catalog_id"))
     patterns = F.array(F.concat(F.lit("p"), (k % 4).cast("string")), F.concat(F.lit("q"), (k % 3).cast("string")))
-    rows = rows.join(part, "product_id").withColumns({"patterns": patterns, "id": F.concat("store", k.cast("string"))})
+    rows = rows.join(part, "product_id").select("catalog_id", "score", "tier", "interval_hours", "last_seen", "product_id", F.concat("store", k.cast("string")).alias("id"))
+    rows = stored(rows).withColumn("patterns", patterns)  # read for the first product and for the patterns
     return X.catalog_priorities(rows, as_of()).withColumn("patterns", F.array_join("patterns", ","))
 
 
