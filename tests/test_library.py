@@ -529,6 +529,6 @@ def lines_read(spark, sf_dir, name, monkeypatch):
     return reads(plans.queries()[name](spark, sf_dir)) + sum(found)
 
 
-@pytest.mark.parametrize("name", ["list_inflation", "price_stats_windows", "best_offer_cards", "real_offer_cards", "alert_families", "notification_offers", "advice_with_rivals", "candidates_of_day", "catalog_priorities"])
+@pytest.mark.parametrize("name", ["list_inflation", "price_stats_windows", "best_offer_cards", "real_offer_cards", "alert_families", "notification_offers", "advice_with_rivals", "candidates_of_day", "catalog_priorities", "normalized_records"])
 def test_lines_are_read_and_shuffled_once(spark, sf_dir, name, monkeypatch):
     assert lines_read(spark, sf_dir, name, monkeypatch) == 1
