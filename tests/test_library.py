@@ -532,3 +532,22 @@ def lines_read(spark, sf_dir, name, monkeypatch):
 @pytest.mark.parametrize("name", ["list_inflation", "price_stats_windows", "best_offer_cards", "real_offer_cards", "alert_families", "notification_offers", "advice_with_rivals", "candidates_of_day", "catalog_priorities", "normalized_records"])
 def test_lines_are_read_and_shuffled_once(spark, sf_dir, name, monkeypatch):
     assert lines_read(spark, sf_dir, name, monkeypatch) == 1
+
+
+def test_search_results_gather_no_groups(spark, sf_dir):
+    plan = plans.queries()["search_results"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "collect" not in plan and "Aggregate" not in plan
+
+
+def test_flat_search_places_are_those_of_gathered_groups(spark):
+    import random
+
+    from tallystone.sources import sinks
+
+    r = random.Random(3)
+    rows = spark.createDataFrame([(r.randint(0, 3), r.randint(0, 9), r.choice(["a", "b", None]), r.choice([1, 2, 3, None])) for _ in range(300)], "search_id long, group_index long, store string, product_id long")
+    groups = rows.groupBy("search_id", "group_index").agg(F.array_sort(F.collect_set(F.struct("store", "product_id"))).alias("offers"))
+    names = ["search_id", "store", "product_id", "position"]
+    got = sinks.search_places(rows, ["store", "product_id"]).select(*names).collect()
+    want = sinks.search_results(groups).select(*names).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 30
